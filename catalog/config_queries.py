@@ -9,7 +9,7 @@ from catalog.views import (
     CONFIG, CONFIG_BIGINT, LONG_SQL, N_BLOCKS, POLY, POPS, RANKED_SQL, SAMPLED_N, SFS_SQL, SITES_SQL, TOTAL_SQL,
     blocks, combined, key_sql, r, r_sql, sites, spread, table,
 )
-from freqloom.functions.configs import DER, at, config_key, parse_key, sizes
+from freqloom.functions.configs import config_key, is_complete, parse_key
 from freqloom.operators.sites import SiteTable
 from freqloom.operators.spectrum import Spectrum, full_configs
 
@@ -68,7 +68,7 @@ def filter_sites(spark, sf):
  from sfs where c_anc + c_der = 4 and d_der = 1""")
 def subset_configs(spark, sf):
     s = blocks(spark, sf)
-    wanted = s.configs().where((sizes()[2] == 4) & (at(DER, 3) == 1))
+    wanted = s.configs().where("anc[2] + der[2] = 4 and der[3] = 1")
     return spread(s.subset_configs(wanted).df, "block", "cnt")
 
 
@@ -91,7 +91,7 @@ def fold(spark, sf):
 def config_text(spark, sf):
     """To text and back."""
     text = combined(spark, sf).df.select(config_key().alias("config"), "cnt")
-    anc, der = parse_key(F.col("config"))
+    anc, der = parse_key("config")
     return spread(text.withColumns({"anc": anc, "der": der}), "config", "cnt")
 
 
@@ -115,7 +115,7 @@ def violations(spark, sf):
 def sampled_n_override(spark, sf):
     """Missing-data flag under three sample sizes and subsets."""
     s = combined(spark, sf)
-    complete = Spectrum(s.df.where(sizes()[2] == 4), POPS, s.meta, (), False, SAMPLED_N)
+    complete = Spectrum(s.df.where("anc[2] + der[2] = 4"), POPS, s.meta, (), False, SAMPLED_N)
     one = lambda t, name: t.has_missing_data().select(F.col("has_missing_data").alias(name), F.lit(1).alias("k"))
     return (
         one(s, "declared_missing")
@@ -243,8 +243,7 @@ def sorted_configs(spark, sf):
 @query("a24_missing_flag", f"""with {SFS_SQL} select block, bool_or(c_anc + c_der <> 4) as has_missing_data from sfs group by block""")
 def missing_flag(spark, sf):
     s = blocks(spark, sf)
-    full = sizes() == F.array(*[F.lit(n) for n in SAMPLED_N])
-    return s.df.groupBy("block").agg(F.bool_or(~full).alias("has_missing_data"))
+    return s.df.groupBy("block").agg(F.bool_or(~is_complete(SAMPLED_N)).alias("has_missing_data"))
 
 
 @query("s15_spectrum_from_rows", f"""with {SITES_SQL} select cast(substr(chrom_id, 4) as bigint) as block, {CONFIG_BIGINT},
@@ -264,7 +263,7 @@ def all_configs(spark, sf):
     s = combined(spark, sf)
     listed = full_configs(spark, POPS, SAMPLED_N).join(s.df, ["anc", "der"], "left")
     return listed.select(
-        *[at(DER, i).cast("bigint").alias(f"{p}_der") for i, p in enumerate(POPS)], F.coalesce("cnt", F.lit(0.0)).alias("cnt")
+        *[F.expr(f"bigint(der[{i}]) as {p}_der") for i, p in enumerate(POPS)], F.coalesce("cnt", F.lit(0.0)).alias("cnt")
     )
 
 

@@ -11,7 +11,7 @@ from catalog.views import (
     CONFIG_BIGINT, LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql, spread,
 )
 from freqloom.functions.configs import config_key
-from freqloom.operators.stats import SpectrumStats, count_subsets, subsample_probability, subsample_table
+from freqloom.operators.stats import SpectrumStats, count_subsets_text, subsample_probability_text, subsample_table
 
 HET = "2.0 * anc * der / greatest((anc + der) * (n - 1), 1)"
 
@@ -53,8 +53,7 @@ def pairwise_entropy(spark, sf):
 def integrate(spark, sf):
     """Weight 1 / (derived alleles) per configuration."""
     s = blocks(spark, sf).materialised()
-    derived = F.aggregate("der", F.lit(0), lambda acc, d: acc + d)
-    weights = s.configs().select("anc", "der", (F.lit(1.0) / derived).alias("w"))
+    weights = s.configs().selectExpr("anc", "der", "1D / aggregate(der, 0, (t, d) -> t + d) as w")
     return s.integrate(weights, by_block=True).select("block", r("value", 6).alias("value"))
 
 
@@ -103,7 +102,7 @@ A20_SQL = " * ".join([
 @query("a20_count_subsets", f"""with {TOTAL_SQL} select {key_sql()} as config, {r_sql(A20_SQL)} as n_subsets from tot""")
 def subsets(spark, sf):
     """Three alleles of a, weighted by derived count, and two of c."""
-    value = count_subsets(POPS, {"a": (0.5, 0.0, 2.0, 1.0)}, {"a": 3, "c": 2})
+    value = count_subsets_text(POPS, {"a": (0.5, 0.0, 2.0, 1.0)}, {"a": 3, "c": 2})
     return combined(spark, sf).df.select(config_key().alias("config"), r(value).alias("n_subsets"))
 
 
@@ -117,7 +116,7 @@ A21_SQL = (
  {r_sql(f"case when c_anc + c_der < 4 then 0.0 else {A21_SQL} end")} as prob from tot""")
 def subsample_probs(spark, sf):
     """One of each allele from a and two of each from c; 0 where c has fewer than four calls."""
-    prob = subsample_probability(POPS, (1, 0, 2, 0), (1, 0, 2, 0))
+    prob = subsample_probability_text(POPS, (1, 0, 2, 0), (1, 0, 2, 0))
     return combined(spark, sf).df.select(config_key().alias("config"), r(prob).alias("prob"))
 
 
@@ -136,7 +135,7 @@ A22_PROB_SQL = " * ".join(
  select config, subconfig, {r_sql("prob")} as prob from p where prob > 0""")
 def subsample_enum(spark, sf):
     out = subsample_table(combined(spark, sf), 3)
-    sub = config_key(F.col("sub_anc"), F.col("sub_der"))
+    sub = config_key("sub_anc", "sub_der")
     return out.select(config_key().alias("config"), sub.alias("subconfig"), r("prob").alias("prob"))
 
 
@@ -278,7 +277,7 @@ register_stat(
     lambda s: {
         "combo": (2 * s.baba("a", "b", "c", "d") - s.abba("a", "b", "c", "d")) * 3 + 1,
         "power": s.baba("a", "b", "c", "d") ** 2 / (1 - s.abba("a", "b", "c", "d")),
-        "applied": s.baba("a", "b", "c", "d").apply(F.sqrt), "neg": -s.baba("a", "b", "c", "d"),
+        "applied": s.baba("a", "b", "c", "d").apply("sqrt"), "neg": -s.baba("a", "b", "c", "d"),
         "rsub": 1 - s.baba("a", "b", "c", "d"), "rdiv": 1 / s.baba("a", "b", "c", "d"),
     },
     "Arithmetic of statistics keeps their jackknife.",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.functions.configs import at
 from freqloom.operators.sites import SiteTable
 from freqloom.operators.spectrum import Spectrum
 
@@ -21,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r(column, digits: int = 9) -> Column:
     """Rounded for comparison across engines; adding 0 turns a negative zero positive."""
+    if isinstance(column, str):
+        return F.expr(f"round({column}, {digits}) + 0D")
     return F.round(column, digits) + F.lit(0.0)
 
 
@@ -56,11 +57,9 @@ def combined(spark: SparkSession, sf_dir: str) -> Spectrum:
 
 def spread(df: DataFrame, *extra: str | Column, pops=POPS) -> DataFrame:
     """Counts as one column per population and allele, for comparison."""
-    cols = []
-    for i, p in enumerate(pops):
-        cols += [
-            at(F.col("anc"), i).cast("bigint").alias(f"{p}_anc"), at(F.col("der"), i).cast("bigint").alias(f"{p}_der")
-        ]
+    cols = [
+        F.expr(f"bigint({side}[{i}]) as {p}_{side}") for i, p in enumerate(pops) for side in ("anc", "der")
+    ]
     return df.select(*extra, *cols)
 
 

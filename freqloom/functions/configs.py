@@ -1,4 +1,8 @@
-"""Column expressions on allele configurations: two INT arrays, ``anc`` and ``der``, in population order."""
+"""Expressions on allele configurations: two INT arrays, ``anc`` and ``der``, in population order.
+
+Array arguments are SQL texts (usually column names) and results are Columns; building one SQL text per expression is much
+cheaper on the driver than composing Column objects operator by operator.
+"""
 
 from __future__ import annotations
 
@@ -7,57 +11,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of the two count arrays; every function below also takes Column arguments.
 ANC, DER = "anc", "der"
 
 
-def column(x: str | Column) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def at_text(counts: str, index: int) -> str:
+    return f"{counts}[{index}]"
+
+
+def sum_text(counts: str, indices: Sequence[int]) -> str:
+    return "(" + (" + ".join(at_text(counts, i) for i in indices) or "0") + ")"
+
+
+def polymorphic_text(indices: Sequence[int], anc: str = ANC, der: str = DER) -> str:
+    return f"({sum_text(anc, indices)} > 0 and {sum_text(der, indices)} > 0)"
+
 
+def sizes_text(anc: str = ANC, der: str = DER) -> str:
+    return f"zip_with({anc}, {der}, (a, d) -> a + d)"
 
-def at(counts: str | Column, index: int) -> Column:
+
+def int_array_text(values: Sequence[int]) -> str:
+    return "array(" + ", ".join(str(int(v)) for v in values) + ")"
+
+
+def at(counts: str, index: int) -> Column:
     """Count of the population at ``index`` (0-based)."""
-    return F.get(counts, F.lit(index))
+    return F.expr(at_text(counts, index))
 
 
-def pick(counts: str | Column, indices: Sequence[int]) -> Column:
+def pick(counts: str, indices: Sequence[int]) -> Column:
     """Counts of the listed populations, in that order."""
-    return F.array(*[at(counts, i) for i in indices])
+    return F.expr("array(" + ", ".join(at_text(counts, i) for i in indices) + ")")
 
 
-def sum_at(counts: str | Column, indices: Sequence[int]) -> Column:
+def sum_at(counts: str, indices: Sequence[int]) -> Column:
     """Total count over the listed populations."""
-    out = F.lit(0)
-    for i in indices:
-        out = out + at(counts, i)
-    return out
+    return F.expr(sum_text(counts, indices))
 
 
-def sizes(anc: str | Column = ANC, der: str | Column = DER) -> Column:
+def sizes(anc: str = ANC, der: str = DER) -> Column:
     """Non-missing calls per population."""
-    return F.zip_with(anc, der, lambda a, d: a + d)
+    return F.expr(sizes_text(anc, der))
 
 
-def is_polymorphic(indices: Sequence[int], anc: str | Column = ANC, der: str | Column = DER) -> Column:
+def is_polymorphic(indices: Sequence[int], anc: str = ANC, der: str = DER) -> Column:
     """Both alleles seen among the listed populations."""
-    return (sum_at(anc, indices) > 0) & (sum_at(der, indices) > 0)
+    return F.expr(polymorphic_text(indices, anc, der))
+
+
+def is_complete(sampled_n: Sequence[int], anc: str = ANC, der: str = DER) -> Column:
+    """No missing call in any population."""
+    return F.expr(f"{sizes_text(anc, der)} = {int_array_text(sampled_n)}")
 
 
-def folded_pair(anc: str | Column = ANC, der: str | Column = DER) -> tuple[Column, Column]:
+def folded_pair(anc: str = ANC, der: str = DER) -> tuple[Column, Column]:
     """Representative of {config, swapped config}: swap iff the ancestral vector sorts before the derived one."""
-    anc, der = column(anc), column(der)
-    swap = anc < der
-    return F.when(swap, der).otherwise(anc), F.when(swap, anc).otherwise(der)
+    pick_one = "case when {a} < {d} then {x} else {y} end"
+    return (
+        F.expr(pick_one.format(a=anc, d=der, x=der, y=anc)),
+        F.expr(pick_one.format(a=anc, d=der, x=anc, y=der)),
+    )
 
 
-def config_key(anc: str | Column = ANC, der: str | Column = DER) -> Column:
+def config_key(anc: str = ANC, der: str = DER) -> Column:
     """Text form ``anc,der`` per population, tab separated."""
-    pairs = F.zip_with(anc, der, lambda a, d: F.concat(a.cast("string"), F.lit(","), d.cast("string")))
-    return F.concat_ws("\t", pairs)
+    return F.expr(f"concat_ws('\\t', zip_with({anc}, {der}, (a, d) -> concat(a, ',', d)))")
 
 
-def parse_key(key: Column) -> tuple[Column, Column]:
+def parse_key(key: str) -> tuple[Column, Column]:
     """Inverse of :func:`config_key`."""
-    pairs = F.split(F.trim(key), r"\s+")
-    side = lambda k: F.transform(pairs, lambda p: F.split(p, ",")[k].cast("int"))
-    return side(0), side(1)
+    side = "transform(split(trim({key}), '\\\\s+'), p -> cast(split(p, ',')[{k}] as int))"
+    return F.expr(side.format(key=key, k=0)), F.expr(side.format(key=key, k=1))

@@ -1,11 +1,11 @@
-"""Scalar formulas as Column expressions: combinatorics, log-gamma, links and truncated draws."""
+"""Scalar formulas as SQL texts: combinatorics, log-gamma, links and truncated draws.
 
-from __future__ import annotations
+Arguments and results are SQL expressions for ``F.expr``. Constants carry the D suffix so that they are DOUBLE.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from math import factorial
 
 # Up to this subset size a binomial coefficient is written out as one product; beyond it a fold keeps the plan small.
 UNROLL_LIMIT = 16
@@ -26,91 +26,71 @@ LANCZOS = (
 LOG_SQRT_2PI = 0.91893853320467274178
 
 
-def dbl(x) -> Column:
-    """``x`` as a DOUBLE column; numbers become literals."""
-    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
-
-
-def product(columns: list[Column]) -> Column:
-    """Product of columns; the empty product is 1."""
-    return reduce(lambda a, b: a * b, columns, F.lit(1.0))
-
-
-def total(columns: list[Column]) -> Column:
-    """Sum of columns; the empty sum is 0."""
-    return reduce(lambda a, b: a + b, columns, F.lit(0.0))
+def product_text(factors: list[str]) -> str:
+    """Product of SQL texts; the empty product is 1."""
+    return " * ".join(f"({f})" for f in factors) if factors else "1D"
 
 
-def falling(x: Column, k: int) -> Column:
+def falling_text(x: str, k: int) -> str:
     """x (x-1) ... (x-k+1); zero for whole numbers 0 <= x < k."""
-    return product([dbl(x) - float(i) for i in range(k)])
+    return product_text([f"({x}) - {i}D" for i in range(k)])
 
 
-def comb(n: Column, k: int) -> Column:
-    """C(n, k) for a non-negative integer column and a fixed k; zero where k > n or k < 0."""
+def comb_text(n: str, k: int) -> str:
+    """C(n, k) for a non-negative integer expression and a fixed k; zero where k > n or k < 0."""
     if k < 0:
-        return F.lit(0.0)
+        return "0D"
     if k <= UNROLL_LIMIT:
-        return product([(dbl(n) - float(k - i)) / float(i) for i in range(1, k + 1)])
-    return comb_columns(n, F.lit(k))
+        return f"{product_text([f'({n}) - {k - i}D' for i in range(1, k + 1)])} / {float(factorial(k))}D" if k else "1D"
+    return comb_fold_text(n, str(k))
 
 
-def comb_columns(n: Column, k: Column) -> Column:
+def comb_fold_text(n: str, k: str) -> str:
     """C(n, k) with both arguments per row; zero outside 0 <= k <= n."""
-    n, k = n.cast("int"), k.cast("int")
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-        F.lit(1.0),
-        lambda acc, i: acc * (n - k + i).cast("double") / i.cast("double"),
-    )
-    return F.when((k < 0) | (k > n), F.lit(0.0)).when(k == 0, F.lit(1.0)).otherwise(folded)
+    fold = f"aggregate(sequence(1, greatest(int({k}), 1)), 1D, (acc, i) -> acc * (({n}) - ({k}) + i) / i)"
+    return f"case when ({k}) < 0 or ({k}) > ({n}) then 0D when ({k}) = 0 then 1D else {fold} end"
 
 
-def hypergeometric_pmf(drawn_hits: Column, population: Column, hits: Column, draws: Column) -> Column:
+def hypergeometric_text(drawn_hits: str, population: str, hits: str, draws: str) -> str:
     """P(drawn_hits of ``draws`` are hits) when ``population`` holds ``hits`` hits."""
-    return (
-        comb_columns(hits, drawn_hits)
-        * comb_columns(population - hits, draws - drawn_hits)
-        / comb_columns(population, draws)
-    )
+    hit = comb_fold_text(hits, drawn_hits)
+    miss = comb_fold_text(f"({population}) - ({hits})", f"({draws}) - ({drawn_hits})")
+    return f"({hit}) * ({miss}) / ({comb_fold_text(population, draws)})"
 
 
-def log_gamma_plus_one(x: Column) -> Column:
+def log_gamma_plus_one_text(x: str) -> str:
     """ln Gamma(x + 1) for x >= 0."""
-    x = dbl(x)
-    series = F.lit(LANCZOS[0])
-    for i, coefficient in enumerate(LANCZOS[1:], start=1):
-        series = series + F.lit(coefficient) / (x + float(i))
-    t = x + (LANCZOS_G + 0.5)
-    return F.lit(LOG_SQRT_2PI) + (x + 0.5) * F.ln(t) - t + F.ln(series)
+    x = f"double({x})"
+    series = " + ".join([f"{LANCZOS[0]!r}D", *[f"({c!r}D) / ({x} + {i}D)" for i, c in enumerate(LANCZOS[1:], start=1)]])
+    t = f"({x} + {LANCZOS_G + 0.5}D)"
+    return f"({LOG_SQRT_2PI!r}D + ({x} + 0.5D) * ln({t}) - {t} + ln({series}))"
 
 
-def poisson_log_pmf(rate: Column, count: Column) -> Column:
+def poisson_log_text(rate: str, count: str) -> str:
     """-rate + count ln(rate) - ln Gamma(count + 1)."""
-    return -dbl(rate) + dbl(count) * F.ln(dbl(rate)) - log_gamma_plus_one(count)
+    return f"(-({rate}) + ({count}) * ln({rate}) - {log_gamma_plus_one_text(count)})"
 
 
-def expm1_ratio(x: Column) -> Column:
+def expm1_ratio_text(x: str) -> str:
     """(exp(x) - 1) / x, continued by its series around 0."""
-    x = dbl(x)
-    series = F.lit(1.0) + x / 2.0 + x * x / 6.0 + x * x * x / 24.0
-    return F.when(F.abs(x) < 1e-4, series).otherwise(F.expm1(x) / x)
+    series = f"1D + ({x}) / 2D + ({x}) * ({x}) / 6D + ({x}) * ({x}) * ({x}) / 24D"
+    return f"(case when abs({x}) < 1e-4 then {series} else expm1({x}) / ({x}) end)"
 
 
-def floored_log(p: Column, floor: float = 1e-100) -> Column:
+def floored_log_text(p: str, floor: float = 1e-100) -> str:
     """ln(p) with probabilities below ``floor`` raised to it."""
-    return F.ln(F.greatest(dbl(p), F.lit(floor)))
+    return f"ln(greatest({p}, {floor!r}D))"
 
 
-def logit(p: Column) -> Column:
-    return F.ln(p / (F.lit(1.0) - p))
+def logit_text(p: str) -> str:
+    return f"ln(({p}) / (1D - ({p})))"
 
 
-def expit(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+def expit_text(x: str) -> str:
+    return f"(1D / (1D + exp(-({x}))))"
 
 
-def truncated_exponential(u: Column, low: Column, high: Column | None, scale: float) -> Column:
+def truncated_exponential_text(u: str, low: str, high: str | None, scale: float) -> str:
     """Inverse CDF at ``u`` of an exponential with mean ``scale`` restricted to [low, high)."""
-    mass = F.lit(1.0) if high is None else -F.expm1(-(high - low) / scale)
-    return low - F.lit(scale) * F.log1p(-u * mass)
+    mass = "1D" if high is None else f"(-expm1(-(({high}) - ({low})) / {float(scale)!r}D))"
+    return f"(({low}) - {float(scale)!r}D * log1p(-({u}) * {mass}))"

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freqloom.functions.configs import at, is_polymorphic, pick
+from freqloom.functions.configs import is_polymorphic, pick
 from freqloom.operators.ordering import with_global_index
 from freqloom.operators.spectrum import Spectrum
 
@@ -41,8 +41,8 @@ class SiteTable:
         cls,
         df: DataFrame,
         pops: Sequence[str],
-        ancestral: Sequence[str | Column],
-        derived: Sequence[str | Column],
+        ancestral: Sequence[str],
+        derived: Sequence[str],
         chrom_id: str = "chrom_id",
         position: str = "position",
         length: float | None = None,
@@ -52,12 +52,10 @@ class SiteTable:
         """Site table from any table with one ancestral and one derived count column per population."""
         if not len(pops) == len(ancestral) == len(derived):
             raise ValueError("one ancestral and one derived column per population")
-        as_ints = lambda cols: F.array(*[(F.col(c) if isinstance(c, str) else c).cast("int") for c in cols])
-        sites = df.select(
-            F.col(chrom_id).cast("string").alias("chrom_id"),
-            F.col(position).cast("double").alias("position"),
-            as_ints(ancestral).alias("anc"),
-            as_ints(derived).alias("der"),
+        sites = df.selectExpr(
+            f"string({chrom_id}) as chrom_id", f"double({position}) as position",
+            "array(" + ", ".join(f"int({c})" for c in ancestral) + ") as anc",
+            "array(" + ", ".join(f"int({c})" for c in derived) + ") as der",
         )
         book = sites.agg(
             F.lit(length).cast("double").alias("length"),
@@ -82,7 +80,7 @@ class SiteTable:
         keep = [self.pops.index(p) for p in populations]
         if non_ascertained is None:
             non_ascertained = [p for p in self.non_ascertained if p in populations]
-        df = self.df.withColumns({"anc": pick(F.col("anc"), keep), "der": pick(F.col("der"), keep)})
+        df = self.df.withColumns({"anc": pick("anc", keep), "der": pick("der", keep)})
         n = None if self.sampled_n is None else tuple(self.sampled_n[i] for i in keep)
         return replace(self, df=df, pops=tuple(populations), non_ascertained=tuple(non_ascertained), sampled_n=n)
 
@@ -127,18 +125,19 @@ class SiteTable:
         with probability (ancestral left) / (alleles left). No shuffle, and the seed fixes the result per row.
         """
         wanted = {self.pops.index(p): n for p, n in targets.items()}
-        seeded = self.df.withColumn("_draw", F.rand(seed))
         new_anc, new_der = [], []
         for i in range(len(self.pops)):
-            anc, der = at(F.col("anc"), i), at(F.col("der"), i)
+            anc, der = f"anc[{i}]", f"der[{i}]"
             if i in wanted:
                 n = wanted[i]
-                drawn = _sequential_draw(anc, anc + der, n, F.col("_draw"), i)
-                over = anc + der > n
-                anc, der = F.when(over, drawn).otherwise(anc), F.when(over, F.lit(n) - drawn).otherwise(der)
+                over = f"{anc} + {der} > {n}"
+                drawn = _sequential_draw_text(anc, f"{anc} + {der}", n, "draw", i)
+                anc, der = f"case when {over} then {drawn} else {anc} end", f"case when {over} then {n} - {drawn} else {der} end"
             new_anc.append(anc)
             new_der.append(der)
-        df = seeded.select("chrom_id", "position", F.array(*new_anc).alias("anc"), F.array(*new_der).alias("der"))
+        df = self.df.withColumn("draw", F.rand(seed)).selectExpr(
+            "chrom_id", "position", f"array({', '.join(new_anc)}) as anc", f"array({', '.join(new_der)}) as der"
+        )
         return replace(self, df=df, sampled_n=None)
 
     def with_index(self) -> DataFrame:
@@ -201,10 +200,10 @@ def running_count(tagged: DataFrame, index: str, flag: str) -> DataFrame:
     )
 
 
-def _sequential_draw(hits: Column, size: Column, n: int, draw: Column, salt: int) -> Column:
+def _sequential_draw_text(hits: str, size: str, n: int, draw: str, salt: int) -> str:
     """Hits among ``n`` draws without replacement, each step using its own hash-derived uniform number."""
-    steps = F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.expr("array()").cast("array<int>")
-    uniform = lambda k: F.pmod(F.xxhash64(draw, F.lit(salt), k), F.lit(1 << 40)) / float(1 << 40)
-    return F.aggregate(
-        steps, F.lit(0), lambda got, k: got + F.when(uniform(k) * (size - k) < (hits - got), 1).otherwise(0)
-    ).cast("int")
+    if n == 0:
+        return "0"
+    uniform = f"pmod(xxhash64({draw}, {salt}, k), {1 << 40}) / {float(1 << 40)}D"
+    step = f"case when {uniform} * ({size} - k) < {hits} - got then 1 else 0 end"
+    return f"aggregate(sequence(0, {n - 1}), 0, (got, k) -> got + {step})"

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import (
-    ANC, DER, at, config_key, folded_pair, is_polymorphic, parse_key, pick, sizes, sum_at,
+    ANC, DER, at_text, config_key, folded_pair, int_array_text, is_complete, is_polymorphic, parse_key, pick,
+    polymorphic_text, sizes, sum_text,
 )
-from freqloom.functions.scalar import log_gamma_plus_one, product
+from freqloom.functions.scalar import log_gamma_plus_one_text, product_text
 from freqloom.operators.ordering import with_global_index
 from freqloom.session import cut_lineage
 
@@ -81,14 +82,18 @@ class Spectrum:
         """Sample size per population: declared, or the largest number of calls in any configuration (one row)."""
         if self.declared_n is not None:
             return self.declared_n
-        tops = [F.max(at(ANC, i) + at(DER, i)).alias(f"n{i}") for i in range(len(self.pops))]
-        return tuple(int(v or 0) for v in self.df.agg(*tops).first())
+        tops = [f"max(anc[{i}] + der[{i}])" for i in range(len(self.pops))]
+        return tuple(int(v or 0) for v in self.df.selectExpr(*tops).first())
 
     def observed_sizes(self) -> DataFrame:
         """``(pop, n)``: the largest number of calls per population."""
-        tops = [F.max(at(ANC, i) + at(DER, i)) for i in range(len(self.pops))]
-        names = F.array(*[F.lit(p) for p in self.pops])
-        return self.df.agg(F.array(*tops).alias("n")).select(F.inline(F.arrays_zip(names.alias("pop"), "n")))
+        tops = [f"max(anc[{i}] + der[{i}]) as n{i}" for i in range(len(self.pops))]
+        return self.df.selectExpr(*tops).select(self._per_pop([f"n{i}" for i in range(len(self.pops))], "n"))
+
+    def _per_pop(self, values: Sequence[str], name: str) -> Column:
+        """Generator of one ``(pop, name)`` row per population."""
+        entries = ", ".join(f"struct('{p}' as pop, {v} as {name})" for p, v in zip(self.pops, values))
+        return F.expr(f"inline(array({entries}))")
 
     def with_sampled_n(self, sampled_n: Sequence[int]) -> Spectrum:
         """Override the sample sizes; the counts stay as they are."""
@@ -101,19 +106,18 @@ class Spectrum:
         alleles; every configuration is polymorphic among the ascertained populations.
         """
         n, asc = self.sampled_n, self.ascertained_indices
-        too_big = reduce(lambda a, b: a | b, [at(sizes(), i) > n[i] for i in range(len(n))])
-        counts = self.configs().agg(
-            F.count_if(too_big).alias("config_exceeds_sampled_n"),
-            F.count_if(~is_polymorphic(asc)).alias("monomorphic_when_ascertained"),
+        too_big = " or ".join(f"anc[{i}] + der[{i}] > {n[i]}" for i in range(len(n)))
+        counts = self.configs().selectExpr(
+            f"count_if({too_big}) as too_big", f"count_if(not {polymorphic_text(asc)}) as monomorphic"
         )
         rules = {
-            "no_ascertained_population": F.lit(int(not asc)).cast("bigint"),
-            "config_exceeds_sampled_n": F.col("config_exceeds_sampled_n"),
-            "fewer_than_two_ascertained_alleles": F.lit(int(sum(n[i] for i in asc) < 2)).cast("bigint"),
-            "monomorphic_when_ascertained": F.col("monomorphic_when_ascertained"),
+            "no_ascertained_population": str(int(not asc)),
+            "config_exceeds_sampled_n": "too_big",
+            "fewer_than_two_ascertained_alleles": str(int(sum(n[i] for i in asc) < 2)),
+            "monomorphic_when_ascertained": "monomorphic",
         }
-        entries = F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("n_bad")) for k, v in rules.items()])
-        return counts.select(F.inline(entries))
+        entries = ", ".join(f"struct('{rule}' as rule, bigint({bad}) as n_bad)" for rule, bad in rules.items())
+        return counts.select(F.expr(f"inline(array({entries}))"))
 
     def validated(self) -> Spectrum:
         """Raise ValueError when any rule of :meth:`violations` is broken."""
@@ -124,7 +128,7 @@ class Spectrum:
 
     def has_missing_data(self) -> DataFrame:
         """One row: is any configuration below the sample size in some population?"""
-        full = sizes() == F.array(*[F.lit(int(n)) for n in self.sampled_n])
+        full = is_complete(self.sampled_n)
         return self.df.agg(F.coalesce(F.bool_or(~full), F.lit(False)).alias("has_missing_data"))
 
     # ---- reshaping ----------------------------------------------------------------------------------------------
@@ -183,7 +187,7 @@ class Spectrum:
     @classmethod
     def from_matrix(cls, wide: DataFrame, pops: Sequence[str], blocks: Sequence[int], **kwargs) -> Spectrum:
         """Inverse of :meth:`matrix`."""
-        anc, der = parse_key(F.col("config"))
+        anc, der = parse_key("config")
         long = wide.unpivot("config", [str(b) for b in blocks], "block", "cnt").where("cnt <> 0")
         rows = long.select(F.col("block").cast("bigint").alias("block"), anc.alias("anc"), der.alias("der"), "cnt")
         return cls.from_rows(rows, pops, **kwargs)
@@ -205,17 +209,14 @@ class Spectrum:
             F.count_distinct("block").alias("n_blocks"), F.count_distinct("anc", "der").alias("n_configs")
         )
 
-    def _het_terms(self) -> list[Column]:
-        out = []
-        for i, n in enumerate(self.sampled_n):
-            a, d = at(ANC, i).cast("double"), at(DER, i).cast("double")
-            out.append(F.lit(2.0) * a * d / F.greatest((a + d) * float(n - 1), F.lit(1.0)))
-        return out
-
     def pairwise_hets(self) -> DataFrame:
         """``(block, pop, hets)``: average heterozygotes per individual of each population."""
-        terms = [F.sum(F.col("cnt") * t).alias(p) for p, t in zip(self.pops, self._het_terms())]
-        return self.df.groupBy("block").agg(*terms).unpivot("block", list(self.pops), "pop", "hets")
+        terms = [
+            f"sum(cnt * 2D * anc[{i}] * der[{i}] / greatest((anc[{i}] + der[{i}]) * {float(n - 1)}D, 1D)) as h{i}"
+            for i, n in enumerate(self.sampled_n)
+        ]
+        wide = self.df.groupBy("block").agg(*[F.expr(t) for t in terms])
+        return wide.select("block", self._per_pop([f"h{i}" for i in range(len(self.pops))], "hets"))
 
     def p_missing(self) -> DataFrame:
         """``(pop, p_missing)``: chance that a random allele is missing.
@@ -223,18 +224,17 @@ class Spectrum:
         One random allele is taken away from each site; cases whose rest is polymorphic over all populations count.
         """
         every = range(len(self.pops))
-        anc_all, der_all = sum_at(ANC, every), sum_at(DER, every)
-        pieces = []
+        rows = self.df.selectExpr("anc", "der", "cnt", f"{sum_text(ANC, every)} as ta", f"{sum_text(DER, every)} as td")
+        rows = rows.where("ta > 0 and td > 0")
+        sums = []
         for i, n in enumerate(self.sampled_n):
-            a, d = at(ANC, i), at(DER, i)
-            miss = F.lit(int(n)) - a - d
-            gone = F.when((miss >= 1) & (anc_all > 0) & (der_all > 0), miss * F.col("cnt")).otherwise(0.0)
-            anc = F.when((a >= 1) & (anc_all > 1) & (der_all > 0), a * F.col("cnt")).otherwise(0.0)
-            der = F.when((d >= 1) & (anc_all > 0) & (der_all > 1), d * F.col("cnt")).otherwise(0.0)
-            pieces.append(F.try_divide(F.sum(gone), F.sum(gone + anc + der)).alias(self.pops[i]))
-        wide = self.df.agg(*pieces)
-        entries = F.array(*[F.struct(F.lit(p).alias("pop"), F.col(p).alias("p_missing")) for p in self.pops])
-        return wide.select(F.inline(entries))
+            a, d = at_text(ANC, i), at_text(DER, i)
+            sums += [
+                f"sum(greatest({n} - {a} - {d}, 0) * cnt) as gone{i}",
+                f"sum(case when ta > 1 then {a} * cnt else 0D end + case when td > 1 then {d} * cnt else 0D end) as kept{i}",
+            ]
+        wide = rows.selectExpr(*sums)
+        return wide.select(self._per_pop([f"try_divide(gone{i}, gone{i} + kept{i})" for i in every], "p_missing"))
 
     def negative_entropy(self) -> DataFrame:
         """Sum of p ln p over configurations, given the pattern of sample sizes."""
@@ -249,19 +249,17 @@ class Spectrum:
 
     def poisson_entropy(self) -> DataFrame:
         """Poisson log-probability of the per-block totals at their own rates."""
-        x = F.col("n_snps")
-        term = F.when(x > 0, -x + x * F.ln(x) - log_gamma_plus_one(x)).otherwise(0.0)
-        return self.n_snps(by_block=True).agg(F.sum(term).alias("entropy"))
+        term = f"case when n_snps > 0 then -n_snps + n_snps * ln(n_snps) - {log_gamma_plus_one_text('n_snps')} else 0D end"
+        return self.n_snps(by_block=True).agg(F.expr(f"sum({term})").alias("entropy"))
 
     def pairwise_poisson_entropy(self) -> DataFrame:
         """The same on pairwise heterozygosity, weighted by ascertained sample size."""
         asc = self.ascertained_indices
         weight_total = float(sum(self.sampled_n[i] for i in asc))
-        weights = F.create_map(*[F.lit(v) for i in asc for v in (self.pops[i], self.sampled_n[i] / weight_total)])
-        x = F.col("hets")
-        term = F.when(x > 1e-16, -x + x * F.ln(x) - log_gamma_plus_one(x)).otherwise(0.0)
+        weights = ", ".join(f"'{self.pops[i]}', {self.sampled_n[i] / weight_total!r}D" for i in asc)
+        term = f"case when hets > 1e-16 then -hets + hets * ln(hets) - {log_gamma_plus_one_text('hets')} else 0D end"
         kept = self.pairwise_hets().where(F.col("pop").isin([self.pops[i] for i in asc]))
-        return kept.agg(F.sum(term * F.try_element_at(weights, F.col("pop"))).alias("entropy"))
+        return kept.agg(F.expr(f"sum({term} * element_at(map({weights}), pop))").alias("entropy"))
 
     def integrate(self, weights: DataFrame, by_block: bool = False) -> DataFrame:
         """Sum of ``weights(anc, der, w)`` times count."""
@@ -275,17 +273,17 @@ class Spectrum:
         ``rows[name][pop][d]`` weighs d derived alleles; a population left out weighs 1. All rows share one scan.
         Configurations with missing calls have no place in the product and raise.
         """
-        full = sizes() == F.array(*[F.lit(int(k)) for k in self.sampled_n])
+        full = is_complete(self.sampled_n)
         problem = F.raise_error(F.lit("tensor product needs data without missing calls"))
         checked = self.df.select(F.when(full, F.col(DER)).otherwise(problem).alias("der"), "cnt")
         sums = []
         for name, vectors in rows.items():
             factors = [
-                F.get(F.array(*[F.lit(float(w)) for w in vectors[p]]), at(DER, i))
+                f"array({', '.join(f'{float(w)!r}D' for w in vectors[p])})[der[{i}]]"
                 for i, p in enumerate(self.pops) if p in vectors
             ]
-            sums.append(F.sum(F.col("cnt") * product(factors)).alias(name))
-        return checked.agg(*sums).unpivot([], list(rows), "row", "value")
+            sums.append(f"sum(cnt * {product_text(factors)}) as `{name}`")
+        return checked.selectExpr(*sums).unpivot([], list(rows), "row", "value")
 
     def as_map(self, by_block: bool = False) -> DataFrame:
         """Configuration text to count: a map per block or one map; for small results."""
@@ -316,17 +314,17 @@ def full_configs(
     count = reduce(lambda a, n: a * (n + 1), sampled_n, 1)
     digits, radix = [], 1
     for n in reversed(sampled_n):
-        digits.insert(0, (F.floor(F.col("id") / radix) % (n + 1)).cast("int"))
+        digits.insert(0, f"int(id div {radix} % {n + 1})")
         radix *= n + 1
-    der = F.array(*digits)
-    anc = F.zip_with(F.array(*[F.lit(int(n)) for n in sampled_n]), F.col("der"), lambda n, d: n - d)
+    der = f"array({', '.join(digits)}) as der"
+    anc = f"zip_with({int_array_text(sampled_n)}, der, (n, d) -> n - d) as anc"
     asc = [i for i, p in enumerate(pops) if p not in non_ascertained]
-    listed = spark.range(count).select(der.alias("der")).select(anc.alias("anc"), "der")
-    return listed.where(is_polymorphic(asc))
+    return spark.range(count).selectExpr(der).selectExpr(anc, "der").where(is_polymorphic(asc))
 
 
 def configs_from_derived(df: DataFrame, derived: Sequence[str], sampled_n: Sequence[int]) -> DataFrame:
     """Configurations from derived counts alone and full sample sizes."""
-    der = F.array(*[F.col(c).cast("int") for c in derived])
-    anc = F.array(*[(F.lit(int(n)) - F.col(c)).cast("int") for c, n in zip(derived, sampled_n)])
-    return df.select(anc.alias("anc"), der.alias("der"))
+    der = ", ".join(f"int({c})" for c in derived)
+    return df.selectExpr(f"array({der}) as der").selectExpr(
+        f"zip_with({int_array_text(sampled_n)}, der, (n, d) -> n - d) as anc", "der"
+    )

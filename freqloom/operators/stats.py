@@ -12,55 +12,56 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.functions.configs import ANC, DER, at, is_polymorphic
-from freqloom.functions.scalar import UNROLL_LIMIT, comb, comb_columns, dbl, falling, product, total
+from freqloom.functions.configs import at_text, is_polymorphic
+from freqloom.functions.scalar import UNROLL_LIMIT, comb_fold_text, comb_text, falling_text, product_text
 from freqloom.operators.spectrum import Spectrum
 
 # Terms summed in one aggregation; larger families of statistics run as several scans of the (small) spectrum.
 TERMS_PER_SCAN = 120
 
-Lookup = Callable[[str], Column]
+Lookup = Callable[[str], str]
 
 
 @dataclass(frozen=True)
 class Stat:
-    """Formula ``value`` over the named ``terms``; supports + - * / ** with statistics and numbers."""
+    """Formula ``value`` (SQL text) over named ``terms`` (SQL texts); supports + - * / ** with statistics and numbers."""
 
-    terms: Mapping[str, Column]
-    value: Callable[[Lookup], Column]
+    terms: Mapping[str, str]
+    value: Callable[[Lookup], str]
 
     @staticmethod
     def _lift(other) -> Stat:
-        return other if isinstance(other, Stat) else Stat({}, lambda get: dbl(other))
+        return other if isinstance(other, Stat) else Stat({}, lambda get: f"{float(other)!r}D")
 
-    def _with(self, other, op: Callable[[Column, Column], Column]) -> Stat:
+    def _with(self, other, template: str) -> Stat:
         other = Stat._lift(other)
-        return Stat({**self.terms, **other.terms}, lambda get: op(self.value(get), other.value(get)))
+        return Stat({**self.terms, **other.terms}, lambda get: template.format(self.value(get), other.value(get)))
 
-    def apply(self, fun: Callable[[Column], Column]) -> Stat:
-        """``fun`` of the statistic, where ``fun`` maps Column to Column."""
-        return Stat(self.terms, lambda get: fun(self.value(get)))
+    def apply(self, fun: str | Callable[[str], str]) -> Stat:
+        """``fun`` of the statistic: the name of a SQL function, or a map from SQL text to SQL text."""
+        call = (lambda x: f"{fun}({x})") if isinstance(fun, str) else fun
+        return Stat(self.terms, lambda get: call(self.value(get)))
 
     def __add__(self, other):
-        return self._with(other, lambda a, b: a + b)
+        return self._with(other, "({} + {})")
 
     def __sub__(self, other):
-        return self._with(other, lambda a, b: a - b)
+        return self._with(other, "({} - {})")
 
     def __mul__(self, other):
-        return self._with(other, lambda a, b: a * b)
+        return self._with(other, "({} * {})")
 
     def __truediv__(self, other):
-        return self._with(other, lambda a, b: F.try_divide(a, b))
+        return self._with(other, "try_divide({}, {})")
 
     def __pow__(self, other):
-        return self._with(other, lambda a, b: F.pow(a, b))
+        return self._with(other, "power({}, {})")
 
     def __neg__(self):
-        return self.apply(lambda a: -a)
+        return self.apply(lambda x: f"(-{x})")
 
     __radd__, __rmul__ = __add__, __mul__
 
@@ -74,42 +75,43 @@ class Stat:
         return Stat._lift(other) ** self
 
 
-def weighted_subsets(anc: Column, der: Column, n: int, weights: Sequence[float]) -> Column:
+def weighted_subsets_text(anc: str, der: str, n: int, weights: Sequence[float]) -> str:
     """Sum over d of weights[d] C(anc, n - d) C(der, d)."""
+    used = [(d, float(w)) for d, w in enumerate(weights) if w != 0]
+    if not used:
+        return "0D"
     if n <= UNROLL_LIMIT:
-        return total([comb(anc, n - d) * comb(der, d) * float(w) for d, w in enumerate(weights) if w != 0])
-    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in enumerate(weights) if w != 0])
-    return F.aggregate(
-        pairs, F.lit(0.0),
-        lambda acc, p: acc + p["w"] * comb_columns(anc, F.lit(n) - p["d"]) * comb_columns(der, p["d"]),
-    )
+        return " + ".join(f"{w!r}D * ({comb_text(anc, n - d)}) * ({comb_text(der, d)})" for d, w in used)
+    pairs = ", ".join(f"struct({d} as d, {w!r}D as w)" for d, w in used)
+    step = f"p.w * ({comb_fold_text(anc, f'{n} - p.d')}) * ({comb_fold_text(der, 'p.d')})"
+    return f"aggregate(array({pairs}), 0D, (total, p) -> total + {step})"
 
 
-def count_subsets(
+def count_subsets_text(
     pops: Sequence[str], derived_weights: Mapping[str, Sequence[float]], totals: Mapping[str, int]
-) -> Column:
+) -> str:
     """Number of subsets with ``totals[pop]`` alleles per population, weighted by their derived counts."""
     if not set(derived_weights) <= set(totals):
         raise ValueError("weights given for a population without a subset size")
     factors = []
     for pop, n in totals.items():
         i = pops.index(pop)
-        anc, der = at(ANC, i), at(DER, i)
+        anc, der = at_text("anc", i), at_text("der", i)
         if pop in derived_weights:
             if len(derived_weights[pop]) != n + 1:
                 raise ValueError(f"{pop} needs {n + 1} weights")
-            factors.append(weighted_subsets(anc, der, n, derived_weights[pop]))
+            factors.append(weighted_subsets_text(anc, der, n, derived_weights[pop]))
         else:
-            factors.append(comb(anc + der, n))
-    return product(factors)
+            factors.append(comb_text(f"{anc} + {der}", n))
+    return product_text(factors)
 
 
-def subsample_probability(pops: Sequence[str], sub_anc: Sequence[int], sub_der: Sequence[int]) -> Column:
+def subsample_probability_text(pops: Sequence[str], sub_anc: Sequence[int], sub_der: Sequence[int]) -> str:
     """P(a random subset of a configuration is the given one); 0 where no subset of that size exists."""
     totals = {p: a + d for p, a, d in zip(pops, sub_anc, sub_der) if a + d > 0}
     weights = {p: [float(k == d) for k in range(totals[p] + 1)] for p, d in zip(pops, sub_der) if p in totals}
-    ratio = F.try_divide(count_subsets(pops, weights, totals), count_subsets(pops, {}, totals))
-    return F.coalesce(ratio, F.lit(0.0))
+    wanted, every = count_subsets_text(pops, weights, totals), count_subsets_text(pops, {}, totals)
+    return f"coalesce(try_divide({wanted}, {every}), 0D)"
 
 
 def subsample_table(spectrum: Spectrum, size: int) -> DataFrame:
@@ -117,27 +119,24 @@ def subsample_table(spectrum: Spectrum, size: int) -> DataFrame:
 
     The draw is spelled out population by population inside the row; impossible branches end at once.
     """
-    rows = spectrum.configs().select(
-        "anc", "der", F.lit(size).alias("left"), F.lit(1.0).alias("prob"),
-        F.expr("cast(array() as array<int>)").alias("sub_anc"), F.expr("cast(array() as array<int>)").alias("sub_der"),
+    rows = spectrum.configs().selectExpr(
+        "anc", "der", f"{size} as left", "1D as prob", "cast(array() as array<int>) as sub_anc",
+        "cast(array() as array<int>) as sub_der",
     )
     for i, n in enumerate(spectrum.sampled_n):
-        a, d = at(ANC, i), at(DER, i)
-        options = F.flatten(F.transform(
-            F.sequence(F.lit(0), F.least("left", F.lit(int(n)))),
-            lambda k: F.transform(F.sequence(F.lit(0), k), lambda x, k=k: F.struct((k - x).alias("a"), x.alias("d"))),
-        ))
-        drawn_a, drawn_d = F.col("draw.a"), F.col("draw.d")
-        chance = F.try_divide(
-            comb_columns(a, drawn_a) * comb_columns(d, drawn_d), comb_columns(a + d, drawn_a + drawn_d)
+        options = (
+            f"explode(flatten(transform(sequence(0, least(left, {n})), k -> transform(sequence(0, k),"
+            " d -> struct(k - d as a, d as d))))) as draw"
         )
-        rows = rows.withColumn("draw", F.explode(options)).select(
-            "anc", "der", (F.col("left") - drawn_a - drawn_d).alias("left"), (F.col("prob") * chance).alias("prob"),
-            F.array_append("sub_anc", drawn_a).alias("sub_anc"), F.array_append("sub_der", drawn_d).alias("sub_der"),
+        ways = f"({comb_fold_text(f'anc[{i}]', 'draw.a')}) * ({comb_fold_text(f'der[{i}]', 'draw.d')})"
+        every = comb_fold_text(f"anc[{i}] + der[{i}]", "draw.a + draw.d")
+        rows = rows.selectExpr("*", options).selectExpr(
+            "anc", "der", "left - draw.a - draw.d as left", f"prob * try_divide({ways}, {every}) as prob",
+            "array_append(sub_anc, draw.a) as sub_anc", "array_append(sub_der, draw.d) as sub_der",
         ).where("prob > 0")
     everyone = range(len(spectrum.pops))
-    seen_both = is_polymorphic(everyone, "sub_anc", "sub_der")
-    return rows.where((F.col("left") == 0) & seen_both).select("anc", "der", "sub_anc", "sub_der", "prob")
+    done = rows.where(F.expr("left = 0") & is_polymorphic(everyone, "sub_anc", "sub_der"))
+    return done.select("anc", "der", "sub_anc", "sub_der", "prob")
 
 
 class SpectrumStats:
@@ -154,50 +153,50 @@ class SpectrumStats:
         if sum(k for p, k in self.sampled_n.items() if p in asc) < 2:
             raise ValueError("sampled_n must contain at least 2 ascertained alleles")
         self._ascertained = asc
-        self._parts: dict[str, Column] = {}
+        self._parts: dict[str, str] = {}
 
     # ---- terms --------------------------------------------------------------------------------------------------
 
-    def _calls(self, pop: str) -> tuple[Column, Column]:
+    def _calls(self, pop: str) -> tuple[str, str]:
         i = self.spectrum.pops.index(pop)
-        return at(ANC, i), at(DER, i)
+        return at_text("anc", i), at_text("der", i)
 
-    def _part(self, pop: str, label: str, value: Column) -> Column:
+    def _part(self, pop: str, label: str, value: str) -> str:
         """Name a per-population quantity once; terms multiply the named columns."""
         name = f"part{self.spectrum.pops.index(pop)}_{label}"
         self._parts[name] = value
-        return F.col(name)
+        return name
 
-    def _only(self, pop: str, side: str) -> Column:
+    def _only(self, pop: str, side: str) -> str:
         """Subsets of ``pop`` that show one allele only."""
         calls = self._calls(pop)[0 if side == "anc" else 1]
-        return self._part(pop, side, comb(calls, self.sampled_n[pop]))
+        return self._part(pop, side, comb_text(calls, self.sampled_n[pop]))
 
-    def _without_monomorphic(self, parts: Mapping[str, tuple[Column, Column | None, Column | None]]) -> Column:
+    def _without_monomorphic(self, parts: Mapping[str, tuple[str, str | None, str | None]]) -> str:
         """Product of the first entries, minus the all-ancestral and the all-derived parts (None stands for 0)."""
-        out = product([v[0] for v in parts.values()])
+        out = product_text([v[0] for v in parts.values()])
         for side in (1, 2):
             factors = [v[side] if p in self._ascertained else v[0] for p, v in parts.items()]
             if all(f is not None for f in factors):
-                out = out - product(factors)
+                out = f"{out} - {product_text(factors)}"
         return out
 
-    def _ordered_term(self, pattern: Mapping[str, tuple[int, int]]) -> Column:
+    def _ordered_term(self, pattern: Mapping[str, tuple[int, int]]) -> str:
         """Weight of drawing ``pattern[pop] = (k0, k1)`` alleles in a given order.
 
         Drawing k of n alleles that were themselves drawn from m is drawing k of m: C(m, n) times a ratio of falling
         factorials replaces the sum over sub-configurations.
         """
         if any(sum(k) > self.sampled_n[p] for p, k in pattern.items()):
-            return F.lit(0.0)
+            return "0D"
         parts = {}
         for pop, n in self.sampled_n.items():
             a, d = self._calls(pop)
             k0, k1 = pattern.get(pop, (0, 0))
-            subsets = comb(a + d, n)
+            subsets = comb_text(f"{a} + {d}", n)
             if k0 + k1:
-                ratio = falling(a, k0) * falling(d, k1) / falling(a + d, k0 + k1)
-                subsets = F.when(a + d >= n, subsets * ratio).otherwise(0.0)
+                ratio = f"{falling_text(a, k0)} * {falling_text(d, k1)} / ({falling_text(f'{a} + {d}', k0 + k1)})"
+                subsets = f"case when {a} + {d} >= {n} then ({subsets}) * {ratio} else 0D end"
             parts[pop] = (
                 self._part(pop, f"draw_{k0}_{k1}", subsets),
                 self._only(pop, "anc") if k1 == 0 else None,
@@ -205,21 +204,22 @@ class SpectrumStats:
             )
         return self._without_monomorphic(parts)
 
-    def _weights_term(self, weights: Mapping[str, Sequence[float]], name: str) -> Column:
+    def _weights_term(self, weights: Mapping[str, Sequence[float]], name: str) -> str:
         parts = {}
         for pop, n in self.sampled_n.items():
             a, d = self._calls(pop)
             w = weights.get(pop)
             if w is None:
-                w, all_of_them = (1.0,) * (n + 1), self._part(pop, "draw_0_0", comb(a + d, n))
+                w, every = (1.0,) * (n + 1), self._part(pop, "draw_0_0", comb_text(f"{a} + {d}", n))
             elif len(w) != n + 1:
                 raise ValueError(f"{pop} needs {n + 1} weights")
             else:
-                all_of_them = self._part(pop, f"user_{name}", weighted_subsets(a, d, n, w))
-            parts[pop] = (all_of_them, self._only(pop, "anc") * float(w[0]), self._only(pop, "der") * float(w[-1]))
+                every = self._part(pop, f"user_{name}", weighted_subsets_text(a, d, n, w))
+            only = [f"{self._only(pop, side)} * {float(x)!r}D" for side, x in (("anc", w[0]), ("der", w[-1]))]
+            parts[pop] = (every, *only)
         return self._without_monomorphic(parts)
 
-    def _raw(self, name: str, term: Column) -> Stat:
+    def _raw(self, name: str, term: str) -> Stat:
         return Stat({name: term}, lambda get: get(name))
 
     @property
@@ -263,7 +263,7 @@ class SpectrumStats:
     abba_baba = f4
 
     def log_abba_baba(self, a: str, b: str, c: str, d: str | None = None) -> Stat:
-        return self.baba(a, b, c, d).apply(F.ln) - self.abba(a, b, c, d).apply(F.ln)
+        return self.baba(a, b, c, d).apply("ln") - self.abba(a, b, c, d).apply("ln")
 
     def f3(self, a: str, b: str, o: str) -> Stat:
         return self.f4(o, a, o, b)
@@ -317,30 +317,29 @@ class SpectrumStats:
             seen |= set(stat.terms)
         return chunks
 
-    def term_sums(self, terms: Mapping[str, Column]) -> DataFrame:
+    def term_sums(self, terms: Mapping[str, str]) -> DataFrame:
         """Per block, the count-weighted sum of every term."""
-        parts = self.spectrum.df.select("block", "cnt", *[c.alias(n) for n, c in self._parts.items()])
-        return parts.groupBy("block").agg(*[F.sum(F.col("cnt") * t).alias(n) for n, t in terms.items()])
+        parts = self.spectrum.df.selectExpr("block", "cnt", *[f"{t} as {n}" for n, t in self._parts.items()])
+        return parts.groupBy("block").agg(*[F.expr(f"sum(cnt * ({t}))").alias(n) for n, t in terms.items()])
 
     def leave_one_out(self, stats: Mapping[str, Stat]) -> DataFrame:
         """``(stat, block, est, jack)``: the full estimate and the estimate without each block."""
         parts = []
         for chunk in self._chunks(stats):
-            terms: dict[str, Column] = {}
+            terms: dict[str, str] = {}
             for stat in chunk.values():
                 terms.update(stat.terms)
             alias = {name: f"t{i}" for i, name in enumerate(terms)}
             sums = self.term_sums({alias[n]: t for n, t in terms.items()})
-            # One row per block: the window over all of them holds as many rows as there are blocks.
-            whole = Window.partitionBy(F.lit(0))
-            totals = sums.select("block", *alias.values(), *[F.sum(t).over(whole).alias(f"all_{t}") for t in alias.values()])
-            full = lambda n, alias=alias: F.col(f"all_{alias[n]}")
-            rest = lambda n, alias=alias: F.col(f"all_{alias[n]}") - F.col(alias[n])
-            entries = [
-                F.struct(F.lit(name).alias("stat"), stat.value(full).alias("est"), stat.value(rest).alias("jack"))
+            # The window holds one row per block.
+            totals = sums.selectExpr("block", *alias.values(), *[f"sum({t}) over () as all_{t}" for t in alias.values()])
+            full = lambda n, alias=alias: f"all_{alias[n]}"
+            rest = lambda n, alias=alias: f"(all_{alias[n]} - {alias[n]})"
+            entries = ", ".join(
+                f"struct('{name}' as stat, {stat.value(full)} as est, {stat.value(rest)} as jack)"
                 for name, stat in chunk.items()
-            ]
-            parts.append(totals.select("block", F.inline(F.array(*entries))))
+            )
+            parts.append(totals.selectExpr("block", f"inline(array({entries}))"))
         return reduce(DataFrame.unionByName, parts).select("stat", "block", "est", "jack")
 
     def summary(self, stats: Mapping[str, Stat], expected: DataFrame | None = None) -> DataFrame:
@@ -348,19 +347,16 @@ class SpectrumStats:
 
         Residuals are taken against the full estimate, not against the jackknife mean.
         """
-        loo = self.leave_one_out(stats)
-        resid = F.col("jack") - F.col("est")
-        k1 = F.count(F.lit(1)) - 1
-        out = loo.groupBy("stat").agg(
+        out = self.leave_one_out(stats).groupBy("stat").agg(
             F.first("est").alias("est"),
-            F.sqrt(F.avg(resid * resid) * k1).alias("sd"),
-            (F.avg(resid) * k1).alias("bias"),
+            F.expr("sqrt(avg((jack - est) * (jack - est)) * (count(*) - 1))").alias("sd"),
+            F.expr("avg(jack - est) * (count(*) - 1)").alias("bias"),
             F.count(F.lit(1)).alias("n_blocks"),
         )
         if expected is None:
-            return out.withColumn("z", F.try_divide("est", "sd"))
+            return out.selectExpr("*", "try_divide(est, sd) as z")
         joined = out.join(expected.select("stat", "expected"), "stat", "left")
-        return joined.withColumn("z", F.try_divide(F.col("est") - F.col("expected"), F.col("sd")))
+        return joined.selectExpr("*", "try_divide(est - expected, sd) as z")
 
     def pair_table(self, stats: Mapping[tuple[str, str], Stat], expected: DataFrame | None = None) -> DataFrame:
         """Pairwise statistics sorted by the size of z; ``expected(pop1, pop2, expected)`` is optional."""
@@ -371,10 +367,9 @@ class SpectrumStats:
         table = self.summary({key(pair): stat for pair, stat in stats.items()}, named)
         if expected is None:
             table = table.withColumn("expected", F.lit(0.0))
-        pair = F.split("stat", r"\|")
-        return table.select(
-            pair[0].alias("pop1"), pair[1].alias("pop2"), "expected", F.col("est").alias("observed"), "z"
-        ).orderBy(F.abs("z").desc_nulls_last())
+        return table.selectExpr(
+            "split_part(stat, '|', 1) as pop1", "split_part(stat, '|', 2) as pop2", "expected", "est as observed", "z"
+        ).orderBy(F.expr("abs(z)").desc_nulls_last())
 
     def all_f2(self, expected: DataFrame | None = None) -> DataFrame:
         return self.pair_table(self.all_f2_stats(), expected)
