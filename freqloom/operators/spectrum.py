@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import (
@@ -64,11 +64,16 @@ class Spectrum:
         """The same spectrum cut from its lineage; use before computing many statistics on it."""
         return replace(self, df=cut_lineage(self.df))
 
-    def renumbered(self) -> Spectrum:
-        """Blocks numbered 0, 1, ... in the order of their present labels; the label table has one row per block."""
+    def renumbered_labels(self) -> DataFrame:
+        """``(block, ordinal, n_blocks)``: present blocks numbered from 0; one row per block."""
         labels = self.df.select("block").distinct()
-        ranked = labels.select("block", (F.row_number().over(Window.orderBy("block")) - 1).cast("bigint").alias("_id"))
-        df = self.df.join(ranked, "block").select(F.col("_id").alias("block"), "anc", "der", "cnt")
+        return labels.selectExpr(
+            "block", "bigint(row_number() over (order by block) - 1) as ordinal", "count(*) over () as n_blocks"
+        )
+
+    def renumbered(self) -> Spectrum:
+        """Blocks numbered 0, 1, ... in the order of their present labels."""
+        df = self.df.join(self.renumbered_labels(), "block").selectExpr("ordinal as block", "anc", "der", "cnt")
         return replace(self, df=df)
 
     # ---- metadata -----------------------------------------------------------------------------------------------
