@@ -16,7 +16,7 @@ from freqloom.functions.configs import int_array_text, polymorphic_text, sizes_t
 from freqloom.functions.scalar import comb_fold_text, expm1_ratio_text
 from freqloom.functions.vectors import apply_rows, dot, doubles, let, matrix, observation
 from freqloom.plans.assembly import Assembly, Layout
-from freqloom.plans.models import Template, epochs, resolve, signatures
+from freqloom.plans.models import Template, epochs, resolve, signed
 
 # Candidates whose arrays one broadcast carries; a larger sweep runs as several such joins, one per bucket of models.
 MODELS_PER_BROADCAST = 4096
@@ -120,12 +120,15 @@ class Sweep:
 
     # ---- evaluation ---------------------------------------------------------------------------------------------
 
-    def _layouts(self, tagged: DataFrame) -> list[tuple[str, Layout]]:
-        """One layout per order of events that occurs among the candidates; a template has few."""
-        found = [row.signature for row in tagged.select("signature").distinct().collect()]
+    def _layouts(self, tagged: DataFrame) -> list[tuple[str, int, Layout]]:
+        """Per order of events that occurs among the candidates (a template has few): number of models and layout."""
+        found = tagged.where("pos = 1").groupBy("signature").count().collect()
         listed = self.template.events
         sizes = dict(zip(self.pops, self.sizes))
-        return [(s, Layout([(int(k), listed[int(k)]) for k in s.split(",")], sizes)) for s in sorted(found)]
+        return [
+            (row.signature, row["count"], Layout([(int(k), listed[int(k)]) for k in row.signature.split(",")], sizes))
+            for row in sorted(found)
+        ]
 
     def _model_rows(self, events: DataFrame, layout: Layout) -> tuple[DataFrame, dict[str, int]]:
         """One row per model: spectrum and decay arrays of every node, parent weights of every pulse."""
@@ -157,11 +160,10 @@ class Sweep:
         The result has one row per model and input row, so this is a join without a key; the side that is broadcast is
         cut into buckets of known size.
         """
-        tagged = self.events().join(signatures(self.events()), "model_id")
-        n_models = self.candidates.count()
-        buckets = -(-n_models // MODELS_PER_BROADCAST)
+        tagged = signed(self.events())
         parts = []
-        for signature, layout in self._layouts(tagged):
+        for signature, n_models, layout in self._layouts(tagged):
+            buckets = -(-n_models // MODELS_PER_BROADCAST)
             mine = tagged.where(F.col("signature") == signature)
             models, ids = self._model_rows(mine, layout)
             for k in range(buckets):

@@ -200,10 +200,15 @@ def ordered(events: DataFrame) -> DataFrame:
     )
 
 
-def signatures(events: DataFrame) -> DataFrame:
-    """``(model_id, signature)``: the order of a model's events; models that share it share their graph."""
-    return ordered(events).groupBy("model_id").agg(
-        F.expr("array_join(transform(array_sort(collect_list(struct(pos, seq))), x -> string(x.seq)), ',')").alias("signature")
+def signed(events: DataFrame) -> DataFrame:
+    """Ordered events with ``signature``, the order of their model's events; models that share it share their graph.
+
+    Every window of this module is partitioned by the model first, so one shuffle by model serves them all.
+    """
+    return ordered(events).selectExpr(
+        "*",
+        "array_join(transform(array_sort(collect_list(struct(pos, seq)) over (partition by model_id)), x -> string(x.seq)), ',')"
+        " as signature",
     )
 
 
@@ -213,29 +218,30 @@ def timelines(events: DataFrame) -> DataFrame:
     ``bump`` marks the start of a new node; a population that is not sampled when it first appears starts at node 1, and
     one that is sampled after it appeared passes through a node of no length before its next node.
     """
-    o = ordered(events)
+    o = events if "pos" in events.columns else ordered(events)
     touches = o.selectExpr(
         "model_id", "pos", "t", "kind", "n", "g",
         "inline(case when kind in ('join', 'pulse') then array(struct(pop1 as pop, 'source' as side), struct(pop2 as pop, 'target' as side))"
         " else array(struct(pop1 as pop, 'self' as side)) end)",
     )
-    first = touches.selectExpr("*", "row_number() over (partition by model_id, pop order by pos) as nth")
     # A source that does not exist yet has no lineages to move: the event does nothing for either side.
-    idle = first.where("nth = 1 and side = 'source'").select("model_id", "pos")
-    live = first.join(idle, ["model_id", "pos"], "left_anti").selectExpr(
+    first = touches.selectExpr("*", "row_number() over (partition by model_id, pop order by pos) as nth").selectExpr(
+        "*", "max(nth = 1 and side = 'source') over (partition by model_id, pos) as idle"
+    )
+    live = first.where("not idle").selectExpr(
         "*", "row_number() over (partition by model_id, pop order by pos) as rank"
     )
-    appears = live.where("rank = 1").selectExpr(
-        "model_id", "pop", "pos", "0 as step", "t", "1D as set_n", "0D as set_g",
-        "if(kind = 'leaf', 0, 1) as bump", "false as ends",
+    appears = "struct(0 as step, 1D as set_n, 0D as set_g, if(kind = 'leaf', 0, 1) as bump, false as ends)"
+    changes = (
+        "struct(1 as step, if(kind = 'size', n, null) as set_n, case kind when 'size' then 0D when 'growth' then g end as set_g,"
+        " if(kind in ('join', 'pulse', 'leaf') and not (kind = 'join' and side = 'source'), 1, 0) as bump,"
+        " kind = 'join' and side = 'source' as ends)"
     )
-    changes = live.where("not (rank = 1 and kind = 'leaf')").selectExpr(
-        "model_id", "pop", "pos", "1 as step", "t", "if(kind = 'size', n, null) as set_n",
-        "case kind when 'size' then 0D when 'growth' then g end as set_g",
-        "if(kind in ('join', 'pulse', 'leaf') and not (kind = 'join' and side = 'source'), 1, 0) as bump",
-        "kind = 'join' and side = 'source' as ends",
+    return live.selectExpr(
+        "model_id", "pop", "pos", "t",
+        f"inline(case when rank > 1 then array({changes}) when kind = 'leaf' then array({appears})"
+        f" else array({appears}, {changes}) end)",
     )
-    return appears.unionByName(changes)
 
 
 def epochs(events: DataFrame) -> DataFrame:
