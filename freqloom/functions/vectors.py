@@ -1,6 +1,7 @@
 """Arrays of doubles as small vectors and matrices inside SQL texts.
 
-Arguments that a lambda reads repeatedly are bound first with :func:`let`, so that they are computed once per row.
+Whatever a lambda reads repeatedly is bound first with :func:`let`: the optimizer may put the expression behind a column
+name in its place, and inside a lambda that expression would be computed again for every element.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def map_rows(flat: str, n_rows: int, width: int, body: str) -> str:
 
 
 def permuted(flat: str, shape: Sequence[int], last: int) -> str:
-    """Flat tensor with axis ``last`` moved to the end; ``flat`` must be a name."""
+    """Flat tensor with axis ``last`` moved to the end."""
     if last == len(shape) - 1:
         return flat
     strides, step = [0] * len(shape), 1
@@ -56,7 +57,7 @@ def permuted(flat: str, shape: Sequence[int], last: int) -> str:
     places = [0]
     for k in order:
         places = [base + i * strides[k] for base in places for i in range(shape[k])]
-    return f"transform(array({', '.join(map(str, places))}), q -> {flat}[q])"
+    return let("m", flat, f"transform(array({', '.join(map(str, places))}), q -> m[q])")
 
 
 def observation(anc: str, der: str, n: int) -> str:

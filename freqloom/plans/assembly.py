@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from freqloom.functions.constants import moran_system, reduction_matrix, split_weights
+from freqloom.functions.constants import reduction_matrix, split_weights
 from freqloom.functions.vectors import apply_rows, dot, doubles, let, map_rows, matrix, permuted, rows_of
 from freqloom.plans.models import Event
 
@@ -49,6 +49,15 @@ class Layout:
             raise ValueError("a model must have a single root population")
         self.root = roots[0]
 
+    def sample_meets_below_root(self) -> bool:
+        """Does a node other than the root follow the lineages of the whole sample?"""
+        return any(n.leaves == self.root.leaves and n.name != self.root.name for n in self.nodes.values())
+
+    def bytes_per_model(self) -> int:
+        """Size of the arrays one model carries."""
+        nodes = sum((n.n + 1) * (n.n + 2) for n in self.nodes.values())
+        return 8 * (nodes + sum((n + 1) ** 3 for n in self.pulses.values()))
+
     def _new(self, name: str, leaves: frozenset[str]) -> Node:
         node = Node(name, leaves, sum(self._n[p] for p in leaves))
         self.nodes[name] = node
@@ -70,10 +79,9 @@ class Layout:
 
     def _leaf(self, seq: int, event: Event) -> None:
         pop = event.pop1
-        if pop not in self._n:
-            return
-        tip = self._new(f"{pop}:0", frozenset([pop]))
-        self.steps.append(("tip", tip, pop))
+        sampled = pop in self._n
+        tip = self._new(f"{pop}:0", frozenset([pop] if sampled else []))
+        self.steps.append(("tip", tip, pop) if sampled else ("ghost", tip))
         if pop not in self._now:
             self._now[pop] = tip
             return
@@ -168,11 +176,7 @@ class Assembly:
         cluster, k = self._find(node), self._id[node.name]
         text, axes = self._last(cluster, node)
         m = node.n + 1
-        right, _, left = moran_system(node.n)
-        moved = let("c", apply_rows(matrix(left), "v"), let(
-            "d", f"zip_with(c, decay_{k}, (x, y) -> x * y)", apply_rows(matrix(right), "d")
-        ))
-        tensor = let("t", text, map_rows("t", self._width(axes[:-1]), m, moved))
+        tensor = let("t", text, map_rows("t", self._width(axes[:-1]), m, apply_rows(f"moves_{k}", "v")))
         mass = f"mass{cluster.key} + {let('t', text, dot(f'slice(t, 1, {m})', f'arising_{k}'))}"
         self._replace(cluster, axes, tensor, mass)
 

@@ -18,8 +18,8 @@ from freqloom.functions.vectors import apply_rows, dot, doubles, let, matrix, ob
 from freqloom.plans.assembly import Assembly, Layout
 from freqloom.plans.models import Template, epochs, resolve, signed
 
-# Candidates whose arrays one broadcast carries; a larger sweep runs as several such joins, one per bucket of models.
-MODELS_PER_BROADCAST = 4096
+# Size of the model arrays that one broadcast carries; a larger sweep runs as several such joins, one per bucket of models.
+BROADCAST_BYTES = 32 << 20
 
 
 def first_coalescence_text(pair_rate: str) -> str:
@@ -77,13 +77,15 @@ def spectrum_by_size_text(ns: Sequence[int]) -> str:
     return let("e", "waits", f"case lineages {branches} end")
 
 
-def decay_by_size_text(ns: Sequence[int]) -> str:
-    """Survival of each Moran mode over a node."""
-    branches = " ".join(
-        f"when {n} then transform({doubles(moran_system(n)[1])}, r -> exp(-r * scaled_time))"
-        for n in sorted(set(ns)) if n > 0
-    )
-    return f"case lineages {branches} end"
+def moves_by_size_text(ns: Sequence[int]) -> str:
+    """Moran transition matrix over a node (rows: derived count at the upper end)."""
+    branches = []
+    for n in sorted(set(ns)):
+        right, rates, left = moran_system(n)
+        row = let("y", "zip_with(x, d, (a, b) -> a * b)", apply_rows(matrix(left.T), "y"))
+        survive = f"transform({doubles(rates)}, r -> exp(-r * scaled_time))"
+        branches.append(f"when {n} then {let('d', survive, f'transform({matrix(right)}, x -> {row})')}")
+    return f"case lineages {' '.join(branches)} end"
 
 
 def one_population_spectrum(events: DataFrame, n: int) -> DataFrame:
@@ -131,18 +133,18 @@ class Sweep:
         ]
 
     def _model_rows(self, events: DataFrame, layout: Layout) -> tuple[DataFrame, dict[str, int]]:
-        """One row per model: spectrum and decay arrays of every node, parent weights of every pulse."""
+        """One row per model: spectrum and transition matrix of every node, parent weights of every pulse."""
         used = {name: node for name, node in layout.nodes.items() if node.n > 0}
         ids = {name: k for k, name in enumerate(used)}
         known = ", ".join(f"'{name}', {node.n}" for name, node in used.items())
         lineages = f"coalesce(try_element_at(map({known}), node), 0)"
         ns = [node.n for node in used.values()]
         nodes = node_spectra(epochs(events), lineages).selectExpr(
-            "model_id", "node", f"{spectrum_by_size_text(ns)} as arising", f"{decay_by_size_text(ns)} as decay"
+            "model_id", "node", f"{spectrum_by_size_text(ns)} as arising", f"{moves_by_size_text(ns)} as moves"
         )
         picks = [
             F.expr(f"first(if(node = '{name}', {what}, null), true) as {what}_{k}")
-            for name, k in ids.items() for what in ("arising", "decay")
+            for name, k in ids.items() for what in ("arising", "moves")
         ]
         models = nodes.groupBy("model_id").agg(*picks)
         if layout.pulses:
@@ -157,21 +159,32 @@ class Sweep:
     def evaluate(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``(model_id, *keep, value)``: expected spectrum times the ``tip_<pop>`` vectors of each row, per model.
 
-        The result has one row per model and input row, so this is a join without a key; the side that is broadcast is
-        cut into buckets of known size.
+        The result has one row per model and input row, so this is a join without a key. The side that is broadcast is
+        cut into buckets of known size; the rows are spread over all cores, since each costs the same.
         """
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
         tagged = signed(self.events())
         parts = []
         for signature, n_models, layout in self._layouts(tagged):
-            buckets = -(-n_models // MODELS_PER_BROADCAST)
+            buckets = -(-n_models * layout.bytes_per_model() // BROADCAST_BYTES)
             mine = tagged.where(F.col("signature") == signature)
             models, ids = self._model_rows(mine, layout)
             for k in range(buckets):
                 some = models if buckets == 1 else models.where(f"pmod(xxhash64(model_id), {buckets}) = {k}")
-                paired = rows.join(F.broadcast(some))
-                parts.append(Assembly(paired, layout, ids).df.select("model_id", *keep, "value"))
+                values = Assembly(rows.join(F.broadcast(some)), layout, ids).df
+                if layout.sample_meets_below_root():
+                    values = self._without_fixed(values, some, layout, ids)
+                parts.append(values.select("model_id", *keep, "value"))
         return reduce(DataFrame.unionByName, parts)
 
+    def _without_fixed(self, values: DataFrame, models: DataFrame, layout: Layout, ids: dict[str, int]) -> DataFrame:
+        """Take away branches above the ancestor of the whole sample, which a node below the root has counted."""
+        ends = [f"{doubles([0.0] * n + [1.0])} as tip_{p}" for p, n in zip(self.pops, self.sizes)]
+        one = values.sparkSession.range(1).selectExpr(*ends)
+        fixed = Assembly(one.join(F.broadcast(models)), layout, ids).df.selectExpr("model_id", "value as fixed")
+        share = " * ".join(f"element_at(tip_{p}, -1)" for p in self.pops)
+        return values.join(fixed, "model_id").withColumn("value", F.expr(f"value - fixed * {share}"))
+
     def _tips(self, rows: DataFrame, error_matrices: Mapping[str, Sequence[Sequence[float]]] | None = None) -> DataFrame:
         """Observation vectors of configurations in ``anc`` and ``der`` (population order of the sweep)."""
         texts = []
