@@ -280,7 +280,7 @@ class Spectrum:
         """
         full = is_complete(self.sampled_n)
         problem = F.raise_error(F.lit("tensor product needs data without missing calls"))
-        checked = self.df.select(F.when(full, F.col(DER)).otherwise(problem).alias("der"), "cnt")
+        checked = self.df.select("der", F.when(full, F.col("cnt")).otherwise(problem).alias("cnt"))
         sums = []
         for name, vectors in rows.items():
             factors = [

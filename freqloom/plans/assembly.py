@@ -87,7 +87,8 @@ class Layout:
             return
         before = self._present(pop)
         above = self._next(pop, before.leaves | tip.leaves)
-        self.steps += [("close", tip), ("close", before), ("merge", tip, before, above)]
+        # The tip joins its population at once: it has no length to close.
+        self.steps += [("close", before), ("merge", tip, before, above)]
         self._now[pop] = above
 
     def _size(self, seq: int, event: Event) -> None:

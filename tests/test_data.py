@@ -275,7 +275,7 @@ def test_non_ascertained_population(spark):
 def test_bootstrap(spark):
     s = spectrum(spark, SAMPLE, ("A", "B")).materialised()
     b = bootstrap(s, 4, seed=2)
-    assert {r["count(slot)"] for r in b.groupBy("replicate").agg(F.count_distinct("slot")).collect()} == {3}
+    assert {r.k for r in b.groupBy("replicate").agg(F.count_distinct("slot").alias("k")).collect()} == {3}
     total = lambda df: {r.replicate: r.t for r in df.groupBy("replicate").agg(F.sum("cnt").alias("t")).collect()}
     assert total(b) == total(bootstrap_totals(s, 4, seed=2))
 
