@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import is_polymorphic, pick
-from freqloom.operators.ordering import with_global_index
+from freqloom.operators.ordering import RANK_ALL_ROWS, with_blocks, with_global_index
 from freqloom.operators.spectrum import Spectrum
 
 ACCOUNTING = "length DOUBLE, n_read BIGINT, n_excluded BIGINT"
@@ -140,10 +140,6 @@ class SiteTable:
         )
         return replace(self, df=df, sampled_n=None)
 
-    def with_index(self) -> DataFrame:
-        """``anc``, ``der``, ``row_index``, ``row_total`` with rows ranked by chromosome, position, configuration."""
-        return with_global_index(self.df, ["chrom_id", "position", "anc", "der"], ["chrom_id", "anc", "der"])
-
     def _spectrum(self, blocked: DataFrame) -> Spectrum:
         kept = blocked.where(is_polymorphic(self.ascertained_indices))
         counted = kept.groupBy("block", "anc", "der").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
@@ -153,10 +149,9 @@ class SiteTable:
         )
         return out.fold() if self.folded else out
 
-    def extract_blocks(self, n_blocks: int) -> Spectrum:
+    def extract_blocks(self, n_blocks: int, rank_all_rows: int = RANK_ALL_ROWS) -> Spectrum:
         """Spectrum per block of (nearly) equal numbers of consecutive sites, counted before the polymorphism filter."""
-        span = F.col("row_total").cast("double") / F.lit(float(n_blocks))
-        return self._spectrum(self.with_index().withColumn("block", F.floor(F.col("row_index") / span)))
+        return self._spectrum(with_blocks(self.df, n_blocks, rank_all_rows))
 
     def extract_by_chromosome(self) -> Spectrum:
         """Spectrum per chromosome; blocks are numbered in chromosome (text) order.

@@ -184,7 +184,8 @@ def test_subset_then_extract_is_extract_then_subset(spark):
     assert first.equals(second)
 
 
-def test_blocks_match_a_plain_count(spark):
+@pytest.mark.parametrize("rank_all_rows", [0, 10**6])
+def test_blocks_match_a_plain_count(spark, rank_all_rows):
     t = site_table(spark)
     listed = sorted((r.chrom_id, r.position, list(r.anc), list(r.der)) for r in t.df.collect())
     want: dict = {}
@@ -192,14 +193,15 @@ def test_blocks_match_a_plain_count(spark):
         if sum(anc) and sum(der):
             key = (int(i // (len(listed) / 7)), tuple(anc), tuple(der))
             want[key] = want.get(key, 0) + 1
-    assert as_dict(t.extract_blocks(7)) == want
+    assert as_dict(t.extract_blocks(7, rank_all_rows)) == want
 
 
-def test_hot_key_does_not_break_blocks(spark):
+@pytest.mark.parametrize("rank_all_rows", [0, 10**6])
+def test_hot_key_does_not_break_blocks(spark, rank_all_rows):
     df = spark.range(3000).selectExpr(
         "'c' as chrom", "if(id % 3 < 2, 5D, double(id)) as pos", "1 as aa", "1 as ad", "2 as ba", "0 as bd"
     )
-    s = SiteTable.from_counts(df, ("A", "B"), ["aa", "ba"], ["ad", "bd"], "chrom", "pos").extract_blocks(10)
+    s = SiteTable.from_counts(df, ("A", "B"), ["aa", "ba"], ["ad", "bd"], "chrom", "pos").extract_blocks(10, rank_all_rows)
     assert [r.n_snps for r in s.n_snps(by_block=True).orderBy("block").collect()] == [300.0] * 10
 
 
