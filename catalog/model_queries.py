@@ -329,14 +329,14 @@ def best_of_sweep(spark, sf):
 
 @query("m17_diversity", f"""with {SFS_SQL}, {LONG_SQL}, {P_MISS_SQL}, w as (select pop, x, sum(x) over (partition by pop) as t, count(*) over (partition by pop) as k from h),
  f as (select pop, max(t) as t, sqrt(avg(power((t - x) * k / (k - 1.0) - t, 2)) * (count(*) - 1)) as sp from w group by pop)
- select model_id, pop, {r_sql("1e9 * t / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 6)} as est, {r_sql("1e9 * sp / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 6)} as sd,
-  {r_sql("(t / (4 * 1e4 * 1e6 * e_het * (1 - pm)) - 1e-8) / (sp / (4 * 1e4 * 1e6 * e_het * (1 - pm)))", 4)} as z
+ select model_id, pop, {r_sql("1e9 * t / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 4)} as est, {r_sql("1e9 * sp / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 4)} as sd,
+  {r_sql("(t / (4 * 1e4 * 1e6 * e_het * (1 - pm)) - 1e-8) / (sp / (4 * 1e4 * 1e6 * e_het * (1 - pm)))", 3)} as z
  from f join pm using (pop) join eh using (pop)""")
 def diversity(spark, sf):
     """Mutation rates per 1e9 bases and generations from within-population diversity, for given expectations."""
     out = within_population_diversity(blocks(spark, sf), given_het(spark, sf), N_E, 1e6, MU)
     return out.select(
-        "model_id", "pop", r("1e9 * est_mut_rate", 6).alias("est"), r("1e9 * jackknife_sd", 6).alias("sd"), r("z", 4).alias("z")
+        "model_id", "pop", r("1e9 * est_mut_rate", 4).alias("est"), r("1e9 * jackknife_sd", 4).alias("sd"), r("z", 3).alias("z")
     )
 
 
