@@ -12,12 +12,13 @@ from catalog.views import (
 from freqloom.functions.configs import config_key
 from freqloom.functions.vectors import observation
 from freqloom.operators.spectrum import Spectrum
+from freqloom.operators.stats import SpectrumStats
 from freqloom.plans.expected import Sweep, one_population_spectrum
 from freqloom.plans.models import (
     Template, draw_candidates, edges, epochs, lineages, ordered, resolve, scaled_parameters, unscaled_parameters, violations,
 )
 from freqloom.plans.scoring import (
-    attach, best_model, bootstrap_parameters, composite_log_likelihood, expected_counts, kl_divergence, parameter_intervals,
+    attach, best_model, bootstrap_parameters, composite_log_likelihood, expected_counts, kl_divergence, model_fit, parameter_intervals,
     poisson_pairwise, poisson_total, sweep_log_likelihood, within_population_diversity,
 )
 
@@ -329,12 +330,12 @@ def best_of_sweep(spark, sf):
 
 @query("m17_diversity", f"""with {SFS_SQL}, {LONG_SQL}, {P_MISS_SQL}, w as (select pop, x, sum(x) over (partition by pop) as t, count(*) over (partition by pop) as k from h),
  f as (select pop, max(t) as t, sqrt(avg(power((t - x) * k / (k - 1.0) - t, 2)) * (count(*) - 1)) as sp from w group by pop)
- select model_id, pop, {r_sql("1e9 * t / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 4)} as est, {r_sql("1e9 * sp / (4 * 1e4 * 1e6 * e_het * (1 - pm))", 4)} as sd,
-  {r_sql("(t / (4 * 1e4 * 1e6 * e_het * (1 - pm)) - 1e-8) / (sp / (4 * 1e4 * 1e6 * e_het * (1 - pm)))", 3)} as z
+ select model_id, pop, {r_sql("1e9 * t / (4 * 1e4 * 700001.0::double * e_het * (1 - pm))", 4)} as est, {r_sql("1e9 * sp / (4 * 1e4 * 700001.0::double * e_het * (1 - pm))", 4)} as sd,
+  {r_sql("(t / (4 * 1e4 * 700001.0::double * e_het * (1 - pm)) - 1e-8) / (sp / (4 * 1e4 * 700001.0::double * e_het * (1 - pm)))", 3)} as z
  from f join pm using (pop) join eh using (pop)""")
 def diversity(spark, sf):
     """Mutation rates per 1e9 bases and generations from within-population diversity, for given expectations."""
-    out = within_population_diversity(blocks(spark, sf), given_het(spark, sf), N_E, 1e6, MU)
+    out = within_population_diversity(blocks(spark, sf), given_het(spark, sf), N_E, 700001.0, MU)
     return out.select(
         "model_id", "pop", r("1e9 * est_mut_rate", 4).alias("est"), r("1e9 * jackknife_sd", 4).alias("sd"), r("z", 3).alias("z")
     )
@@ -366,6 +367,16 @@ def attached(spark, sf):
     return data.n_snps().selectExpr(f"{s.sampled_n['a']} as n_a", f"{s.sampled_n['d']} as n_d", "n_snps", f"{length!r}D as length")
 
 
+@query("t20_model_fit")
+def fit_of_models(spark, sf):
+    """Observed f2, D and difference statistics against the expectation of every candidate."""
+    data = blocks(spark, sf).subset_populations(["a", "b", "d"]).with_sampled_n((4, 4, 2)).materialised()
+    st = SpectrumStats(data)
+    wanted = {"f2": st.f2("a", "b"), "d": st.pattersons_d("a", "b", "d"), "diff": st.ordered_prob({"a": [1], "b": [0]}, True)}
+    out = model_fit(pulse_sweep(spark, sf), st, wanted)
+    return out.select("model_id", "stat", *[r(c, 7).alias(c) for c in ("expected", "observed", "sd")], r("z", 4).alias("z"))
+
+
 @query("a23_projection_vectors", f"""with {TOTAL_SQL}, l as (select distinct {key_sql()} as config, u.pop, u.anc, u.der, u.n from tot,
    lateral (values ('a', a_anc, a_der, 4), ('b', b_anc, b_der, 4), ('c', c_anc, c_der, 4), ('d', d_anc, d_der, 2)) as u(pop, anc, der, n)),
  g as (select *, unnest(range(n + 1)) as x from l)

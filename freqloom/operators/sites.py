@@ -114,6 +114,18 @@ class SiteTable:
         n = first.sampled_n if len(sizes) == 1 else None
         return cls(df, first.pops, book, first.non_ascertained, any(t.folded for t in tables), n)
 
+    def differences(self, other: SiteTable) -> DataFrame:
+        """Sites that only one of two tables has, with the side; empty when the rows are equal."""
+        return (
+            self.df.exceptAll(other.df).withColumn("side", F.lit("left"))
+            .unionByName(other.df.exceptAll(self.df).withColumn("side", F.lit("right")))
+        )
+
+    def equals(self, other: SiteTable) -> bool:
+        """Same sites, populations, folding and accounting."""
+        same = (self.pops, self.folded) == (other.pops, other.folded)
+        return same and self.book.first() == other.book.first() and self.differences(other).isEmpty()
+
     def sorted(self) -> DataFrame:
         """Rows by chromosome (as text), position and configuration; a range shuffle, meant for writing."""
         return self.df.orderBy("chrom_id", "position", "anc", "der")

@@ -317,10 +317,14 @@ class SpectrumStats:
             seen |= set(stat.terms)
         return chunks
 
+    def weigh(self, rows: DataFrame, keys: Sequence[str], terms: Mapping[str, str]) -> DataFrame:
+        """Sums of ``cnt`` times each term over ``rows(*keys, anc, der, cnt)``, per key."""
+        parts = rows.selectExpr(*keys, "cnt", *[f"{t} as {n}" for n, t in self._parts.items()])
+        return parts.groupBy(*keys).agg(*[F.expr(f"sum(cnt * ({t}))").alias(n) for n, t in terms.items()])
+
     def term_sums(self, terms: Mapping[str, str]) -> DataFrame:
         """Per block, the count-weighted sum of every term."""
-        parts = self.spectrum.df.selectExpr("block", "cnt", *[f"{t} as {n}" for n, t in self._parts.items()])
-        return parts.groupBy("block").agg(*[F.expr(f"sum(cnt * ({t}))").alias(n) for n, t in terms.items()])
+        return self.weigh(self.spectrum.df, ["block"], terms)
 
     def leave_one_out(self, stats: Mapping[str, Stat]) -> DataFrame:
         """``(stat, block, est, jack)``: the full estimate and the estimate without each block."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.scalar import floored_log_text, log_gamma_plus_one_text
 from freqloom.operators.sampling import bootstrap_totals
-from freqloom.operators.spectrum import Spectrum
+from freqloom.operators.spectrum import Spectrum, full_configs
+from freqloom.operators.stats import SpectrumStats, Stat
 from freqloom.plans.expected import Sweep
 
 # Probabilities below this are raised to it before the logarithm.
@@ -77,7 +78,7 @@ def poisson_pairwise(spectrum: Spectrum, heterozygosity: DataFrame, rate: float,
     asc = spectrum.ascertained_indices
     weight_total = sum(spectrum.sampled_n[i] for i in asc)
     weights = ", ".join(f"'{spectrum.pops[i]}', {spectrum.sampled_n[i] / weight_total!r}D" for i in asc)
-    facts = _poisson_facts(spectrum.pairwise_hets(), "hets", ["pop"]).join(p_missing or spectrum.p_missing(), "pop")
+    facts = _poisson_facts(spectrum.pairwise_hets(), "hets", ["pop"]).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
     lam = f"({float(rate)!r}D * e_het * (1D - p_missing))"
     term = f"element_at(map({weights}), pop) * (-k * {lam} + c * ln({lam}) - lg)"
     kept = heterozygosity.where(F.col("pop").isin([spectrum.pops[i] for i in asc]))
@@ -153,7 +154,7 @@ def within_population_diversity(
     facts = blocks.groupBy("pop").agg(
         F.first("whole").alias("whole"),
         F.expr("sqrt(avg(power((whole - hets) * k / (k - 1) - whole, 2)) * (count(*) - 1))").alias("spread"),
-    ).join(p_missing or spectrum.p_missing(), "pop")
+    ).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
     e = f"({4.0 * n_e * length!r}D * e_het * (1D - p_missing))"
     mu = "cast(null as double)" if not muts_per_gen else f"{float(muts_per_gen)!r}D"
     return heterozygosity.join(facts, "pop").selectExpr(
@@ -162,6 +163,36 @@ def within_population_diversity(
     )
 
 
+def expected_stats(sweep: Sweep, stats: SpectrumStats, wanted: Mapping[str, Stat]) -> DataFrame:
+    """``(model_id, stat, expected)``: statistics of every candidate's expected spectrum on the sample sizes of ``stats``.
+
+    A statistic's terms are weights per configuration, so the expectation is the same sum with expected values in place
+    of counts, over all configurations of these sample sizes.
+    """
+    if list(stats.spectrum.pops) != sweep.pops or {p: sweep.sampled_n[p] for p in sweep.pops} != stats.sampled_n:
+        raise ValueError("the sweep must have the populations and sample sizes of the statistics")
+    spark = sweep.candidates.sparkSession
+    configs = full_configs(spark, sweep.pops, sweep.sizes, stats.spectrum.non_ascertained)
+    terms = {name: text for stat in wanted.values() for name, text in stat.terms.items()}
+    alias = {name: f"t{i}" for i, name in enumerate(terms)}
+    sums = stats.weigh(sweep.expected_sfs(configs).withColumnRenamed("value", "cnt"), ["model_id"], {
+        alias[n]: text for n, text in terms.items()
+    })
+    entries = ", ".join(
+        f"struct('{name}' as stat, {stat.value(lambda n: alias[n])} as expected)" for name, stat in wanted.items()
+    )
+    return sums.selectExpr("model_id", f"inline(array({entries}))")
+
+
+def model_fit(sweep: Sweep, stats: SpectrumStats, wanted: Mapping[str, Stat]) -> DataFrame:
+    """``(model_id, stat, expected, observed, sd, bias, z)``: observed statistics against every candidate."""
+    observed = stats.summary(wanted).select("stat", F.col("est").alias("observed"), "sd", "bias")
+    joined = expected_stats(sweep, stats, wanted).join(observed, "stat")
+    return joined.selectExpr(
+        "model_id", "stat", "expected", "observed", "sd", "bias", "try_divide(observed - expected, sd) as z"
+    )
+
+
 def expected_counts(expected: DataFrame, n_e: float, muts_per_gen: float, length: float) -> DataFrame:
     """Expected number of SNPs per configuration from unnormalised expected spectra."""
     return expected.withColumn("value", F.col("value") * (4.0 * n_e * muts_per_gen * length))

@@ -209,6 +209,7 @@ def test_concatenate_checks_and_sums(spark):
     t = site_table(spark)
     both = SiteTable.concatenate([t, t])
     assert both.book.first().asDict() == {"length": 1800.0, "n_read": 800, "n_excluded": 0}
+    assert both.equals(SiteTable.concatenate([t, t])) and not both.equals(t)
     with pytest.raises(ValueError):
         SiteTable.concatenate([t, t.subset_populations(["B", "A", "C"])])
 

@@ -8,7 +8,8 @@ from freqloom.functions.constants import moran_system, spectrum_weights
 from freqloom.operators.spectrum import Spectrum, full_configs
 from freqloom.plans.expected import Sweep
 from freqloom.plans.models import Template, resolve, violations
-from freqloom.plans.scoring import kl_divergence, sweep_log_likelihood
+from freqloom.operators.stats import SpectrumStats
+from freqloom.plans.scoring import kl_divergence, model_fit, sweep_log_likelihood
 
 
 def unit():
@@ -155,3 +156,16 @@ def test_single_root_is_required(spark, one):
     assert [r.rule for r in violations(resolve(one, t)).collect()] == ["more_than_one_root"]
     with pytest.raises(ValueError, match="single root"):
         Sweep(t, one, {"a": 1, "b": 1}).branch_length()
+
+
+def test_model_fit(spark, one):
+    """A difference between populations is expected as the tensor product of two ramps over the branch length."""
+    t = unit().add_leaf("a").add_leaf("b", n="n").move_lineages("a", "b", "t")
+    s = Sweep(t, one, {"a": 3, "b": 2})
+    listed = [(b, [2, 1], [1, 1], 3.0 + b) for b in range(3)] + [(b, [3, 1], [0, 1], 2.0) for b in range(3)]
+    df = spark.createDataFrame(listed, "block BIGINT, anc ARRAY<INT>, der ARRAY<INT>, cnt DOUBLE")
+    stats = SpectrumStats(Spectrum.from_rows(df, ("a", "b"), sampled_n=(3, 2)))
+    row = model_fit(s, stats, {"x": stats.ordered_prob({"a": [1], "b": [0]})}).first()
+    product = s.tensor_product({"w": {"a": [0, 1 / 3, 2 / 3, 1], "b": [1, 0.5, 0]}}).first().value
+    assert abs(row.expected - product / s.branch_length().first().branch_length) < 1e-9
+    assert abs(row.z - (row.observed - row.expected) / row.sd) < 1e-9
