@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    CONFIG, CONFIG_BIGINT, LONG_SQL, N_BLOCKS, POLY, POPS, RANKED_SQL, SAMPLED_N, SFS_SQL, SITES_SQL, TOTAL_SQL,
-    blocks, combined, key_sql, r, r_sql, sites, spread, table,
+    CONFIG, CONFIG_BIGINT, LONG_SQL, N_BLOCKS, POLY, POPS, SAMPLED_N, SFS_SQL, SITES_SQL, TOTAL_SQL,
+    blocks, combined, key_sql, sites, spread, table,
 )
 from freqloom.functions.configs import config_key, is_complete, parse_key
 from freqloom.operators.sites import SiteTable

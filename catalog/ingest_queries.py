@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    CONFIG_BIGINT, POPS, SAMPLED_N, SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, key_sql, r, r_sql, sites, spread, table,
+    SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, key_sql, r, sites, spread, table,
 )
 from freqloom.functions.configs import config_key
 from freqloom.operators.calls import (

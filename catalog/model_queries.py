@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    CONFIG, CONFIG_BIGINT, LONG_SQL, N_BLOCKS, POPS, SAMPLED_N, SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, comb_sql,
-    key_sql, r, r_sql, sites, spread, table,
+    CONFIG, LONG_SQL, N_BLOCKS, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql,
+    key_sql, r, r_sql, sites, table,
 )
 from freqloom.functions.configs import config_key
 from freqloom.functions.vectors import observation
@@ -15,7 +15,7 @@ from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats
 from freqloom.plans.expected import Sweep, one_population_spectrum
 from freqloom.plans.models import (
-    Template, draw_candidates, edges, epochs, lineages, ordered, resolve, scaled_parameters, unscaled_parameters, violations,
+    Template, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
 )
 from freqloom.plans.scoring import (
     attach, best_model, bootstrap_parameters, composite_log_likelihood, expected_counts, kl_divergence, model_fit, parameter_intervals,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    CONFIG_BIGINT, LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql, spread,
+    LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql,
 )
 from freqloom.functions.configs import config_key
 from freqloom.operators.stats import SpectrumStats, count_subsets_text, subsample_probability_text, subsample_table
