@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freqloom.llm import exact_dedup, near_dedup
+from freqloom.llm import exact_dedup, near_dedup, packing, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,13 @@ FROM n WINDOW w AS (PARTITION BY norm)
 @query("op3_exact_dedup", OP3)
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return token_files.token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
