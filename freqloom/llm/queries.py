@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freqloom.llm import exact_dedup, near_dedup, packing, token_files
+from freqloom.llm import exact_dedup, near_dedup, packing, quality, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op7_token_files(spark, sf_dir):
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit_quality(docs, labels))
