@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freqloom.llm import exact_dedup, near_dedup, packing, quality, token_files
+from freqloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op8_packing(spark, sf_dir):
 def op4_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit_quality(docs, labels))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
