@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freqloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality, token_files
+from freqloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op4_quality(spark, sf_dir):
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    return license_scan.license_notices(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
