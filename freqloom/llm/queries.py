@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from freqloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, token_files
+from freqloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, suffix_dedup, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,9 @@ def op9_decontamination(spark, sf_dir):
 @query("op6_license_scan")
 def op6_license_scan(spark, sf_dir):
     return license_scan.license_notices(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
