@@ -223,3 +223,15 @@ def _mark(edges: DataFrame) -> tuple:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_columns(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added while ``df`` has it."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, suffix_dedup, token_files
+from freqloom.llm import chats, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,90 @@ def op6_license_scan(spark, sf_dir):
 def op5_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+
+OP1 = rf"""
+WITH RECURSIVE shard AS (
+    SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name,
+           ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 2, '0') || '/offset'), 1, 15))::BIGINT % {sharding.SLOTS} AS start,
+           ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 2, '0') || '/skip'), 1, 15))::BIGINT % {sharding.SLOTS - 1} + 1 AS skip
+    FROM range(16) r(i)
+),
+turn AS (
+    SELECT 0::BIGINT AS step, [-1 FOR x IN range({sharding.SLOTS})] AS slots
+    UNION ALL
+    SELECT step + 1, list_transform(slots, lambda x, k: CASE WHEN k = 1 + (start + skip * first) % {sharding.SLOTS} THEN i ELSE x END)
+    FROM (
+        SELECT t.step, t.slots, s.i, s.start, s.skip,
+               list_filter(range({sharding.SLOTS}), lambda j: t.slots[1 + (s.start + s.skip * j) % {sharding.SLOTS}] < 0)[1] AS first
+        FROM turn t JOIN shard s ON s.i = t.step % 16
+        WHERE t.step < {sharding.SLOTS}
+    )
+),
+filled AS (SELECT unnest(range({sharding.SLOTS})) AS slot, unnest(slots) AS i FROM turn WHERE step = {sharding.SLOTS})
+SELECT d.doc_id, d.slot::INTEGER AS slot, s.name AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents) d
+JOIN filled f ON f.slot = d.slot JOIN shard s ON s.i = f.i
+"""
+
+
+@query("op1_sharding", OP1)
+def op1_sharding(spark, sf_dir):
+    return sharding.placed(table(spark, sf_dir, "documents"), ["doc_id"], SHARDS).select("doc_id", "slot", "shard")
+
+
+OP10 = r"""
+WITH RECURSIVE message AS (
+    SELECT conv_id, turn, role, text, count(*) AS copies, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS tie
+    FROM conversations GROUP BY conv_id, turn, role, text
+),
+line AS (
+    SELECT conv_id, turn, tie, length(marks) - length(replace(marks, '>', '')) AS level,
+           lower(trim(regexp_replace(substr(line, length(marks) + 1), '[ \t\r\x0B\f]+', ' ', 'g'))) AS body
+    FROM (SELECT *, regexp_extract(line, '^([ \t]*>)+', 0) AS marks
+          FROM (SELECT conv_id, turn, tie, unnest(string_split(text, chr(10))) AS line FROM message
+                WHERE conv_id IN (SELECT conv_id FROM message WHERE regexp_matches(text, '(^|\n)[ \t]*>'))))
+),
+asked AS (SELECT DISTINCT conv_id, turn, tie, level, body FROM line WHERE level > 0 AND body <> ''),
+found AS (
+    SELECT a.conv_id, a.turn, a.tie, a.level, a.body, max({'turn': o.turn, 'tie': o.tie}) AS target
+    FROM asked a JOIN line o ON o.conv_id = a.conv_id AND o.body = a.body AND o.level = 0 AND o.turn < a.turn
+    GROUP BY ALL
+),
+link AS (
+    SELECT conv_id, turn, tie, target.turn AS to_turn, target.tie AS to_tie
+    FROM (SELECT conv_id, turn, tie, level, target, sum(length(body)) AS size FROM found GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn, tie ORDER BY level, size DESC, target DESC) = 1
+),
+walk AS (
+    SELECT conv_id, turn, tie, to_turn, to_tie FROM link
+    UNION ALL
+    SELECT w.conv_id, w.turn, w.tie, l.to_turn, l.to_tie
+    FROM walk w JOIN link l ON l.conv_id = w.conv_id AND l.turn = w.to_turn AND l.tie = w.to_tie
+),
+root AS (SELECT conv_id, turn, tie, min({'turn': to_turn, 'tie': to_tie}) AS first FROM walk GROUP BY ALL),
+said AS (
+    SELECT m.*, coalesce(r.first.turn, m.turn) AS thread_turn, coalesce(r.first.tie, m.tie) AS thread_tie,
+           r.first IS NOT NULL AS reply, count(*) OVER (PARTITION BY m.conv_id, m.turn) AS n,
+           m.conv_id IS NULL OR m.turn IS NULL AS lone,
+           '<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+           || array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))
+           || '<|im_end|>' || chr(10) AS words
+    FROM message m LEFT JOIN root r ON r.conv_id = m.conv_id AND r.turn = m.turn AND r.tie = m.tie
+)
+SELECT conv_id,
+       CASE WHEN NOT lone THEN (thread_turn // 256)::BIGINT END AS thread_part,
+       CASE WHEN NOT lone THEN (turn // 256)::BIGINT END AS turn_part,
+       CASE WHEN lone THEN tie || coalesce('/' || turn::VARCHAR, '')
+            ELSE (('0x' || substr(tie, 1, 8))::BIGINT % CASE WHEN n > 64 THEN ceil(n / 64)::BIGINT ELSE 1 END)::VARCHAR END AS tie_part,
+       count(*) AS n_messages, sum(reply::INT)::BIGINT AS n_replies, sum(copies)::BIGINT AS n_rows,
+       string_agg(words, '' ORDER BY thread_turn, thread_tie, turn, tie) AS chat
+FROM said GROUP BY 1, 2, 3, 4
+"""
+
+
+@query("op10_chats", OP10)
+def op10_chats(spark, sf_dir):
+    return chats.conversations(table(spark, sf_dir, "conversations"))
