@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import texts_of
+from freqloom.llm.common import fresh_columns, texts_of
+from freqloom.session import cut_lineage
 
 
 def normalised(text: Column) -> Column:
@@ -35,14 +36,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    gone = exact_duplicates(docs, id_col, text_col).where("NOT kept")
-    named = docs.join(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
-    return named.where(F.col(id_col).isNotNull()).unionByName(_unnamed(docs, id_col, text_col))
-
-
-def _unnamed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows without id whose text no row with an id has."""
-    unnamed = docs.where(F.col(id_col).isNull())
-    texts = docs.where(F.col(id_col).isNotNull()).select(normalised(docs[text_col]).alias("__norm"))
-    return unnamed.withColumn("__norm", normalised(F.col(text_col))).join(texts, "__norm", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = cut_lineage(exact_duplicates(docs, id_col, text_col))
+    gone = decided.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.where(docs[id_col].isNotNull()).join(gone, id_col, "left_anti").select(docs.columns)
+    # Rows without id stay where no row of their text has one; the scan skips all others.
+    (digest,) = fresh_columns(docs, "digest")
+    alone = decided.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias(digest)).distinct()
+    unnamed = docs.where(docs[id_col].isNull()).withColumn(digest, F.sha2(normalised(F.col(text_col)), 256)).join(alone, digest, "left_semi")
+    return named.unionByName(unnamed.select(docs.columns))

@@ -148,3 +148,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     scored = texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns, where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for batch in batches:
+            rows = sparse_rows(pa.RecordBatch.from_arrays([batch.column(place)], ["text"]), bits)
+            good = [1 / (1 + np.exp(-np.clip(float(weights[at] @ v) + bias, -35, 35))) >= threshold for at, v in rows]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
