@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from freqloom.llm.common import texts_of
-from freqloom.llm.tokens import encoder, text_slices, tokenizer_path
+from freqloom.llm.tokens import encoded_rows, tokenizer_path
 
 END_ID = 1
 #: Tokens packed with each other. A larger number leaves fewer padded ends; a task holds about this many ids at a time.
@@ -50,10 +50,7 @@ def pack(lengths: list[int], budget: int, linear: float = 1.0, quadratic: float
 
 
 def _packer(path: str, budget: int, group: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         first = TaskContext.get().partitionId() << 36
         docs: list[tuple[int | None, bytes]] = []
         held = 0
@@ -71,10 +68,11 @@ def _packer(path: str, budget: int, group: int, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            for part, texts in text_slices(batch):
-                for doc_id, raw in zip(part["doc_id"].to_pylist(), encode(texts), strict=True):
-                    docs.append((doc_id, raw + end))
-                    held += len(raw) // 4 + 1
+            numbers = batch["doc_id"].to_pylist()
+            for i, ids, at in encoded_rows(batch, path, end_id):
+                for r in range(len(at) - 1):
+                    docs.append((numbers[i + r], ids[at[r] : at[r + 1]].tobytes()))
+                    held += int(at[r + 1] - at[r])
                     if held >= group:
                         yield flush()
                         docs, held = [], 0

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from freqloom.llm.common import texts_of
-from freqloom.llm.tokens import encoder, text_slices, tokenizer_path
+from freqloom.llm.tokens import encoded_rows, tokenizer_path
 from freqloom.session import ensure_checkpoint_dir
 
 END_ID = 2
@@ -34,19 +34,15 @@ FORMAT = {
 
 
 def _rows(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         part = TaskContext.get().partitionId()
         start = 0
         for batch in batches:
-            for rows, texts in text_slices(batch):
-                raw = [x + end for x in encode(texts)]
-                size = np.array([len(x) // 4 for x in raw], np.int64)
-                at = np.concatenate(([0], np.cumsum(size)))
-                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(raw))]))
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(np.full(len(size), part, np.int32)), pa.array(start + at[:-1]), pa.array(size), ids], [c.split()[0] for c in ROWS.split(", ")])
+            for i, flat, at in encoded_rows(batch, path, end_id):
+                size = np.diff(at)
+                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int32)))
+                columns = [batch["doc_id"].slice(i, len(size)), pa.array(np.full(len(size), part, np.int32)), pa.array(start + at[:-1]), pa.array(size), ids]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROWS.split(", ")])
                 start += int(at[-1])
 
     return run
