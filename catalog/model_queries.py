@@ -15,7 +15,7 @@ from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats
 from freqloom.plans.expected import Sweep, one_population_spectrum
 from freqloom.plans.models import (
-    Template, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
+    Template, bound_violations, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
 )
 from freqloom.plans.scoring import (
     attach, best_model, bootstrap_parameters, composite_log_likelihood, expected_counts, kl_divergence, model_fit, parameter_intervals,
@@ -119,6 +119,7 @@ def model_epochs(spark, sf):
  select model_id, 'pulse_probability' as rule from b where balance / 5000 < 0 or balance / 5000 > 1
  union all select model_id, 'negative_time' from b where balance <> 0
  union all select model_id, 'negative_size' from b where balance - 500 < 0
+ union all select model_id, 'zero_size' from b where balance - 500 = 0
  union all select model_id, 'final_growth' from b where balance > 9000
  union all select model_id, 'more_than_one_root' from b
  union all select model_id, 'lineages_after_removal' from b
@@ -134,6 +135,20 @@ def model_violations(spark, sf):
     return violations(resolve(candidates(spark, sf), t)).select("model_id", "rule")
 
 
+@query("m4_bounds", """with b as (select s_suppkey as model_id, cast(s_acctbal as double) as x from supplier)
+ select model_id, 'bounds:n' as rule from b where x < 100 or x > 9000
+ union all select model_id, 'bounds:t' from b where x <= 500 or x >= 5000
+ union all select model_id, 'bounds:u' from b where x - 6000 < 1e-12
+ union all select model_id, 'bounds:p' from b where x / 8000 <= 0 or x / 8000 >= 1""")
+def parameter_bounds(spark, sf):
+    """Balances as a size, a bounded time, a time with a lower bound only, and a part."""
+    t = Template(N_E, GEN_TIME).add_size_param("n", 100, 9000).add_time_param("t", 500, 5000).add_time_param("u", 6000)
+    t.add_pulse_param("p")
+    x = table(spark, sf, "supplier").selectExpr("s_suppkey as model_id", "double(s_acctbal) as n", "double(s_acctbal) as t",
+                                                "double(s_acctbal) as u", "double(s_acctbal) / 8000 as p")
+    return bound_violations(x, t)
+
+
 @query("m5_scaled_time", f"""with {EPOCH_SQL} select model_id, pop || ':' || node as node, {r_sql("sum(scaled_time)", 7)} as scaled_time
   from st where tau <> 'infinity' group by all""")
 def scaled_time(spark, sf):

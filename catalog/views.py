@@ -11,7 +11,6 @@ from freqloom.operators.spectrum import Spectrum
 POPS = ("a", "b", "c", "d")
 SAMPLED_N = (4, 4, 4, 2)
 N_BLOCKS = 20
-MAX_CALLS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,9 +44,9 @@ def pick(counts: str, indices: Sequence[int]) -> Column:
     return F.expr("array(" + ", ".join(at_text(counts, i) for i in indices) + ")")
 
 
-def sum_at(counts: str, indices: Sequence[int]) -> Column:
-    """Total count over the listed populations."""
-    return F.expr(sum_text(counts, indices))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def sizes(anc: str = ANC, der: str = DER) -> Column:

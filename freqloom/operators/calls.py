@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freqloom.functions.configs import quoted
 from freqloom.operators.sites import SiteTable
 
 
@@ -26,7 +27,7 @@ def count_alleles(calls: DataFrame, keys: Sequence[str], pops: Sequence[str]) ->
     One hash aggregation with map-side combine; populations without a call get zeros.
     """
     side = lambda allele: F.array(
-        *[F.expr(f"int(count_if(pop = '{p}' and allele = {allele}))") for p in pops]
+        *[F.expr(f"int(count_if(pop = {quoted(p)} and allele = {allele}))") for p in pops]
     )
     return calls.groupBy(*keys).agg(side(0).alias("n0"), side(1).alias("n1"))
 

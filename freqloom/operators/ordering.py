@@ -48,58 +48,56 @@ def with_global_index(df: DataFrame, order: Sequence[str | Column], keep: Sequen
 BINS = 4096
 # A histogram of up to this many rows (some 40 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-# Up to this many sites, ranking all of them in one range shuffle is cheaper than the extra passes of the histogram.
-RANK_ALL_ROWS = 5_000_000
+_CHROM = "if(chrom_id is null, '0', concat('1', chrom_id))"
 
 
-def with_blocks(sites: DataFrame, n_blocks: int, rank_all_rows: int = RANK_ALL_ROWS) -> DataFrame:
+def with_blocks(sites: DataFrame, n_blocks: int) -> DataFrame:
     """``anc``, ``der`` and ``block`` = floor(rank / (rows / n_blocks)), rows ranked by chromosome, position, configuration.
 
-    For large tables a full sort is not needed to know a row's block. A histogram over (chromosome, position bin) gives the rank at which
-    each bin starts, so every bin that lies inside one block is settled by a join with that small table. Only rows of bins
-    that hold a block boundary, at most one bin per boundary, are ranked exactly; a bin that holds much of the data is
-    safe, because that ranking splits even repeated keys.
+    A full sort is not needed to know a row's block. The four columns are fixed in the checkpoint folder once, and a
+    histogram over (chromosome, position bin) gives the rank at which each bin starts, so every bin that lies inside one
+    block is settled by a join with that small table. Only rows of bins that hold a block boundary, at most one bin per
+    boundary, are ranked exactly; a bin that holds much of the data is safe, because that ranking splits even repeated keys.
+    A missing chromosome sorts before all names, a missing position before all positions of its chromosome, and NaN after
+    them. Calling this runs the job that fixes the rows.
     """
     order = ["chrom_id", "position", "anc", "der"]
-    edges = sites.agg(
-        F.count(F.lit(1)).alias("n"), F.min("position").alias("low"), F.max("position").alias("high")
-    ).first()
-    if edges.n <= rank_all_rows:
-        every = with_global_index(sites, order, ["anc", "der"])
-        return every.selectExpr("anc", "der", f"bigint(floor(row_index / (row_total / {float(n_blocks)}D))) as block")
+    fixed = cut_lineage(sites.select(*order))
+    real = "case when not isnan(position) then position end"
+    edges = fixed.selectExpr(f"min({real}) as low", f"max({real}) as high").first()
     width = ((edges.high - edges.low) / BINS or 1.0) if edges.low is not None else 1.0
     low = edges.low or 0.0
-    binned = sites.selectExpr(
-        "chrom_id", "position", "anc", "der", f"bigint(floor((position - {low!r}D) / {width!r}D)) as bin"
+    binned = fixed.selectExpr(
+        *order, f"{_CHROM} as chrom",
+        f"case when position is null then -1L when isnan(position) then {BINS + 1}L"
+        f" else bigint(floor((position - {low!r}D) / {width!r}D)) end as bin",
     )
-    sizes = binned.groupBy("chrom_id", "bin").agg(F.count(F.lit(1)).alias("n"))
-    # Start ranks in two levels: bins inside their chromosome (at most BINS + 1 rows), then one row per chromosome.
-    inside = sizes.selectExpr(
-        "chrom_id", "bin", "n", "sum(n) over (partition by chrom_id order by bin) - n as start_inside",
+    sizes = binned.groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # Start ranks in two levels: bins inside their chromosome (at most BINS + 3 rows), then one row per chromosome.
+    inside = sizes.selectExpr("chrom", "bin", "n", "sum(n) over (partition by chrom order by bin) - n as start_inside")
+    chroms = sizes.groupBy("chrom").agg(F.sum("n").alias("m")).selectExpr(
+        "chrom", "sum(m) over (order by chrom) - m as start_chrom", "sum(m) over () as total"
     )
-    chroms = sizes.groupBy("chrom_id").agg(F.sum("n").alias("m")).selectExpr(
-        "chrom_id", "sum(m) over (order by chrom_id) - m as start_chrom", "sum(m) over () as total"
-    )
-    spans = inside.join(chroms, "chrom_id").selectExpr(
-        "chrom_id", "bin", "n", "start_chrom + start_inside as start", f"total / {float(n_blocks)}D as span"
+    spans = inside.join(chroms, "chrom").selectExpr(
+        "chrom", "bin", "n", "start_chrom + start_inside as start", f"total / {float(n_blocks)}D as span"
     ).selectExpr(
-        "chrom_id", "bin", "start", "span", "n", "bigint(floor(start / span)) as block",
+        "chrom", "bin", "start", "span", "n", "bigint(floor(start / span)) as block",
         "floor(start / span) <> floor((start + n - 1) / span) as cut",
     )
     table = cut_lineage(spans)
-    lookup = table.select("chrom_id", "bin", "block", "cut")
+    lookup = table.select("chrom", "bin", "block", "cut")
     if table.count() <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    placed = binned.join(lookup, ["chrom_id", "bin"])
+    placed = binned.join(lookup, ["chrom", "bin"])
     settled = placed.where("not cut").select("anc", "der", "block")
 
     # Ranks among the rows of cut bins, shifted to where each bin starts; there are fewer cut bins than blocks.
     cuts = table.where("cut").selectExpr(
-        "chrom_id", "bin", "span", "start - (sum(n) over (order by start) - n) as shift"
+        "chrom", "bin", "span", "start - (sum(n) over (order by start) - n) as shift"
     )
-    near = cut_lineage(placed.where("cut").drop("block", "cut"))
-    ranked = with_global_index(near, order, ["chrom_id", "bin", "anc", "der"])
-    exact = ranked.join(F.broadcast(cuts), ["chrom_id", "bin"]).selectExpr(
+    near = placed.where("cut").drop("block", "cut")
+    ranked = with_global_index(near, order, ["chrom", "bin", "anc", "der"])
+    exact = ranked.join(F.broadcast(cuts), ["chrom", "bin"]).selectExpr(
         "anc", "der", "bigint(floor((row_index + shift) / span)) as block"
     )
     return settled.unionByName(exact)

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import is_polymorphic, pick
-from freqloom.operators.ordering import RANK_ALL_ROWS, with_blocks, with_global_index
+from freqloom.operators.ordering import with_blocks, with_global_index
 from freqloom.operators.spectrum import Spectrum
 
+# Consecutive rows looked at together when runs are found.
+RUN_BUCKET = 1 << 20
 ACCOUNTING = "length DOUBLE, n_read BIGINT, n_excluded BIGINT"
 
 
@@ -101,7 +103,7 @@ class SiteTable:
         """Union of datasets with the same populations, order and ascertainment."""
         first = tables[0]
         if any((t.pops, set(t.non_ascertained)) != (first.pops, set(first.non_ascertained)) for t in tables):
-            raise ValueError("datasets must have the same populations with the same ascertainment")
+            raise ValueError("tables differ in their populations, their order or their ascertainment")
         df, books = first.df, first.book
         for t in tables[1:]:
             df, books = df.unionByName(t.df), books.unionByName(t.book)
@@ -134,7 +136,8 @@ class SiteTable:
         """Draw without replacement at most ``targets[pop]`` alleles per site.
 
         Each site draws its ancestral count by sequential sampling inside the row: allele k of the draw is ancestral
-        with probability (ancestral left) / (alleles left). No shuffle, and the seed fixes the result per row.
+        with probability (ancestral left) / (alleles left). The numbers are hashes of chromosome, position, configuration,
+        population and ``seed``: no shuffle, and the same for any partitioning. Rows that repeat all of these draw alike.
         """
         wanted = {self.pops.index(p): n for p, n in targets.items()}
         new_anc, new_der = [], []
@@ -147,7 +150,7 @@ class SiteTable:
                 anc, der = f"case when {over} then {drawn} else {anc} end", f"case when {over} then {n} - {drawn} else {der} end"
             new_anc.append(anc)
             new_der.append(der)
-        df = self.df.withColumn("draw", F.rand(seed)).selectExpr(
+        df = self.df.withColumn("draw", F.xxhash64("chrom_id", "position", "anc", "der", F.lit(int(seed)))).selectExpr(
             "chrom_id", "position", f"array({', '.join(new_anc)}) as anc", f"array({', '.join(new_der)}) as der"
         )
         return replace(self, df=df, sampled_n=None)
@@ -161,9 +164,9 @@ class SiteTable:
         )
         return out.fold() if self.folded else out
 
-    def extract_blocks(self, n_blocks: int, rank_all_rows: int = RANK_ALL_ROWS) -> Spectrum:
+    def extract_blocks(self, n_blocks: int) -> Spectrum:
         """Spectrum per block of (nearly) equal numbers of consecutive sites, counted before the polymorphism filter."""
-        return self._spectrum(with_blocks(self.df, n_blocks, rank_all_rows))
+        return self._spectrum(with_blocks(self.df, n_blocks))
 
     def extract_by_chromosome(self) -> Spectrum:
         """Spectrum per chromosome; blocks are numbered in chromosome (text) order.
@@ -176,35 +179,31 @@ class SiteTable:
     def extract_by_runs(self, stored_order: str) -> Spectrum:
         """Spectrum per run of consecutive equal chromosome ids, rows taken in ``stored_order``.
 
-        A run starts where the row before it (joined by index, not by a global window) has another chromosome. The
-        starts are one row per run; every site finds its run as the last start at or before its index.
+        Rows are ranked in sorted partitions of bounded size. A run starts where the row before has another chromosome:
+        inside buckets of consecutive rows a window sees it, and the first row of a bucket takes the last chromosome of the
+        one before from a table of one row per bucket.
         """
         indexed = with_global_index(
             self.df.where(is_polymorphic(self.ascertained_indices)), [stored_order], ["chrom_id", "anc", "der"]
+        ).withColumn("_bucket", F.floor(F.col("row_index") / RUN_BUCKET))
+        order = Window.partitionBy("_bucket").orderBy("row_index")
+        changes = indexed.withColumn("_first", F.col("row_index") % RUN_BUCKET == 0).withColumn(
+            "_start", ~F.col("_first") & ~F.col("chrom_id").eqNullSafe(F.lag("chrom_id").over(order))
+        ).withColumn("_inside", F.count(F.when(F.col("_start"), 1)).over(order))
+        ends = indexed.groupBy("_bucket").agg(
+            F.min_by(F.struct("chrom_id"), "row_index").alias("head"), F.max_by(F.struct("chrom_id"), "row_index").alias("tail")
         )
-        here = indexed.select("chrom_id", "row_index")
-        previous = here.select((F.col("row_index") + 1).alias("row_index"), F.col("chrom_id").alias("_previous"))
-        starts = here.join(previous, "row_index", "left").where(~F.col("chrom_id").eqNullSafe(F.col("_previous")))
-        tagged = indexed.select("row_index", "anc", "der").unionByName(
-            starts.select("row_index", F.lit(True).alias("_start")), allowMissingColumns=True
+        inner = changes.groupBy("_bucket").agg(F.max("_inside").alias("_starts"))
+        along = Window.orderBy("_bucket")
+        offsets = ends.join(inner, "_bucket").withColumn(
+            "_opens", ~F.col("head.chrom_id").eqNullSafe(F.lag("tail").over(along)["chrom_id"])
+        ).withColumn("_opens", F.coalesce(F.lag("tail").over(along).isNull() | F.col("_opens"), F.lit(True)).cast("bigint"))
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        offsets = offsets.select(
+            "_bucket", (F.coalesce(F.sum(F.col("_starts") + F.col("_opens")).over(before), F.lit(0)) + F.col("_opens")).alias("_before")
         )
-        runs = running_count(tagged, "row_index", "_start")
-        return self._spectrum(runs.where(F.col("anc").isNotNull()).withColumn("block", F.col("running") - 1))
-
-
-def running_count(tagged: DataFrame, index: str, flag: str) -> DataFrame:
-    """Number of flagged rows at or before each row's ``index``; bucketed so that no task holds all rows."""
-    width = 1 << 20
-    bucketed = tagged.withColumn("_bucket", F.floor(F.col(index) / width))
-    per_bucket = bucketed.groupBy("_bucket").agg(F.count(flag).alias("_flags"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("_bucket", F.coalesce(F.sum("_flags").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(index).rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        bucketed.join(offsets, "_bucket")
-        .withColumn("running", F.col("_before") + F.count(flag).over(inside))
-        .drop("_bucket", "_before", flag)
-    )
+        runs = changes.join(offsets, "_bucket").withColumn("block", F.col("_before") + F.col("_inside") - 1)
+        return self._spectrum(runs.select("anc", "der", "block"))
 
 
 def _sequential_draw_text(hits: str, size: str, n: int, draw: str, salt: int) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.configs import (
     ANC, DER, at_text, config_key, folded_pair, int_array_text, is_complete, is_polymorphic, parse_key, pick,
-    polymorphic_text, sizes, sum_text,
+    polymorphic_text, quoted, sizes, sum_text,
 )
 from freqloom.functions.scalar import log_gamma_plus_one_text, product_text
 from freqloom.operators.ordering import with_global_index
@@ -97,7 +97,7 @@ class Spectrum:
 
     def _per_pop(self, values: Sequence[str], name: str) -> Column:
         """Generator of one ``(pop, name)`` row per population."""
-        entries = ", ".join(f"struct('{p}' as pop, {v} as {name})" for p, v in zip(self.pops, values))
+        entries = ", ".join(f"struct({quoted(p)} as pop, {v} as {name})" for p, v in zip(self.pops, values))
         return F.expr(f"inline(array({entries}))")
 
     def with_sampled_n(self, sampled_n: Sequence[int]) -> Spectrum:
@@ -261,7 +261,7 @@ class Spectrum:
         """The same on pairwise heterozygosity, weighted by ascertained sample size."""
         asc = self.ascertained_indices
         weight_total = float(sum(self.sampled_n[i] for i in asc))
-        weights = ", ".join(f"'{self.pops[i]}', {self.sampled_n[i] / weight_total!r}D" for i in asc)
+        weights = ", ".join(f"{quoted(self.pops[i])}, {self.sampled_n[i] / weight_total!r}D" for i in asc)
         term = f"case when hets > 1e-16 then -hets + hets * ln(hets) - {log_gamma_plus_one_text('hets')} else 0D end"
         kept = self.pairwise_hets().where(F.col("pop").isin([self.pops[i] for i in asc]))
         return kept.agg(F.expr(f"sum({term} * element_at(map({weights}), pop))").alias("entropy"))
@@ -290,13 +290,6 @@ class Spectrum:
             sums.append(f"sum(cnt * {product_text(factors)}) as `{name}`")
         return checked.selectExpr(*sums).unpivot([], list(rows), "row", "value")
 
-    def as_map(self, by_block: bool = False) -> DataFrame:
-        """Configuration text to count: a map per block or one map; for small results."""
-        entry = F.struct(config_key().alias("k"), F.col("cnt").alias("v"))
-        if by_block:
-            return self.df.groupBy("block").agg(F.map_from_entries(F.collect_list(entry)).alias("counts"))
-        return self.combined().df.agg(F.map_from_entries(F.collect_list(entry)).alias("counts"))
-
     def differences(self, other: Spectrum) -> DataFrame:
         """Rows that only one of two spectra has, with the side; empty when they are equal."""
         mine, theirs = self.df.select("block", "anc", "der", "cnt"), other.df.select("block", "anc", "der", "cnt")

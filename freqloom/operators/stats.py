@@ -7,6 +7,8 @@ statistics has its own jackknife.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +17,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.functions.configs import at_text, is_polymorphic
+from freqloom.functions.configs import at_text, is_polymorphic, quoted
 from freqloom.functions.scalar import UNROLL_LIMIT, comb_fold_text, comb_text, falling_text, product_text
 from freqloom.operators.spectrum import Spectrum
 
@@ -75,6 +77,11 @@ class Stat:
         return Stat._lift(other) ** self
 
 
+def content_name(value) -> str:
+    """A short name that follows from the value."""
+    return hashlib.md5(repr(list(value)).encode()).hexdigest()[:16]
+
+
 def weighted_subsets_text(anc: str, der: str, n: int, weights: Sequence[float]) -> str:
     """Sum over d of weights[d] C(anc, n - d) C(der, d)."""
     used = [(d, float(w)) for d, w in enumerate(weights) if w != 0]
@@ -151,7 +158,7 @@ class SpectrumStats:
         self.sampled_n = {p: k for p, k in n.items() if k > 0}
         asc = {spectrum.pops[i] for i in spectrum.ascertained_indices}
         if sum(k for p, k in self.sampled_n.items() if p in asc) < 2:
-            raise ValueError("sampled_n must contain at least 2 ascertained alleles")
+            raise ValueError("statistics need two or more alleles of ascertained populations")
         self._ascertained = asc
         self._parts: dict[str, str] = {}
 
@@ -204,7 +211,7 @@ class SpectrumStats:
             )
         return self._without_monomorphic(parts)
 
-    def _weights_term(self, weights: Mapping[str, Sequence[float]], name: str) -> str:
+    def _weights_term(self, weights: Mapping[str, Sequence[float]]) -> str:
         parts = {}
         for pop, n in self.sampled_n.items():
             a, d = self._calls(pop)
@@ -214,7 +221,7 @@ class SpectrumStats:
             elif len(w) != n + 1:
                 raise ValueError(f"{pop} needs {n + 1} weights")
             else:
-                every = self._part(pop, f"user_{name}", weighted_subsets_text(a, d, n, w))
+                every = self._part(pop, f"user_{content_name(w)}", weighted_subsets_text(a, d, n, w))
             only = [f"{self._only(pop, side)} * {float(x)!r}D" for side, x in (("anc", w[0]), ("der", w[-1]))]
             parts[pop] = (every, *only)
         return self._without_monomorphic(parts)
@@ -236,12 +243,19 @@ class SpectrumStats:
         return prob + self._counted_prob({p: (k1, k0) for p, (k0, k1) in counts.items()}) if fold else prob
 
     def _counted_prob(self, counts: Mapping[str, tuple[int, int]]) -> Stat:
-        name = "draw_" + "_".join(f"{p}_{a}_{d}" for p, (a, d) in sorted(counts.items()))
+        # Numbers of populations, as names joined by a separator could be read in two ways.
+        index = self.spectrum.pops.index
+        name = "draw_" + "_".join(f"{index(p)}_{a}_{d}" for p, (a, d) in sorted(counts.items()))
         return self._raw(name, self._ordered_term(counts)) / self.denom
 
     def tensor_prod(self, weights: Mapping[str, Sequence[float]], name: str = "weights") -> Stat:
-        """User weights per population and derived count, divided by the normaliser."""
-        return self._raw(f"user_{name}", self._weights_term(weights, name)) / self.denom
+        """User weights per population and derived count, divided by the normaliser.
+
+        Terms and parts are named by the weights themselves, so different weights never share a column; ``name`` only
+        helps to read a plan.
+        """
+        key = content_name([(self.spectrum.pops.index(p), list(map(float, w))) for p, w in sorted(weights.items())])
+        return self._raw(f"user_{re.sub('[^A-Za-z0-9]', '_', name)}_{key}", self._weights_term(weights)) / self.denom
 
     def count_1100(self, a: str, b: str, c: str, o: str | None = None) -> Stat:
         pattern: dict[str, list[int]] = {}
@@ -340,7 +354,7 @@ class SpectrumStats:
             full = lambda n, alias=alias: f"all_{alias[n]}"
             rest = lambda n, alias=alias: f"(all_{alias[n]} - {alias[n]})"
             entries = ", ".join(
-                f"struct('{name}' as stat, {stat.value(full)} as est, {stat.value(rest)} as jack)"
+                f"struct({quoted(name)} as stat, {stat.value(full)} as est, {stat.value(rest)} as jack)"
                 for name, stat in chunk.items()
             )
             parts.append(totals.selectExpr("block", f"inline(array({entries}))"))
@@ -349,12 +363,14 @@ class SpectrumStats:
     def summary(self, stats: Mapping[str, Stat], expected: DataFrame | None = None) -> DataFrame:
         """``(stat, est, sd, bias, z)``; with ``expected(stat, expected)`` z is (observed - expected) / sd.
 
-        Residuals are taken against the full estimate, not against the jackknife mean.
+        Residuals are taken against the full estimate, not against the jackknife mean. If the statistic is undefined
+        without some block, its errors are null.
         """
+        whole = "count(jack - est) = count(*)"
         out = self.leave_one_out(stats).groupBy("stat").agg(
             F.first("est").alias("est"),
-            F.expr("sqrt(avg((jack - est) * (jack - est)) * (count(*) - 1))").alias("sd"),
-            F.expr("avg(jack - est) * (count(*) - 1)").alias("bias"),
+            F.expr(f"case when {whole} then sqrt(avg((jack - est) * (jack - est)) * (count(*) - 1)) end").alias("sd"),
+            F.expr(f"case when {whole} then avg(jack - est) * (count(*) - 1) end").alias("bias"),
             F.count(F.lit(1)).alias("n_blocks"),
         )
         if expected is None:

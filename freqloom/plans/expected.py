@@ -251,7 +251,7 @@ class Sweep:
         sizes = configs.selectExpr(f"{sizes_text()} as sizes")
         denominators = self.normalisers(sizes, non_ascertained, error_matrices)
         joined = values.withColumn("sizes", F.expr(sizes_text())).join(denominators, ["model_id", "sizes"])
-        return joined.selectExpr("model_id", "anc", "der", *keep, "value / denom as value")
+        return joined.selectExpr("model_id", "anc", "der", *keep, "try_divide(value, denom) as value")
 
     # ---- presets ------------------------------------------------------------------------------------------------
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freqloom.functions.configs import quoted
 from freqloom.functions.scalar import expit_text, expm1_ratio_text, logit_text, truncated_exponential_text
 
 Value = float | int | str | None
@@ -182,7 +183,7 @@ def _text(value: Value) -> str:
 
 def resolve(candidates: DataFrame, template: Template) -> DataFrame:
     """``(model_id, seq, kind, pop1, pop2, t, p, n, g)`` in scaled units: a projection and a generator, no join."""
-    quote = lambda s: "cast(null as string)" if s is None else f"'{s}'"
+    quote = lambda s: "cast(null as string)" if s is None else quoted(s)
     time, size, rate = template.time_scale, template.n_e, 0.25 / template.n_e / template.gen_time
     entries = ", ".join(
         f"struct({i} as seq, '{e.kind}' as kind, {quote(e.pop1)} as pop1, {quote(e.pop2)} as pop2,"
@@ -288,7 +289,9 @@ def violations(events: DataFrame) -> DataFrame:
         "model_id",
         "explode(array_compact(array("
         "if(kind = 'pulse' and (p < 0 or p > 1), 'pulse_probability', null), if(t < 0, 'negative_time', null),"
-        "if(kind = 'size' and n < 0, 'negative_size', null)))) as rule",
+        "if(kind = 'size' and n < 0, 'negative_size', null), if(kind = 'size' and n = 0, 'zero_size', null),"
+        "if(isnan(coalesce(t, 0D)) or isnan(coalesce(n, 0D)) or isnan(coalesce(p, 0D)) or isnan(coalesce(g, 0D)),"
+        " 'not_a_number', null)))) as rule",
     )
     pieces = epochs(events)
     growing = pieces.where("tau = double('infinity') and g <> 0").selectExpr("model_id", "'final_growth' as rule")
@@ -337,3 +340,19 @@ def lineages(events: DataFrame, sampled_n: Mapping[str, int], n_topology: int) -
         newest = newest.join(up, ["model_id", "node"]).select("model_id", "leaf", "n", F.col("parent").alias("node")).distinct()
         every = every.unionByName(newest)
     return every.distinct().groupBy("model_id", "node").agg(F.sum("n").alias("n"))
+
+
+def bound_violations(candidates: DataFrame, template: Template) -> DataFrame:
+    """``(model_id, rule)``: one row ``bounds:<parameter>`` for each value outside its parameter's bounds.
+
+    Bounds are those of the unbounded scale; a value that has no place on that scale (a time outside its interval, a size
+    that is not positive, null or NaN) is outside too.
+    """
+    entries = []
+    for parameter in template.parameters:
+        x = parameter.scaled.format(x=parameter.name)
+        outside = [f"({x}) is null", f"isnan({x})"]
+        outside += [f"({x}) < {parameter.lower}"] if parameter.lower else []
+        outside += [f"({x}) > {parameter.upper}"] if parameter.upper else []
+        entries.append(f"if({' or '.join(outside)}, {quoted('bounds:' + parameter.name)}, null)")
+    return candidates.selectExpr("model_id", f"explode(array_compact(array({', '.join(entries)}))) as rule")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freqloom.functions.configs import quoted
 from freqloom.functions.scalar import floored_log_text, log_gamma_plus_one_text
 from freqloom.operators.sampling import bootstrap_totals
 from freqloom.operators.spectrum import Spectrum, full_configs
@@ -77,7 +78,7 @@ def poisson_pairwise(spectrum: Spectrum, heterozygosity: DataFrame, rate: float,
     """``(model_id, log_factor)``: heterozygotes per ascertained population as Poisson, weighted by sample size."""
     asc = spectrum.ascertained_indices
     weight_total = sum(spectrum.sampled_n[i] for i in asc)
-    weights = ", ".join(f"'{spectrum.pops[i]}', {spectrum.sampled_n[i] / weight_total!r}D" for i in asc)
+    weights = ", ".join(f"{quoted(spectrum.pops[i])}, {spectrum.sampled_n[i] / weight_total!r}D" for i in asc)
     facts = _poisson_facts(spectrum.pairwise_hets(), "hets", ["pop"]).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
     lam = f"({float(rate)!r}D * e_het * (1D - p_missing))"
     term = f"element_at(map({weights}), pop) * (-k * {lam} + c * ln({lam}) - lg)"
@@ -153,13 +154,13 @@ def within_population_diversity(
     )
     facts = blocks.groupBy("pop").agg(
         F.first("whole").alias("whole"),
-        F.expr("sqrt(avg(power((whole - hets) * k / (k - 1) - whole, 2)) * (count(*) - 1))").alias("spread"),
+        F.expr("sqrt(avg(power((whole - hets) * try_divide(k, k - 1) - whole, 2)) * (count(*) - 1))").alias("spread"),
     ).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
     e = f"({4.0 * n_e * length!r}D * e_het * (1D - p_missing))"
     mu = "cast(null as double)" if not muts_per_gen else f"{float(muts_per_gen)!r}D"
     return heterozygosity.join(facts, "pop").selectExpr(
-        "model_id", "pop", f"whole / {e} as est_mut_rate", f"spread / {e} as jackknife_sd",
-        f"try_divide(whole / {e} - {mu}, spread / {e}) as z",
+        "model_id", "pop", f"try_divide(whole, {e}) as est_mut_rate", f"try_divide(spread, {e}) as jackknife_sd",
+        f"try_divide(try_divide(whole, {e}) - {mu}, try_divide(spread, {e})) as z",
     )
 
 

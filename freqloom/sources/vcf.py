@@ -6,11 +6,13 @@ picked by position and their allele characters counted. Only a BED restriction a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freqloom.functions.configs import quoted
 from freqloom.operators.calls import is_biallelic, polarise, populations_of, site_table
 from freqloom.operators.regions import region_length, within_regions
 from freqloom.operators.sites import SiteTable
@@ -37,8 +39,7 @@ def parse_records(lines: DataFrame, header: str, ind2pop: Mapping[str, str], inf
     A ``#CHROM`` line other than ``header`` raises: files with other sample orders must be read on their own.
     """
     by_pop = sample_columns(header, ind2pop)
-    quoted = header.rstrip("\n").replace("\\", "\\\\").replace("'", "\\'")
-    same = f"if(value = '{quoted}', false, raise_error('VCF files with different headers must be read separately'))"
+    same = f"if(value = {quoted(header.rstrip(chr(10)))}, false, raise_error('VCF files with different headers must be read separately'))"
     keep = f"case when startswith(value, '#CHROM') then {same} else not startswith(value, '#') and value <> '' end"
     # ALT is read from the first columns; only lines that stay are split, once: later filters on the parsed fields cannot
     # be pushed below a generator, so they do not repeat the split.
@@ -50,7 +51,7 @@ def parse_records(lines: DataFrame, header: str, ind2pop: Mapping[str, str], inf
         f" i -> substring_index(f[i], ':', 1)), '/'), '') as g{k}"
         for k, cols in enumerate(by_pop.values())
     ]
-    aa = f"nullif(regexp_extract(concat(';', h[7], ';'), ';{info_aa_field}=([^;]*);', 1), '')"
+    aa = f"nullif(regexp_extract(concat(';', h[7], ';'), {quoted(f';{re.escape(info_aa_field)}=([^;]*);')}, 1), '')"
     texts = fields.selectExpr("h[0] as chrom_id", "double(h[1]) as position", "h[3] as ref", "h[4] as alt", f"{aa} as aa", *genotypes)
     side = lambda allele: ", ".join(
         f"length(g{k}) - length(replace(g{k}, '{allele}', ''))" for k in range(len(by_pop))

@@ -184,8 +184,7 @@ def test_subset_then_extract_is_extract_then_subset(spark):
     assert first.equals(second)
 
 
-@pytest.mark.parametrize("rank_all_rows", [0, 10**6])
-def test_blocks_match_a_plain_count(spark, rank_all_rows):
+def test_blocks_match_a_plain_count(spark):
     t = site_table(spark)
     listed = sorted((r.chrom_id, r.position, list(r.anc), list(r.der)) for r in t.df.collect())
     want: dict = {}
@@ -193,18 +192,90 @@ def test_blocks_match_a_plain_count(spark, rank_all_rows):
         if sum(anc) and sum(der):
             key = (int(i // (len(listed) / 7)), tuple(anc), tuple(der))
             want[key] = want.get(key, 0) + 1
-    assert as_dict(t.extract_blocks(7, rank_all_rows)) == want
+    assert as_dict(t.extract_blocks(7)) == want
 
 
-@pytest.mark.parametrize("rank_all_rows", [0, 10**6])
-def test_hot_key_does_not_break_blocks(spark, rank_all_rows):
+def test_hot_key_does_not_break_blocks(spark):
     df = spark.range(3000).selectExpr(
         "'c' as chrom", "if(id % 3 < 2, 5D, double(id)) as pos", "1 as aa", "1 as ad", "2 as ba", "0 as bd"
     )
-    s = SiteTable.from_counts(df, ("A", "B"), ["aa", "ba"], ["ad", "bd"], "chrom", "pos").extract_blocks(10, rank_all_rows)
+    s = SiteTable.from_counts(df, ("A", "B"), ["aa", "ba"], ["ad", "bd"], "chrom", "pos").extract_blocks(10)
     assert [r.n_snps for r in s.n_snps(by_block=True).orderBy("block").collect()] == [300.0] * 10
 
 
+def test_blocks_keep_missing_positions_and_chromosomes(spark):
+    df = spark.range(2000).selectExpr(
+        "if(id % 7 = 0, null, concat('c', string(id % 3))) as chrom",
+        "case when id % 10 = 0 then null when id % 11 = 0 then double('nan') else double(id * 37 % 501) end as pos",
+        "int(id % 3) as aa", "int(2 - id % 2) as ad",
+    )
+    t = SiteTable.from_counts(df, ("A",), ["aa"], ["ad"], "chrom", "pos")
+    listed = sorted(
+        (r.chrom_id is not None, r.chrom_id or "", r.position is not None, r.position != r.position, 0 if r.position != r.position else r.position or 0, list(r.anc), list(r.der))
+        for r in t.df.collect()
+    )
+    want: dict = {}
+    for i, row in enumerate(listed):
+        if row[5][0] and row[6][0]:
+            key = (int(i // (len(listed) / 9)), tuple(row[5]), tuple(row[6]))
+            want[key] = want.get(key, 0) + 1
+    assert as_dict(t.extract_blocks(9)) == want
+
+
+def test_runs_over_bucket_edges(spark, monkeypatch):
+    import freqloom.operators.sites as sites_module
+
+    monkeypatch.setattr(sites_module, "RUN_BUCKET", 7)
+    df = spark.range(100).selectExpr("if(id between 30 and 50, null, string(id div 14)) as chrom", "double(id) as pos", "1 as aa", "int(1 + id % 2) as ad")
+    got = as_dict(SiteTable.from_counts(df, ("A",), ["aa"], ["ad"], "chrom", "pos").extract_by_runs("position"))
+    want: dict = {}
+    block, last = -1, "none"
+    for i in range(100):
+        chrom = None if 30 <= i <= 50 else str(i // 14)
+        block, last = block + (chrom != last), chrom
+        key = (block, (1,), (1 + i % 2,))
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_down_sampling_does_not_depend_on_partitions(spark):
+    t = site_table(spark)
+    draws = [
+        sorted(map(str, SiteTable(t.df.repartition(k), t.pops, t.book).down_sample({"A": 1, "B": 2}, seed=5).df.collect()))
+        for k in (1, 7)
+    ]
+    assert draws[0] == draws[1]
+
+
+def test_quotes_in_population_names(spark):
+    t = site_table(spark)
+    named = SiteTable(t.df, ("d'or", "a_b", "c\\d"), t.book)
+    s = named.extract_blocks(3)
+    assert {r.pop for r in s.p_missing().collect()} == {"d'or", "a_b", "c\\d"}
+    stats = SpectrumStats(s, {"d'or": 1, "a_b": 1, "c\\d": 1})
+    assert stats.summary({"it's": stats.f2("d'or", "a_b")}).first().stat == "it's"
+
+
+def test_two_user_weights_keep_apart(spark):
+    s = site_table(spark).extract_blocks(3).materialised()
+    n = dict(zip(s.pops, s.sampled_n))
+    stats = SpectrumStats(s)
+    first, second = ({s.pops[0]: [float(k) for k in range(n[s.pops[0]] + 1)]}, {s.pops[0]: [1.0] * (n[s.pops[0]] + 1)})
+    both = {r.stat: r.est for r in stats.summary({"x": stats.tensor_prod(first), "y": stats.tensor_prod(second)}).collect()}
+    alone = SpectrumStats(s)
+    assert both["x"] == pytest.approx(alone.summary({"x": alone.tensor_prod(first)}).first().est)
+    assert both["y"] == pytest.approx(1.0) and both["x"] != pytest.approx(both["y"])
+
+
+def test_errors_are_null_where_a_block_leaves_nothing(spark):
+    rows = spark.createDataFrame([(0, [1, 1], [1, 1], 2.0), (1, [1, 1], [1, 1], 1.0), (2, [1, 2], [1, 0], 1.0)], "block long, anc array<int>, der array<int>, cnt double")
+    s = Spectrum.from_rows(rows, ("A", "B"))
+    stats = SpectrumStats(s)
+    ratio = stats.ordered_prob({"A": [1], "B": [1]}) / stats.ordered_prob({"A": [0], "B": [0]}).apply(lambda x: f"nullif({x}, {x})")
+    row = stats.summary({"r": ratio}).first()
+    assert row.sd is None and row.bias is None
+
+
 def test_concatenate_checks_and_sums(spark):
     t = site_table(spark)
     both = SiteTable.concatenate([t, t])
