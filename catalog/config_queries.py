@@ -124,12 +124,12 @@ def sampled_n_override(spark, sf):
     )
 
 
-@query("u1_concatenate", f"""with {SITES_SQL}, u as (select * from sites where chrom_id in ('chr1', 'chr3')
-   union all select * from sites where chrom_id in ('chr2', 'chr1'))
+@query("u1_concatenate", f"""with {SITES_SQL}, u as (select * from sites where chrom_id in ('chr1', 'chr3', 'chr5')
+   union all select * from sites where chrom_id in ('chr2', 'chr4', 'chr1'))
  select chrom_id, position, {CONFIG_BIGINT}, count(*) as n from u group by all""")
 def concatenate(spark, sf):
     t = sites(spark, sf)
-    both = SiteTable.concatenate([t.where("chrom_id in ('chr1', 'chr3')"), t.where("chrom_id in ('chr2', 'chr1')")])
+    both = SiteTable.concatenate([t.where("chrom_id in ('chr1', 'chr3', 'chr5')"), t.where("chrom_id in ('chr2', 'chr4', 'chr1')")])
     counted = both.sorted().groupBy("chrom_id", "position", "anc", "der").agg(F.count(F.lit(1)).alias("n"))
     return spread(counted, "chrom_id", "position", "n")
 
@@ -191,6 +191,23 @@ def sfs_blocks(spark, sf):
     return spread(blocks(spark, sf).renumbered().df, "block", "cnt")
 
 
+NULL_SITES_SQL = f"""{SITES_SQL}, placed as (select * replace (case when d_anc = 2 and a_der = 1 then null else chrom_id end as chrom_id,
+   case when position % 7 = 3 then null else position end as position) from sites),
+ ranked as (select *, row_number() over (order by chrom_id nulls first, position nulls first, a_anc, b_anc, c_anc, d_anc, a_der, b_der, c_der, d_der) - 1
+   as row_index, count(*) over () as row_total from placed)"""
+
+
+@query("a4_null_positions", f"""with {NULL_SITES_SQL} select cast(floor(row_index / (row_total / 30.0)) as bigint) as block, {CONFIG_BIGINT},
+ cast(count(*) as double) as cnt from ranked where {POLY} group by all""")
+def sfs_blocks_of_null_positions(spark, sf):
+    """A seventh of the sites without a position and some without a chromosome: they come first and are all kept."""
+    t = sites(spark, sf)
+    placed = t.df.withColumns({
+        "chrom_id": F.expr("if(anc[3] = 2 and der[0] = 1, null, chrom_id)"), "position": F.expr("if(position % 7 = 3, null, position)"),
+    })
+    return spread(SiteTable(placed, t.pops, t.book, sampled_n=SAMPLED_N).extract_blocks(30).df, "block", "cnt")
+
+
 @query("a5_combined", f"""with {SFS_SQL} select cast(0 as bigint) as block, {CONFIG_BIGINT}, sum(cnt) as cnt from sfs group by all""")
 def combined_loci(spark, sf):
     return spread(blocks(spark, sf).combined().df, "block", "cnt")

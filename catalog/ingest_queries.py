@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, key_sql, r, sites, spread, table,
+    CONFIG, CONFIG_BIGINT, SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, key_sql, r, sites, spread, table,
 )
 from freqloom.functions.configs import config_key
 from freqloom.operators.calls import (
@@ -14,6 +16,10 @@ from freqloom.operators.calls import (
 )
 from freqloom.operators.regions import region_length, within_regions
 from freqloom.operators.sampling import bootstrap, bootstrap_sizes, minibatches
+from freqloom.plans.jobs import concatenate_job, extract_spectrum_job, vcf_job
+from freqloom.session import ensure_checkpoint_dir
+from freqloom.sources import dadi, json_text
+from freqloom.sources.tables import load_spectrum
 from freqloom.sources.vcf import sites_from_lines
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -31,7 +37,7 @@ PART_SITES_SQL = """part_sites as (
 
 BED_SQL = """bed as (
  select concat('chr', cast(k % 4 + 1 as varchar)) as chrom_id, (k // 4)*800 as start_pos, (k // 4)*800 + 500 as end_pos
- from (select cast(p_partkey - 1 as bigint) as k from part where p_partkey <= 160))"""
+ from (select cast(p_partkey - 1 as bigint) as k from part))"""
 
 
 def ind2pop(spark, sf):
@@ -60,8 +66,8 @@ def part_sites(spark, sf):
 
 
 def bed(spark, sf):
-    """160 disjoint intervals numbered by the first parts."""
-    return table(spark, sf, "part").where("p_partkey <= 160").selectExpr("p_partkey - 1 as k").selectExpr(
+    """Disjoint intervals, one for each part."""
+    return table(spark, sf, "part").selectExpr("p_partkey - 1 as k").selectExpr(
         "concat('chr', k % 4 + 1) as chrom_id", "(k div 4) * 800 as start_pos", "(k div 4) * 800 + 500 as end_pos"
     )
 
@@ -264,17 +270,84 @@ def vcf_regions(spark, sf):
 # ---- spectrum text ----------------------------------------------------------------------------------------------
 
 
+def numbered(lines):
+    """Text lines with the place columns that a file source would give them."""
+    return lines.select("value", F.lit("generated").alias("file"), F.lit(0).cast("bigint").alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
+@query("s9_site_json", f"""with {SITES_SQL} select chrom_id, position, {CONFIG_BIGINT}, count(*) as n from sites group by all""")
+def site_json(spark, sf):
+    """Sites written as JSON lines and loaded again."""
+    t = json_text.sites_from_lines(spark, numbered(json_text.site_lines(sites(spark, sf))))
+    counted = t.df.groupBy("chrom_id", "position", "anc", "der").agg(F.count(F.lit(1)).alias("n"))
+    return spread(counted, "chrom_id", "position", "n")
+
+
+@query("s10_site_json_lines", f"""with {SITES_SQL}, d as (select distinct {CONFIG} from sites)
+ select 'config' as kind, count(*) as n from d union all select 'row', count(*) from sites
+ union all select 'length', 1 union all select 'n_read_snps:' || count(*), 1 from sites
+ union all select 'n_excluded_snps:0', 1 union all select 'populations:["a","b","c","d"]', 1 union all select 'use_folded_sfs:false', 1""")
+def site_json_lines(spark, sf):
+    """What the written document holds: header entries, configurations and rows."""
+    lines = json_text.checked(numbered(json_text.site_lines(sites(spark, sf))))
+    key = "regexp_extract(value, '\"([a-z_]+)\":', 1)"
+    entry = f"concat({key}, if({key} = 'length', '', concat(':', regexp_replace(regexp_extract(value, ': (.*?),?$', 1), ' ', ''))))"
+    named = lines.where("kind in ('config', 'row', 'header')").selectExpr(f"if(kind = 'header', {entry}, kind) as kind")
+    return named.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s11_spectrum_json", f"""with {SFS_SQL} select block, {key_sql()} as config, cnt from sfs""")
+def spectrum_json(spark, sf):
+    """Each count line preceded by another count for the same block and configuration: the last one holds."""
+    lines = json_text.spectrum_lines(blocks(spark, sf).materialised())
+    doubled = lines.selectExpr(
+        "explode(if(value rlike '^\\\\s*\\\\[\\\\s*[0-9]', array(regexp_replace(value, '[0-9.]+\\\\],?$', '77.0],'), value), array(value))) as value"
+    )
+    s = json_text.spectrum_from_lines(spark, numbered(doubled))
+    return s.df.select("block", config_key().alias("config"), "cnt")
+
+
 @query("s12_spectrum_text", f"""with {SFS_SQL} select block, {key_sql()} as config, cnt from sfs""")
 def spectrum_text(spark, sf):
-    """The JSON lines of a spectrum, read back as configurations and counts."""
-    from freqloom.sources.json_text import spectrum_lines
-
-    lines = spectrum_lines(blocks(spark, sf).materialised())
-    triples = lines.where("value rlike '^\\\\s*\\\\[\\\\s*[0-9]'").selectExpr(
-        "from_json(trim(trailing ',' from trim(value)), 'array<double>') as t"
-    ).selectExpr("bigint(t[0]) as block", "bigint(t[1]) as config_id", "t[2] as cnt")
-    known = combined(spark, sf).materialised().dictionary()
-    return triples.join(known, "config_id").select("block", config_key().alias("config"), "cnt")
+    """The JSON lines of a spectrum, read back by the loader."""
+    s = json_text.spectrum_from_lines(spark, numbered(json_text.spectrum_lines(blocks(spark, sf).materialised())))
+    return s.df.select("block", config_key().alias("config"), "cnt")
+
+
+@query("s13_dadi", f"""with {SITES_SQL}, c as (select a_der, b_der, cast(count(*) as double) as cnt from sites group by all)
+ select 4 - a_der as a_anc, a_der, 4 - b_der as b_anc, b_der, cnt, (select sum(cnt) from c where a_der <> 2) as length from c
+ where a_der + b_der between 1 and 7""")
+def dadi_import(spark, sf):
+    """A dadi file of the joint spectrum of a and b, bins with two derived alleles of a masked."""
+    grid = spark.range(25).selectExpr("int(id div 5) as x", "int(id % 5) as y")
+    seen = sites(spark, sf).df.selectExpr("der[0] as x", "der[1] as y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = grid.join(seen, ["x", "y"], "left").selectExpr("struct(x, y, coalesce(n, 0) as n) as c").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    texts = cells.selectExpr(
+        "inline(array(struct(0 as at, '# made from sites' as value), struct(1 as at, '5 5 unfolded \"a\" \"b\"' as value),"
+        " struct(2 as at, array_join(transform(cs, c -> string(c.n)), ' ') as value),"
+        " struct(3 as at, array_join(transform(cs, c -> if(c.x = 2, '1', '0')), ' ') as value)))"
+    )
+    s = dadi.dadi_from_lines(spark, texts, "sites")
+    return spread(s.df, "cnt", pops=("a", "b")).join(s.meta.select("length"))
+
+
+@query("s17_jobs", f"""with {VCF_SQL}, x as (select *, {AA_IDX} as idx from v),
+ y as (select {", ".join(f"cast(case when idx = 1 then t{i} else m{i} - t{i} end as bigint) as {p}_anc, cast(case when idx = 1 then m{i} - t{i} else t{i} end as bigint) as {p}_der" for i, p in enumerate("abo"))}
+  from x where idx is not null)
+ select a_anc, a_der, b_anc, b_der, o_anc, o_der, 2.0::double * count(*) as cnt, cast(7 as bigint) as n_blocks from y
+ where a_anc + b_anc + o_anc > 0 and a_der + b_der + o_der > 0 group by all""")
+def batch_jobs(spark, sf):
+    """VCF files to site tables, the same table twice to one, and that to a spectrum of seven blocks."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/jobs-{uuid.uuid4().hex}"
+    vcf_lines(spark, sf).write.text(f"{base}/vcf")
+    spark.range(1).selectExpr("explode(array(" + ", ".join(f"'{s} {p}'" for s, p in VCF_POPS.items()) + ")) as value").write.text(f"{base}/samples")
+    vcf_job(spark, f"{base}/vcf", f"{base}/samples", f"{base}/sites")
+    concatenate_job(spark, [f"{base}/sites", f"{base}/sites"], f"{base}/both")
+    extract_spectrum_job(spark, f"{base}/spectrum", 7, [f"{base}/both"])
+    s = load_spectrum(spark, f"{base}/spectrum")
+    total = s.df.groupBy("anc", "der").agg(F.sum("cnt").alias("cnt"))
+    return spread(total.join(s.df.agg(F.count_distinct("block").alias("n_blocks"))), "cnt", "n_blocks", pops=("a", "b", "o"))
 
 
 # ---- sampling ---------------------------------------------------------------------------------------------------

@@ -18,8 +18,9 @@ from freqloom.plans.models import (
     Template, bound_violations, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
 )
 from freqloom.plans.scoring import (
-    attach, best_model, bootstrap_parameters, composite_log_likelihood, expected_counts, kl_divergence, model_fit, parameter_intervals,
-    poisson_pairwise, poisson_total, sweep_log_likelihood, within_population_diversity,
+    MutationData, attach, best_model, best_of, bootstrap_best, bootstrap_parameters, branch_length_report, composite_log_likelihood,
+    expected_counts, full_log_likelihood, kl_divergence, model_fit, parameter_intervals, poisson_pairwise,
+    poisson_total, sweep_log_likelihood, within_population_diversity,
 )
 
 N_E, GEN_TIME, MU = 10000.0, 25.0, 1e-8
@@ -281,15 +282,27 @@ def loglik_blocks(spark, sf):
     return out.select("model_id", "block", r("log_lik", 5).alias("log_lik"))
 
 
-@query("m13_poisson_total", f"""with {SFS_SQL}, c as (select block, sum(cnt) as x from sfs where c_anc + c_der = 4 group by block),
-  f as (select count(*) as k, sum(x) as c, sum(lgamma(x + 1)) as lg from c), b as (select s_suppkey as model_id, 5 + s_nationkey / 10.0::double as bl from supplier)
+ABD_SQL = "where a_anc + b_anc + d_anc > 0 and a_der + b_der + d_der > 0"
+LENGTH_SQL = "b as (select s_suppkey as model_id, 5 + s_nationkey / 10.0::double as bl from supplier)"
+
+
+def given_lengths(spark, sf):
+    return table(spark, sf, "supplier").selectExpr("s_suppkey as model_id", "5 + s_nationkey / 10D as branch_length")
+
+
+@query("m13_poisson_total", f"""with {SFS_SQL}, c as (select block, sum(cnt) as x from sfs {ABD_SQL} group by block),
+  f as (select count(*) as k, sum(x) as c, sum(lgamma(x + 1)) as lg from c), {LENGTH_SQL}
  select model_id, {r_sql("-k * 250 * bl + c * ln(250 * bl) - lg", 4)} as log_factor from b, f""")
 def total_factor(spark, sf):
-    """Given branch lengths, complete configurations only."""
-    s = blocks(spark, sf)
-    complete = Spectrum(s.df.where("anc[2] + der[2] = 4"), POPS, s.meta, (), False, SAMPLED_N)
-    lengths = table(spark, sf, "supplier").selectExpr("s_suppkey as model_id", "5 + s_nationkey / 10D as branch_length")
-    return poisson_total(complete, lengths, 250.0).select("model_id", r("log_factor", 4).alias("log_factor"))
+    """Given branch lengths, over a, b and d, which have no missing calls."""
+    s = blocks(spark, sf).subset_populations(["a", "b", "d"]).with_sampled_n((4, 4, 2))
+    return poisson_total(s, given_lengths(spark, sf), 250.0).select("model_id", r("log_factor", 4).alias("log_factor"))
+
+
+@query("m18_branch_report", f"""with {LENGTH_SQL} select model_id, {r_sql("4 * 1e4 * bl", 6)} as branch_length from b""")
+def branch_report(spark, sf):
+    out = branch_length_report(given_lengths(spark, sf), N_E)
+    return out.select("model_id", r("branch_length", 6).alias("branch_length"))
 
 
 P_MISS_SQL = """t as (select *, a_anc+b_anc+c_anc+d_anc as ta, a_der+b_der+c_der+d_der as td from long),
@@ -315,6 +328,55 @@ def pairwise_factor(spark, sf):
     return out.select("model_id", r("log_factor", 4).alias("log_factor"))
 
 
+PAIR_TERM = "n / 14.0::double * (-{rate} * e_het * (1 - pm) + x * ln({rate} * e_het * (1 - pm)) - lgamma(x + 1))"
+
+
+@query("m14_pairwise_blocks", f"""with {SFS_SQL}, {LONG_SQL}, {P_MISS_SQL}
+ select model_id, block, {r_sql(f"sum({PAIR_TERM.format(rate=1000)})", 4)} as log_factor
+ from h join pm using (pop) join eh using (pop) group by model_id, block""")
+def pairwise_factor_blocks(spark, sf):
+    out = poisson_pairwise(blocks(spark, sf), given_het(spark, sf), 1000.0, by_block=True)
+    return out.select("model_id", "block", r("log_factor", 4).alias("log_factor"))
+
+
+FULL_LL_SQL = f"""{LOGLIK_SQL}, {LONG_SQL}, {P_MISS_SQL}, factor as (select model_id, block, sum({PAIR_TERM.format(rate=1000)}) as lf
+   from h join pm using (pop) join eh using (pop) group by model_id, block),
+ whole as (select model_id, block, log_lik + lf - model_id / {float(N_BLOCKS)} as full_lik from ll join factor using (model_id, block))"""
+
+
+def full_parts(spark, sf):
+    """Given probabilities, the data with a rate that makes 1000 per block, and a prior of -model_id."""
+    expected = given(spark, sf)
+    prior = expected.select("model_id").distinct().selectExpr("model_id", "-double(model_id) as log_prior")
+    data = MutationData(blocks(spark, sf).materialised(), N_E, 1e6).with_rate(1000.0 * N_BLOCKS / (4 * N_E * 1e6))
+    return expected, prior, data
+
+
+@query("m12_full_loglik", f"with {FULL_LL_SQL} select model_id, {r_sql('sum(full_lik)', 3)} as log_lik from whole group by model_id")
+def full_loglik(spark, sf):
+    """Configurations, pairwise mutation factor and prior."""
+    expected, prior, data = full_parts(spark, sf)
+    out = full_log_likelihood(data.spectrum, expected, data.factor(given_het(spark, sf)), prior)
+    return out.select("model_id", r("log_lik", 3).alias("log_lik"))
+
+
+@query("m12_full_loglik_blocks", f"with {FULL_LL_SQL} select model_id, block, {r_sql('full_lik', 4)} as log_lik from whole")
+def full_loglik_blocks(spark, sf):
+    expected, prior, data = full_parts(spark, sf)
+    out = full_log_likelihood(data.spectrum, expected, data.factor(given_het(spark, sf), by_block=True), prior, by_block=True)
+    return out.select("model_id", "block", r("log_lik", 4).alias("log_lik"))
+
+
+@query("m16_best_full", f"""with {FULL_LL_SQL}, l as (select model_id, sum(full_lik) as log_lik from whole group by model_id)
+ select model_id, model_id * 100.0::double as t, {r_sql("log_lik", 3)} as log_lik from l order by l.log_lik desc, model_id limit 1""")
+def best_full(spark, sf):
+    """The best model with its parameter under the full likelihood."""
+    expected, prior, data = full_parts(spark, sf)
+    scores = full_log_likelihood(data.spectrum, expected, data.factor(given_het(spark, sf)), prior)
+    models = expected.select("model_id").distinct().selectExpr("model_id", "model_id * 100D as t")
+    return best_of(models, scores).select("model_id", "t", r("log_lik", 3).alias("log_lik"))
+
+
 @query("m15_kl", f"""with {LOGLIK_SQL}, tot as (select {CONFIG}, sum(cnt) as cnt from sfs group by all), n as (select sum(cnt) as n from tot),
  m as (select sum(cnt) as m from tot group by a_anc+a_der, b_anc+b_der, c_anc+c_der, d_anc+d_der),
  en as (select (select sum(cnt / n * ln(cnt / n)) from tot, n) + (select sum(m / n * ln(n / m)) from m, n) as e),
@@ -356,6 +418,15 @@ def diversity(spark, sf):
     )
 
 
+@query("m17_one_block", f"""with {TOTAL_SQL}, sfs as (select 0 as block, * from tot), {LONG_SQL}, {P_MISS_SQL}
+ select model_id, pop, {r_sql("1e9 * x / (4 * 1e4 * 700001.0::double * e_het * (1 - pm))", 4)} as est, cast(null as double) as sd,
+  cast(null as double) as z from h join pm using (pop) join eh using (pop)""")
+def diversity_of_one_block(spark, sf):
+    """A single block has an estimate but no spread."""
+    out = within_population_diversity(combined(spark, sf), given_het(spark, sf), N_E, 700001.0, MU)
+    return out.select("model_id", "pop", r("1e9 * est_mut_rate", 4).alias("est"), "jackknife_sd", "z").withColumnRenamed("jackknife_sd", "sd")
+
+
 @query("m18_expected_counts", f"""with {GIVEN_SQL} select model_id, {key_sql()} as config,
    {r_sql("prob * (4 * 1e4 * 1e-8 * 5e5)", 8)} as expected_count from expected""")
 def counts_report(spark, sf):
@@ -364,8 +435,22 @@ def counts_report(spark, sf):
     return out.select("model_id", config_key().alias("config"), r("value", 8).alias("expected_count"))
 
 
-@query("m19_bootstrap_ci")
+@query("m19_bootstrap_ci", f"""with {GIVEN_SQL}, draw as (select o_orderkey % 20 as replicate, o_custkey % 20 as block, count(*) as times from orders group by all),
+  ll as (select d.replicate, m.model_id, sum(times * cnt * ln(greatest(coalesce(prob, 0), 1e-100))) as log_lik
+   from draw d join sfs s using (block) cross join models m left join expected e on e.model_id = m.model_id
+    and (e.a_anc, e.a_der, e.b_anc, e.b_der, e.c_anc, e.c_der, e.d_anc, e.d_der) = (s.a_anc, s.a_der, s.b_anc, s.b_der, s.c_anc, s.c_der, s.d_anc, s.d_der)
+   group by all),
+  best as (select replicate, model_id * 100.0::double as t from ll qualify row_number() over (partition by replicate order by log_lik desc, model_id) = 1)
+ select 't' as parameter, {r_sql('quantile_cont(t, 0.025)', 6)} as low, {r_sql('quantile_cont(t, 0.975)', 6)} as high from best""")
 def bootstrap_ci(spark, sf):
+    """Interval of a parameter over 20 datasets whose blocks are drawn by a table, under given probabilities."""
+    draws = table(spark, sf, "orders").selectExpr("o_orderkey % 20 as replicate", "o_custkey % 20 as block")
+    fits = bootstrap_best(blocks(spark, sf).materialised(), given(spark, sf), draws).selectExpr("replicate", "model_id * 100D as t")
+    return parameter_intervals(fits, ["t"]).select("parameter", r("low", 6).alias("low"), r("high", 6).alias("high"))
+
+
+@query("m19_bootstrap_sweep")
+def bootstrap_sweep(spark, sf):
     """95 % intervals of the parameters over 20 bootstrap datasets."""
     data = blocks(spark, sf).subset_populations(["a", "b", "d"]).with_sampled_n((4, 4, 2)).materialised()
     fits = bootstrap_parameters(pulse_sweep(spark, sf), data, 20, seed=1)

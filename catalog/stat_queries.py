@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql,
+    LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql, sites,
 )
 from freqloom.functions.configs import config_key
+from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats, count_subsets_text, subsample_probability_text, subsample_table
 
 HET = "2.0 * anc * der / greatest((anc + der) * (n - 1), 1)"
@@ -57,23 +58,20 @@ def integrate(spark, sf):
     return s.integrate(weights, by_block=True).select("block", r("value", 6).alias("value"))
 
 
-@query("a16_tensor_prod", f"""with {TOTAL_SQL}, c as (select * from tot where c_anc + c_der = 4)
- select 'product' as row, {r_sql("sum(cnt * a_der / 4.0 * (1 - b_der / 4.0) * (c_der / 4.0) * (c_der / 4.0))", 6)} as value from c
- union all select 'first_only', {r_sql("sum(cnt * a_der / 4.0)", 6)} from c
- union all select 'total', {r_sql("sum(cnt)", 6)} from c""")
+@query("a16_tensor_prod", f"""with {TOTAL_SQL}, x as (select * from tot where a_anc + b_anc + d_anc > 0 and a_der + b_der + d_der > 0)
+ select 'product' as row, {r_sql("sum(cnt * a_der / 4.0 * (1 - b_der / 4.0) * (d_der / 2.0) * (d_der / 2.0))", 6)} as value from x
+ union all select 'first_only', {r_sql("sum(cnt * a_der / 4.0)", 6)} from x
+ union all select 'total', {r_sql("sum(cnt)", 6)} from x""")
 def tensor_prod(spark, sf):
-    from catalog.views import sites
-    from freqloom.operators.spectrum import Spectrum
-
-    s = combined(spark, sf)
-    complete = Spectrum(s.df.where("anc[2] + der[2] = 4"), POPS, s.meta, (), False, SAMPLED_N)
+    """Over a, b and d, which have no missing calls."""
+    s = combined(spark, sf).subset_populations(["a", "b", "d"]).with_sampled_n((4, 4, 2))
     ramp = [d / 4.0 for d in range(5)]
     rows = {
-        "product": {"a": ramp, "b": [1 - x for x in ramp], "c": [x * x for x in ramp]},
+        "product": {"a": ramp, "b": [1 - x for x in ramp], "d": [0.0, 0.25, 1.0]},
         "first_only": {"a": ramp},
         "total": {},
     }
-    return complete.tensor_product(rows).select("row", r("value", 6).alias("value"))
+    return s.tensor_product(rows).select("row", r("value", 6).alias("value"))
 
 
 @query("a17_effective_length", """with s as (select count(*) filter (p_size % 4 not in (0, 1)) as x, count(*) as n from part)
@@ -293,6 +291,34 @@ register_stat(
 )
 
 
+register_stat(
+    "t22_two_weights", {"u": "4 * pa", "v": "case when pa in (0.25, 0.75) then 2.0 else 1.0 end"}, {"slope": "u / den", "waves": "v / den"},
+    lambda s: {"slope": s.tensor_prod({"a": [0, 1, 2, 3, 4]}), "waves": s.tensor_prod({"a": [1, 2, 1, 2, 1]})},
+    "Two weight vectors without names in one summary.",
+)
+
+
+@query("t18_null_jack", f"""with {FULL_SQL}, k as (select * from f where block = 0 or pa = 0)
+ select 'ratio' as stat, {r_sql("sum(w * pb) / sum(w * pa)")} as est, cast(null as double) as sd, cast(null as double) as bias,
+  cast(null as double) as z from k""")
+def undefined_without_a_block(spark, sf):
+    """Derived alleles of a in block 0 only: without it the ratio is undefined, so it has no errors."""
+    whole = blocks(spark, sf).materialised()
+    s = SpectrumStats(Spectrum(whole.df.where("block = 0 or der[0] = 0"), POPS, whole.meta, (), False, SAMPLED_N))
+    out = s.summary({"ratio": s.ordered_prob({"b": [1]}) / s.ordered_prob({"a": [1]})})
+    return out.select("stat", r("est").alias("est"), "sd", "bias", "z")
+
+
+@query("a11_p_missing_sites", f"""with {TOTAL_SQL}, sfs as (select 0 as block, * from tot), {LONG_SQL},
+ t as (select *, a_anc+b_anc+c_anc+d_anc as ta, a_der+b_der+c_der+d_der as td from long),
+ v as (select pop, sum(case when n-anc-der >= 1 and ta > 0 and td > 0 then cnt*(n-anc-der) else 0 end) as m,
+   sum(case when anc >= 1 and ta > 1 and td > 0 then cnt*anc else 0 end) as a,
+   sum(case when der >= 1 and ta > 0 and td > 1 then cnt*der else 0 end) as d from t group by pop)
+ select pop, {r_sql("m / (m + a + d)")} as p_missing from v""")
+def p_missing_of_sites(spark, sf):
+    return sites(spark, sf).p_missing().select("pop", r("p_missing").alias("p_missing"))
+
+
 @query("t2_tensor_blocks", f"""with {FULL_SQL} select block, {r_sql("sum(w * pa * (1 - pb))", 6)} as a1_b0, {r_sql("sum(w)", 6)} as denom
  from f group by rollup(block)""")
 def tensor_blocks(spark, sf):

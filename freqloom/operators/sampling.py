@@ -55,11 +55,14 @@ def bootstrap_totals(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> Da
 def minibatches(spectrum: Spectrum, n_batches: int, seed: int = 0) -> DataFrame:
     """``(batch, anc, der, cnt)``: single SNPs shuffled and dealt round-robin into equal batches.
 
-    Fractional counts are cut to whole SNPs. The shuffle is the range-partitioned ranking by a random key.
+    Fractional counts are cut to whole SNPs. The shuffle is the range-partitioned ranking by a random key. Copies are listed
+    in runs of about the square root of a count, so no array is as long as a count.
     """
-    single = spectrum.combined().df.selectExpr("anc", "der", "bigint(cnt) as times").where("times > 0").selectExpr(
-        "anc", "der", "explode(sequence(1L, times)) as copy"
+    counted = spectrum.combined().df.selectExpr("anc", "der", "bigint(cnt) as times").where("times > 0").selectExpr(
+        "anc", "der", "times", "bigint(ceil(sqrt(times))) as width"
     )
+    runs = counted.selectExpr("anc", "der", "times", "width", "explode(sequence(0L, (times - 1) div width)) as run")
+    single = runs.selectExpr("anc", "der", "explode(sequence(run * width + 1, least(times, (run + 1) * width))) as copy")
     key = F.expr(f"xxhash64(anc, der, copy, {int(seed)})")
     ranked = with_global_index(single, [key], ["anc", "der"])
     dealt = ranked.selectExpr("anc", "der", f"row_index % {n_batches} as batch")

@@ -168,6 +168,10 @@ class SiteTable:
         """Spectrum per block of (nearly) equal numbers of consecutive sites, counted before the polymorphism filter."""
         return self._spectrum(with_blocks(self.df, n_blocks))
 
+    def p_missing(self) -> DataFrame:
+        """``(pop, p_missing)`` of the polymorphic sites, from their configuration counts: one aggregation, no blocks."""
+        return self._spectrum(self.df.withColumn("block", F.lit(0).cast("bigint"))).p_missing()
+
     def extract_by_chromosome(self) -> Spectrum:
         """Spectrum per chromosome; blocks are numbered in chromosome (text) order.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,9 @@ def composite_log_likelihood(
     listed = source.df.join(expected, ["anc", "der"]).groupBy("model_id", *keys).agg(F.expr(f"sum({excess})").alias("excess"))
     base = source.df.groupBy(*keys).agg(F.expr(f"sum(cnt) * {floored_log_text('0D', FLOOR)}").alias("base"))
     if by_block:
-        # A block none of whose configurations a model lists still has its base; models and blocks are both few.
-        pairs = expected.select("model_id").distinct().join(F.broadcast(base))
+        # The result has a row for each model and block, also where a model lists none of a block's configurations; Spark
+        # chooses how to form the pairs from the sizes it sees.
+        pairs = expected.select("model_id").distinct().crossJoin(base)
         out = pairs.join(listed, ["model_id", "block"], "left").selectExpr(
             "model_id", "block", "base + coalesce(excess, 0D) as log_lik"
         )
@@ -67,23 +69,69 @@ def poisson_total(spectrum: Spectrum, branch_length: DataFrame, rate: float, by_
     if by_block:
         counts = spectrum.n_snps(by_block=True)
         text = f"-{lam} + n_snps * ln({lam}) - {log_gamma_plus_one_text('n_snps')}"
-        return branch_length.join(F.broadcast(counts)).selectExpr("model_id", "block", f"{text} as log_factor")
+        return branch_length.crossJoin(counts).selectExpr("model_id", "block", f"{text} as log_factor")
     facts = _poisson_facts(spectrum.n_snps(by_block=True), "n_snps", []).first()
     return branch_length.selectExpr(
         "model_id", f"-{facts.k}D * {lam} + {facts.c!r}D * ln({lam}) - {facts.lg!r}D as log_factor"
     )
 
 
-def poisson_pairwise(spectrum: Spectrum, heterozygosity: DataFrame, rate: float, p_missing: DataFrame | None = None) -> DataFrame:
-    """``(model_id, log_factor)``: heterozygotes per ascertained population as Poisson, weighted by sample size."""
+def poisson_pairwise(
+    spectrum: Spectrum, heterozygosity: DataFrame, rate: float, p_missing: DataFrame | None = None, by_block: bool = False
+) -> DataFrame:
+    """``(model_id[, block], log_factor)``: heterozygotes per ascertained population as Poisson, weighted by sample size."""
+    keys = ["block"] if by_block else []
     asc = spectrum.ascertained_indices
     weight_total = sum(spectrum.sampled_n[i] for i in asc)
     weights = ", ".join(f"{quoted(spectrum.pops[i])}, {spectrum.sampled_n[i] / weight_total!r}D" for i in asc)
-    facts = _poisson_facts(spectrum.pairwise_hets(), "hets", ["pop"]).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
+    facts = _poisson_facts(spectrum.pairwise_hets(), "hets", ["pop", *keys]).join(spectrum.p_missing() if p_missing is None else p_missing, "pop")
     lam = f"({float(rate)!r}D * e_het * (1D - p_missing))"
     term = f"element_at(map({weights}), pop) * (-k * {lam} + c * ln({lam}) - lg)"
     kept = heterozygosity.where(F.col("pop").isin([spectrum.pops[i] for i in asc]))
-    return kept.join(facts, "pop").groupBy("model_id").agg(F.expr(f"sum({term})").alias("log_factor"))
+    return kept.join(facts, "pop").groupBy("model_id", *keys).agg(F.expr(f"sum({term})").alias("log_factor"))
+
+
+def full_log_likelihood(
+    spectrum: Spectrum, expected: DataFrame, factor: DataFrame | None = None, log_prior: DataFrame | None = None,
+    by_block: bool = False,
+) -> DataFrame:
+    """``(model_id[, block], log_lik)``: configurations, mutation factor and prior together, from given tables.
+
+    ``factor(model_id[, block], log_factor)`` comes from :func:`poisson_total` or :func:`poisson_pairwise`, by block if the
+    result is. The prior is added once, or in equal parts per block. Models without a factor or prior have no result.
+    """
+    keys = ["model_id", "block"] if by_block else ["model_id"]
+    out = composite_log_likelihood(spectrum, expected, by_block, log_prior)
+    if factor is None:
+        return out
+    return out.join(factor, keys).selectExpr(*keys, "log_lik + log_factor as log_lik")
+
+
+def best_of(candidates: DataFrame, log_lik: DataFrame) -> DataFrame:
+    """The row of ``candidates(model_id, ...)`` with the highest score, with it; ties go to the lowest model id."""
+    scored = candidates.join(log_lik, "model_id")
+    order = F.struct(F.col("log_lik"), (-F.col("model_id")).alias("tie"))
+    return scored.agg(F.max_by(F.struct(*scored.columns), order).alias("best")).where("best is not null").select("best.*")
+
+
+def bootstrap_best(spectrum: Spectrum, expected: DataFrame, draws: DataFrame) -> DataFrame:
+    """``(replicate, model_id, log_lik)``: the best model of each bootstrap dataset, from given probabilities.
+
+    ``draws(replicate, block)`` has a row for each block drawn. Log-probabilities are taken once; replicates only weigh
+    them. Configurations that a model does not list have the floor, so only the excess over it is joined.
+    """
+    low = floored_log_text("0D", FLOOR)
+    times = draws.groupBy("replicate", "block").agg(F.count(F.lit(1)).alias("times"))
+    totals = times.join(spectrum.df, "block").groupBy("replicate", "anc", "der").agg(F.expr("sum(times * cnt)").alias("cnt"))
+    gain = expected.selectExpr("model_id", "anc", "der", f"{floored_log_text('prob', FLOOR)} - {low} as gain")
+    scored = totals.join(gain, ["anc", "der"]).groupBy("replicate", "model_id").agg(F.expr("sum(cnt * gain)").alias("excess"))
+    base = totals.groupBy("replicate").agg(F.expr(f"sum(cnt) * {low}").alias("base"))
+    # Where no model lists anything drawn, all are equal and the lowest id is the best.
+    lowest = expected.agg(F.min("model_id").alias("lowest"))
+    best = scored.groupBy("replicate").agg(F.max_by("model_id", F.struct(F.col("excess"), (-F.col("model_id")).alias("tie"))).alias("model_id"), F.max("excess").alias("excess"))
+    return base.join(best, "replicate", "left").crossJoin(F.broadcast(lowest)).selectExpr(
+        "replicate", "coalesce(model_id, lowest) as model_id", "base + coalesce(excess, 0D) as log_lik"
+    )
 
 
 def kl_divergence(spectrum: Spectrum, log_lik: DataFrame, poisson_entropy: float = 0.0) -> DataFrame:
@@ -194,6 +242,36 @@ def model_fit(sweep: Sweep, stats: SpectrumStats, wanted: Mapping[str, Stat]) ->
     )
 
 
+def branch_length_report(branch_length: DataFrame, n_e: float) -> DataFrame:
+    """``(model_id, branch_length)`` in generations, from given total branch lengths in units of 4 N_e generations."""
+    return branch_length.withColumn("branch_length", F.col("branch_length") * (4.0 * n_e))
+
+
+@dataclass(frozen=True)
+class MutationData:
+    """Data with the settings of their mutation factor: rate per base and generation, and which counts it is taken on."""
+
+    spectrum: Spectrum
+    n_e: float
+    length: float
+    muts_per_gen: float | None = None
+    use_pairwise_diffs: bool = True
+
+    def with_rate(self, muts_per_gen: float | None) -> MutationData:
+        return replace(self, muts_per_gen=muts_per_gen)
+
+    def factor(self, given: DataFrame, by_block: bool = False) -> DataFrame | None:
+        """The factor for given ``(model_id, pop, e_het)`` or, with the switch off, ``(model_id, branch_length)``; without a
+        rate there is none. A block has an equal part of the length."""
+        if self.muts_per_gen is None:
+            return None
+        blocks = self.spectrum.df.select("block").distinct().count()
+        rate = 4.0 * self.n_e * self.muts_per_gen * self.length / max(1, blocks)
+        if self.use_pairwise_diffs:
+            return poisson_pairwise(self.spectrum, given, rate, by_block=by_block)
+        return poisson_total(self.spectrum, given, rate, by_block=by_block)
+
+
 def expected_counts(expected: DataFrame, n_e: float, muts_per_gen: float, length: float) -> DataFrame:
     """Expected number of SNPs per configuration from unnormalised expected spectra."""
     return expected.withColumn("value", F.col("value") * (4.0 * n_e * muts_per_gen * length))

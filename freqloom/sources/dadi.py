@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import int_array_text
@@ -15,12 +15,17 @@ def read_dadi(spark: SparkSession, path: str) -> Spectrum:
     Bins are row-major; the two monomorphic corners and empty bins are dropped. The mask only decides which bins add to
     the length. A file without "unfolded" in its first line is folded after reading.
     """
-    lines = spark.read.text(path).where("not startswith(value, '#')").withColumn("at", F.monotonically_increasing_id())
+    return dadi_from_lines(spark, spark.read.text(path).withColumn("at", F.monotonically_increasing_id()), path)
+
+
+def dadi_from_lines(spark: SparkSession, lines: DataFrame, name: str) -> Spectrum:
+    """The same from ``lines(value, at)``, ordered by ``at``; ``name`` is for messages."""
+    lines = lines.where("not startswith(value, '#')")
     # The three lines of the format: a window of three rows.
     numbered = lines.select("value", F.row_number().over(Window.orderBy("at")).alias("line"))
     info = [row.value for row in numbered.where("line = 1 or line = 4").orderBy("line").collect()]
     if len(info) != 1:
-        raise ValueError(f"{path} must have three lines besides comments")
+        raise ValueError(f"{name} must have three lines besides comments")
     words = info[0].split()
     dims = []
     for word in words:

@@ -30,16 +30,36 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _header(lines: DataFrame, keys: tuple[str, ...]) -> dict:
+NUMBER = r"-?[0-9.]+([eE][-+]?[0-9]+)?"
+#: What a line may be; only a line that is one of these by itself can be placed.
+KINDS = {
+    "config": r"^\s*\[\s*\[[0-9,\s\[\]]*\]\s*\]\s*,?\s*$",
+    "row": rf'^\s*\[\s*("[^"]*"|{NUMBER})\s*,\s*({NUMBER}|null)\s*,\s*{NUMBER}\s*\]\s*,?\s*$',
+    "header": r'^\s*"[a-z_]+"\s*:\s*[^\[{]*$|^\s*"[a-z_]+"\s*:\s*\[[^\[\]]*\]\s*,?\s*$',
+    "frame": r'^\s*$|^\s*[{}\]]+\s*,?\s*$|^\s*"(configs|\([a-z_,]+\))"\s*:\s*\[\s*$',
+}
+
+
+def checked(lines: DataFrame) -> DataFrame:
+    """Lines with their ``kind``; a line that can't be placed stops the job, so nothing is left out unseen."""
+    kind = F.raise_error(F.concat(F.lit("not one entry of the line layout: "), F.substring("value", 1, 120))).cast("string")
+    for name, pattern in reversed(KINDS.items()):
+        kind = F.when(F.col("value").rlike(pattern), name).otherwise(kind)
+    return lines.withColumn("kind", kind)
+
+
+def _header(lines: DataFrame, keys: tuple[str, ...], needed: str) -> dict:
     """The few scalar entries at the top, as Python values."""
-    wanted = "|".join(keys)
-    rows = lines.where(F.col("value").rlike(f'^\\s*"({wanted})":')).select("value").collect()
-    return json.loads("{" + ",".join(row.value.strip().rstrip(",") for row in rows) + "}")
+    rows = lines.where("kind = 'header'").select("value").collect()
+    found = json.loads("{" + ",".join(row.value.strip().rstrip(",") for row in rows) + "}")
+    if needed not in found:
+        raise ValueError(f"no line with {needed!r}: a document that is not laid out in lines needs the compact loader")
+    return {k: v for k, v in found.items() if k in keys}
 
 
 def _configs(lines: DataFrame) -> DataFrame:
     """``(config_id, anc, der)`` by order of the configuration lines."""
-    found = lines.where(F.col("value").rlike(r"^\s*\[\s*\["))
+    found = lines.where("kind = 'config'")
     ranked = with_global_index(found, PLACE, ["value"])
     parsed = ranked.selectExpr(
         "row_index as config_id", "from_json(trim(trailing ',' from trim(value)), 'array<array<int>>') as pairs"
@@ -49,11 +69,16 @@ def _configs(lines: DataFrame) -> DataFrame:
 
 def load_sites(spark: SparkSession, path: str) -> SiteTable:
     """Site table from the line layout; rows are not sorted again."""
-    lines = _lines(spark, path)
-    info = _header(lines, SITE_KEYS)
-    rows = lines.where(F.col("value").rlike(r'^\s*\[\s*"')).selectExpr(
+    return sites_from_lines(spark, _lines(spark, path))
+
+
+def sites_from_lines(spark: SparkSession, lines: DataFrame) -> SiteTable:
+    """The same from ``lines(value, file, split, row)``; a line that can't be placed is an error."""
+    lines = checked(lines)
+    info = _header(lines, SITE_KEYS, "populations")
+    rows = lines.where("kind = 'row'").selectExpr(
         "from_json(trim(trailing ',' from trim(value)), 'array<string>') as t"
-    ).selectExpr("t[0] as chrom_id", "double(t[1]) as position", "bigint(t[2]) as config_id")
+    ).selectExpr("t[0] as chrom_id", "try_cast(t[1] as double) as position", "try_cast(t[2] as bigint) as config_id")
     df = rows.join(_configs(lines), "config_id").select("chrom_id", "position", "anc", "der")
     return _site_table(spark, df, info)
 
@@ -89,9 +114,14 @@ def _site_table(spark: SparkSession, df: DataFrame, info: dict) -> SiteTable:
 
 def load_spectrum(spark: SparkSession, path: str) -> Spectrum:
     """Spectrum from the line layout; a configuration listed twice in a block keeps its last count."""
-    lines = _lines(spark, path)
-    info = _header(lines, SPECTRUM_KEYS)
-    triples = lines.where(F.col("value").rlike(r"^\s*\[\s*[0-9]")).selectExpr(
+    return spectrum_from_lines(spark, _lines(spark, path))
+
+
+def spectrum_from_lines(spark: SparkSession, lines: DataFrame) -> Spectrum:
+    """The same from ``lines(value, file, split, row)``; a line that can't be placed is an error."""
+    lines = checked(lines)
+    info = _header(lines, SPECTRUM_KEYS, "sampled_pops")
+    triples = lines.where("kind = 'row'").selectExpr(
         "from_json(trim(trailing ',' from trim(value)), 'array<double>') as t", "struct(file, split, row) as place"
     ).selectExpr("bigint(t[0]) as block", "bigint(t[1]) as config_id", "t[2] as cnt", "place")
     return _spectrum(spark, triples, _configs(lines), info)

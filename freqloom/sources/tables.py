@@ -18,8 +18,12 @@ def _ints(values) -> object:
 
 
 def save_sites(table: SiteTable, path: str) -> None:
-    """Rows by chromosome and sorted by position inside each file, so that region filters skip row groups."""
-    rows = table.df.repartitionByRange("chrom_id", "position").sortWithinPartitions("chrom_id", "position")
+    """Rows by chromosome and sorted by position inside each file, so that region filters skip row groups.
+
+    A tie-breaker lets the range shuffle split even a position that repeats without end.
+    """
+    tied = table.df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = tied.repartitionByRange("chrom_id", "position", "_tie").sortWithinPartitions("chrom_id", "position").drop("_tie")
     rows.write.mode("overwrite").partitionBy("chrom_id").parquet(f"{path}/sites")
     meta = table.book.select(
         "*", _strings(table.pops).alias("pops"), _strings(table.non_ascertained).alias("non_ascertained"),
