@@ -113,6 +113,16 @@ def _bytes_column(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+def packed(raw: bytes) -> bytes:
+    """Size and zstd frame: joined texts shrink more in it than in the shuffle's own codec."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b""
+
+
 def common_prefix(x: bytes, y: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes are known."""
     n = min(len(x), len(y))
@@ -223,7 +233,8 @@ def _sorted_runs(length: int, gram: int, parts: int):
             for part, got in by_part.items():
                 got.sort()
                 right, left, ids, hs, pos, done = zip(*got, strict=True) if got else [()] * 6
-                rows.append((part, *front_code(list(right)), bytes(map(len, left)), b"".join(left), np.array(ids, np.int64).tobytes(), np.array(hs, np.int64).tobytes(), np.array(pos, np.int32).tobytes(), bytes(done), own if part == target else b""))
+                shared, size, tails = front_code(list(right))
+                rows.append((part, shared, size, packed(tails), bytes(map(len, left)), packed(b"".join(left)), np.array(ids, np.int64).tobytes(), np.array(hs, np.int64).tobytes(), np.array(pos, np.int32).tobytes(), bytes(done), own if part == target else b""))
             held.clear()
             spans.clear()
             first, *rest = zip(*rows, strict=True)
@@ -292,11 +303,11 @@ def _merged(length: int, gram: int):
                 rows = batch.slice(p, q - p).to_pydict()
                 inputs, lefts, where = [], [], []
                 for i in range(q - p):
-                    inputs.append((front_decode(rows["shared"][i], rows["size"][i], rows["tails"][i]), rows["shared"][i]))
-                    sizes, cut = rows["left_size"][i], 0
+                    inputs.append((front_decode(rows["shared"][i], rows["size"][i], unpacked(rows["tails"][i])), rows["shared"][i]))
+                    sizes, cut, joined = rows["left_size"][i], 0, unpacked(rows["lefts"][i])
                     own = []
                     for m in sizes:
-                        own.append(rows["lefts"][i][cut : cut + m])
+                        own.append(joined[cut : cut + m])
                         cut += m
                     lefts.append(own)
                     where.append(tuple(np.frombuffer(rows[c][i], t) for c, t in (("id0", np.int64), ("h", np.int64), ("pos", np.int32), ("done", np.uint8))))
@@ -366,7 +377,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = cut_lineage(again.groupBy("id0", "h").agg(F.collect_set("pos").alias("at")))
     total = places.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_ROWS))
-    held = rows.select("id0", "h", "text").join(places, ["id0", "h"])
+    # With the same columns as in the last join, so that the texts are dealt out once for both.
+    held = rows.join(places, ["id0", "h"])
     sent = held.mapInArrow(_sorted_runs(length, gram, parts), RUNS)
     spans = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merged(length, gram), SPANS)
     return rows, spans
