@@ -15,7 +15,7 @@ from freqloom.operators.calls import (
     count_alleles, is_biallelic, map_samples, polarise, site_table, unmapped_samples,
 )
 from freqloom.operators.regions import region_length, within_regions
-from freqloom.operators.sampling import bootstrap, bootstrap_sizes, minibatches
+from freqloom.operators.sampling import bootstrap, bootstrap_of_draws, bootstrap_sizes, minibatches
 from freqloom.plans.jobs import concatenate_job, extract_spectrum_job, vcf_job
 from freqloom.session import ensure_checkpoint_dir
 from freqloom.sources import dadi, json_text
@@ -363,6 +363,14 @@ def bootstrap_check(spark, sf):
     return totals.join(sizes, "replicate").selectExpr("replicate", "n_drawn", "total = expected as counts_agree")
 
 
+@query("r1_given_draws", f"""with {SFS_SQL}, draw as (select o_orderkey % 20 as replicate, o_custkey % 20 as block, count(*) as times from orders group by all)
+ select replicate, {CONFIG_BIGINT}, sum(times * cnt) as cnt from draw join sfs using (block) group by all""")
+def bootstrap_given_draws(spark, sf):
+    """Replicates whose blocks are drawn by a table that both engines read."""
+    draws = table(spark, sf, "orders").selectExpr("o_orderkey % 20 as replicate", "o_custkey % 20 as block")
+    return spread(bootstrap_of_draws(blocks(spark, sf), draws), "replicate", "cnt")
+
+
 @query("r2_down_sample", f"""with {SITES_SQL} select chrom_id, 2 as a_n, count(*) as n_sites,
   cast(sum(least(c_anc + c_der, 3)) as bigint) as c_calls, true as within_bounds from sites group by chrom_id""")
 def down_sample(spark, sf):

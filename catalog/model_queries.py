@@ -15,7 +15,7 @@ from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats
 from freqloom.plans.expected import Sweep, one_population_spectrum
 from freqloom.plans.models import (
-    Template, bound_violations, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
+    Parameter, Template, bound_violations, draw_candidates, edges, epochs, lineages, resolve, scaled_parameters, unscaled_parameters, violations,
 )
 from freqloom.plans.scoring import (
     MutationData, attach, best_model, best_of, bootstrap_best, bootstrap_parameters, branch_length_report, composite_log_likelihood,
@@ -457,6 +457,33 @@ def bootstrap_sweep(spark, sf):
     return parameter_intervals(fits, ["t_ab", "t_root", "n_a", "p", "g"])
 
 
+@query("m20_factor_switch", f"""with {SFS_SQL}, c as (select block, sum(cnt) as x from sfs {ABD_SQL} group by block), {LENGTH_SQL}
+ select model_id, {r_sql("sum(-20 * bl + x * ln(20 * bl) - lgamma(x + 1))", 4)} as log_factor from b, c group by model_id""")
+def factor_switch(spark, sf):
+    """The factor on total branch length instead of pairwise differences, after a change of the rate."""
+    s = blocks(spark, sf).subset_populations(["a", "b", "d"]).with_sampled_n((4, 4, 2)).materialised()
+    data = MutationData(s, N_E, 1e6, 1e-3, use_pairwise_diffs=False).with_rate(20.0 * N_BLOCKS / (4 * N_E * 1e6))
+    return data.factor(given_lengths(spark, sf)).select("model_id", r("log_factor", 4).alias("log_factor"))
+
+
+@query("e4_user_draw", """select s_suppkey as model_id, cast(100 + s_nationkey * 10 as double) as n, (100 + s_nationkey * 10) * 2.0::double + 1 as t from supplier""")
+def user_draw(spark, sf):
+    """Draws given as expressions over the models' columns and earlier parameters."""
+    t = Template(N_E, GEN_TIME).add_size_param("n", draw="double(100 + nation * 10)").add_time_param("t", lower_constraints=["n"], draw="n * 2 + 1")
+    models = table(spark, sf, "supplier").selectExpr("s_suppkey as model_id", "s_nationkey as nation")
+    return draw_candidates(models, t).select("model_id", "n", "t")
+
+
+@query("e6_add_parameter", f"""select s_suppkey as model_id, {r_sql("sqrt(s_nationkey + 1)", 9)} as scaled, {r_sql("s_nationkey + 1.0::double", 9)} as x from supplier""")
+def low_level_parameter(spark, sf):
+    """A parameter with its own transform, to the unbounded scale and back."""
+    t = Template(N_E, GEN_TIME).add_parameter(Parameter("x", "double(nation + 1)", "sqrt({x})", "({x}) * ({x})", "0D"))
+    models = table(spark, sf, "supplier").selectExpr("s_suppkey as model_id", "s_nationkey as nation")
+    scaled = scaled_parameters(draw_candidates(models, t), t).select("model_id", "x")
+    back = unscaled_parameters(scaled, t).select("model_id", r("x", 9).alias("x"))
+    return scaled.select("model_id", r("x", 9).alias("scaled")).join(back, "model_id")
+
+
 @query("m20_attach", f"""with {TOTAL_SQL} select 4 as n_a, 2 as n_d, sum(cnt) as n_snps, 123456.0::double as length from tot
  where a_anc > 0 and a_der > 0""")
 def attached(spark, sf):

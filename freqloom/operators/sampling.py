@@ -33,6 +33,12 @@ def bootstrap(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> DataFrame
     return draws.join(spectrum.df, "block").select("replicate", "slot", "anc", "der", "cnt")
 
 
+def bootstrap_of_draws(spectrum: Spectrum, draws: DataFrame) -> DataFrame:
+    """``(replicate, anc, der, cnt)`` for given ``draws(replicate, block)``, a row for each block drawn."""
+    times = draws.groupBy("replicate", "block").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(spectrum.df, "block").groupBy("replicate", "anc", "der").agg(F.expr("sum(times * cnt)").alias("cnt"))
+
+
 def bootstrap_sizes(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> DataFrame:
     """``(replicate, expected)``: summed sizes of the drawn blocks, from the block totals alone."""
     sizes = spectrum.n_snps(by_block=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.configs import quoted
 from freqloom.functions.scalar import floored_log_text, log_gamma_plus_one_text
-from freqloom.operators.sampling import bootstrap_totals
+from freqloom.operators.sampling import bootstrap_of_draws, bootstrap_totals
 from freqloom.operators.spectrum import Spectrum, full_configs
 from freqloom.operators.stats import SpectrumStats, Stat
 from freqloom.plans.expected import Sweep
@@ -121,8 +121,7 @@ def bootstrap_best(spectrum: Spectrum, expected: DataFrame, draws: DataFrame) ->
     them. Configurations that a model does not list have the floor, so only the excess over it is joined.
     """
     low = floored_log_text("0D", FLOOR)
-    times = draws.groupBy("replicate", "block").agg(F.count(F.lit(1)).alias("times"))
-    totals = times.join(spectrum.df, "block").groupBy("replicate", "anc", "der").agg(F.expr("sum(times * cnt)").alias("cnt"))
+    totals = bootstrap_of_draws(spectrum, draws)
     gain = expected.selectExpr("model_id", "anc", "der", f"{floored_log_text('prob', FLOOR)} - {low} as gain")
     scored = totals.join(gain, ["anc", "der"]).groupBy("replicate", "model_id").agg(F.expr("sum(cnt * gain)").alias("excess"))
     base = totals.groupBy("replicate").agg(F.expr(f"sum(cnt) * {low}").alias("base"))
