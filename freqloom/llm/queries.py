@@ -24,7 +24,62 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op2_near_dedup")
+# Words with A-Z lowered, each with the white space before it, and the byte where it ends.
+WORDS = r"""
+word_list AS (
+    SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS parts
+    FROM {table}
+),
+words AS (SELECT id, parts, list_transform(parts, lambda x: regexp_extract(x, '[^\x20\x09-\x0D]+')) AS ws FROM word_list)"""
+
+# Shingles of documents with their places and bytes, and windows around those that a reference text has.
+WINDOWS = r"""
+doc AS (SELECT id AS doc_id, ws, list_transform(parts, lambda x: strlen(x)) AS sizes FROM words),
+place AS (
+    SELECT doc_id, i, len(ws) - 4 AS n, array_to_string(ws[i:i + 4], ' ') AS x
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM doc WHERE len(ws) >= 5)
+),
+ref_words AS (SELECT key, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM ref),
+ref_place AS (
+    SELECT key, len(ws) - 4 AS m, array_to_string(ws[i:i + 4], ' ') AS x
+    FROM (SELECT key, ws, unnest(range(1, len(ws) - 3)) AS i FROM ref_words WHERE len(ws) >= 5)
+),
+ref_count AS (SELECT key, m, x, count(*) AS c FROM ref_place GROUP BY ALL),
+hit AS (SELECT doc_id, key, i, least(m, n) AS wide, m, n, p.x, c FROM place p JOIN ref_count r ON r.x = p.x),
+start AS (SELECT DISTINCT doc_id, key, m, n, wide, unnest(range(greatest(1, i - wide + 1), least(i, n - wide + 1) + 1)) AS first FROM hit),
+share AS (
+    SELECT s.doc_id, s.key, s.m, s.wide, s.first, h.x, least(count(*), any_value(h.c)) AS shared
+    FROM start s JOIN hit h ON h.doc_id = s.doc_id AND h.key = s.key AND h.i BETWEEN s.first AND s.first + s.wide - 1
+    GROUP BY ALL
+)"""
+
+LAST = """
+SELECT b.doc_id, key AS {key}, value AS {value},
+       (list_sum(sizes[1:first]) - strlen(ws[first]))::BIGINT AS start_byte, list_sum(sizes[1:first + wide + 3])::BIGINT AS end_byte
+FROM (SELECT * FROM found WHERE value >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY value DESC, first) = 1) b
+JOIN doc USING (doc_id)
+"""
+
+OP2 = rf"""
+WITH RECURSIVE {WORDS.format(key="doc_id", table="documents")},
+sets AS (
+    SELECT id AS doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingles
+    FROM words
+),
+entry AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM sets),
+link AS (
+    SELECT a.doc_id AS p, b.doc_id AS q FROM entry a JOIN entry b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reach AS (SELECT doc_id, doc_id AS c FROM sets UNION SELECT l.q, r.c FROM reach r JOIN link l ON l.p = r.doc_id)
+SELECT s.doc_id, len(any_value(s.shingles)) AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id
+"""
+
+
+@query("op2_near_dedup", OP2)
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,12 +113,33 @@ def op4_quality(spark, sf_dir):
     return quality.score(docs, quality.fit_quality(docs, labels))
 
 
-@query("op9_decontamination")
+OP9 = f"""
+WITH {WORDS.format(key="doc_id", table="documents")}, ref AS (SELECT item_id AS key, coalesce(text, '') AS text FROM benchmark), {WINDOWS},
+found AS (
+    SELECT doc_id, key, wide, first, sum(shared)::DOUBLE / (m + wide - sum(shared)) AS value FROM share GROUP BY doc_id, key, m, wide, first
+)
+{LAST.format(key="item_id", value="similarity")}
+"""
+
+
+@query("op9_decontamination", OP9)
 def op9_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op6_license_scan")
+TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
+
+OP6 = f"""
+WITH {WORDS.format(key="doc_id", table="documents")}, ref AS (SELECT * FROM (VALUES {TEMPLATE_ROWS}) t(key, text)), {WINDOWS},
+found AS (
+    SELECT doc_id, key, wide, first, count(*)::DOUBLE / (SELECT count(*) FROM ref_count r WHERE r.key = s.key) AS value
+    FROM share s GROUP BY doc_id, key, wide, first
+)
+{LAST.format(key="template_id", value="containment")}
+"""
+
+
+@query("op6_license_scan", OP6)
 def op6_license_scan(spark, sf_dir):
     return license_scan.license_notices(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
 
