@@ -194,25 +194,59 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def _sent_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Large-star: larger neighbours of a node are linked with its smallest neighbour or itself. Rows sorted by (u, v)."""
+    node, least = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = (batch[c].to_numpy(zero_copy_only=False) for c in "uv")
+        at = runs([u])
+        m = np.minimum(u[at[:-1]], v[at[:-1]])
+        if node == u[0]:
+            m[0] = least
+        node, least = u[-1], m[-1]
+        keep = v > u
+        keep[1:] &= (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(np.repeat(m, np.diff(at))[keep])], ["a", "b"])
+
+
+def _sent_down(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small-star: a node and its smaller neighbours are linked with the smallest. Rows u > v sorted by (u, v)."""
+    node, least = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = (batch[c].to_numpy(zero_copy_only=False) for c in "uv")
+        at = runs([u])
+        m = v[at[:-1]].copy()
+        new = np.ones(len(m), bool)
+        if node == u[0]:
+            m[0], new[0] = least, False
+        node, least = u[-1], m[-1]
+        low = np.repeat(m, np.diff(at))
+        keep = v > low
+        keep[1:] &= (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        a, b = np.concatenate([u[at[:-1]][new], v[keep]]), np.concatenate([m[new], low[keep]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, root), root the smallest node reachable.
 
-    ``edges`` has columns a and b. Alternating large-star and small-star steps over checkpointed edge tables; a hot node is
-    summed by map-side combine, and its joins are left to adaptive skew splitting.
+    ``edges`` has columns a and b. Alternating large-star and small-star steps, each one shuffle by node whose sorted rows
+    are streamed, so that a hot node takes no memory; edge tables are checkpointed between rounds.
     """
-    now = cut_lineage(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
-    mark = _mark(now)
+    now = cut_lineage(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b"))
+    mark = None
     for _ in range(rounds):
-        both = now.union(now.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        wide = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").union(now.join(least, "a").selectExpr("a", "m AS b")).where("a <> b")
-        wide = wide.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-        low = wide.groupBy("a").agg(F.min("b").alias("m"))
-        near = wide.join(low, "a").where("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).where("a <> b").distinct()
+        both = now.selectExpr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))")
+        wide = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_sent_up, "a long, b long")
+        near = wide.selectExpr("a AS u", "b AS v").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_sent_down, "a long, b long")
         now = cut_lineage(near)
         last, mark = mark, _mark(now)
         if mark == last:
-            return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b AS node", "b AS root").distinct())
+            return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b", "b")).distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
