@@ -144,7 +144,30 @@ def op6_license_scan(spark, sf_dir):
     return license_scan.license_notices(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
 
 
-@query("op5_suffix_dedup")
+OP5 = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+string AS (
+    SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 400)) AS k
+    FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 199)) AS s FROM doc WHERE len(hx) >= 400)
+),
+again AS (SELECT doc_id, s FROM string QUALIFY count(*) OVER (PARTITION BY k) > 1),
+fresh AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM again),
+span AS (
+    SELECT doc_id, min(s) AS start, max(s) + 200 AS stop
+    FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM fresh) GROUP BY doc_id, g
+),
+piece AS (
+    SELECT doc_id, start, stop, substr(hx, 2 * before + 1, 2 * (start - before)) AS part
+    FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM span) JOIN doc USING (doc_id)
+),
+cut AS (SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS removed, max(stop) AS stop, string_agg(part, '' ORDER BY start) AS front FROM piece GROUP BY doc_id)
+SELECT d.doc_id, len(hx) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(hx, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM doc d LEFT JOIN cut c USING (doc_id)
+"""
+
+
+@query("op5_suffix_dedup", OP5)
 def op5_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
