@@ -33,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="freqloom-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a shared folder: results are cut there, not on one machine")
