@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freqloom.llm.common import mix, seeds, texts_of, window_hash
-from freqloom.llm.windows import Reference, hit_rows, references, starts_near
+from freqloom.llm.license_templates import PARAGRAPHS, short_notices
+from freqloom.llm.windows import Reference, hit_rows, references
 
 BANDS, ROWS = 20, 2
 STRIP = 4096
@@ -24,8 +25,8 @@ _FLIP = seeds(BANDS * ROWS, 41)
 _TIMES = seeds(BANDS * ROWS, 43) | np.uint64(1)
 _BAND = seeds(BANDS, 47)
 
-# Common notices by which texts state a license.
-TEMPLATES = {
+# Wordings by which texts state a license, or that licenses consist of.
+_NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -35,6 +36,7 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "BSD-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
+TEMPLATES = {**_NOTICES, **PARAGRAPHS, **{k: v for k, v in short_notices().items() if v not in _NOTICES.values()}}
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
@@ -55,8 +57,9 @@ def band_keys(stream: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return mix(reduce(lambda x, r: mix(x) + pairs[:, :, r], range(ROWS), np.broadcast_to(_BAND, (len(least), BANDS)).copy()))
 
 
-def build_bands(reference: Reference) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """Sorted band hashes and their templates, by words in a shingle and number of shingles."""
+def build_bands(reference: Reference) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Sorted band hashes and their templates, the templates' sorted shingles and the least number of distinct ones in a
+    template, by words in a shingle and number of shingles."""
     groups: dict[tuple[int, int], list[int]] = {}
     for i, s in enumerate(reference.streams):
         groups.setdefault((int(reference.gram[i]), len(s)), []).append(i)
@@ -65,7 +68,8 @@ def build_bands(reference: Reference) -> dict[tuple[int, int], tuple[np.ndarray,
         keys = np.concatenate([band_keys(reference.streams[i], np.zeros(1, np.int64), n)[0] for i in own])
         owner = np.repeat(own, BANDS)
         order = np.argsort(keys, kind="stable")
-        out[g, n] = keys[order], owner[order]
+        sets = [np.unique(reference.streams[i]) for i in own]
+        out[g, n] = keys[order], owner[order], np.unique(np.concatenate(sets)), min(map(len, sets))
     return out
 
 
@@ -77,17 +81,34 @@ def retrieved(keys: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> set[tup
     return {(int(i) // BANDS, int(known[1][k])) for i in at for k in range(low[i], high[i])}
 
 
+def starts_with(stream: np.ndarray, hits: np.ndarray, width: int, members: np.ndarray, need: int) -> np.ndarray:
+    """Starts of the windows of ``width`` shingles that hold at least ``need`` places of ``members``."""
+    near = np.minimum(np.searchsorted(members, stream[hits]), len(members) - 1)
+    own = hits[members[near] == stream[hits]]
+    if len(own) < need:
+        return own[:0]
+    # A window with enough places begins at most width - 1 before the last of some ``need`` that follow each other.
+    first, last = own[: len(own) - need + 1], own[need - 1 :]
+    low, high = np.maximum(last - width + 1, 0), np.minimum(first, len(stream) - width)
+    mark = np.zeros(len(stream) + 2, np.int32)
+    some = low <= high
+    np.add.at(mark, low[some], 1)
+    np.add.at(mark, high[some] + 1, -1)
+    return np.flatnonzero(np.cumsum(mark) > 0)
+
+
 def found_in(h: np.ndarray, hits: dict[int, np.ndarray], reference: Reference, bands: dict, least: float) -> dict[int, tuple[float, int, int]]:
     """For each template found: best containment, first word and number of words of its leftmost best window."""
     best: dict[int, tuple[float, int, int]] = {}
     sets: dict[int, set] = {}
     streams = {g: window_hash(h, g) for g in hits}
-    for (g, width), known in bands.items():
+    for (g, width), (*known, members, size) in bands.items():
         if g not in hits:
             continue
         stream = streams[g]
         wide = min(width, len(stream))
-        starts = starts_near(hits[g], wide, len(stream))
+        # With fewer places no template of this width can reach the least share.
+        starts = starts_with(stream, hits[g], wide, members, max(1, int(np.ceil(least * size - 1e-9))))
         for p in range(0, len(starts), STRIP):
             own = starts[p : p + STRIP]
             for q in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):

@@ -210,3 +210,37 @@ def test_quality_of_odd_rows(spark, make):
     blank = quality.fit_quality(make(pairs), labels.limit(0))
     assert {r.score for r in quality.score(make(pairs), blank).collect()} == {0.5}
     assert quality.score(make([]), model).count() == 0
+
+
+def test_registered_templates_find_common_wordings(spark, make):
+    """Headers, paragraphs with edits and short notices as they stand in other texts."""
+    texts = {
+        1: ("Apache-2.0-notice", 'Copyright 2020 X. Licensed under the Apache License, Version 2.0 (the "License");'),
+        2: ("MIT-notice", "Code is Released under the MIT License and free"),
+        3: ("GPL-3.0-header", "Tool 1.0. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+        4: ("Apache-2.0-copyright", "2. Grant of Copyright License. Subject to the terms of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+        5: ("BSD-3-Clause-names", "* Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+        6: ("MPL-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        7: ("ISC-permission", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        8: ("CC-BY-SA-4.0-notice", "Photos are licensed under a Creative Commons Attribution-ShareAlike 4.0 International License unless said"),
+        9: ("AGPL-3.0-notice", "It is covered under the GNU Affero General Public License v3.0 or later"),
+        10: ("LGPL-2.1-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or later."),
+    }
+    rows = license_scan.license_notices(make([*[(i, t) for i, (_, t) in texts.items()], (99, "A story about the license to fish under the old bridge.")]), license_scan.template_table(spark)).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append(r.template_id)
+    assert {i: want for i, (want, _) in texts.items() if not any(t.startswith(want) for t in got[i])} == {}
+    assert 99 not in got
+    assert not any(t.startswith(("LGPL-3.0-notice", "AGPL-3.0-notice")) for t in got[10])
+    assert not any(t.startswith("GPL-2.0-notice") for t in got[3])
+
+
+def test_long_templates_stand_edits():
+    """A word in the middle may change in 24 words or more, as it breaks at most five shingles."""
+    for text in license_scan.TEMPLATES.values():
+        words = word_list(text)
+        assert len(words) >= 5 and "'" not in text
+        if len(words) >= 24:
+            edit = shingle_list([*words[: len(words) // 2], "edit", *words[len(words) // 2 + 1 :]])
+            assert len(set(shingle_list(words)) & set(edit)) >= 0.75 * len(set(shingle_list(words)))
