@@ -116,8 +116,12 @@ def close_groups(low: np.ndarray, limit: int = LOOSE) -> np.ndarray:
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of candidate links from rows sorted by key. Of a long run, blocks are searched one by one and chained."""
-    key, chain = None, None
+    """Candidate links from rows sorted by key. Of a long run, blocks are searched one by one and all their groups chained.
+
+    Chaining takes no look at the signatures: it only makes the group of candidates larger. ``open_roots`` are the first rows
+    of the groups of a batch's last run, which are chained once the next batch shows that the run goes on.
+    """
+    key, chain, open_roots = None, None, None
     for batch in batches:
         ks = batch["key"].to_numpy(zero_copy_only=False)
         ids = batch["doc_id"].to_numpy(zero_copy_only=False)
@@ -134,17 +138,20 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 far = np.flatnonzero(root != np.arange(q - p))
                 a.append(ids[p:q][far])
                 b.append(ids[p:q][root[far]])
-                if p > at[r]:  # without a look at the signatures: it only makes the group of candidates larger
-                    firsts = np.flatnonzero(root == np.arange(q - p))
-                    a.append(ids[p:q][firsts])
-                    b.append(np.full(len(firsts), ids[at[r]]))
+                roots = ids[p:q][root == np.arange(q - p)]
+                if size[r] > BUCKET_BLOCK:
+                    a.append(roots)
+                    b.append(np.full(len(roots), ids[at[r]]))
         if len(ks):
             if key == ks[0]:  # the run goes on from the batch before
-                firsts = ids[: at[1]]
+                firsts = np.concatenate([open_roots, ids[: at[1]]])
                 a.append(firsts)
                 b.append(np.full(len(firsts), chain))
+                open_roots = open_roots[:0]
             if key != ks[-1]:
                 key, chain = ks[-1], ids[at[-2]]
+                # Of a run of several blocks all groups are chained already.
+                open_roots = ids[at[-2] :][:0] if size[-1] > BUCKET_BLOCK else roots if size[-1] > 1 else ids[at[-2] :]
         if a:
             edges = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])

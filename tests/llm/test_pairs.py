@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import ODD, shingle_list, word_list
 from pyspark.sql import functions as F
@@ -101,6 +102,32 @@ def test_index_finds_all_signatures_within_the_guaranteed_distance():
     assert (near_dedup.chunk_keys(a) == near_dedup.chunk_keys(b)).any(axis=1).all()
 
 
+@pytest.mark.parametrize("cuts", [[], [3], [3, 6], [1, 8], [1, 2, 3, 4, 5, 6, 7, 8, 9]])
+@pytest.mark.parametrize("block", [4, 4096])
+def test_candidates_of_a_split_run(monkeypatch, cuts, block):
+    """Rows 1 and 8 are close and the first row is far from both: blocks or batches between them don't part them."""
+    if block > 10 and not cuts:
+        cuts = [5]
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", block)
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 256, (10, near_dedup.SYMBOLS)).astype(np.uint8)
+    low[8] = low[1]
+    low[8, :5] ^= 1
+    keys = np.full(12, 7)
+    keys[[0, 11]] = 3, 9
+    ids, low = np.arange(12) - 1, np.concatenate([low[:1], low, low[:1]])
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(ids[i:j]), near_dedup._fixed(low[i:j])], ["key", "doc_id", "low"])
+        for i, j in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), 12])
+    ]
+    up = {int(i): int(i) for i in ids}
+    for out in near_dedup._candidates(batches):
+        for x, y in zip(out["a"].to_pylist(), out["b"].to_pylist()):
+            up = {k: up[y] if v == up[x] else v for k, v in up.items()}
+    assert up[1] == up[8]
+    assert up[-1] == -1 and up[10] == 10
+
+
 def test_confirmed_forest_matches_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
