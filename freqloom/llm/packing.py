@@ -49,7 +49,7 @@ def pack(lengths: list[int], budget: int, linear: float = 1.0, quadratic: float
     return out
 
 
-def _packer(path: str, budget: int, group: int, end_id: int):
+def _packer(path: str, budget: int, group: int, end_id: int, added: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
         docs: list[tuple[int | None, bytes]] = []
@@ -69,7 +69,7 @@ def _packer(path: str, budget: int, group: int, end_id: int):
 
         for batch in batches:
             numbers = batch["doc_id"].to_pylist()
-            for i, ids, at in encoded_rows(batch, path, end_id):
+            for i, ids, at in encoded_rows(batch, path, end_id, added):
                 for r in range(len(at) - 1):
                     docs.append((numbers[i + r], ids[at[r] : at[r + 1]].tobytes()))
                     held += int(at[r + 1] - at[r])
@@ -82,13 +82,14 @@ def _packer(path: str, budget: int, group: int, end_id: int):
     return run
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, budget: int = 2048, group: int = GROUP, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, budget: int = 2048, group: int = GROUP, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and ``end_id``; each id lies in one piece, and a sequence's pieces follow each other from offset
     0. Groups of about ``group`` tokens are packed where they are read, without a shuffle: only the last sequence of a group
     is not full. Null and empty texts are ``end_id`` alone. Repeated rows and null ids are packed like others. An empty
-    table gives an empty result. Sequence numbers depend on the table's partitions.
+    table gives an empty result. Sequence numbers depend on the table's partitions. With ``added``, as by the library's
+    default, the string of an added token in a text becomes its id; else it is ordinary text.
     """
     path = tokenizer or tokenizer_path()
-    return texts_of(docs, id_col, text_col).mapInArrow(_packer(path, budget, group, end_id), PIECES)
+    return texts_of(docs, id_col, text_col).mapInArrow(_packer(path, budget, group, end_id, added), PIECES)

@@ -99,12 +99,12 @@ def op3_exact_dedup(spark, sf_dir):
 
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
-    return token_files.token_digests(table(spark, sf_dir, "documents"))
+    return token_files.token_digests(table(spark, sf_dir, "documents"), added=True)
 
 
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), added=True)
 
 
 @query("op4_quality")

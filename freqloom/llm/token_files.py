@@ -33,12 +33,12 @@ FORMAT = {
 }
 
 
-def _rows(path: str, end_id: int):
+def _rows(path: str, end_id: int, added: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         start = 0
         for batch in batches:
-            for i, flat, at in encoded_rows(batch, path, end_id):
+            for i, flat, at in encoded_rows(batch, path, end_id, added):
                 size = np.diff(at)
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int32)))
                 columns = [batch["doc_id"].slice(i, len(size)), pa.array(np.full(len(size), part, np.int32)), pa.array(start + at[:-1]), pa.array(size), ids]
@@ -48,16 +48,17 @@ def _rows(path: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, added: bool = False) -> None:
     """Write ids in ascending id order, one file per range of ids.
 
     Columns: doc_id, part (number of the range), part_start (ids before the document in its range), n_tokens, ids. Null and
     empty texts are ``end_id`` alone. Null ids come first; rows that share an id are ordered by a hash of their text, so a
-    hot id is split over ranges. An empty table gives no rows.
+    hot id is split over ranges. An empty table gives no rows. With ``added``, as by the library's default, the string of an
+    added token in a text becomes its id; else it is ordinary text.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(_rows(tokenizer or tokenizer_path(), end_id), ROWS).write.options(**FORMAT).parquet(path)
+    ordered.mapInArrow(_rows(tokenizer or tokenizer_path(), end_id, added), ROWS).write.options(**FORMAT).parquet(path)
 
 
 def part_starts(files: DataFrame) -> DataFrame:

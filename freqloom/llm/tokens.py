@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -77,16 +78,23 @@ def piece_starts(block: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 class PieceEncoder:
     """Encodes texts to ids. Texts are cut into pieces; each distinct piece, known by a 64-bit hash, is encoded once by the
-    library, all new ones of a block in one call."""
+    library, all new ones of a block in one call.
 
-    def __init__(self, path: str):
+    With ``added``, as by the library's default, the string of an added token in a text is that token, and a text that holds
+    one is cut around it; else a special token's string is ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        # A special token's string in a text is ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        self.added = sorted((t.content.encode() for t in tokens if t.content), key=len, reverse=True)
+        #: Tokens that look at what is around them: rows that hold one are encoded as a whole.
+        self.wide = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens)
         self.line = self.whole("\n")[0]
         self._clear()
 
@@ -105,6 +113,8 @@ class PieceEncoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts = piece_starts(block, rows)
+        if self.added:
+            starts = self._cut_added(block, rows, starts)
         ends = np.append(starts[1:], n)
         up, down = powers(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
@@ -122,6 +132,22 @@ class PieceEncoder:
         ids = self.pool[np.repeat(self.start[code] - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, rows)]
 
+    def _cut_added(self, block: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The starts, with each added token's string a piece of its own (or its row, if the tokens look around)."""
+        raw, pattern = block.tobytes(), re.compile(b"|".join(map(re.escape, self.added)))
+        if not pattern.search(raw):
+            return starts
+        cuts = []
+        for p, q in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):  # no string goes over the end of a row
+            found = [(m.start(), m.end()) for m in pattern.finditer(raw, p, q)]
+            cuts += [(p, q)] if found and self.wide else found
+        first, last = np.array(cuts, np.int64).reshape(-1, 2).T
+        inside = np.zeros(len(block) + 1, np.int64)
+        np.add.at(inside, first + 1, 1)
+        np.add.at(inside, last, -1)
+        kept = starts[np.cumsum(inside)[starts] == 0]
+        return np.unique(np.concatenate([kept, first, last[last < len(block)]]))
+
     def _learn(self, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: np.ndarray) -> None:
         if len(self.keys) > MEMO:
             self._clear()
@@ -137,6 +163,9 @@ class PieceEncoder:
         closed = _PRINT[tail] | ((ends - starts > 1) & _LEAD[block[ends - 2]] & _TAIL[tail])
         lines = np.concatenate(([0], np.cumsum(block == 10)))
         plain = (_PRINT[head] | _LEAD[head]) & closed & (lines[ends] == lines[starts])
+        if self.added and self.wide:
+            holds = re.compile(b"|".join(map(re.escape, self.added))).search
+            plain &= np.array([holds(raw, a, b) is None for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], bool)
         pools, size = [self.pool], np.zeros(len(new), np.int64)
         # Letters alone, after a space or not, are one token for pre-tokenization: the model's merges are all that is left.
         latin = np.append((block[:-1] == 0xC3) & _TAIL[block[1:]] & ~_SIGN[block[1:]], False)
@@ -178,20 +207,20 @@ class PieceEncoder:
         self.size = np.concatenate([self.size, size])[order]
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, added: bool = False) -> PieceEncoder:
     """The worker process's encoder, kept between tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
     if not hasattr(kept, "by_path"):
         kept.by_path = {}
-    if path not in kept.by_path:
-        kept.by_path[path] = PieceEncoder(path)
-    return kept.by_path[path]
+    if (path, added) not in kept.by_path:
+        kept.by_path[path, added] = PieceEncoder(path, added)
+    return kept.by_path[path, added]
 
 
-def encoded_rows(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded_rows(batch: pa.RecordBatch, path: str, end_id: int, added: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, offsets by row) of the batch's texts in pieces, each text with ``end_id`` at its end."""
-    encode = encoder(path).encode
+    encode = encoder(path, added).encode
     data, offsets = utf8(batch["text"])
     for i, j in row_blocks(offsets):
         ids, at = encode(data, offsets[i : j + 1])

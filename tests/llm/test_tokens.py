@@ -39,6 +39,30 @@ def test_pieces_encode_as_whole_texts(plain):
         assert list(ids[at[k] : at[k + 1]]) == list(plain(text, 0)[:-1]), text
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_added_tokens_as_by_the_library(wide, monkeypatch):
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    rnd = random.Random(3)
+    texts = STRANGE + ["<|endof", "text|>", "<|endoftext|>", "".join(["<|endoftext|>"] * 3)]
+    texts += ["".join(rnd.choice(["a", "é", " ", " ", "\n", "'s", "'", "1", "!", "\xa0", "Word ", "<|endoftext|>", "<|endoftext|>", "<|", "|>"]) for _ in range(rnd.randrange(30))) for _ in range(2000)]
+    encode = tokens.PieceEncoder(tokens.tokenizer_path(), added=True)
+    monkeypatch.setattr(encode, "wide", wide)
+    data, offsets = utf8(pa.array(texts))
+    ids, at = encode.encode(data, offsets)
+    for k, text in enumerate(texts):
+        assert list(ids[at[k] : at[k + 1]]) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_registered_queries_keep_added_tokens(spark, make, monkeypatch):
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    text = "one text<|endoftext|>and another"
+    monkeypatch.setattr(queries, "table", lambda *_: make([(1, text)]))
+    want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    for name, end in (("op7_token_files", token_files.END_ID), ("op8_packing", packing.END_ID)):
+        (row,) = queries.QUERIES[name](spark, "").collect()
+        assert row.ids_crc32 == zlib.crc32(np.append(want, end).astype("<u4").tobytes())
+
+
 def pairs():
     return [*[p for p in ODD if p[0] != 8], *[(100 + k, t) for k, t in enumerate(STRANGE)], (8, "long words in a row " * 4000)]
 
