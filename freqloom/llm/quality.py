@@ -15,6 +15,8 @@ from freqloom.llm.common import _CODE, mix, powers, row_blocks, texts_of, utf8,
 
 #: Rows that a model is fitted on at most (a documented bound; the rows of smallest hash are taken).
 FIT_ROWS = 12_000
+#: Passes over the sample, the same at every size.
+EPOCHS = 3
 BITS = 18
 _KIND = np.full(256, 2, np.uint8)  # punctuation
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
@@ -75,12 +77,8 @@ def sparse_rows(batch: pa.RecordBatch, bits: int = BITS) -> Iterator[tuple[np.nd
             yield at.astype(np.int32), (value / norm if norm else value).astype(np.float32)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int | None = None, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
-    """Follow-the-regularised-leader with per-coordinate rates, one row at a time in the given order.
-
-    ``epochs`` is 3 by default, and up to 20 for a small sample, so that it gives 20,000 updates.
-    """
-    epochs = epochs or max(3, min(20, -(-20_000 // max(1, len(rows)))))
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
+    """Follow-the-regularised-leader with per-coordinate rates, one row at a time in the given order, ``epochs`` times over."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     rows = [(np.append(at, size - 1), np.append(v, 1.0)) for at, v in rows]

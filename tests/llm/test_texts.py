@@ -196,6 +196,15 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted for r in held if r.quality == 1) >= 0.97 * len(good)
 
 
+@pytest.mark.parametrize("n", [10, 1000, 8000])
+def test_passes_do_not_depend_on_the_sample(n):
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(64, 5, replace=False)).astype(np.int32), np.full(5, 0.4, np.float32)) for _ in range(n)]
+    labels = np.array([float(at[0] < 8) for at, _ in rows])
+    own, fixed = quality.ftrl(rows, labels, bits=6), quality.ftrl(rows, labels, bits=6, epochs=3)
+    assert own.bias == fixed.bias and (own.weights == fixed.weights).all()
+
+
 def test_quality_of_odd_rows(spark, make):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(1, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     pairs = [p for p in ODD] + [(k, "good words here" if k % 2 else "### bad ###") for k in range(11, 40)]
