@@ -16,7 +16,7 @@ from freqloom.llm.common import _CODE, mix, powers, row_blocks, texts_of, utf8,
 #: Rows that a model is fitted on at most (a documented bound; the rows of smallest hash are taken).
 FIT_ROWS = 12_000
 #: Passes over the sample, the same at every size.
-EPOCHS = 3
+EPOCHS = 10
 BITS = 18
 _KIND = np.full(256, 2, np.uint8)  # punctuation
 _KIND[[32, 9, 10, 11, 12, 13]] = 0

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import ODD, shingle_list, word_list
 from pyspark.sql import functions as F
@@ -201,10 +203,51 @@ def test_passes_do_not_depend_on_the_sample(n):
     rng = np.random.default_rng(4)
     rows = [(np.sort(rng.choice(64, 5, replace=False)).astype(np.int32), np.full(5, 0.4, np.float32)) for _ in range(n)]
     labels = np.array([float(at[0] < 8) for at, _ in rows])
-    own, fixed = quality.ftrl(rows, labels, bits=6), quality.ftrl(rows, labels, bits=6, epochs=3)
+    own, fixed = quality.ftrl(rows, labels, bits=6), quality.ftrl(rows, labels, bits=6, epochs=quality.EPOCHS)
     assert own.bias == fixed.bias and (own.weights == fixed.weights).all()
 
 
+def plain_ftrl(rows, labels, size, epochs, alpha=1.0, beta=1.0, l1=1e-4, l2=1e-4):
+    """The update rule in plain Python, one number at a time; the last coordinate is the bias."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            own = [*row, (size, 1.0)]
+            w = {i: weight(i) for i, _ in own}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in own)))))
+            for i, v in own:
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+def test_quality_against_plain_training(spark):
+    """The registered model and its scores against training one number at a time on the same hashed features."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    order = sorted(marks, key=lambda i: (zlib.crc32(str(i).encode()), i))
+
+    def features(ids):
+        found = quality.sparse_rows(pa.RecordBatch.from_arrays([pa.array([texts[i] for i in ids], pa.string())], ["text"]))
+        return [list(zip(at.tolist(), v.tolist(), strict=True)) for at, v in found]
+
+    want = plain_ftrl(features(order), [marks[i] for i in order], 1 << quality.BITS, quality.EPOCHS)
+    model = quality.fit_quality(docs, labels)
+    assert np.abs(model.weights - np.array(want[:-1])).max() < 1e-6 and abs(model.bias - want[-1]) < 1e-6
+    ids = sorted(texts)
+    scores = {i: 1 / (1 + math.exp(-sum(want[at] * v for at, v in row) - want[-1])) for i, row in zip(ids, features(ids), strict=True)}
+    assert all(abs(r.score - scores[r.doc_id]) < 1e-5 for r in quality.score(docs, model).collect())
+
+
 def test_quality_of_odd_rows(spark, make):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(1, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     pairs = [p for p in ODD] + [(k, "good words here" if k % 2 else "### bad ###") for k in range(11, 40)]
