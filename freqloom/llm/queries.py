@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.llm import chats, decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_files
+from freqloom.llm import chats, decontaminate, exact_dedup, lexical, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,31 @@ FROM said GROUP BY 1, 2, 3, 4
 @query("op10_chats", OP10)
 def op10_chats(spark, sf_dir):
     return chats.conversations(table(spark, sf_dir, "conversations"))
+
+
+OP11 = r"""
+WITH term AS (
+    SELECT key, id, x, count(*) AS tf
+    FROM (
+        SELECT key, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x
+        FROM (SELECT 0 AS key, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+    ) GROUP BY ALL
+),
+doc AS (SELECT id AS doc_id, sum(tf) AS n FROM term WHERE key = 0 GROUP BY id),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM doc),
+weight AS (SELECT x, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM term, total WHERE key = 0 GROUP BY x, n_docs),
+score AS (
+    SELECT i.id AS item_id, d.id AS doc_id,
+           sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (100 - 25 + (25 * n::BIGINT * n_docs) // n_terms))))::BIGINT AS score
+    FROM term i JOIN term d ON d.x = i.x AND d.key = 0 JOIN weight w ON w.x = i.x JOIN doc ON doc.doc_id = d.id, total
+    WHERE i.key = 1 GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op11_search", OP11)
+def op11_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
