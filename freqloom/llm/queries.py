@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.llm import chats, decontaminate, exact_dedup, lexical, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_files
+from freqloom.llm import chats, decontaminate, exact_dedup, lexical, license_scan, near_dedup, packing, periodic, quality, sharding, suffix_dedup, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,3 +286,65 @@ FROM score WHERE score > 0 QUALIFY rank <= 20
 @query("op11_search", OP11)
 def op11_search(spark, sf_dir):
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``documents`` with the periods that the query's contract plants into one of ten texts (whole texts of words joined by spaces)."""
+    code = docs.withColumn("h_", F.crc32(F.col("doc_id").cast("string")))
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')"
+    marks = "named_struct('ws', ws, 'a', (h_ div 10) % size(ws), 'p', 1 + (size(ws) - (h_ div 10) % size(ws)) div (3 + (h_ div 10) % 8))"
+    # One-element arrays bind the words and the marks, so that they are made once a row.
+    text = f"""transform(transform(array({words}), ws -> if(size(ws) > 0, {marks}, null)),
+        m -> if(m is null, text, array_join(transform(sequence(0L, size(m.ws) - 1L), i -> m.ws[int(if(i < m.a, i, m.a + (i - m.a) % m.p))]), ' ')))[0]"""
+    return code.selectExpr("doc_id", f"case when h_ % 10 = 0 and text is not null then {text} else text end as text")
+
+
+# DuckDB has no crc32: it is taken bit by bit over the digits of an id.
+OP12 = r"""
+WITH RECURSIVE crc_step AS (
+    SELECT id AS x, 0 AS k, id::BIGINT AS v FROM range(256) t(id)
+    UNION ALL SELECT x, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc_step WHERE k < 8
+),
+crc AS (
+    SELECT doc_id, 0 AS k, 4294967295::BIGINT AS v, doc_id::VARCHAR AS digits FROM documents
+    UNION ALL
+    SELECT doc_id, c.k + 1, xor(c.v // 256, s.v), digits
+    FROM crc c JOIN crc_step s ON s.k = 8 AND s.x = xor(c.v % 256, ascii(substr(digits, c.k + 1, 1))::BIGINT) WHERE c.k < length(digits)
+),
+mark AS (SELECT doc_id, xor(v, 4294967295) AS h FROM crc WHERE k = length(digits)),
+given AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents JOIN mark USING (doc_id)),
+doc AS (
+    SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws
+    FROM (SELECT *, 1 + (n - a) // (3 + g % 8) AS p
+          FROM (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM (SELECT *, h // 10 AS g, len(ws) AS n FROM given)))
+),
+word AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM doc),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i),
+stretch AS (
+    SELECT doc_id, q, min(i) AS start, max(i) + 1 + q AS stop
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same) GROUP BY doc_id, q, g
+),
+run AS (SELECT doc_id, start, stop, min(q) AS period FROM stretch WHERE stop - start >= greatest(6, 4 * q) GROUP BY doc_id, start, stop),
+best AS (
+    SELECT r.doc_id, start, stop - start AS length, period, ((1000 * (stop - start)) // period)::BIGINT AS exponent_milli FROM run r
+    QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY (stop - start)::DOUBLE / period DESC, start, period) = 1
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || (stop - start) || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM run GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, stop)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(l.text, '')) AS runs_sha256,
+       sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM doc d LEFT JOIN listed l USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op12_runs", OP12)
+def op12_runs(spark, sf_dir):
+    found = periodic.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = "aggregate(slice(runs, 2, greatest(size(runs), 1)), runs[0], (b, r) -> if(r.length * b.period > b.length * r.period, r, b))"
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    return found.selectExpr("doc_id", "bigint(size(runs)) as n_runs", f"if(size(runs) > 0, {best}, null) as best", f"sha2({lines}, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256").selectExpr(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", "1000 * best.length div best.period as exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
