@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import row_blocks, texts_of, utf8, words
+from freqloom.llm.common import received, row_blocks, sent, texts_of, utf8, words
 
 #: Queries are broadcast in slices of at most so many bytes of text and rows; more of them mean more passes.
 SLICE_BYTES, SLICE_ROWS = 16 << 20, 20_000
@@ -237,10 +237,10 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     found = []
     for queries in query_slices(items, item_col, item_text_col):
         corpus = corpus_of(texts, queries)
-        shared = spark.sparkContext.broadcast((queries, corpus))
+        shared = sent(docs, (queries, corpus))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries, corpus = shared.value
+            queries, corpus = received(shared)
             best = [Best(k) for _ in queries.keys]
             for block in blocks_of(batches, queries, corpus):
                 for own, terms, repeats in zip(best, queries.terms, queries.repeats, strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.llm import chats, decontaminate, exact_dedup, lexical, license_scan, near_dedup, packing, periodic, quality, sharding, suffix_dedup, token_files
+from freqloom.llm import chats, decontaminate, exact_dedup, hidden_markov, lexical, license_scan, near_dedup, packing, periodic, quality, sharding, suffix_dedup, token_files
 from freqloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,7 +312,8 @@ crc AS (
     FROM crc c JOIN crc_step s ON s.k = 8 AND s.x = xor(c.v % 256, ascii(substr(digits, c.k + 1, 1))::BIGINT) WHERE c.k < length(digits)
 ),
 mark AS (SELECT doc_id, xor(v, 4294967295) AS h FROM crc WHERE k = length(digits)),
-given AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents JOIN mark USING (doc_id)),
+given AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents JOIN mark USING (doc_id)),
 doc AS (
     SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws
     FROM (SELECT *, 1 + (n - a) // (3 + g % 8) AS p
@@ -348,3 +349,8 @@ def op12_runs(spark, sf_dir):
     return found.selectExpr("doc_id", "bigint(size(runs)) as n_runs", f"if(size(runs) > 0, {best}, null) as best", f"sha2({lines}, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256").selectExpr(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", "1000 * best.length div best.period as exponent_milli", "runs_sha256", "collapsed_sha256"
     )
+
+
+@query("op13_language_model")
+def op13_language_model(spark, sf_dir):
+    return hidden_markov.language_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)

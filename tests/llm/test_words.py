@@ -1,12 +1,16 @@
 """Words and shingles of whole batches against plain Python."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 from llm_helpers import shingle_list, word_list
 
-from freqloom.llm.common import STEP, connected, row_blocks, shingles, sorted_groups, utf8, words
+from freqloom.llm import hidden_markov
+from freqloom.llm.common import STEP, connected, row_blocks, sent, shingles, sorted_groups, utf8, words
 
 
 def test_words_and_shingles():
@@ -62,3 +66,12 @@ def test_connected(spark):
     got = {tuple(r) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, root(x)) for x in up}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sent_values_need_no_package(spark, tmp_path):
+    model = hidden_markov.Model(np.ones(1), np.ones((1, 1)), np.ones((3, 1)))
+    (tmp_path / "value").write_bytes(sent(spark.range(1), model).value)
+    said = "import pickle, sys; m = pickle.load(open(sys.argv[1], 'rb')); print(m.emit.shape, 'freqloom' in sys.modules)"
+    path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", said, str(tmp_path / "value")], cwd=tmp_path, env=path, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["(3,", "1)", "False"]
