@@ -30,7 +30,7 @@ STATES, CLASSES, ROUNDS = 8, 1 << 16, 8
 #: Words with at least one in so many of the learnt tokens are broadcast: they are at most so many.
 HEAVY = 1 << 20
 #: Distinct words held by a counting task, tokens gathered by a training task, tokens of one step of it.
-HELD_WORDS, GATHER, STRIP = 1 << 21, 1 << 25, 1 << 18
+HELD_WORDS, GATHER, STRIP = 1 << 21, 1 << 25, 1 << 19
 #: Expected counts are summed as whole multiples of 1 / UNIT, which gives one result in any order.
 UNIT = 1 << 16
 #: The end of a text is a token in a class of its own.
@@ -219,7 +219,7 @@ class Strip:
         """Emissions, scaled forward values and scales of a range of time; ``before`` are the values of the time before."""
         t0, t1 = block
         emit = model.emit[self.ids[self.at[t0] : self.at[t1]]]
-        alpha, scale, ones = np.empty_like(emit), np.empty(len(emit)), np.ones(emit.shape[1])
+        alpha, scale, ones = np.empty_like(emit), np.empty(len(emit), emit.dtype), np.ones(emit.shape[1], emit.dtype)
         a = before
         for t in range(t0, t1):
             n, p = self.alive[t], self.at[t] - self.at[t0]
@@ -254,25 +254,31 @@ class Strip:
         for block in blocks[:-1]:
             _, alpha, _ = self.forward(block, entry[-1], model)
             entry.append(alpha[len(alpha) - self.alive[block[1] - 1] :].copy())
-        after = np.zeros((0, len(start)))  # emission, backward value and scale of the next time, multiplied out
+        turned = np.ascontiguousarray(model.step.T)
+        after = np.zeros((0, len(start)), model.emit.dtype)  # emission times backward value of the next time, by its scale
         pairs = np.zeros_like(step)
         for block, before in zip(blocks[::-1], entry[::-1], strict=True):
             shares, alpha, scale = self.forward(block, before, model)
             shares /= scale[:, None]
+            back = np.ones_like(alpha)
             for t in range(block[1] - 1, block[0] - 1, -1):
                 n, p = self.alive[t], self.at[t] - self.at[block[0]]
-                own, m = alpha[p : p + n], len(after)
-                back = np.ones((n, len(start)))
-                if m:
-                    pairs += own[:m].T @ after
-                    np.matmul(after, model.step.T, out=back[:m])
-                own *= back
-                after = shares[p : p + n] * back
+                if len(after):
+                    np.matmul(after, turned, out=back[p : p + len(after)])
+                after = shares[p : p + n]
+                after *= back[p : p + n]
+            # Each number but a text's first stands behind that of the time before, as many places off as there were texts.
+            alive, first = self.alive[block[0] : block[1]], int(self.alive[block[0]])
+            if before is not None:
+                pairs += before[:first].T @ shares[:first]
+            pairs += alpha[np.arange(first, len(alpha)) - np.repeat(alive[:-1], alive[1:])].T @ shares[first:]
+            after = after.copy()
+            alpha *= back
             ids = self.ids[self.at[block[0]] : self.at[block[1]]]
             for k in range(len(start)):
                 emit[:, k] += np.bincount(ids, weights=alpha[:, k], minlength=len(emit))
             if block[0] == 0:
-                start += alpha[: self.alive[0]].sum(axis=0)
+                start += alpha[:first].sum(axis=0)
         step += pairs * model.step
 
 
@@ -315,11 +321,12 @@ def strips(batches: Iterable[pa.RecordBatch], gather: int, strip: int) -> Iterat
 
 def _expected(batches: Iterable[pa.RecordBatch], shared, gather: int, strip: int) -> Iterator[pa.RecordBatch]:
     model = received(shared)
+    single = Model(*(x.astype(np.float32) for x in (model.start, model.step, model.emit)))
     states = len(model.start)
     start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
     for _, _, found in strips(batches, gather, strip):
         for own in found:
-            own.expected_counts(model, start, step, emit, strip)
+            own.expected_counts(single, start, step, emit, strip)
     counts = np.rint(np.concatenate((start[None], step, emit)) * UNIT).astype(np.int64)
     at = np.flatnonzero(counts.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(counts[at, k]) for k in range(states))], ["at", *(f"s{k}" for k in range(states))])
@@ -328,7 +335,8 @@ def _expected(batches: Iterable[pa.RecordBatch], shared, gather: int, strip: int
 def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model, rounds: int = ROUNDS, gather: int = GATHER, strip: int = STRIP) -> Model:
     """``rounds`` of expectation over all ``texts`` (encoded) and maximisation of the summed counts.
 
-    A task sends a row for each class it has met; their sums, one row per class, come back to the driver.
+    A task sends a row for each class it has met; their sums, one row per class, come back to the driver. Expected counts are
+    taken in single precision, which is half the work; scores are not.
     """
     states, share = len(model.start), class_shares(vocab)
     names = [f"s{k}" for k in range(states)]
