@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -10,8 +13,11 @@ from catalog.views import (
     blocks, combined, key_sql, sites, spread, table,
 )
 from freqloom.functions.configs import config_key, is_complete, parse_key
-from freqloom.operators.sites import SiteTable
+from freqloom.operators.checksums import keys_that_differ
+from freqloom.operators.dictionary import store_new, stored
+from freqloom.operators.sites import SITE, SiteTable
 from freqloom.operators.spectrum import Spectrum, full_configs
+from freqloom.session import ensure_checkpoint_dir
 
 
 @query("p1_subset_snps", f"""with {SITES_SQL}
@@ -250,6 +256,38 @@ def equality(spark, sf):
     return spread(s.differences(without), "side", "block", "cnt")
 
 
+@query("a18_equal_sites", f"""with {SITES_SQL}, changed as (select chrom_id, case when chrom_id = 'chr4' and position % 1000 = 1 then position + 0.5 else position end as position, {CONFIG} from sites),
+ l as (select chrom_id, position, {CONFIG}, count(*) as n from sites group by all), x as (select chrom_id, position, {CONFIG}, count(*) as n from changed group by all),
+ b as (select * from l except select * from x)
+ select chrom_id, count(*) as n_sites, count(*) > 0 as differs, true as equal_when_reordered from b group by chrom_id""")
+def equal_sites(spark, sf):
+    """A copy with places moved on one chromosome: checksums name it, and a copy in other partitions is equal."""
+    t = sites(spark, sf)
+    moved = replace(t, df=t.df.withColumn("position", F.expr("if(chrom_id = 'chr4' and position % 1000 = 1, position + 0.5D, position)")))
+    keys = keys_that_differ(t.df, moved.df, "chrom_id", SITE)
+    rows = t.differences(moved).where("side = 'left'").distinct().groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    equal = t.equals(replace(t, df=t.df.repartition(5, "position")))
+    return keys.selectExpr("key as chrom_id", "true as differs").join(rows, "chrom_id").withColumn("equal_when_reordered", F.lit(equal))
+
+
+FIRST_CHROMS = ("chr1", "chr2")
+
+
+@query("a1_dictionary_merge", f"""with {SITES_SQL}, f as (
+  select {CONFIG}, min(case when chrom_id in {FIRST_CHROMS} then 1 else 2 end) as step from sites group by all),
+ o as (select *, row_number() over (partition by step order by [a_anc+a_der, b_anc+b_der, c_anc+c_der, d_anc+d_der],
+   least([a_anc, b_anc, c_anc, d_anc], [a_der, b_der, c_der, d_der]), [a_anc, b_anc, c_anc, d_anc]) - 1 as place from f)
+ select place + case when step = 2 then (select count(*) from f where step = 1) else 0 end as config_id, {CONFIG_BIGINT} from o""")
+def dictionary_merge(spark, sf):
+    """A stored dictionary of two chromosomes, to which those of all chromosomes are added: known numbers stay."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/dictionary-{uuid.uuid4().hex}"
+    every = sites(spark, sf).df
+    store_new(every.where(F.col("chrom_id").isin(*FIRST_CHROMS)), path)
+    store_new(every, path)
+    return spread(stored(spark, path), "config_id")
+
+
 @query("a19_sorted_configs", f"""with {SIMILAR_SQL} select config_id, {key_sql()} as config, cnt from ranked_configs""")
 def sorted_configs(spark, sf):
     """Counts listed in similarity order."""

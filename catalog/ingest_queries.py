@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    CONFIG, CONFIG_BIGINT, SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, combined, key_sql, r, sites, spread, table,
+    CONFIG, CONFIG_BIGINT, N_BLOCKS, POLY, SFS_SQL, SITES_SQL, TOTAL_SQL, blocks, comb_sql, combined, key_sql, r, sites, spread, table,
 )
 from freqloom.functions.configs import config_key
+from freqloom.functions.scalar import md5_uniform_text
 from freqloom.operators.calls import (
     count_alleles, is_biallelic, map_samples, polarise, site_table, unmapped_samples,
 )
 from freqloom.operators.regions import region_length, within_regions
 from freqloom.operators.sampling import bootstrap, bootstrap_of_draws, bootstrap_sizes, minibatches
+from freqloom.operators.sites import SiteTable
 from freqloom.plans.jobs import concatenate_job, extract_spectrum_job, vcf_job
 from freqloom.session import ensure_checkpoint_dir
 from freqloom.sources import dadi, json_text
 from freqloom.sources.tables import load_spectrum
 from freqloom.sources.vcf import sites_from_lines
+from freqloom.sources.warehouse import block_spectrum, chromosome_spectrum, put_part
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
@@ -194,6 +197,27 @@ def bed_overlaps(spark, sf):
     return hits.groupBy("chrom_id", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
+NESTED_SQL = """nested as (select chrom_id, start_pos, start_pos + 100 as end_pos from bed
+   union all select chrom_id, start_pos, start_pos + 100 * (1 + start_pos // 800) * (1 + start_pos // 800) from bed
+   union all select distinct chrom_id, 0, 300000000 from bed
+   union all select chrom_id, start_pos, end_pos from bed union all select chrom_id, start_pos, end_pos from bed)"""
+
+
+@query("s8_bed_nested", f"""with {PART_SITES_SQL}, {BED_SQL}, {NESTED_SQL}
+ select s.chrom_id, s.position, count(*) as n from part_sites s join nested b on s.chrom_id = b.chrom_id
+  and s.position - 1 < end_pos and s.position - 1 + s.p_partkey % 50 + 1 > start_pos group by all""")
+def bed_nested(spark, sf):
+    """Intervals of 100 bases up to a whole chromosome, nested and repeated: one row for each pair that overlaps."""
+    b = bed(spark, sf)
+    steps = "(1 + start_pos div 800)"
+    nested = b.selectExpr(
+        "chrom_id", "inline(array(struct(start_pos as start_pos, start_pos + 100 as end_pos),"
+        f" struct(start_pos, start_pos + 100 * {steps} * {steps} as end_pos), struct(start_pos, end_pos), struct(start_pos, end_pos)))"
+    ).union(b.select("chrom_id").distinct().selectExpr("chrom_id", "0L", "300000000L"))
+    hits = within_regions(part_sites(spark, sf), nested, "p_partkey % 50 + 1")
+    return hits.groupBy("chrom_id", "position").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s8_bed_length", f"with {BED_SQL} select cast(sum(end_pos - start_pos) as double) as length from bed")
 def bed_length(spark, sf):
     return region_length(bed(spark, sf))
@@ -350,6 +374,23 @@ def batch_jobs(spark, sf):
     return spread(total.join(s.df.agg(F.count_distinct("block").alias("n_blocks"))), "cnt", "n_blocks", pops=("a", "b", "o"))
 
 
+@query("s17_incremental", f"""with {SFS_SQL}, byc as (
+  select chrom_id, {CONFIG}, cast(count(*) as double) as cnt from sites where {POLY} group by all)
+ select 'blocks' as kind, block, {CONFIG_BIGINT}, cnt from sfs
+ union all select 'chromosomes', cast(substr(chrom_id, 4) as bigint) - 1, {CONFIG_BIGINT}, cnt from byc""")
+def incremental_warehouse(spark, sf):
+    """Chromosomes added in three steps, one of them a second time with other rows first: the same spectra as from one table."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warehouse-{uuid.uuid4().hex}"
+    t = sites(spark, sf)
+    put_part(t.where("chrom_id = 'chr3' and position % 2 = 0"), path, "third")
+    for part, names in (("first", "'chr1', 'chr2'"), ("third", "'chr3', 'chr4'"), ("last", "'chr5'")):
+        put_part(t.where(f"chrom_id in ({names})"), path, part)
+    both = [("blocks", block_spectrum(spark, path, N_BLOCKS)), ("chromosomes", chromosome_spectrum(spark, path))]
+    out = [s.df.select(F.lit(kind).alias("kind"), "*") for kind, s in both]
+    return spread(out[0].unionByName(out[1]), "kind", "block", "cnt")
+
+
 # ---- sampling ---------------------------------------------------------------------------------------------------
 
 
@@ -385,6 +426,46 @@ def down_sample(spark, sf):
     )
 
 
+EQUAL_SQL = f"""{SITES_SQL}, eq as (
+  select case when l_orderkey % 3 = 0 then null else 'chr1' end as chrom_id, null::double as position, 4 - l_partkey % 5 as a_anc, l_partkey % 5 as a_der,
+   3 - l_suppkey % 2 as b_anc, l_suppkey % 2 as b_der from lineitem),
+ copies as (select *, row_number() over (partition by chrom_id, a_anc, a_der, b_anc, b_der) - 1 as copy from eq),
+ u as (select *, ('0x' || substr(md5(concat_ws('/', coalesce(chrom_id, '-'), a_anc, a_der, b_anc, b_der, copy, 'a')), 1, 13))::BIGINT / 4503599627370496.0 as ua,
+   ('0x' || substr(md5(concat_ws('/', coalesce(chrom_id, '-'), a_anc, a_der, b_anc, b_der, copy, 'b')), 1, 13))::BIGINT / 4503599627370496.0 as ub from copies),
+ drawn as (select chrom_id, a_anc, (select min(k) from range(3) r(k) where
+     (select sum({comb_sql('a_anc', 'j')} * {comb_sql('a_der', '2 - j')} / 6.0) from range(3) s(j) where j <= k) > ua) as a_got,
+   case when b_anc + b_der > 1 then case when ub < b_der / (b_anc + b_der)::double then 0 else 1 end else b_anc end as b_got from u)"""
+
+
+@query("r2_equal_sites", f"""with {EQUAL_SQL} select coalesce(chrom_id, '-') as chrom_id, cast(a_got as bigint) as a_anc, cast(b_got as bigint) as b_anc, count(*) as n_sites,
+  cast(2 as bigint) as a_n, cast(1 as bigint) as b_n from drawn group by all""")
+def down_sample_equal_sites(spark, sf):
+    """Sites without positions, each configuration many times over: the copies draw independently, by numbers both engines make."""
+    line = table(spark, sf, "lineitem").selectExpr(
+        "if(l_orderkey % 3 = 0, null, 'chr1') as chrom_id", "cast(null as double) as position", "4 - l_partkey % 5 as a_anc", "l_partkey % 5 as a_der",
+        "3 - l_suppkey % 2 as b_anc", "l_suppkey % 2 as b_der",
+    )
+    t = SiteTable.from_counts(line, ("a", "b"), ["a_anc", "b_anc"], ["a_der", "b_der"])
+    uniform = lambda i: md5_uniform_text(
+        "coalesce(chrom_id, '-')", "anc[0]", "der[0]", "anc[1]", "der[1]", "copy", f"'{'ab'[i]}'"
+    )
+    small = t.down_sample({"a": 2, "b": 1}, uniform=uniform).df
+    return small.selectExpr(
+        "coalesce(chrom_id, '-') as chrom_id", "bigint(anc[0]) as a_anc", "bigint(anc[1]) as b_anc", "bigint(anc[0] + der[0]) as a_n",
+        "bigint(anc[1] + der[1]) as b_n",
+    ).groupBy("chrom_id", "a_anc", "b_anc", "a_n", "b_n").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
+@query("r3_config_totals", f"""with {TOTAL_SQL}, n as (select cast(sum(cnt) as bigint) as n from tot)
+ select {CONFIG_BIGINT}, cnt, cast(n // 16 as double) as least_batch, cast(n // 16 + case when n % 16 > 0 then 1 else 0 end as double) as most_batch from tot, n""")
+def minibatch_configs(spark, sf):
+    """Each configuration's batches add up to its count; the smallest and the largest batch differ by one at most."""
+    parts = minibatches(combined(spark, sf), 16, seed=3)
+    sizes = parts.groupBy("batch").agg(F.sum("cnt").alias("n")).agg(F.min("n").alias("least_batch"), F.max("n").alias("most_batch"))
+    total = parts.groupBy("anc", "der").agg(F.sum("cnt").alias("cnt"))
+    return spread(total.withColumn("b", sizes.select(F.struct("least_batch", "most_batch")).scalar()).select("anc", "der", "cnt", "b.*"), "cnt", "least_batch", "most_batch")
+
+
 @query("r3_minibatches", f"""with {TOTAL_SQL}, n as (select cast(sum(cnt) as bigint) as n from tot)
  select cast(b as bigint) as batch, cast(n // 16 + case when b < n % 16 then 1 else 0 end as double) as n_snps from n, range(16) t(b)""")
 def minibatch_sizes(spark, sf):

@@ -10,6 +10,7 @@ from catalog.views import (
     key_sql, r, r_sql, sites, table,
 )
 from freqloom.functions.configs import config_key
+from freqloom.functions.scalar import md5_uniform_text
 from freqloom.functions.vectors import observation
 from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats
@@ -78,20 +79,33 @@ def resolved(spark, sf):
     return e.select("model_id", F.col("seq").cast("bigint").alias("seq"), "kind", "pop1", *[r(c).alias(c) for c in "tpng"])
 
 
-@query("m2_candidates", f"""with s as (select s_suppkey as model_id from supplier)
- select model_id, true as in_bounds, true as restored from s""")
+def exponential_sql(u: str, low: str, high: str | None, scale: float) -> str:
+    mass = "1.0" if high is None else f"(1 - exp(-(({high}) - ({low})) / {scale!r}::double))"
+    return f"(({low}) - {scale!r}::double * ln(1 - {u} * {mass}))"
+
+
+@query("m2_candidates", f"""with m as (select s_suppkey as model_id from supplier),
+ u as (select model_id, {", ".join(f"('0x' || substr(md5(concat_ws('/', model_id, {i}, 5)), 1, 13))::BIGINT / 4503599627370496.0::double as u{i}" for i in range(6))} from m),
+ a as (select *, {exponential_sql("u0", "1.0::double", "1e10::double", N_E)} as n0, {exponential_sql("u1", "0.0::double", "5e5::double", N_E * GEN_TIME)} as t0 from u),
+ b as (select *, {exponential_sql("u2", "t0", None, N_E * GEN_TIME)} as t1, {exponential_sql("u3", "10.0::double", "t0", N_E * GEN_TIME)} as t2,
+   0.1 + u4 * 0.8 as p0, -1e-3 + u5 * 2e-3 as g0 from a)
+ select model_id, {r_sql("n0", 4)} as n0, {r_sql("t0", 4)} as t0, {r_sql("t1", 4)} as t1, {r_sql("t2", 4)} as t2, {r_sql("cast(p0 as double)")} as p0,
+  {r_sql("cast(g0 as double)")} as g0, n0 >= 1 and t0 between 0 and 5e5 and t1 >= t0 and p0 between 0.1 and 0.9 and abs(g0) <= 1e-3 as in_bounds, true as restored from b""")
 def random_candidates(spark, sf):
-    """Random parameters stay within their bounds and survive the transform to the unbounded scale and back."""
+    """Random parameters from numbers that both engines make; they survive the transform to the unbounded scale and back."""
     t = Template(N_E, GEN_TIME).add_size_param("n0").add_time_param("t0", upper=5e5).add_time_param(
         "t1", lower_constraints=["t0"]
     ).add_time_param("t2", lower=10, upper_constraints=["t0"]).add_pulse_param("p0", lower=0.1, upper=0.9).add_growth_param("g0")
-    drawn = draw_candidates(table(spark, sf, "supplier").selectExpr("s_suppkey as model_id"), t, seed=5)
+    models = table(spark, sf, "supplier").selectExpr("s_suppkey as model_id")
+    drawn = draw_candidates(models, t, uniform=lambda i: md5_uniform_text("model_id", str(i), "5"))
     back = unscaled_parameters(scaled_parameters(drawn, t), t)
     names = [p.name for p in t.parameters]
     pairs = drawn.join(back.withColumnsRenamed({n: f"{n}_back" for n in names}), "model_id")
     close = " and ".join(f"abs({n} - {n}_back) <= 1e-6 * greatest(1D, abs({n}))" for n in names)
-    bounds = "n0 >= 1 and n0 <= 1e10 and t0 >= 0 and t0 <= 5e5 and t1 >= t0 and t2 <= t0 and p0 >= 0.1 and p0 <= 0.9 and abs(g0) <= 0.001"
-    return pairs.selectExpr("model_id", f"{bounds} as in_bounds", f"{close} as restored")
+    bounds = "n0 >= 1 and n0 <= 1e10 and t0 >= 0 and t0 <= 5e5 and t1 >= t0 and p0 >= 0.1 and p0 <= 0.9 and abs(g0) <= 0.001"
+    return pairs.selectExpr(
+        "model_id", *[f"round({n}, {9 if n in ('p0', 'g0') else 4}) + 0D as {n}" for n in names], f"{bounds} as in_bounds", f"{close} as restored"
+    )
 
 
 EPOCH_SQL = f"""{CAND_SQL}, ep as (
@@ -170,7 +184,24 @@ def graph(spark, sf):
 @query("m6_lineages", f"""with {CAND_SQL} select model_id, u.node, cast(u.n as bigint) as n from sc, lateral (values
   ('a:0', 4), ('b:0', 4), ('d:0', 2), ('a:1', 4), ('d:1', 6), ('b:1', 8), ('d:2', 10)) as u(node, n)""")
 def lineage_counts(spark, sf):
-    return lineages(resolve(candidates(spark, sf), with_pulse()), {"a": 4, "b": 4, "d": 2}, 3)
+    return lineages(resolve(candidates(spark, sf), with_pulse()), {"a": 4, "b": 4, "d": 2})
+
+
+CHAIN = 40
+
+
+@query("m6_deep_graph", f"""with m as (select s_suppkey as model_id from supplier where s_nationkey % 2 = 0), pop as (select i from range({CHAIN + 1}) t(i))
+ select model_id, 'p' || i || ':0' as node, cast(1 + i % 3 as bigint) as n from m, pop
+ union all select model_id, 'p' || j.i || ':1', cast(sum(1 + l.i % 3) as bigint) from m, pop j, pop l where j.i > 0 and l.i <= j.i group by all""")
+def deep_graph(spark, sf):
+    """A chain of 40 joins: each population moves into the next, so every node but the tips holds all before it."""
+    t = Template(N_E, GEN_TIME)
+    for i in range(CHAIN + 1):
+        t.add_leaf(f"p{i}")
+    for i in range(CHAIN):
+        t.move_lineages(f"p{i}", f"p{i + 1}", f"{1000 * (i + 1)} + extra")
+    models = table(spark, sf, "supplier").where("s_nationkey % 2 = 0").selectExpr("s_suppkey as model_id", "double(s_suppkey) as extra")
+    return lineages(resolve(models, t), {f"p{i}": 1 + i % 3 for i in range(CHAIN + 1)})
 
 
 @query("m7_e_het", f"""with {CAND_SQL}, t as (select model_id, ta, tr,

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.views import (
-    LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql, sites,
+    LONG_SQL, POPS, SAMPLED_N, SFS_SQL, TOTAL_SQL, blocks, combined, comb_sql, key_sql, r, r_sql, sites, table,
 )
 from freqloom.functions.configs import config_key
+from freqloom.operators.calls import count_alleles, map_samples
 from freqloom.operators.spectrum import Spectrum
 from freqloom.operators.stats import SpectrumStats, count_subsets_text, subsample_probability_text, subsample_table
 
@@ -386,6 +387,37 @@ def all_f2(spark, sf):
     return pair_columns(SpectrumStats(blocks(spark, sf)).all_f2())
 
 
+NATIONS_SQL = """calls as (
+  select (l_partkey - 1) // 20 as site, n_name as pop, case when l_linenumber = 7 then null else l_linenumber % 2 end as allele
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+ f as (select s.site, n_name as pop, coalesce(a, 0)::double as a, coalesce(d, 0)::double as d from (select distinct site from calls) s cross join nation
+   left join (select site, pop, count(*) filter (allele = 0) as a, count(*) filter (allele = 1) as d from calls group by all) c on c.site = s.site and c.pop = n_name),
+ q as (select *, (a + d) * (a + d - 1) / 2 as s, coalesce(a * (a - 1) / nullif((a + d) * (a + d - 1), 0), 0) as q00, coalesce(d * (d - 1) / nullif((a + d) * (a + d - 1), 0), 0) as q11,
+   coalesce(a * d / nullif((a + d) * (a + d - 1), 0), 0) as q01 from f),
+ w as (select site, site % 10 as block, product(s) as w, product(s) - product(a * (a - 1) / 2) - product(d * (d - 1) / 2) as den from q group by site having sum(a) > 0 and sum(d) > 0),
+ x as (select block, p.pop as pop1, r.pop as pop2, sum(w * (p.q11 * r.q00 + p.q00 * r.q11 - 2 * p.q01 * r.q01)) as x
+   from q p join q r on r.site = p.site and p.pop < r.pop join w on w.site = p.site group by all),
+ den as (select block, sum(den) as den from w group by block),
+ jk as (select pop1 || '|' || pop2 as stat, sum(x) over p / sum(den) over p as est, (sum(x) over p - x) / (sum(den) over p - den) as jack
+   from x join den using (block) window p as (partition by pop1, pop2))
+"""
+
+
+@query("t17_all_f2_many", f"with {NATIONS_SQL}" + PAIR_COLUMNS)
+def all_f2_of_many(spark, sf):
+    """The 25 nations as populations: 300 pairs as one vector per site, in one scan."""
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "(l_partkey - 1) div 20 as site", "concat('s', o_custkey) as sample", "if(l_linenumber = 7, null, l_linenumber % 2) as allele"
+    )
+    people = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
+    # 25 names at every scale.
+    pops = tuple(row.n_name for row in table(spark, sf, "nation").select("n_name").orderBy("n_name").collect())
+    counted = count_alleles(map_samples(line, people.selectExpr("concat('s', c_custkey) as sample", "n_name as pop")), ["site"], pops)
+    rows = counted.selectExpr("site % 10 as block", "n0 as anc", "n1 as der").where("exists(anc, x -> x > 0) and exists(der, x -> x > 0)")
+    stats = SpectrumStats(Spectrum.from_rows(rows, pops), {p: 2 for p in pops})
+    return pair_columns(stats.all_f2())
+
+
 @query("t20_fit", jack_sql(FULL_SQL, {**F4_TERMS, "bt": "pa * (1 - pb) + (1 - pa) * pb", "den": "1"}, {"f4": "(baba - abba)/den", "diff": "bt/den"})
        + f""", x as (select * from (values ('f4', cast(0.001 as double)), ('diff', cast(0.5 as double))) as v(stat, expected))
  select stat, expected, {r_sql("max(est)")} as observed, {r_sql("sqrt(avg((jack - est) * (jack - est)) * (count(*) - 1))")} as sd,

@@ -51,13 +51,6 @@ def comb_fold_text(n: str, k: str) -> str:
     return f"case when ({k}) < 0 or ({k}) > ({n}) then 0D when ({k}) = 0 then 1D else {fold} end"
 
 
-def hypergeometric_text(drawn_hits: str, population: str, hits: str, draws: str) -> str:
-    """P(drawn_hits of ``draws`` are hits) when ``population`` holds ``hits`` hits."""
-    hit = comb_fold_text(hits, drawn_hits)
-    miss = comb_fold_text(f"({population}) - ({hits})", f"({draws}) - ({drawn_hits})")
-    return f"({hit}) * ({miss}) / ({comb_fold_text(population, draws)})"
-
-
 def log_gamma_plus_one_text(x: str) -> str:
     """ln Gamma(x + 1) for x >= 0."""
     x = f"double({x})"
@@ -66,11 +59,6 @@ def log_gamma_plus_one_text(x: str) -> str:
     return f"({LOG_SQRT_2PI!r}D + ({x} + 0.5D) * ln({t}) - {t} + ln({series}))"
 
 
-def poisson_log_text(rate: str, count: str) -> str:
-    """-rate + count ln(rate) - ln Gamma(count + 1)."""
-    return f"(-({rate}) + ({count}) * ln({rate}) - {log_gamma_plus_one_text(count)})"
-
-
 def expm1_ratio_text(x: str) -> str:
     """(exp(x) - 1) / x, continued by its series around 0."""
     series = f"1D + ({x}) / 2D + ({x}) * ({x}) / 6D + ({x}) * ({x}) * ({x}) / 24D"
@@ -94,3 +82,40 @@ def truncated_exponential_text(u: str, low: str, high: str | None, scale: float)
     """Inverse CDF at ``u`` of an exponential with mean ``scale`` restricted to [low, high)."""
     mass = "1D" if high is None else f"(-expm1(-(({high}) - ({low})) / {float(scale)!r}D))"
     return f"(({low}) - {float(scale)!r}D * log1p(-({u}) * {mass}))"
+
+
+def uniform_text(*keys: str) -> str:
+    """A reproducible number in [0, 1) by a hash of the keys."""
+    return f"(pmod(xxhash64({', '.join(keys)}), {1 << 52}) / {float(1 << 52)}D)"
+
+
+def md5_uniform_text(*keys: str) -> str:
+    """The same by MD5 of the keys' text forms, joined by slashes: other systems can draw the same numbers."""
+    return f"(cast(conv(substr(md5(concat_ws('/', {', '.join(keys)})), 1, 13), 16, 10) as bigint) / {float(1 << 52)}D)"
+
+
+def hypergeometric_draw_text(u: str, population: str, hits: str, draws: str) -> str:
+    """How many of ``draws`` from ``population`` with ``hits`` hits are hits: the inverse distribution at ``u`` in [0, 1).
+
+    Probabilities follow from one another, in logarithms, beginning nine deviations below the mean or at the smallest
+    possible number, so the steps go with the deviation, not with the size of the population. Arguments are named often
+    and should be columns or variables.
+    """
+    size, k, n = f"double({population})", f"double({hits})", f"double({draws})"
+    lf = log_gamma_plus_one_text
+    spread = f"sqrt({n} * ({k} / {size}) * (1D - {k} / {size}) * greatest({size} - {n}, 0D) / greatest({size} - 1D, 1D))"
+    low = f"greatest(0D, {n} + {k} - {size}, floor({n} * {k} / {size} - 9D * {spread}) - 9D)"
+    high = f"least({n}, {k}, ceil({n} * {k} / {size} + 9D * {spread}) + 9D)"
+    first = (
+        f"{lf(k)} - {lf('b.low')} - {lf(f'{k} - b.low')} + {lf(f'{size} - {k}')} - {lf(f'{n} - b.low')}"
+        f" - {lf(f'{size} - {k} - {n} + b.low')} - {lf(size)} + {lf(n)} + {lf(f'{size} - {n}')}"
+    )
+    more = f"ln(({k} - s.at) * ({n} - s.at) / ((s.at + 1D) * ({size} - {k} - {n} + s.at + 1D)))"
+    # A state: the last number looked at, its log-probability, and what of u lies beyond it.
+    start = f"named_struct('at', b.low, 'lp', {first}, 'left', {u} - exp({first}))"
+    step = f"if(s.left < 0D, s, named_struct('at', s.at + 1D, 'lp', s.lp + {more}, 'left', s.left - exp(s.lp + {more})))"
+    fold = f"if(b.low >= b.high, b.low, aggregate(sequence(1L, bigint(b.high - b.low)), {start}, (s, i) -> {step}, s -> s.at))"
+    return (
+        f"if({draws} = 0 or {hits} = 0, 0L, if({draws} >= {population}, bigint({hits}),"
+        f" bigint(transform(array(named_struct('low', {low}, 'high', {high})), b -> {fold})[0])))"
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,36 +45,98 @@ def with_global_index(df: DataFrame, order: Sequence[str | Column], keep: Sequen
     )
 
 
-# Position bins per chromosome for the block histogram.
-BINS = 4096
+# Bins per power of two of the position, at least; more blocks than half of it have more bins.
+RESOLUTION = 256
+# Positions nearer to zero than this power of two share a bin, those beyond FARTHEST too.
+NEAREST, FARTHEST = -40, 1e300
 # A histogram of up to this many rows (some 40 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+# Bins to be read again are named one by one in the filter up to this many, beyond it by their joint range per chromosome.
+NAMED_BINS = 128
 _CHROM = "if(chrom_id is null, '0', concat('1', chrom_id))"
+_NO_POSITION, _NAN_POSITION = -(1 << 62), 1 << 62
 
 
-def with_blocks(sites: DataFrame, n_blocks: int) -> DataFrame:
+def resolution_for(n_blocks: int) -> int:
+    """Bins per power of two: a power of two itself, such that few rows lie in bins that hold a block boundary."""
+    return max(RESOLUTION, 1 << (2 * n_blocks - 1).bit_length())
+
+
+def bin_text(resolution: int) -> str:
+    """The bin of a position: its power of two and the linear part within. Bins depend on no data, so counts of parts add up.
+
+    Where ``log2`` is off by one next to a power of two, the linear part makes up for it.
+    """
+    size = f"least(abs(position), {FARTHEST!r}D)"
+    power = f"floor(log2({size}))"
+    inside = f"({power} - {NEAREST}) * {resolution}L + floor(({size} / power(2D, {power}) - 1D) * {resolution})"
+    return (
+        f"case when position is null then {_NO_POSITION}L when isnan(position) then {_NAN_POSITION}L"
+        f" when {size} < {2.0**NEAREST!r}D then 0L else bigint(sign(position)) * (1L + {inside}) end"
+    )
+
+
+def bin_range(number: int, resolution: int) -> tuple[float, float]:
+    """A closed range of positions that holds a bin's; a little wider than the bin."""
+    if number == 0:
+        return -(2.0**NEAREST), 2.0**NEAREST
+    power, step = divmod(abs(number) - 1, resolution)
+    unit = 2.0 ** (power + NEAREST)
+    low, high = unit * (1 + step / resolution) * (1 - 1e-9), unit * (1 + (step + 1) / resolution) * (1 + 1e-9)
+    high = float("inf") if high >= FARTHEST else high
+    return (low, high) if number > 0 else (-high, -low)
+
+
+def position_histogram(sites: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """``(chrom, bin, n)``: how many sites lie in each bin. Reads two columns; histograms of parts of the data add up."""
+    return sites.selectExpr(f"{_CHROM} as chrom", f"{bin_text(resolution)} as bin").groupBy("chrom", "bin").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def coarser(histogram: DataFrame, resolution: int, wanted: int) -> DataFrame:
+    """A histogram of ``resolution`` bins per power of two as one of ``wanted``; both are powers of two."""
+    steps = resolution // wanted
+    number = f"case when bin = 0 or abs(bin) >= {_NAN_POSITION}L then bin else bigint(sign(bin)) * ((abs(bin) - 1) div {steps} + 1) end"
+    return histogram.selectExpr("chrom", f"{number} as bin", "n").groupBy("chrom", "bin").agg(F.sum("n").alias("n"))
+
+
+def _cut_filter(cuts: list, resolution: int) -> Column:
+    """A condition on chromosome and position that all rows of the ``cuts`` meet and that a source can apply by itself."""
+    by_chrom: dict[str, list[int]] = {}
+    for c in cuts:
+        by_chrom.setdefault(c.chrom, []).append(c.bin)
+    conditions = []
+    for chrom, bins in sorted(by_chrom.items()):
+        here = F.col("chrom_id") == F.lit(chrom[1:]) if chrom != "0" else F.col("chrom_id").isNull()
+        real = [bin_range(b, resolution) for b in sorted(bins) if abs(b) < _NAN_POSITION]
+        if len(cuts) > NAMED_BINS and real:
+            real = [(real[0][0], real[-1][1])]
+        places = [F.col("position").between(*r) for r in real]
+        places += [F.col("position").isNull()] * (_NO_POSITION in bins) + [F.isnan("position")] * (_NAN_POSITION in bins)
+        conditions.append(here & reduce(Column.__or__, places))
+    return reduce(Column.__or__, conditions) if conditions else F.lit(False)
+
+
+def with_blocks(sites: DataFrame, n_blocks: int, histogram: DataFrame | None = None) -> DataFrame:
     """``anc``, ``der`` and ``block`` = floor(rank / (rows / n_blocks)), rows ranked by chromosome, position, configuration.
 
-    A full sort is not needed to know a row's block. The four columns are fixed in the checkpoint folder once, and a
-    histogram over (chromosome, position bin) gives the rank at which each bin starts, so every bin that lies inside one
-    block is settled by a join with that small table. Only rows of bins that hold a block boundary, at most one bin per
-    boundary, are ranked exactly; a bin that holds much of the data is safe, because that ranking splits even repeated keys.
-    A missing chromosome sorts before all names, a missing position before all positions of its chromosome, and NaN after
-    them. Calling this runs the job that fixes the rows.
+    A full sort is not needed to know a row's block. A histogram over (chromosome, position bin) gives the rank at which each
+    bin starts, so every bin that lies inside one block is settled by a join with that small table: those rows are read from
+    the source when the result is, and fixed nowhere. Only bins that hold a block boundary, at most one per boundary, are
+    read a second time, by a filter on chromosome and position, and ranked exactly; a bin that holds much of the data is safe,
+    because that ranking splits even repeated keys. A missing chromosome sorts before all names, a missing position before all
+    positions of its chromosome, and NaN after them.
+
+    Calling this runs the jobs for the histogram, which alone is fixed, and for the rows ranked. ``histogram`` may be given
+    where it is stored (:func:`position_histogram` at ``resolution_for(n_blocks)``). The source must give the same rows each
+    time; rows of the bins ranked that come and go are an error.
     """
     order = ["chrom_id", "position", "anc", "der"]
-    fixed = cut_lineage(sites.select(*order))
-    real = "case when not isnan(position) then position end"
-    edges = fixed.selectExpr(f"min({real}) as low", f"max({real}) as high").first()
-    width = ((edges.high - edges.low) / BINS or 1.0) if edges.low is not None else 1.0
-    low = edges.low or 0.0
-    binned = fixed.selectExpr(
-        *order, f"{_CHROM} as chrom",
-        f"case when position is null then -1L when isnan(position) then {BINS + 1}L"
-        f" else bigint(floor((position - {low!r}D) / {width!r}D)) end as bin",
-    )
-    sizes = binned.groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("n"))
-    # Start ranks in two levels: bins inside their chromosome (at most BINS + 3 rows), then one row per chromosome.
+    resolution = resolution_for(n_blocks)
+    sizes = position_histogram(sites, resolution) if histogram is None else histogram
+    # Start ranks in two levels: bins inside their chromosome, then one row per chromosome.
+    sizes = cut_lineage(sizes.groupBy("chrom", "bin").agg(F.sum("n").alias("n")))
     inside = sizes.selectExpr("chrom", "bin", "n", "sum(n) over (partition by chrom order by bin) - n as start_inside")
     chroms = sizes.groupBy("chrom").agg(F.sum("n").alias("m")).selectExpr(
         "chrom", "sum(m) over (order by chrom) - m as start_chrom", "sum(m) over () as total"
@@ -84,20 +147,27 @@ def with_blocks(sites: DataFrame, n_blocks: int) -> DataFrame:
         "chrom", "bin", "start", "span", "n", "bigint(floor(start / span)) as block",
         "floor(start / span) <> floor((start + n - 1) / span) as cut",
     )
-    table = cut_lineage(spans)
-    lookup = table.select("chrom", "bin", "block", "cut")
-    if table.count() <= BROADCAST_ROWS:
+    # At most one row per block boundary.
+    cuts = spans.where("cut").selectExpr("chrom", "bin", "n", "span", "start").collect()
+    lookup = spans.where("not cut").select("chrom", "bin", "block")
+    if sizes.count() <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    placed = binned.join(lookup, ["chrom", "bin"])
-    settled = placed.where("not cut").select("anc", "der", "block")
+    binned = sites.selectExpr(*order, f"{_CHROM} as chrom", f"{bin_text(resolution)} as bin")
+    settled = binned.join(lookup, ["chrom", "bin"]).select("anc", "der", "block")
+    if not cuts:
+        return settled
 
-    # Ranks among the rows of cut bins, shifted to where each bin starts; there are fewer cut bins than blocks.
-    cuts = table.where("cut").selectExpr(
-        "chrom", "bin", "span", "start - (sum(n) over (order by start) - n) as shift"
-    )
-    near = placed.where("cut").drop("block", "cut")
+    # Ranks among the rows of cut bins, shifted to where each bin starts.
+    before, shifts = 0, []
+    for c in sorted(cuts, key=lambda c: c.start):
+        shifts.append((c.chrom, c.bin, c.span, c.start - before))
+        before += c.n
+    names = F.broadcast(sites.sparkSession.createDataFrame(shifts, "chrom string, bin bigint, span double, shift bigint"))
+    again = sites.where(_cut_filter(cuts, resolution)).selectExpr(*order, f"{_CHROM} as chrom", f"{bin_text(resolution)} as bin")
+    near = again.join(names.select("chrom", "bin"), ["chrom", "bin"], "left_semi")
     ranked = with_global_index(near, order, ["chrom", "bin", "anc", "der"])
-    exact = ranked.join(F.broadcast(cuts), ["chrom", "bin"]).selectExpr(
-        "anc", "der", "bigint(floor((row_index + shift) / span)) as block"
-    )
+    first = ranked.select("row_total").first()
+    if (0 if first is None else first.row_total) != before:
+        raise ValueError("the sites changed between two reads; write them to a table first")
+    exact = ranked.join(names, ["chrom", "bin"]).selectExpr("anc", "der", "bigint(floor((row_index + shift) / span)) as block")
     return settled.unionByName(exact)

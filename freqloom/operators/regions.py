@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Width of the bins that turn the overlap into an equality join. A few intervals and sites share a bin.
-BIN_WIDTH = 16384
+# Width of the finest bins, and how many of them make one of the next level; the last level is one bin.
+BIN_WIDTH, BIN_STEP, BIN_LEVELS = 16384, 8, 6
 
 
 def region_length(bed: DataFrame) -> DataFrame:
@@ -14,25 +14,39 @@ def region_length(bed: DataFrame) -> DataFrame:
     return bed.selectExpr("double(coalesce(sum(end_pos - start_pos), 0)) as length")
 
 
+def _level_text(start: str, end: str, bin_width: int) -> str:
+    """The finest level at which one bin holds all of [start, end); the last level, of one bin, holds everything."""
+    cases = []
+    for level in range(BIN_LEVELS):
+        width = bin_width * BIN_STEP**level
+        cases.append(f"when floor({start} / {width}) = floor(({end} - 1) / {width}) then {level}")
+    return f"case {' '.join(cases)} else {BIN_LEVELS} end"
+
+
+def _bin_of(place: str, bin_width: int) -> str:
+    """The bin of a place at the level in the column ``_level``."""
+    cases = " ".join(f"when {level} then bigint(floor({place} / {bin_width * BIN_STEP**level}))" for level in range(BIN_LEVELS))
+    return f"case _level {cases} else 0L end"
+
+
 def within_regions(
     records: DataFrame, bed: DataFrame, ref_length: str = "1", bin_width: int = BIN_WIDTH
 ) -> DataFrame:
     """Records (``chrom_id``, 1-based ``position``) once for each interval of ``bed`` that they overlap.
 
-    A record covers ``ref_length`` reference bases. Both sides are cut into bins and joined on (chromosome, bin); a pair
-    that shares several bins is kept in the first of them only. The join needs no hint: its strategy, and the splitting
-    of a hot bin, follow the measured sizes.
+    A record covers ``ref_length`` reference bases. Bins are nested: an interval has one row, in the finest bin that holds all
+    of it, however long it is. A record looks up the bins that it touches at each level that intervals have (one for a single
+    base), and both sides are joined on (chromosome, level, bin), so a pair meets once. The levels present, at most seven
+    numbers, are asked from ``bed`` first. The join needs no hint: its strategy, and the splitting of a hot bin, follow the
+    measured sizes. Empty intervals and rows without a chromosome or place match nothing.
     """
-    bins = "explode(sequence(bigint(floor({a} / {w})), bigint(floor(({b} - 1) / {w})))) as _bin"
-    first_bin = f"_bin = greatest(bigint(floor(_start / {bin_width})), bigint(floor(_bed_start / {bin_width})))"
-    regions = bed.where("end_pos > start_pos").selectExpr(
-        "chrom_id", "bigint(start_pos) as _bed_start", "bigint(end_pos) as _bed_end",
-        bins.format(a="start_pos", b="end_pos", w=bin_width),
-    )
+    regions = bed.where("end_pos > start_pos").selectExpr("chrom_id", "bigint(start_pos) as _bed_start", "bigint(end_pos) as _bed_end")
+    regions = regions.withColumn("_level", F.expr(_level_text("_bed_start", "_bed_end", bin_width)))
+    levels = sorted(r["_level"] for r in regions.select("_level").distinct().collect())
+    regions = regions.withColumn("_bin", F.expr(_bin_of("_bed_start", bin_width)))
     spans = records.selectExpr(
-        "*", "bigint(position) - 1 as _start", f"bigint(position) - 1 + {ref_length} as _end"
-    ).selectExpr("*", bins.format(a="_start", b="_end", w=bin_width))
-    joined = spans.join(regions, ["chrom_id", "_bin"]).where(
-        F.expr(f"_start < _bed_end and _end > _bed_start and {first_bin}")
-    )
+        "*", "bigint(position) - 1 as _start", f"bigint(position) - 1 + {ref_length} as _end",
+        f"explode(cast(array({', '.join(map(str, levels))}) as array<int>)) as _level",
+    ).selectExpr("*", f"explode(sequence({_bin_of('_start', bin_width)}, {_bin_of('greatest(_end - 1, _start)', bin_width)})) as _bin")
+    joined = spans.join(regions, ["chrom_id", "_level", "_bin"]).where("_start < _bed_end and _end > _bed_start")
     return joined.select(*records.columns)

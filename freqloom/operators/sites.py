@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import is_polymorphic, pick
+from freqloom.functions.scalar import hypergeometric_draw_text, uniform_text
+from freqloom.operators.checksums import keys_that_differ, rows_that_differ
 from freqloom.operators.ordering import with_blocks, with_global_index
 from freqloom.operators.spectrum import Spectrum
 
 # Consecutive rows looked at together when runs are found.
 RUN_BUCKET = 1 << 20
+# Equal sites spelled out from one row.
+COPY_RUN = 1 << 14
+SITE = ("chrom_id", "position", "anc", "der")
 ACCOUNTING = "length DOUBLE, n_read BIGINT, n_excluded BIGINT"
 
 
@@ -117,67 +122,79 @@ class SiteTable:
         return cls(df, first.pops, book, first.non_ascertained, any(t.folded for t in tables), n)
 
     def differences(self, other: SiteTable) -> DataFrame:
-        """Sites that only one of two tables has, with the side; empty when the rows are equal."""
-        return (
-            self.df.exceptAll(other.df).withColumn("side", F.lit("left"))
-            .unionByName(other.df.exceptAll(self.df).withColumn("side", F.lit("right")))
-        )
+        """Sites that only one of two tables has, with the side; empty when the rows are equal.
+
+        Checksums per chromosome tell where the tables differ; only those chromosomes' rows are compared. Calling this runs
+        the job of the checksums.
+        """
+        return rows_that_differ(self.df, other.df, "chrom_id", SITE)
 
     def equals(self, other: SiteTable) -> bool:
-        """Same sites, populations, folding and accounting."""
+        """Same sites, populations, folding and accounting; the sites by their checksums, without a shuffle of rows."""
         same = (self.pops, self.folded) == (other.pops, other.folded)
-        return same and self.book.first() == other.book.first() and self.differences(other).isEmpty()
+        return same and self.book.first() == other.book.first() and not keys_that_differ(self.df, other.df, "chrom_id", SITE).take(1)
 
     def sorted(self) -> DataFrame:
-        """Rows by chromosome (as text), position and configuration; a range shuffle, meant for writing."""
-        return self.df.orderBy("chrom_id", "position", "anc", "der")
+        """Rows by chromosome (as text), position and configuration; a range shuffle, meant for writing.
+
+        A tie-breaker lets full ties go to several partitions.
+        """
+        return self.df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*SITE, "_tie").drop("_tie")
 
-    def down_sample(self, targets: dict[str, int], seed: int = 0) -> SiteTable:
+    def down_sample(
+        self, targets: dict[str, int], seed: int = 0, uniform: Callable[[int], str] | None = None, distinct: bool = False
+    ) -> SiteTable:
         """Draw without replacement at most ``targets[pop]`` alleles per site.
 
-        Each site draws its ancestral count by sequential sampling inside the row: allele k of the draw is ancestral
-        with probability (ancestral left) / (alleles left). The numbers are hashes of chromosome, position, configuration,
-        population and ``seed``: no shuffle, and the same for any partitioning. Rows that repeat all of these draw alike.
+        Each site draws its ancestral count from the hypergeometric distribution, by one uniform number for each population:
+        a hash of chromosome, position, configuration, the number of the site among those that agree in all of these,
+        population and ``seed``. Sites that repeat, as sites without a position often do, so draw independently, and the
+        result is the same for any partitioning. Equal sites are counted by one aggregation and spelled out again, in pieces
+        where they are many; a table known to have no equal sites goes without it by ``distinct``. ``uniform`` may give the
+        SQL text of another number in [0, 1) for the i-th population, over the columns chrom_id, position, anc, der, copy.
         """
+        uniform = uniform or (lambda i: uniform_text("draw", str(i)))
         wanted = {self.pops.index(p): n for p, n in targets.items()}
-        new_anc, new_der = [], []
-        for i in range(len(self.pops)):
-            anc, der = f"anc[{i}]", f"der[{i}]"
-            if i in wanted:
-                n = wanted[i]
-                over = f"{anc} + {der} > {n}"
-                drawn = _sequential_draw_text(anc, f"{anc} + {der}", n, "draw", i)
-                anc, der = f"case when {over} then {drawn} else {anc} end", f"case when {over} then {n} - {drawn} else {der} end"
-            new_anc.append(anc)
-            new_der.append(der)
-        df = self.df.withColumn("draw", F.xxhash64("chrom_id", "position", "anc", "der", F.lit(int(seed)))).selectExpr(
-            "chrom_id", "position", f"array({', '.join(new_anc)}) as anc", f"array({', '.join(new_der)}) as der"
+        copies = self.df.withColumn("copy", F.lit(0).cast("bigint")) if distinct else _numbered_copies(self.df)
+        drawn = copies.withColumn("draw", F.xxhash64(*SITE, "copy", F.lit(int(seed))))
+        for i, n in wanted.items():
+            got = hypergeometric_draw_text(uniform(i), f"(anc[{i}] + der[{i}])", f"anc[{i}]", str(n))
+            drawn = drawn.withColumn(f"got{i}", F.expr(f"case when anc[{i}] + der[{i}] > {n} then int({got}) end"))
+        new_anc, new_der = (
+            [f"coalesce({f'got{i}' if side == 'anc' else f'{wanted[i]} - got{i}'}, {side}[{i}])" if i in wanted else f"{side}[{i}]" for i in range(len(self.pops))]
+            for side in ("anc", "der")
         )
+        df = drawn.selectExpr("chrom_id", "position", f"array({', '.join(new_anc)}) as anc", f"array({', '.join(new_der)}) as der")
         return replace(self, df=df, sampled_n=None)
 
-    def _spectrum(self, blocked: DataFrame) -> Spectrum:
-        kept = blocked.where(is_polymorphic(self.ascertained_indices))
-        counted = kept.groupBy("block", "anc", "der").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    def spectrum_of_counts(self, counted: DataFrame) -> Spectrum:
+        """Spectrum of this table's sites from their counts ``(block, anc, der, cnt)`` by any kind of block."""
+        kept = counted.where(is_polymorphic(self.ascertained_indices))
+        summed = kept.groupBy("block", "anc", "der").agg(F.sum("cnt").cast("double").alias("cnt"))
         out = Spectrum(
-            counted, self.pops, self.excluded_fraction().select(F.col("effective_length").alias("length")),
+            summed, self.pops, self.excluded_fraction().select(F.col("effective_length").alias("length")),
             self.non_ascertained, False, self.sampled_n,
         )
         return out.fold() if self.folded else out
 
+    def spectrum_of_rows(self, blocked: DataFrame) -> Spectrum:
+        """The same from one row ``(block, anc, der)`` per site."""
+        return self.spectrum_of_counts(blocked.withColumn("cnt", F.lit(1).cast("bigint")))
+
     def extract_blocks(self, n_blocks: int) -> Spectrum:
         """Spectrum per block of (nearly) equal numbers of consecutive sites, counted before the polymorphism filter."""
-        return self._spectrum(with_blocks(self.df, n_blocks))
+        return self.spectrum_of_rows(with_blocks(self.df, n_blocks))
 
     def p_missing(self) -> DataFrame:
         """``(pop, p_missing)`` of the polymorphic sites, from their configuration counts: one aggregation, no blocks."""
-        return self._spectrum(self.df.withColumn("block", F.lit(0).cast("bigint"))).p_missing()
+        return self.spectrum_of_rows(self.df.withColumn("block", F.lit(0).cast("bigint"))).p_missing()
 
     def extract_by_chromosome(self) -> Spectrum:
         """Spectrum per chromosome; blocks are numbered in chromosome (text) order.
 
         For a table stored in sorted order this equals one block per run of equal chromosome ids.
         """
-        counted = self._spectrum(self.df.withColumn("block", F.col("chrom_id")))
+        counted = self.spectrum_of_rows(self.df.withColumn("block", F.col("chrom_id")))
         return counted.renumbered()
 
     def extract_by_runs(self, stored_order: str) -> Spectrum:
@@ -207,13 +224,15 @@ class SiteTable:
             "_bucket", (F.coalesce(F.sum(F.col("_starts") + F.col("_opens")).over(before), F.lit(0)) + F.col("_opens")).alias("_before")
         )
         runs = changes.join(offsets, "_bucket").withColumn("block", F.col("_before") + F.col("_inside") - 1)
-        return self._spectrum(runs.select("anc", "der", "block"))
+        return self.spectrum_of_rows(runs.select("anc", "der", "block"))
 
 
-def _sequential_draw_text(hits: str, size: str, n: int, draw: str, salt: int) -> str:
-    """Hits among ``n`` draws without replacement, each step using its own hash-derived uniform number."""
-    if n == 0:
-        return "0"
-    uniform = f"pmod(xxhash64({draw}, {salt}, k), {1 << 40}) / {float(1 << 40)}D"
-    step = f"case when {uniform} * ({size} - k) < {hits} - got then 1 else 0 end"
-    return f"aggregate(sequence(0, {n - 1}), 0, (got, k) -> got + {step})"
+def _numbered_copies(df: DataFrame) -> DataFrame:
+    """Sites with ``copy``, their number among the sites equal to them; up to COPY_RUN of them are spelled out in place."""
+    counted = df.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"))
+    few = counted.where(f"n <= {COPY_RUN}").selectExpr(*SITE, "explode(sequence(0L, n - 1)) as copy")
+    runs = counted.where(f"n > {COPY_RUN}").selectExpr(*SITE, "n", f"explode(sequence(0L, (n - 1) div {COPY_RUN})) as run")
+    many = runs.repartition(*SITE, "run").selectExpr(
+        *SITE, f"explode(sequence(run * {COPY_RUN}, least(n, (run + 1) * {COPY_RUN}) - 1)) as copy"
+    )
+    return few.unionByName(many)

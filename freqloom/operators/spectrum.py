@@ -14,6 +14,7 @@ from freqloom.functions.configs import (
     polymorphic_text, quoted, sizes, sum_text,
 )
 from freqloom.functions.scalar import log_gamma_plus_one_text, product_text
+from freqloom.operators.checksums import keys_that_differ, rows_that_differ
 from freqloom.operators.ordering import with_global_index
 from freqloom.session import cut_lineage
 
@@ -291,15 +292,16 @@ class Spectrum:
         return checked.selectExpr(*sums).unpivot([], list(rows), "row", "value")
 
     def differences(self, other: Spectrum) -> DataFrame:
-        """Rows that only one of two spectra has, with the side; empty when they are equal."""
-        mine, theirs = self.df.select("block", "anc", "der", "cnt"), other.df.select("block", "anc", "der", "cnt")
-        return (
-            mine.exceptAll(theirs).withColumn("side", F.lit("left"))
-            .unionByName(theirs.exceptAll(mine).withColumn("side", F.lit("right")))
-        )
+        """Rows that only one of two spectra has, with the side; empty when they are equal.
+
+        Checksums per block tell where the spectra differ; only those blocks' rows are compared. Calling this runs the job of
+        the checksums.
+        """
+        return rows_that_differ(self.df, other.df, "block", ("block", "anc", "der", "cnt"))
 
     def equals(self, other: Spectrum) -> bool:
-        return self.pops == other.pops and self.differences(other).isEmpty()
+        """Same populations and rows, by checksums per block, without a shuffle of rows."""
+        return self.pops == other.pops and not keys_that_differ(self.df, other.df, "block", ("block", "anc", "der", "cnt")).take(1)
 
 
 def full_configs(

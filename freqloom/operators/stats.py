@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ from freqloom.operators.spectrum import Spectrum
 TERMS_PER_SCAN = 120
 
 Lookup = Callable[[str], str]
+#: Ancestral and derived alleles drawn from a population.
+Draw = tuple[int, int]
+#: Pairs of draws whose weighted chances make a pairwise statistic.
+F2_PATTERNS = ((1.0, (0, 2), (2, 0)), (1.0, (2, 0), (0, 2)), (-2.0, (1, 1), (1, 1)))
+IBS_PATTERNS = ((1.0, (1, 0), (1, 0)), (1.0, (0, 1), (0, 1)))
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,12 @@ class Stat:
         return Stat._lift(other) ** self
 
 
+def _ratio_text(anc: str, der: str, k0: int, k1: int) -> str:
+    """Chance of drawing ``k0`` ancestral, then ``k1`` derived alleles; 0 where there are too few."""
+    drawn = f"({falling_text(anc, k0)}) * ({falling_text(der, k1)})"
+    return f"coalesce(try_divide({drawn}, {falling_text(f'{anc} + {der}', k0 + k1)}), 0D)"
+
+
 def content_name(value) -> str:
     """A short name that follows from the value."""
     return hashlib.md5(repr(list(value)).encode()).hexdigest()[:16]
@@ -392,7 +405,83 @@ class SpectrumStats:
         ).orderBy(F.expr("abs(z)").desc_nulls_last())
 
     def all_f2(self, expected: DataFrame | None = None) -> DataFrame:
-        return self.pair_table(self.all_f2_stats(), expected)
+        """f2 of all pairs of populations with two alleles or more, as :meth:`pair_table` gives it."""
+        return self._pair_summary(sorted(p for p, n in self.sampled_n.items() if n > 1), F2_PATTERNS, False, expected)
 
     def all_pairs_ibs(self, expected: DataFrame | None = None) -> DataFrame:
-        return self.pair_table(self.all_ibs_stats(), expected)
+        """Chance that two alleles are the same, for all pairs of populations and, with two alleles or more, within them."""
+        return self._pair_summary(sorted(self.sampled_n), IBS_PATTERNS, True, expected)
+
+    def _pair_sums(self, pops: Sequence[str], patterns: Sequence[tuple[float, Draw, Draw]], within: bool) -> tuple[DataFrame, str]:
+        """``(block, sums)`` and the text of the array of pairs: a vector per block, one entry per pair and the normaliser.
+
+        A configuration has one array of population facts and one of values, and vectors are added up as such, so neither the
+        number of columns nor the text of the plan grows with the number of pairs.
+        """
+        index = self.spectrum.pops.index
+        every = list(self.sampled_n)
+        place = f"array({', '.join(str(every.index(p)) for p in pops)})"
+        own = ", ".join(
+            f"named_struct('a', anc[{index(p)}], 'd', der[{index(p)}], 'k', {n}, 'asc', {str(p in self._ascertained).lower()})"
+            for p, n in self.sampled_n.items()
+        )
+        draws = {d for _, *both in patterns for d in both}
+        if within:
+            draws |= {(x[0] + y[0], x[1] + y[1]) for _, x, y in patterns}
+        draws = sorted(draws)
+        ratios = ", ".join(f"'q{x}{y}', {_ratio_text('x.a', 'x.d', x, y)}" for x, y in draws)
+        facts = (
+            f"transform(array({own}), x -> named_struct('asc', x.asc, 'all', {comb_fold_text('x.a + x.d', 'x.k')},"
+            f" 'anc', {comb_fold_text('x.a', 'x.k')}, 'der', {comb_fold_text('x.d', 'x.k')}, 'k', x.k, {ratios}))"
+        )
+        whole = "aggregate(w, 1D, (t, x) -> t * x.all)"
+        one_sided = lambda side: f"aggregate(w, 1D, (t, x) -> t * if(x.asc, x.{side}, x.all))"
+        rows = self.spectrum.df.selectExpr("block", "cnt", f"{facts} as w").selectExpr(
+            "block", "cnt", "w", f"{whole} as s", f"{one_sided('anc')} as sa", f"{one_sided('der')} as sd"
+        )
+
+        def product(*drawn: tuple[str, Draw]) -> str:
+            """The weight of drawing from each of the populations, less what is not polymorphic."""
+            sides = [" * ".join(["s", *[f"{w}.q{x}{y}" for w, (x, y) in drawn]])]
+            for total, zero in (("sa", 1), ("sd", 0)):
+                sides.append(" * ".join([total, *[f"if({w}.asc, {float(d[zero] == 0)!r}D, {w}.q{d[0]}{d[1]})" for w, d in drawn]]))
+            return f"({' - '.join(sides)})"
+
+        value = " + ".join(f"{weight!r}D * {product(('z.u', x), ('z.v', y))}" for weight, x, y in patterns)
+        first = "i" if within else "i + 1"
+        last = len(pops) - 1
+        pairs = f"flatten(transform(sequence(0, {last if within else last - 1}), i -> transform(sequence({first}, {last}), j -> named_struct('i', i, 'j', j))))"
+        if within:
+            same = " + ".join(product(("z.u", (x[0] + y[0], x[1] + y[1]))) for _, x, y in patterns)
+            value = f"if(x.i = x.j, {same}, {value})"
+            many = f"array({', '.join(str(self.sampled_n[p] > 1).lower() for p in pops)})"
+            pairs = f"filter({pairs}, x -> x.i <> x.j or {many}[x.i])"
+        bound = f"transform(array(named_struct('u', w[{place}[x.i]], 'v', w[{place}[x.j]])), z -> {value})[0]"
+        vector = rows.selectExpr("block", f"transform(concat(transform({pairs}, x -> {bound}), array(s - sa - sd)), y -> cnt * y) as y")
+        sums = vector.groupBy("block").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("y")))).alias("sums"))
+        return sums, pairs
+
+    def _pair_summary(self, pops: Sequence[str], patterns: Sequence[tuple[float, Draw, Draw]], within: bool, expected: DataFrame | None) -> DataFrame:
+        """Pairs with jackknife errors, from the blocks' vectors; sorted by the size of z."""
+        names = f"array({', '.join(quoted(p) for p in pops)})"
+        none = "pop1 string, pop2 string, expected double, observed double, z double"
+        if len(pops) < (1 if within else 2):
+            return self.spectrum.df.sparkSession.createDataFrame([], none)
+        sums, pairs = self._pair_sums(pops, patterns, within)
+        total = sums.agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("t")).scalar()
+        # One row per block and pair.
+        rest = "try_divide(t[k] - sums[k], element_at(t, -1) - element_at(sums, -1))"
+        rows = sums.withColumn("t", total).withColumn("pairs", F.expr(pairs)).selectExpr(
+            "posexplode(pairs) as (k, p)", "t", "sums"
+        ).selectExpr("p", "try_divide(t[k], element_at(t, -1)) as est", f"{rest} as jack")
+        whole = "count(jack - est) = count(*)"
+        out = rows.groupBy("p").agg(
+            F.first("est").alias("observed"), F.expr(f"case when {whole} then sqrt(avg((jack - est) * (jack - est)) * (count(*) - 1)) end").alias("sd")
+        ).selectExpr(f"{names}[p.i] as pop1", f"{names}[p.j] as pop2", "observed", "sd")
+        if expected is None:
+            out = out.withColumn("expected", F.lit(0.0))
+        else:
+            out = out.join(expected.select("pop1", "pop2", "expected"), ["pop1", "pop2"], "left")
+        return out.selectExpr("pop1", "pop2", "expected", "observed", "try_divide(observed - expected, sd) as z").orderBy(
+            F.expr("abs(z)").desc_nulls_last()
+        )

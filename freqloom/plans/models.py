@@ -7,14 +7,15 @@ together. Times are scaled by 4 N_e gen_time, sizes by N_e and growth rates by i
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freqloom.functions.configs import quoted
-from freqloom.functions.scalar import expit_text, expm1_ratio_text, logit_text, truncated_exponential_text
+from freqloom.functions.scalar import expit_text, expm1_ratio_text, logit_text, truncated_exponential_text, uniform_text
+from freqloom.session import cut_lineage
 
 Value = float | int | str | None
 
@@ -147,15 +148,18 @@ def _extreme(function: str, texts: Sequence[str]) -> str:
 # ---- candidates -------------------------------------------------------------------------------------------------
 
 
-def draw_candidates(models: DataFrame, template: Template, seed: int = 0) -> DataFrame:
+def draw_candidates(
+    models: DataFrame, template: Template, seed: int = 0, uniform: Callable[[int], str] | None = None
+) -> DataFrame:
     """One random value per parameter for each row of ``models(model_id, ...)``, in parameter order.
 
-    A uniform number is a hash of (model, parameter, seed), so the draw does not depend on the partitioning.
+    A uniform number is a hash of (model, parameter, seed), so the draw does not depend on the partitioning. ``uniform`` may
+    give the SQL text of another number in [0, 1) for the i-th parameter.
     """
+    uniform = uniform or (lambda i: uniform_text("model_id", str(i), str(int(seed))))
     out = models
     for i, parameter in enumerate(template.parameters):
-        uniform = f"(pmod(xxhash64(model_id, {i}, {int(seed)}), {1 << 52}) / {float(1 << 52)}D)"
-        out = out.withColumn(parameter.name, F.expr(parameter.draw.format(u=uniform)))
+        out = out.withColumn(parameter.name, F.expr(parameter.draw.format(u=uniform(i))))
     return out
 
 
@@ -325,21 +329,30 @@ def edges(events: DataFrame) -> DataFrame:
     )
 
 
-def lineages(events: DataFrame, sampled_n: Mapping[str, int], n_topology: int) -> DataFrame:
+def lineages(events: DataFrame, sampled_n: Mapping[str, int]) -> DataFrame:
     """``(model_id, node, n)``: sampled alleles below every node.
 
-    Leaves climb the edges once per topology event at most; each round is one join on (model, node) of the newest pairs.
+    Models whose events come in the same order share their graph, so only one model of each order is looked at. Ancestors
+    are found by doubling: paths of up to 1, 2, 4, ... edges are joined with themselves until no pair is new, so the rounds are
+    about the logarithm of the graph's depth, whatever the number of events. Each round is fixed in the checkpoint folder:
+    the plan does not grow. Calling this runs these rounds.
     """
-    up = edges(events).select("model_id", F.col("child").alias("node"), "parent").distinct()
-    tips = ", ".join(f"struct('{p}' as leaf, {int(n)} as n)" for p, n in sampled_n.items())
-    reached = events.select("model_id").distinct().selectExpr("model_id", f"inline(array({tips}))").selectExpr(
-        "model_id", "leaf", "n", "concat(leaf, ':0') as node"
-    )
-    newest, every = reached, reached
-    for _ in range(n_topology):
-        newest = newest.join(up, ["model_id", "node"]).select("model_id", "leaf", "n", F.col("parent").alias("node")).distinct()
-        every = every.unionByName(newest)
-    return every.distinct().groupBy("model_id", "node").agg(F.sum("n").alias("n"))
+    orders = signed(events).select("model_id", "signature").distinct()
+    one = orders.groupBy("signature").agg(F.min("model_id").alias("model_id"))
+    graph = edges(events.join(one, "model_id", "left_semi")).select("model_id", "child", "parent").distinct()
+    nodes = graph.selectExpr("model_id", "inline(array(struct(child as node), struct(parent as node)))").distinct()
+    paths = cut_lineage(graph.unionByName(nodes.selectExpr("model_id", "node as child", "node as parent")))
+    known, size = -1, paths.count()
+    while size != known:
+        step = paths.selectExpr("model_id", "child as parent", "parent as top")
+        paths = cut_lineage(paths.join(step, ["model_id", "parent"]).selectExpr("model_id", "child", "top as parent").distinct())
+        known, size = size, paths.count()
+    tips = ", ".join(f"struct({quoted(p + ':0')} as child, {int(n)} as n)" for p, n in sampled_n.items())
+    leaves = one.selectExpr("model_id", f"inline(array({tips}))")
+    above = leaves.join(paths, ["model_id", "child"], "left").selectExpr("model_id", "coalesce(parent, child) as node", "n")
+    below = above.groupBy("model_id", "node").agg(F.sum("n").alias("n"))
+    shared = below.join(one, "model_id").select("signature", "node", "n")
+    return orders.join(shared, "signature").select("model_id", "node", "n")
 
 
 def bound_violations(candidates: DataFrame, template: Template) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from freqloom.functions.configs import quoted
 from freqloom.functions.scalar import floored_log_text, log_gamma_plus_one_text
-from freqloom.operators.sampling import bootstrap_of_draws, bootstrap_totals
+from freqloom.operators.sampling import bootstrap_totals
 from freqloom.operators.spectrum import Spectrum, full_configs
 from freqloom.operators.stats import SpectrumStats, Stat
 from freqloom.plans.expected import Sweep
@@ -19,6 +19,15 @@ from freqloom.plans.expected import Sweep
 FLOOR = 1e-100
 
 
+def _with_each(rows: DataFrame, blocks: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` once for every row of ``blocks``, a table of one row per block: its rows are one array, computed once.
+
+    Every row is spelled out where it lies, so no join and no shuffle is needed to form the pairs.
+    """
+    every = blocks.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("blocks")).scalar()
+    return rows.withColumn("_blocks", every).selectExpr(*rows.columns, "inline(_blocks)")
+
+
 def composite_log_likelihood(
     spectrum: Spectrum, expected: DataFrame, by_block: bool = False, log_prior: DataFrame | None = None
 ) -> DataFrame:
@@ -34,9 +43,8 @@ def composite_log_likelihood(
     listed = source.df.join(expected, ["anc", "der"]).groupBy("model_id", *keys).agg(F.expr(f"sum({excess})").alias("excess"))
     base = source.df.groupBy(*keys).agg(F.expr(f"sum(cnt) * {floored_log_text('0D', FLOOR)}").alias("base"))
     if by_block:
-        # The result has a row for each model and block, also where a model lists none of a block's configurations; Spark
-        # chooses how to form the pairs from the sizes it sees.
-        pairs = expected.select("model_id").distinct().crossJoin(base)
+        # The result has a row for each model and block, also where a model lists none of a block's configurations.
+        pairs = _with_each(expected.select("model_id").distinct(), base, ["block", "base"])
         out = pairs.join(listed, ["model_id", "block"], "left").selectExpr(
             "model_id", "block", "base + coalesce(excess, 0D) as log_lik"
         )
@@ -69,7 +77,7 @@ def poisson_total(spectrum: Spectrum, branch_length: DataFrame, rate: float, by_
     if by_block:
         counts = spectrum.n_snps(by_block=True)
         text = f"-{lam} + n_snps * ln({lam}) - {log_gamma_plus_one_text('n_snps')}"
-        return branch_length.crossJoin(counts).selectExpr("model_id", "block", f"{text} as log_factor")
+        return _with_each(branch_length, counts, ["block", "n_snps"]).selectExpr("model_id", "block", f"{text} as log_factor")
     facts = _poisson_facts(spectrum.n_snps(by_block=True), "n_snps", []).first()
     return branch_length.selectExpr(
         "model_id", f"-{facts.k}D * {lam} + {facts.c!r}D * ln({lam}) - {facts.lg!r}D as log_factor"
@@ -117,14 +125,18 @@ def best_of(candidates: DataFrame, log_lik: DataFrame) -> DataFrame:
 def bootstrap_best(spectrum: Spectrum, expected: DataFrame, draws: DataFrame) -> DataFrame:
     """``(replicate, model_id, log_lik)``: the best model of each bootstrap dataset, from given probabilities.
 
-    ``draws(replicate, block)`` has a row for each block drawn. Log-probabilities are taken once; replicates only weigh
-    them. Configurations that a model does not list have the floor, so only the excess over it is joined.
+    ``draws(replicate, block)`` has a row for each block drawn. The log-likelihood is linear in the counts, so each block is
+    scored once by each model that lists one of its configurations, and a replicate adds up the scores of its blocks, times
+    how often each was drawn: configurations are joined once, whatever the number of replicates. Configurations that a model
+    does not list have the floor, so only the excess over it is joined.
     """
     low = floored_log_text("0D", FLOOR)
-    totals = bootstrap_of_draws(spectrum, draws)
     gain = expected.selectExpr("model_id", "anc", "der", f"{floored_log_text('prob', FLOOR)} - {low} as gain")
-    scored = totals.join(gain, ["anc", "der"]).groupBy("replicate", "model_id").agg(F.expr("sum(cnt * gain)").alias("excess"))
-    base = totals.groupBy("replicate").agg(F.expr(f"sum(cnt) * {low}").alias("base"))
+    by_block = spectrum.df.join(gain, ["anc", "der"]).groupBy("block", "model_id").agg(F.expr("sum(cnt * gain)").alias("excess"))
+    floor = spectrum.df.groupBy("block").agg(F.expr(f"sum(cnt) * {low}").alias("base"))
+    times = draws.groupBy("replicate", "block").agg(F.count(F.lit(1)).alias("times"))
+    scored = times.join(by_block, "block").groupBy("replicate", "model_id").agg(F.expr("sum(times * excess)").alias("excess"))
+    base = times.join(floor, "block").groupBy("replicate").agg(F.expr("sum(times * base)").alias("base"))
     # Where no model lists anything drawn, all are equal and the lowest id is the best.
     lowest = expected.agg(F.min("model_id").alias("lowest"))
     best = scored.groupBy("replicate").agg(F.max_by("model_id", F.struct(F.col("excess"), (-F.col("model_id")).alias("tie"))).alias("model_id"), F.max("excess").alias("excess"))

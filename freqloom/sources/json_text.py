@@ -8,6 +8,7 @@ written as a folder of parts whose concatenation in name order is the JSON docum
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ SPECTRUM_KEYS = ("sampled_pops", "folded", "length")
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
+        # Part numbers may outgrow their leading zeros: longer names come later.
+        F.expr("concat(lpad(length(_metadata.file_path), 6, '0'), _metadata.file_path)").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("row"),
     )
@@ -155,31 +157,27 @@ def _spectrum(spark: SparkSession, triples: DataFrame, configs: DataFrame, info:
 CONFIG_LINE = "concat('[', array_join(zip_with(anc, der, (a, d) -> concat('[', a, ', ', d, ']')), ', '), ']')"
 
 
-def _section(number: int, ranked: DataFrame, text: str) -> DataFrame:
-    """Lines of one list, every one but the last with a comma."""
-    return ranked.selectExpr(
-        f"{number} as section", "row_index", f"concat('\\t\\t', {text}, if(row_index = row_total - 1, '', ',')) as value"
-    )
+def _section(ranked: DataFrame, text: str) -> DataFrame:
+    """Lines of one list, every one but the last with a comma; ranked rows lie in order."""
+    return ranked.selectExpr(f"concat('\\t\\t', {text}, if(row_index = row_total - 1, '', ',')) as value")
 
 
-def _fixed(spark: SparkSession, number: int, lines: list[str]) -> DataFrame:
-    rows = [(number, i, line) for i, line in enumerate(lines)]
-    return spark.createDataFrame(rows, "section INT, row_index BIGINT, value STRING")
+def _fixed(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(line,) for line in lines], "value STRING").coalesce(1)
 
 
 def _document(head: list[str], configs: DataFrame, middle: str, rows: DataFrame, row_text: str) -> DataFrame:
+    """The sections one after the other. A ranking leaves its rows in sorted partitions, and a union its inputs' partitions
+    in their order, so no row is ordered a second time; what is global is one offset per partition."""
     spark = configs.sparkSession
     parts = [
-        _fixed(spark, 0, ["{", *head, '\t"configs": [']),
-        _section(1, configs, CONFIG_LINE),
-        _fixed(spark, 2, ["\t],", f'\t"{middle}": [']),
-        _section(3, rows, row_text),
-        _fixed(spark, 4, ["\t]", "}"]),
+        _fixed(spark, ["{", *head, '\t"configs": [']),
+        _section(configs, CONFIG_LINE),
+        _fixed(spark, ["\t],", f'\t"{middle}": [']),
+        _section(rows, row_text),
+        _fixed(spark, ["\t]", "}"]),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy("section", "row_index").select("value")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _entry(key: str, value) -> str:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def sample_columns(header: str, ind2pop: Mapping[str, str]) -> dict[str, list[in
 def parse_records(lines: DataFrame, header: str, ind2pop: Mapping[str, str], info_aa_field: str = "AA") -> DataFrame:
     """Biallelic records of ``lines(value)``: ``chrom_id, position, ref, alt, aa, n0, n1``.
 
-    A ``#CHROM`` line other than ``header`` raises: files with other sample orders must be read on their own.
+    A ``#CHROM`` line other than ``header`` raises: lines of files with other sample orders are a call of their own.
     """
     by_pop = sample_columns(header, ind2pop)
     same = f"if(value = {quoted(header.rstrip(chr(10)))}, false, raise_error('VCF files with different headers must be read separately'))"
@@ -70,7 +72,10 @@ def sites_from_lines(
     bed: DataFrame | None = None,
 ) -> SiteTable:
     """Site table from VCF lines; see :func:`read_vcf`."""
-    records = parse_records(lines, header, ind2pop, info_aa_field)
+    return _sites(parse_records(lines, header, ind2pop, info_aa_field), ind2pop, ancestral_alleles, bed)
+
+
+def _sites(records: DataFrame, ind2pop: Mapping[str, str], ancestral_alleles: bool | str, bed: DataFrame | None) -> SiteTable:
     if bed is not None:
         records = within_regions(records, bed, "length(ref)")
     pops = populations_of(ind2pop)
@@ -78,14 +83,6 @@ def sites_from_lines(
     return site_table(polarise(records, pops, ancestral_alleles), pops, ancestral_alleles, length)
 
 
-def read_header(lines: DataFrame) -> str:
-    """The ``#CHROM`` line; it is near the start, so this stops after the first partitions."""
-    found = lines.where("startswith(value, '#CHROM')").take(1)
-    if not found:
-        raise ValueError("no #CHROM header line")
-    return found[0].value
-
-
 def read_vcf(
     spark: SparkSession,
     paths: str | list[str],
@@ -94,12 +91,44 @@ def read_vcf(
     ancestral_alleles: bool | str = True,
     info_aa_field: str = "AA",
 ) -> SiteTable:
-    """Allele counts at the biallelic SNPs of VCF text files with one common header.
+    """Allele counts at the biallelic SNPs of VCF text files.
 
     ``ind2pop`` maps samples to populations and is no wider than a header line. ``ancestral_alleles`` is True (INFO
     field, sites without it are excluded), False (REF, and the spectrum is folded) or the name of an outgroup
     population. With a BED file only its intervals are kept and their summed length is the data length.
+
+    Files may list their samples in different orders and have others besides; each must have all mapped samples. Files
+    that share a header line are read together, so several headers mean as many scans, of their own files only.
     """
     lines = spark.read.text(paths)
     bed = None if bed_path is None else read_bed(spark, bed_path)
-    return sites_from_lines(lines, read_header(lines), ind2pop, ancestral_alleles, info_aa_field, bed)
+    headers = file_headers(lines)
+    read = [parse_records(lines if len(headers) == 1 else spark.read.text(files), header, ind2pop, info_aa_field) for header, files in headers.items()]
+    return _sites(reduce(DataFrame.unionByName, read), ind2pop, ancestral_alleles, bed)
+
+
+def file_headers(lines: DataFrame) -> dict[str, list[str]]:
+    """Files by their ``#CHROM`` line. A file that has one begins with ``#``, and it is near the start, so one or two short jobs
+    per file read its first partition; files are asked for a few at a time. Files without it, as the later parts of a
+    folder, go with the one header that the others have."""
+    spark, files = lines.sparkSession, sorted(lines.inputFiles())
+
+    def header(file: str) -> str | None:
+        text = spark.read.text(file)
+        top = text.take(1)
+        if not top or not top[0].value.startswith("#"):
+            return None
+        found = text.where("startswith(value, '#CHROM')").take(1)
+        return found[0].value.rstrip("\n") if found else None
+
+    with ThreadPoolExecutor(8) as pool:
+        by_file = dict(zip(files, pool.map(header, files), strict=True))
+    headers: dict[str, list[str]] = {h: [] for h in by_file.values() if h is not None}
+    if not headers:
+        raise ValueError("no #CHROM header line")
+    bare = [f for f, h in by_file.items() if h is None]
+    if bare and len(headers) > 1:
+        raise ValueError(f"no #CHROM header line in {bare[0]}, and the other files have several")
+    for file, line in by_file.items():
+        headers[line or next(iter(headers))].append(file)
+    return headers
