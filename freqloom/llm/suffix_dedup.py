@@ -10,15 +10,22 @@ of neighbours. With that and the order of the bytes to the left, the strings aro
 for each distance of a string's start from its anchor.
 
 A task forwards one suffix of each distinct context; the others, being repeated, are settled where they are.
+
+A gram that occurs very often is split by the distance of a string's start from its anchor: all strings whose distance lies
+in a range share the bytes that each of them covers, so contexts go to the part of those bytes, once for each range, cut to
+what the range can see. The more often a gram occurs, the narrower its ranges, down to single distances, where a part's
+contexts are all the same and each task sends one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +35,11 @@ from freqloom.session import cut_lineage
 LENGTH, GRAM = 200, 40
 #: Contexts sorted at once in a task, and contexts a merged part should have.
 RUN_ROWS, PART_ROWS = 60_000, 100_000
+#: A gram with so many anchors is split by distance, in ranges of so many; the last width is one distance.
+SPLITS = ((25_000, 20), (400_000, 5), (6_400_000, 1))
 _BYTE = seeds(256, 53)
-ANCHORS = "key long, known boolean, id0 long, h long, pos int"
-RUNS = "part int, shared binary, size binary, tails binary, left_size binary, lefts binary, id0 binary, h binary, pos binary, done binary, spans binary"
+ANCHORS = "key long, times int, id0 long, h long, pos int"
+RUNS = "part int, near int, far int, shared binary, size binary, tails binary, left_size binary, lefts binary, id0 binary, h binary, pos binary, done binary, spans binary"
 SPANS = "id0 long, h long, start int, stop int"
 
 
@@ -77,36 +86,62 @@ def _anchor_rows(length: int, gram: int):
             row, pos, key = row[order], pos[order], key[order].view(np.int64)
             at = runs([key])
             size = np.diff(at)
-            known = np.repeat(size > 1, size)
-            first = np.zeros(len(key), bool)
-            first[at[:-1]] = True
-            # Repeated here: only the first goes to the others of its gram, the rest is dealt out by a spread key.
-            sent = np.where(known & ~first, mix(key.view(np.uint64) + pos.astype(np.uint64) * np.uint64(3) + row.astype(np.uint64)).view(np.int64), key)
-            yield pa.RecordBatch.from_arrays([pa.array(sent), pa.array(known), pa.array(ids[row]), pa.array(hs[row]), pa.array(pos.astype(np.int32))], ["key", "known", "id0", "h", "pos"])
+            times = np.zeros(len(key), np.int32)
+            times[at[:-1]] = size
+            # Repeated here: only the first goes to the others of its gram, with their number; the rest, with 0, is dealt out
+            # by a spread key.
+            sent = np.where(times == 0, mix(key.view(np.uint64) + pos.astype(np.uint64) * np.uint64(3) + row.astype(np.uint64)).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays([pa.array(sent), pa.array(times), pa.array(ids[row]), pa.array(hs[row]), pa.array(pos.astype(np.int32))], ["key", "times", "id0", "h", "pos"])
 
     return run
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are known to repeat, or whose key another row has; rows come sorted by key."""
-    last, waiting = None, None
+def _repeated(batches: Iterable[pa.RecordBatch], often: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are known to repeat, or whose key another row has; rows come sorted by key.
+
+    A gram met ``often`` gives a row besides, at its end: the gram as id0, its number of anchors as h, and place -1.
+    """
+    last, waiting, count = None, None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch["key"].to_numpy(zero_copy_only=False)
-        keep = batch["known"].to_numpy(zero_copy_only=False).copy()
+        key, times = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "times"))
+        keep = times != 1
         same = key[1:] == key[:-1]
         keep[1:] |= same
         keep[:-1] |= same
+        at = runs([key])
+        total = np.add.reduceat(times.astype(np.int64), at[:-1])
         if last is not None and last == key[0]:
             keep[0] = True
+            total[0] += count
             if waiting is not None:
                 yield waiting
+        elif last is not None and count >= often:
+            yield _hot_grams([last], [count])
         waiting = None
-        last = key[-1]
+        last, count = key[-1], int(total[-1])
         if not keep[-1]:
             waiting = batch.slice(batch.num_rows - 1).select(["id0", "h", "pos"])
+        hot = np.flatnonzero(total[:-1] >= often)
+        if len(hot):
+            yield _hot_grams(key[at[hot]], total[hot])
         yield batch.filter(pa.array(keep)).select(["id0", "h", "pos"])
+    if last is not None and count >= often:
+        yield _hot_grams([last], [count])
+
+
+def _hot_grams(keys, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array([-1] * len(keys), pa.int32())], ["id0", "h", "pos"])
+
+
+def ranges_of(count: int, reach: int) -> list[tuple[int, int]]:
+    """Ranges of distances (both ends included) into which the strings around a gram with ``count`` anchors are split."""
+    width = reach + 1
+    for least, narrower in SPLITS:
+        if count >= least:
+            width = min(width, narrower)
+    return [(d, min(d + width - 1, reach)) for d in range(0, reach + 1, width)]
 
 
 def _bytes_column(values: list[bytes]) -> pa.Array:
@@ -210,63 +245,88 @@ def merge_runs(runs_: list[tuple[list[bytes], bytes]]) -> tuple[list[tuple[int,
     return order, shared
 
 
-def _sorted_runs(length: int, gram: int, parts: int):
+def grams_at(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the grams at the given places, as :func:`gram_hashes` has them."""
+    up, _ = powers(gram)
+    return mix((_BYTE[data[at[:, None] + np.arange(gram)]] * up).sum(axis=1, dtype=np.uint64))
+
+
+def _sorted_runs(length: int, gram: int, parts: int, hot: Broadcast):
     reach = length - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        held: dict[tuple[bytes, bytes], list] = {}
+        keys, counts = hot.value
+        whole = [(0, reach)]
+        held: dict[tuple[tuple[int, int], bytes, bytes], list] = {}
         spans: list[tuple[int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            by_part: dict[int, list] = {}
-            for (right, left), (row, done) in held.items():
-                part = int.from_bytes(hashlib.blake2b(right[:gram], digest_size=8).digest()) % parts
-                by_part.setdefault(part, []).append((right, left, *row, done))
+            by_part: dict[tuple[int, tuple[int, int]], list] = {}
+            for (span, right, left), (row, done) in held.items():
+                near, far = span
+                core = bytes(span) + right[: length - far] + left[:near]
+                part = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest()) % parts
+                by_part.setdefault((part, span), []).append((right, left, *row, done))
             own = np.array(spans, np.int64).reshape(-1, 4).tobytes()
-            target = number % parts
+            target = (number % parts, whole[0])
             if spans:
                 by_part.setdefault(target, [])
             number += 1
             rows = []
-            for part, got in by_part.items():
+            for (part, span), got in by_part.items():
                 got.sort()
                 right, left, ids, hs, pos, done = zip(*got, strict=True) if got else [()] * 6
                 shared, size, tails = front_code(list(right))
-                rows.append((part, shared, size, packed(tails), bytes(map(len, left)), packed(b"".join(left)), np.array(ids, np.int64).tobytes(), np.array(hs, np.int64).tobytes(), np.array(pos, np.int32).tobytes(), bytes(done), own if part == target else b""))
+                rows.append((part, *span, shared, size, packed(tails), bytes(map(len, left)), packed(b"".join(left)), np.array(ids, np.int64).tobytes(), np.array(hs, np.int64).tobytes(), np.array(pos, np.int32).tobytes(), bytes(done), own if (part, span) == target else b""))
             held.clear()
             spans.clear()
-            first, *rest = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), *map(_bytes_column, map(list, rest))], [c.split()[0] for c in RUNS.split(", ")])
+            columns = list(map(list, zip(*rows, strict=True)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:3]), *map(_bytes_column, columns[3:])], [c.split()[0] for c in RUNS.split(", ")])
 
         for batch in batches:
             data, offsets = utf8(batch["text"])
             at = batch["at"]
             for r in range(batch.num_rows):
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                block = data[offsets[r] : offsets[r + 1]]
+                text, places = block.tobytes(), at[r].values.to_numpy()
                 me = (batch["id0"][r].as_py(), batch["h"][r].as_py())
-                for p in at[r].values.to_numpy().tolist():
+                split = [whole] * len(places)
+                if len(keys):
+                    grams = grams_at(block, places, gram)
+                    found = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                    for i in np.flatnonzero(keys[found] == grams):
+                        split[i] = ranges_of(int(counts[found[i]]), reach)
+                for p, spans_of in zip(places.tolist(), split, strict=True):
                     right, left = text[p : p + length], text[max(0, p - reach) : p][::-1]
-                    seen = held.get((right, left))
-                    if seen is None:
-                        held[right, left] = [(*me, p), False]
-                        if len(held) + len(spans) >= RUN_ROWS:
-                            yield flush()
-                    elif len(right) + len(left) >= length:
-                        spans.append((*me, p - len(left), p + len(right)))
-                        if not seen[1]:
-                            seen[1] = True
-                            a, b, q = seen[0]
-                            spans.append((a, b, q - len(left), q + len(right)))
+                    for span in spans_of:
+                        near, far = span
+                        # A string at a distance in this range must fit on both sides.
+                        fits = max(near, length - len(right)) <= min(far, len(left))
+                        if not fits and span is not whole[0]:
+                            continue
+                        x, y = right[: length - near], left[:far]
+                        seen = held.get((span, x, y))
+                        if seen is None:
+                            held[span, x, y] = [(*me, p), False]
+                            if len(held) + len(spans) >= RUN_ROWS:
+                                yield flush()
+                        elif fits:
+                            spans.append((*me, p - len(y), p + len(x)))
+                            if not seen[1]:
+                                seen[1] = True
+                                a, b, q = seen[0]
+                                spans.append((a, b, q - len(y), q + len(x)))
         if held or spans:
             yield flush()
 
     return run
 
 
-def repeated_reach(shared: np.ndarray, lefts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest distance of a repeated string's start from each anchor; largest -1 if there is none.
+def repeated_reach(shared: np.ndarray, lefts: list[bytes], length: int, near: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest distance of a repeated string's start from each anchor, from ``near`` to ``far``; largest -1 if
+    there is none.
 
     ``shared`` is the common prefix of each suffix with the one before, ``lefts`` the reversed bytes before each anchor. At
     distance d two anchors have the same string if their suffixes share length - d bytes and their left sides d bytes.
@@ -280,7 +340,7 @@ def repeated_reach(shared: np.ndarray, lefts: list[bytes], length: int, gram: in
     rank[order] = np.arange(n)
     least, most = np.full(n, length, np.int64), np.full(n, -1, np.int64)
     size = np.array([len(x) for x in lefts])
-    for d in range(length - gram + 1):
+    for d in range(near, far + 1):
         right = np.cumsum(shared < length - d)
         left = np.cumsum(left_shared < d)[rank] if d else np.zeros(n, np.int64)
         key = right * np.int64(n + 1) + left
@@ -295,12 +355,13 @@ def repeated_reach(shared: np.ndarray, lefts: list[bytes], length: int, gram: in
     return least, most
 
 
-def _merged(length: int, gram: int):
+def _merged(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sorted_groups(batches, ["part"]):
-            at = runs([batch["part"].to_numpy(zero_copy_only=False)])
+        for batch in sorted_groups(batches, ["part", "near", "far"]):
+            at = runs([batch[c].to_numpy(zero_copy_only=False) for c in ("part", "near", "far")])
             for p, q in zip(at[:-1], at[1:], strict=True):
                 rows = batch.slice(p, q - p).to_pydict()
+                low, high = rows["near"][0], rows["far"][0]
                 inputs, lefts, where = [], [], []
                 for i in range(q - p):
                     inputs.append((front_decode(rows["shared"][i], rows["size"][i], unpacked(rows["tails"][i])), rows["shared"][i]))
@@ -318,14 +379,14 @@ def _merged(length: int, gram: int):
                 if not order:
                     continue
                 shared = np.array(shared, np.int64)
-                # Suffixes that share less than a gram with both neighbours have no partner.
-                near = shared >= gram
+                # Suffixes that share too little with both neighbours have no partner.
+                near = shared >= length - high
                 partner = near | np.append(near[1:], False)
                 kept = np.flatnonzero(partner)
                 if not len(kept):
                     continue
                 shared = np.where(near[kept], shared[kept], 0)
-                least, most = repeated_reach(shared, [lefts[order[i][0]][order[i][1]] for i in kept], length, gram)
+                least, most = repeated_reach(shared, [lefts[order[i][0]][order[i][1]] for i in kept], length, low, high)
                 base = np.concatenate(([0], np.cumsum([len(w[0]) for w in where])))
                 flat = np.array([base[order[i][0]] + order[i][1] for i in kept])
                 ids, hs, pos, done = (np.concatenate([w[c] for w in where])[flat] for c in range(4))
@@ -373,14 +434,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_, text = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(0)).alias("id0"), F.xxhash64(text, id_.isNull()).alias("h"), text.alias("text"))
     found = rows.select("id0", "h", "text").mapInArrow(_anchor_rows(length, gram), ANCHORS)
-    again = found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "id0 long, h long, pos int")
-    places = cut_lineage(again.groupBy("id0", "h").agg(F.collect_set("pos").alias("at")))
+    again = found.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_repeated, often=SPLITS[0][0]), "id0 long, h long, pos int")
+    places = cut_lineage(again.groupBy("id0", "h", F.expr("pos < 0").alias("hot")).agg(F.collect_set("pos").alias("at")))
+    # At most one gram for each SPLITS[0][0] anchors.
+    often = {r["id0"]: r["h"] for r in places.where("hot").select("id0", "h").collect()}
+    keys = np.array(sorted(often), np.int64)
+    order = np.argsort(keys.view(np.uint64))
+    hot = docs.sparkSession.sparkContext.broadcast((keys[order].view(np.uint64), np.array([often[k] for k in keys[order].tolist()], np.int64)))
+    places = places.where("not hot").drop("hot")
     total = places.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_ROWS))
     # With the same columns as in the last join, so that the texts are dealt out once for both.
     held = rows.join(places, ["id0", "h"])
-    sent = held.mapInArrow(_sorted_runs(length, gram, parts), RUNS)
-    spans = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merged(length, gram), SPANS)
+    sent = held.mapInArrow(_sorted_runs(length, gram, parts, hot), RUNS)
+    spans = sent.repartition(parts, "part").sortWithinPartitions("part", "near", "far").mapInArrow(_merged(length), SPANS)
     return rows, spans
 
 
@@ -389,8 +456,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else in the table's texts, same text
     included, is removed; strings are judged on the input and never cross texts. Null counts as empty; texts shorter than
-    ``length`` stay whole. Repeated rows are copies of each other and lose all that is long enough. An empty table gives an
-    empty result. ``kept`` is binary, as a cut may fall inside a character.
+    ``length`` stay whole. Repeated rows are copies of each other and lose all that is long enough. A very long text is searched
+    in overlapping steps of a megabyte and cut whole. An empty table gives an empty result. Other columns are not read, so
+    their names can't clash. ``kept`` is binary, as a cut may fall inside a character.
     """
     rows, spans = repeated_spans(docs, id_col, text_col, length, gram)
     by_row = spans.groupBy("id0", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
