@@ -1,9 +1,11 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A fingerprint has 64 bits, each the majority over a window's shingles. Equal sizes and a similarity of 0.75 put two
-fingerprints 11 bits apart on average; all within 24 are found (a true match is lost with probability about 2e-5, and its
-shifted windows give further chances). The index has 8 blocks of 8 bits: fingerprints within 24 agree in some block up to 3
-bits, and each item is entered in each block under all values within 3 bits. Weighted shingles then decide.
+A window has two fingerprints of 64 bits, each bit the majority over the window's shingles under another hash. Equal sizes and
+a similarity of 0.75 put two fingerprints 11 bits apart on average; a pair is a candidate if either is within 19. Each is
+within 19 with a probability of about 0.996 at that similarity, so both miss about one such pair in 60,000, and none of higher
+similarity in practice. The index has 5 blocks of 13 or 12 bits for each fingerprint: within 19 bits some block has 3 errors
+at most. Each item is entered under all values within 3 bits of its block's, as sorted postings; a window looks up its blocks'
+values and meets 4 % of the items in each. Weighted shingles then decide.
 """
 
 from __future__ import annotations
@@ -17,40 +19,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import texts_of, window_hash
+from freqloom.llm.common import mix, received, seeds, sent, texts_of, window_hash
 from freqloom.llm.windows import Reference, hit_rows, references, starts_near
 
-RADIUS, BLOCKS = 24, 8
-#: Windows fingerprinted at once.
-STRIP = 2048
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Values of a byte within RADIUS // BLOCKS bits of each other.
-_NEAR = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // BLOCKS
+RADIUS, PRINTS = 19, 2
+#: Bits of a block; errors that one of them must not exceed.
+BLOCKS = (13, 13, 13, 13, 12)
+ERRORS = RADIUS // len(BLOCKS)
+#: Windows fingerprinted at once; benchmark items of one pass, whose index takes 25 KB each.
+STRIP, SLICE_ITEMS = 2048, 4000
+_OFFSETS = np.concatenate(([0], np.cumsum(BLOCKS)[:-1])).astype(np.uint64)
+_PRINT_SALT = seeds(PRINTS, 91)
+
+
+def errors_within(bits: int, errors: int) -> np.ndarray:
+    """All values of ``bits`` bits with at most ``errors`` ones."""
+    values = np.arange(1 << bits, dtype=np.uint64)
+    return values[np.bitwise_count(values) <= errors]
 
 
 def fingerprints(stream: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash bytes (windows x 8) of the windows of ``width`` shingles at ``starts`` (ascending)."""
+    """SimHash prints (windows x PRINTS) of the windows of ``width`` shingles at ``starts`` (ascending)."""
     low = int(starts[0])
-    bits = np.unpackbits(stream[low : int(starts[-1]) + width].view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    at = starts - low
-    return np.packbits(2 * (total[at + width] - total[at]) > width, axis=1)
+    own, at = stream[low : int(starts[-1]) + width], starts - low
+    out = np.empty((len(starts), PRINTS), np.uint64)
+    for k in range(PRINTS):
+        bits = np.unpackbits((mix(own ^ _PRINT_SALT[k]) if k else own).view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.zeros((len(bits) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=total[1:])
+        out[:, k] = np.packbits(2 * (total[at + width] - total[at]) > width, axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def block_values(prints: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(number of the print, bits of the block, values) for each block of each print."""
+    return [(k, n, (prints[:, k] >> o) & np.uint64((1 << n) - 1)) for k in range(PRINTS) for n, o in zip(BLOCKS, _OFFSETS, strict=True)]
 
 
 class HammingIndex:
-    """Items of one size under all values of each block that are close enough."""
+    """Items of one size in postings by block value: each item under all values within ERRORS bits of its own."""
 
     def __init__(self, items: np.ndarray, prints: np.ndarray):
-        self.items, self.prints = items, prints
-        self.tables = [np.ascontiguousarray(_NEAR[prints[:, b]].T) for b in range(BLOCKS)]
+        self.items, self.prints, self.postings = items, prints, []
+        for _, n, own in block_values(prints):
+            near = own[:, None] ^ errors_within(n, ERRORS)[None, :]
+            order = np.argsort(near.ravel(), kind="stable")
+            self.postings.append((near.ravel()[order].astype(np.uint16), (order // near.shape[1]).astype(np.int32)))
+
+    def met(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the print, windows, places in items) of the pairs that meet in a block."""
+        for (k, _, own), (values, places) in zip(block_values(prints), self.postings, strict=True):
+            own = own.astype(np.uint16)
+            first = np.searchsorted(values, own, "left")
+            count = np.searchsorted(values, own, "right") - first
+            w = np.repeat(np.arange(len(own)), count)
+            yield k, w, places[np.arange(len(w)) + np.repeat(first - np.cumsum(count) + count, count)]
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place in items) of all pairs within RADIUS."""
-        met = reduce(np.logical_or, (self.tables[b][prints[:, b]] for b in range(BLOCKS)))
-        w, k = np.nonzero(met)
-        near = _ONES[prints[w] ^ self.prints[k]].sum(axis=1) <= RADIUS
-        return w[near], k[near]
+        """(window, place in items) of all pairs within RADIUS in either print."""
+        found = [np.zeros(0, np.int64)]
+        for k, w, place in self.met(prints):
+            near = np.bitwise_count(prints[w, k] ^ self.prints[place, k]) <= RADIUS
+            found.append(w[near] * len(self.items) + place[near])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
 
 
 def build_index(reference: Reference) -> dict[tuple[int, int], HammingIndex]:
@@ -102,18 +133,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lowered, shingles have five of them (an item of fewer words is one
     shingle). A window has as many words as the item; a shorter document is one window. Shingles weigh as often as they
     occur: the sum of smaller counts over the sum of larger ones is at least ``least``. Windows without any shingle of the
-    benchmark have similarity 0 and are not fingerprinted. Null and empty texts, on either side, match nothing. Repeated
-    rows give repeated results; empty tables give none.
+    benchmark have similarity 0 and are not fingerprinted. Of windows of one text that are equally similar to an item, the
+    leftmost is given. Null and empty texts, on either side, match nothing. Repeated rows give repeated results; empty tables
+    give none. A very long text is read in parts of a megabyte and fingerprinted in strips. Other columns are not read, so
+    their names can't clash. The index is made by each task from the items, of which one pass takes SLICE_ITEMS at most.
     """
     texts = texts_of(docs, id_col, text_col)
     schema = "doc_id long, place int, similarity double, start_byte long, end_byte long"
     kind = items.schema[item_col].dataType
     found = []
-    for reference in references(items, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast((reference, build_index(reference)))
+    for reference in references(items, item_col, item_text_col, SLICE_ITEMS):
+        shared = sent(docs, reference)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            reference, index = shared.value
+            reference = received(shared)
+            index = build_index(reference)
             for batch in batches:
                 ids, rows = batch["doc_id"], []
                 for i, h, s, e, hits in hit_rows(batch["text"], reference):
@@ -135,6 +169,6 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, and all rows without id."""
+    """The rows of ``docs`` in which no item is found, and all rows without id; columns stay in their order."""
     gone = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import mix, seeds, texts_of, window_hash
+from freqloom.llm.common import mix, received, seeds, sent, texts_of, window_hash
 from freqloom.llm.license_templates import PARAGRAPHS, short_notices
 from freqloom.llm.windows import Reference, hit_rows, references
 
@@ -125,21 +125,24 @@ def found_in(h: np.ndarray, hits: dict[int, np.ndarray], reference: Reference, b
 def license_notices(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", template_col: str = "template_id", template_text_col: str = "text", least: float = 0.75) -> DataFrame:
     """One row per document and template found in it: doc_id, template_id, containment, start_byte, end_byte of the window.
 
-    Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lowered, shingles have five of them (a template of fewer words is one
+    Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lowered, but those of comment marks alone (``windows.MARKS``), on both
+    sides, so that a header is found whose lines begin with such a mark. Shingles have five words (a template of fewer is one
     shingle). Containment is the share of a template's distinct shingles in the window, at least ``least``. Windows without
-    any shingle of a template have containment 0 and get no signature. Null and empty texts, on either side, match nothing.
-    Repeated rows give repeated results; empty tables give none.
+    any shingle of a template have containment 0 and get no signature. Of windows of one text that hold as much of a template,
+    the leftmost is given. Null and empty texts, on either side, match nothing. Repeated rows give repeated results; empty
+    tables give none. A very long text is read in parts of a megabyte and signed in strips. Other columns are not read, so
+    their names can't clash.
     """
     texts = texts_of(docs, id_col, text_col)
     found = []
-    for reference in references(templates.withColumn(template_col, F.col(template_col).cast("string")), template_col, template_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast((reference, build_bands(reference)))
+    for reference in references(templates.withColumn(template_col, F.col(template_col).cast("string")), template_col, template_text_col, marks=False):
+        shared = sent(docs, (reference, build_bands(reference)))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            reference, bands = shared.value
+            reference, bands = received(shared)
             for batch in batches:
                 ids, rows = batch["doc_id"], []
-                for i, h, s, e, hits in hit_rows(batch["text"], reference):
+                for i, h, s, e, hits in hit_rows(batch["text"], reference, marks=False):
                     for t, (share, start, n) in sorted(found_in(h, hits, reference, bands, least).items()):
                         rows.append((ids[i].as_py(), reference.keys[t], share, int(s[start]), int(e[start + n - 1])))
                 columns = list(zip(*rows, strict=True)) or [()] * 5

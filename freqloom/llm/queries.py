@@ -129,8 +129,16 @@ def op9_decontamination(spark, sf_dir):
 
 TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
 
+# Words of comment marks alone go; the bytes of a word that stays reach back over those before it.
+MARKED_WORDS = r"""
+all_words AS (SELECT id, unnest(range(len(ws))) AS i, unnest(ws) AS w, unnest(list_transform(parts, lambda x: strlen(x))) AS size FROM words),
+placed AS (SELECT id, i, w, sum(size) OVER (PARTITION BY id ORDER BY i) AS stop FROM all_words),
+kept_words AS (SELECT id, i, w, stop - coalesce(lag(stop) OVER (PARTITION BY id ORDER BY i), 0) AS size FROM placed WHERE NOT regexp_full_match(w, '[#/*;%!<>"''-]+')),
+doc AS (SELECT id AS doc_id, list(w ORDER BY i) AS ws, list(size ORDER BY i) AS sizes FROM kept_words GROUP BY id),"""
+
 OP6 = f"""
-WITH {WORDS.format(key="doc_id", table="documents")}, ref AS (SELECT * FROM (VALUES {TEMPLATE_ROWS}) t(key, text)), {WINDOWS},
+WITH {WORDS.format(key="doc_id", table="documents")}, ref AS (SELECT * FROM (VALUES {TEMPLATE_ROWS}) t(key, text)),
+{MARKED_WORDS}{WINDOWS[WINDOWS.index("place AS") :].replace("'[^\\x20\\x09-\\x0D]+') AS ws FROM ref)", "'[^\\x20\\x09-\\x0D]+').list_filter(lambda x: NOT regexp_full_match(x, '[#/*;%!<>\"''-]+')) AS ws FROM ref)")},
 found AS (
     SELECT doc_id, key, wide, first, count(*)::DOUBLE / (SELECT count(*) FROM ref_count r WHERE r.key = s.key) AS value
     FROM share s GROUP BY doc_id, key, wide, first
@@ -260,6 +268,33 @@ def op10_chats(spark, sf_dir):
     return chats.conversations(table(spark, sf_dir, "conversations"))
 
 
+def quoting(rows: DataFrame) -> DataFrame:
+    """The conversations as a mail program keeps them: above its own text a turn has the lines of the turn before under ``>``,
+    and every third turn those of the turn before that under ``>>``. The table itself has no quoted line."""
+    said = rows.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    before = [said.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"said{k}")) for k in (1, 2)]
+    joined = rows.join(before[0], ["conv_id", "turn"], "left").join(before[1], ["conv_id", "turn"], "left")
+    marked = lambda k: f"concat(array_join(transform(split(said{k}, '\\n'), x -> concat('{'>' * k} ', x)), '\\n'), '\\n')"
+    return joined.selectExpr("conv_id", "turn", "role", f"if(text is null, null, concat(if(turn % 3 = 0, coalesce({marked(2)}, ''), ''), coalesce({marked(1)}, ''), text)) as text")
+
+
+QUOTED = r"""
+spoken AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY conv_id, turn),
+quoted AS (
+    SELECT c.conv_id, c.turn, c.role,
+           CASE WHEN c.text IS NOT NULL THEN
+               CASE WHEN c.turn % 3 = 0 AND b.said IS NOT NULL THEN array_to_string(list_transform(string_split(b.said, chr(10)), lambda x: '>> ' || x), chr(10)) || chr(10) ELSE '' END
+               || CASE WHEN a.said IS NOT NULL THEN array_to_string(list_transform(string_split(a.said, chr(10)), lambda x: '> ' || x), chr(10)) || chr(10) ELSE '' END
+               || c.text END AS text
+    FROM conversations c LEFT JOIN spoken a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN spoken b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+),"""
+
+
+@query("op10_chats_quoted", OP10.replace("WITH RECURSIVE message AS", f"WITH RECURSIVE {QUOTED.strip()} message AS").replace("FROM conversations GROUP BY conv_id, turn, role, text", "FROM quoted GROUP BY conv_id, turn, role, text"))
+def op10_chats_quoted(spark, sf_dir):
+    return chats.conversations(quoting(table(spark, sf_dir, "conversations")))
+
+
 OP11 = r"""
 WITH term AS (
     SELECT key, id, x, count(*) AS tf

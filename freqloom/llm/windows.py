@@ -27,11 +27,28 @@ class Reference:
     maps: dict[int, np.ndarray]  # bit maps over them by gram
 
 
-def build_reference(keys: list, texts: list[str]) -> Reference:
+#: Bytes of which comment marks consist: a word of these alone begins or ends a line of source code.
+MARKS = b"#/*;%!<>-\"'"
+_NO_MARK = np.ones(256, np.int64)
+_NO_MARK[list(MARKS)] = 0
+
+
+def without_marks(data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words that do not consist of comment marks alone, in the form in which they are given."""
+    if not len(h):
+        return h, s, e, by_row
+    base = int(s[0])
+    other = np.concatenate(([0], np.cumsum(_NO_MARK[data[base : int(e[-1])]])))
+    keep = other[e - base] > other[s - base]
+    return h[keep], s[keep], e[keep], np.concatenate(([0], np.cumsum(keep)))[by_row]
+
+
+def build_reference(keys: list, texts: list[str], marks: bool = True) -> Reference:
     import pyarrow as pa
 
     data, offsets = utf8(pa.array(texts, pa.string()))
-    h, _, _, by_row = words(data, offsets, lower=True)
+    found = words(data, offsets, lower=True)
+    h, _, _, by_row = found if marks else without_marks(data, *found)
     own, streams, gram = [], [], []
     for i, key in enumerate(keys):
         w = h[by_row[i] : by_row[i + 1]]
@@ -50,25 +67,31 @@ def build_reference(keys: list, texts: list[str]) -> Reference:
     return Reference(own, streams, gram, members, maps)
 
 
-def references(items: DataFrame, key_col: str, text_col: str) -> Iterator[Reference]:
-    """Slices of bounded size; null and empty texts hold no words and match nothing."""
+def references(items: DataFrame, key_col: str, text_col: str, most: int | None = None, marks: bool = True) -> Iterator[Reference]:
+    """Slices of bounded size, of about ``most`` rows (SLICE_ROWS); null and empty texts hold no words and match nothing.
+
+    Without ``marks`` words of comment marks alone are left out.
+    """
     rows = items.select(items[key_col].alias("key"), items[text_col].cast("string").alias("text"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    slices = max(1, -(-size // SLICE_BYTES), -(-n // SLICE_ROWS))
+    slices = max(1, -(-size // SLICE_BYTES), -(-n // (most or SLICE_ROWS)))
     for k in range(slices):
         part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(slices)) == k) if slices > 1 else rows
         got = sorted(part.collect(), key=lambda r: (r["key"] is None, r["key"] or 0, r["text"] or ""))
-        yield build_reference([r["key"] for r in got], [r["text"] or "" for r in got])
+        yield build_reference([r["key"] for r in got], [r["text"] or "" for r in got], marks)
 
 
-def hit_rows(column, reference: Reference) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]]:
+def hit_rows(column, reference: Reference, marks: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]]:
     """Row number, word hashes, byte starts and ends of the words, and for each gram the places of reference shingles.
 
-    Rows without such a place are skipped: none of their windows shares a shingle with a reference text.
+    Rows without such a place are skipped: none of their windows shares a shingle with a reference text. Without ``marks``
+    words of comment marks alone are left out.
     """
     data, offsets = utf8(column)
     for i, j in row_blocks(offsets):
         h, s, e, by_row = words(data, offsets[i : j + 1], lower=True)
+        if not marks:
+            h, s, e, by_row = without_marks(data, h, s, e, by_row)
         found: dict[int, dict[int, np.ndarray]] = {}
         for g, members in reference.members.items():
             stream, bits = window_hash(h, g), reference.maps[g]

@@ -13,7 +13,7 @@ import pytest
 from llm_helpers import ODD, shingle_list, word_list
 from pyspark.sql import functions as F
 
-from freqloom.llm import decontaminate, license_scan, quality, suffix_dedup, windows
+from freqloom.llm import decontaminate, license_scan, quality, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,7 +114,7 @@ def test_leaks_of_documents(spark, documents):
 
 @pytest.mark.parametrize("slice_rows", [20_000, 7])
 def test_leaks_with_edits_and_odd_rows(spark, make, monkeypatch, slice_rows):
-    monkeypatch.setattr(windows, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", slice_rows)
     rnd = random.Random(9)
     items = [(k, " ".join(f"t{rnd.randrange(900)}" for _ in range(rnd.choice((2, 5, 12, 30, 60))))) for k in range(25)]
     items += [(50, None), (51, ""), (None, "an item that has no number at all"), (3, items[4][1]), (60, "la " * 20)]
@@ -135,25 +135,91 @@ def test_leaks_with_edits_and_odd_rows(spark, make, monkeypatch, slice_rows):
     assert decontaminate.leaks(make(pairs), table.limit(0)).count() == 0
 
 
+def flipped(prints, rng, most):
+    """Copies of random rows with up to ``most`` bits changed in each print."""
+    out = prints[rng.integers(0, len(prints), 500)].copy()
+    for row in out:
+        for k in range(out.shape[1]):
+            for bit in rng.choice(64, rng.integers(0, most), replace=False):
+                row[k] ^= np.uint64(1) << np.uint64(bit)
+    return out
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    items = rng.integers(0, 256, (60, 8)).astype(np.uint8)
-    probes = items[rng.integers(0, 60, 500)].copy()
-    for row in probes:
-        for bit in rng.choice(64, rng.integers(0, 30), replace=False):
-            row[bit // 8] ^= 1 << (bit % 8)
+    items = rng.integers(0, 1 << 64, (60, decontaminate.PRINTS), dtype=np.uint64)
+    probes = flipped(items, rng, 30)
     index = decontaminate.HammingIndex(np.arange(60), items)
     got = set(zip(*map(np.ndarray.tolist, index.within(probes))))
-    distance = np.unpackbits(probes[:, None] ^ items[None], axis=2).sum(axis=2)
+    distance = np.bitwise_count(probes[:, None] ^ items[None]).min(axis=2)
     assert got == {(int(w), int(k)) for w, k in zip(*np.nonzero(distance <= decontaminate.RADIUS))}
 
 
+def test_hamming_index_leaves_most_pairs_out():
+    """Of pairs that have nothing to do with each other a block lets through what its bits say, all of them a fifth a print."""
+    rng = np.random.default_rng(4)
+    items, probes = (rng.integers(0, 1 << 64, (n, decontaminate.PRINTS), dtype=np.uint64) for n in (300, 2000))
+    index = decontaminate.HammingIndex(np.arange(300), items)
+    met = [(k, w * 300 + place) for k, w, place in index.met(probes)]
+    assert len(met) == decontaminate.PRINTS * len(decontaminate.BLOCKS)
+    assert all(0.03 < len(pairs) / 600_000 < 0.08 for _, pairs in met)
+    for k in range(decontaminate.PRINTS):
+        assert 0.15 < len(np.unique(np.concatenate([pairs for own, pairs in met if own == k]))) / 600_000 < 0.25
+    assert len(index.within(probes)[0]) < 0.003 * 600_000
+
+
+@pytest.mark.parametrize("width", [9, 24, 60])
+def test_prints_of_similar_windows_are_near(width):
+    """Pairs at the least similarity or just above it: hardly one of 4,000 is beyond the radius in both prints."""
+    rng = np.random.default_rng(width)
+    both = math.ceil(1.5 * width / 1.75)
+    assert both / (2 * width - both) >= 0.75
+    near = []
+    for _ in range(4000):
+        stream = rng.integers(0, 1 << 64, 2 * width - both, dtype=np.uint64)
+        x, y = (decontaminate.fingerprints(np.ascontiguousarray(s), np.zeros(1, np.int64), width) for s in (stream[:width], stream[len(stream) - width :]))
+        near.append(np.bitwise_count(x ^ y).min() <= decontaminate.RADIUS)
+    assert np.mean(near) > 0.999
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_grams_that_occur_often(spark, make, monkeypatch, parts):
+    """A passage in many contexts is split by distance over several parts, by narrower ranges the more often it occurs."""
+    monkeypatch.setattr(suffix_dedup, "SPLITS", ((3, 20), (12, 5), (40, 1)))
+    monkeypatch.setattr(suffix_dedup, "PART_ROWS", 40)
+    monkeypatch.setattr(suffix_dedup, "RUN_ROWS", 50)
+    rnd = random.Random(parts)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passages = [word(n) for n in (180, 199, 200, 201, 260, 600)]
+    pairs = []
+    for k, passage in enumerate(passages):
+        for _ in range((6, 15, 60, 20, 45, 50)[k]):
+            pairs.append((len(pairs), word(rnd.choice((0, 3, 90, 170))) + passage + word(rnd.choice((0, 5, 150)))))
+    # The same bytes before or behind: strings that reach out of the passage.
+    for tail in range(30):
+        pairs.append((len(pairs), word(rnd.choice((0, 40))) + passages[0] + "same behind it" * 2 + word(9)))
+        pairs.append((len(pairs), "and the same before " + passages[1][: 150 + tail] + word(70)))
+    pairs += [(500, passages[4]), (500, passages[4]), (None, passages[2]), (501, passages[5] * 3)]
+    assert digests(suffix_dedup.without_repeats(make(pairs).repartition(parts))) == brute_repeats(pairs, 200)
+
+
+def test_ranges_cover_all_distances():
+    for count in (1, 25_000, 400_000, 10**9):
+        ranges = suffix_dedup.ranges_of(count, 160)
+        assert [d for a, b in ranges for d in range(a, b + 1)] == list(range(161))
+    assert suffix_dedup.ranges_of(24_999, 160) == [(0, 160)] and len(suffix_dedup.ranges_of(10**7, 160)) == 161
+
+
+def unmarked(text):
+    return [x for x in word_list(text) if not re.fullmatch("[#/*;%!<>\"'-]+", x)]
+
+
 def brute_notices(pairs, templates, least=0.75):
     out = {}
     for i, t in pairs:
-        w = word_list(t)
+        w = unmarked(t)
         for k, u in templates:
-            v = word_list(u)
+            v = unmarked(u)
             if not v:
                 continue
             g = min(5, len(v))
@@ -288,6 +354,19 @@ def test_registered_templates_find_common_wordings(spark, make):
     assert not any(t.startswith("GPL-2.0-notice") for t in got[3])
 
 
+def test_headers_behind_comment_marks(spark, make):
+    """Marks at the lines' beginnings and ends are no words; the span given holds the header."""
+    lines = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    wrapped = [("# ", "", ""), ("// ", "", ""), (" * ", "/**\n", "\n */"), (";; ", "", ""), ("% ", "", ""), ("-- ", "", ""), ("! ", "", ""), ("  ", "<!--\n", "\n-->"), ("", '"""\n', '\n"""')]
+    texts = {k: f"#!/bin/x\n{top}" + "\n".join(mark + x for x in lines) + f"{end}\nx = 1\n" for k, (mark, top, end) in enumerate(wrapped)}
+    found_in = {}
+    for r in license_scan.license_notices(make(list(texts.items())), license_scan.template_table(spark)).collect():
+        if r.template_id == "GPL-3.0-header":
+            found_in[r.doc_id] = texts[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
+    assert found_in.keys() == texts.keys()
+    assert all("redistribute it" in t and "of the License" in t for t in found_in.values())
+
+
 def test_long_templates_stand_edits():
     """A word in the middle may change in 24 words or more, as it breaks at most five shingles."""
     for text in license_scan.TEMPLATES.values():
