@@ -94,7 +94,10 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     A conversation is one row up to 256 turns, else one for each block of 256 threads' first turns and 256 turns, in whose
     order replies still follow what they quote; a turn of more than 64 distinct messages is dealt over more rows. So no row
     gathers without bound. Repeated rows count in ``n_rows`` and stand once in ``chat``. A message without conversation or
-    turn is a chat of its own (parts null; null, null and the message's hash as keys). An empty table gives no rows.
+    turn is a chat of its own (parts null; null, null and the message's hash as keys). Messages of one turn that differ are
+    told apart and ordered by a hash. A very long text is one value; its lines are split and hashed like any others, and as a
+    passage is one line, a quote that was wrapped anew is not found. An empty table gives no rows. Other columns are not
+    read, so their names can't clash.
     """
     messages = linked_messages(rows, conv_col, turn_col, role_col, text_col)
     crowded = messages.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where(F.col("n") > PART_TIES)

@@ -20,7 +20,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are grouped by hash and bytes together, so texts that only share the 128-bit hash stay apart; the partial
     aggregation leaves one row per text and task, which levels a hot group. SHA-256 tells colliding groups apart when rows
     are led back to their group. Null and empty texts are one group. A row without id is kept only if its whole group has
-    no id (keep_id null); of rows that repeat the smallest id each is kept. An empty table gives an empty result.
+    no id (keep_id null); of rows that repeat the smallest id each is kept. A very long text is one value, hashed and
+    compared whole. An empty table gives an empty result. Other columns are not read, so their names can't clash.
     """
     norm = texts_of(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
     rows = norm.select("doc_id", content_hash("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))

@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lowered; a set holds the distinct shingles of ``width`` words, or the
     whole sequence if it is shorter. Documents are linked with 100 * |A & B| >= percent * |A | B|, confirmed on whole sets.
     Null and empty texts have an empty set and link with nothing. Rows that repeat an id count as linked with each other. A
-    row without id is kept and has no component. An empty table gives an empty result. Other columns are not looked at.
+    row without id is kept and has no component. Of a component's documents the one of smallest id stays. A very long text is
+    hashed in parts of a megabyte; its set is held whole where it is compared. An empty table gives an empty result. Other
+    columns are not looked at, so their names can't clash.
     """
     texts = texts_of(docs, id_col, text_col)
     features = cut_lineage(texts.mapInArrow(_features(width), FEATURES))
@@ -272,6 +274,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, and all rows without id."""
+    """The rows of ``docs`` that stay: one document of each component, and all rows without id; columns stay in their order."""
     gone = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

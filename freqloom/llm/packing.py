@@ -89,7 +89,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     0. Groups of about ``group`` tokens are packed where they are read, without a shuffle: only the last sequence of a group
     is not full. Null and empty texts are ``end_id`` alone. Repeated rows and null ids are packed like others. An empty
     table gives an empty result. Sequence numbers depend on the table's partitions. With ``added``, as by the library's
-    default, the string of an added token in a text becomes its id; else it is ordinary text.
+    default, the string of an added token in a text becomes its id; else it is ordinary text. Documents of equal length are
+    packed in the order read. A very long text is encoded in pieces between sure boundaries, and its ids are cut over as many
+    sequences as they need. Other columns are not read, so their names can't clash.
     """
     path = tokenizer or tokenizer_path()
     return texts_of(docs, id_col, text_col).mapInArrow(_packer(path, budget, group, end_id, added), PIECES)

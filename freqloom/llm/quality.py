@@ -138,7 +138,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 if score >= threshold).
 
     Only the text is scored. Null and empty texts have no features and get the score of the bias. A null id counts as not
-    held out. An empty table gives an empty result. The broadcast model has 2^bits numbers.
+    held out. Equal texts get equal scores; a score at the threshold is accepted. A very long text is read whole, by itself.
+    An empty table gives an empty result. Other columns are not read, so their names can't clash. The broadcast model has
+    2^bits numbers.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 

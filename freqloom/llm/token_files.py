@@ -54,7 +54,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     Columns: doc_id, part (number of the range), part_start (ids before the document in its range), n_tokens, ids. Null and
     empty texts are ``end_id`` alone. Null ids come first; rows that share an id are ordered by a hash of their text, so a
     hot id is split over ranges. An empty table gives no rows. With ``added``, as by the library's default, the string of an
-    added token in a text becomes its id; else it is ordinary text.
+    added token in a text becomes its id; else it is ordinary text. A very long text is encoded in pieces between sure
+    boundaries and is one row. Other columns are not read, so their names can't clash.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
