@@ -48,6 +48,13 @@ def test_stages(spark, documents, tmp_path):
     assert set(held[3]) == set(held[2]) - {i for i, _ in brute_leaks(list(held[2].items()), items)}
 
 
+def test_stages_keep_the_order_of_columns(spark, documents):
+    """Columns stay where they are, also where the id is not the first."""
+    docs = documents.limit(20).select("text", "n_chars", "doc_id", "source", "lang")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     by = collections.Counter()

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_helpers import ODD
 from tokenizers import Tokenizer
@@ -81,6 +82,35 @@ def test_token_files(spark, make, plain, tmp_path):
     assert token_files.token_digests(make([]), str(tmp_path / "none")).count() == 0
 
 
+def test_token_file_format(spark, make, tmp_path, monkeypatch):
+    """Delta-packed numbers, dictionary-coded ids, several row groups with page indexes, and reads that skip row groups."""
+    monkeypatch.setattr(token_files, "FORMAT", token_files.FORMAT | {"parquet.block.size": str(64 << 10), "parquet.page.size": str(4 << 10), "parquet.block.size.row.check.min": "10", "parquet.page.size.row.check.min": "10"})
+    texts = [(i, " ".join(f"word{(i * 7 + j * j) % 5000}" for j in range(60))) for i in range(1500)]
+    token_files.write_token_files(make(texts).coalesce(1), str(tmp_path / "ids"))
+    groups = 0
+    for file in (tmp_path / "ids").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {c.path_in_schema.split(".")[0]: c for c in (meta.row_group(g).column(k) for k in range(meta.num_columns))}
+            assert {"doc_id", "part_start", "n_tokens", "ids"} <= columns.keys()
+            for name in ("doc_id", "part_start", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in columns[name].encodings and not columns[name].has_dictionary_page
+                assert columns[name].statistics.has_min_max
+            assert "RLE_DICTIONARY" in columns["ids"].encodings and columns["ids"].has_dictionary_page
+            assert all(c.has_column_index and c.has_offset_index and c.compression == "ZSTD" for c in columns.values())
+    assert groups >= 5
+
+    def scanned(df):
+        rows = df.collect()
+        return len(rows), df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    some, every = token_files.read_tokens(spark, str(tmp_path / "ids"), 100, 130), token_files.read_tokens(spark, str(tmp_path / "ids"), 0, 1500)
+    assert scanned(every) == (1500, 1500)
+    n, read = scanned(some)
+    assert n == 30 and read < 1500 / groups * 3
+
+
 def test_packing(make, plain):
     rows = packing.packed(make(pairs()), budget=64, group=1000).collect()
     sequences, documents = collections.defaultdict(list), collections.defaultdict(list)
