@@ -16,7 +16,7 @@ from freqloom.operators.calls import (
     count_alleles, is_biallelic, map_samples, polarise, site_table, unmapped_samples,
 )
 from freqloom.operators.regions import region_length, within_regions
-from freqloom.operators.sampling import bootstrap, bootstrap_of_draws, bootstrap_sizes, minibatches
+from freqloom.operators.sampling import bootstrap_draws, bootstrap_of_draws, minibatches
 from freqloom.operators.sites import SiteTable
 from freqloom.plans.jobs import concatenate_job, extract_spectrum_job, vcf_job
 from freqloom.session import ensure_checkpoint_dir
@@ -394,14 +394,18 @@ def incremental_warehouse(spark, sf):
 # ---- sampling ---------------------------------------------------------------------------------------------------
 
 
-@query("r1_bootstrap", f"""with {SFS_SQL}, rep as (select unnest(range(25)) as replicate)
- select replicate, cast({20} as bigint) as n_drawn, true as counts_agree from rep""")
+@query("r1_bootstrap", f"""with {SFS_SQL}, sizes as (select block, sum(cnt) as n from sfs group by block),
+ draw as (select replicate, slot, cast(floor(('0x' || substr(md5(concat_ws('/', replicate, slot, 7)), 1, 13))::BIGINT / 4503599627370496.0::double * {N_BLOCKS}) as bigint) as block
+  from range(25) a(replicate), range({N_BLOCKS}) b(slot))
+ select replicate, count(*) as n_drawn, count(distinct block) as n_blocks, sum(n) as total from draw join sizes using (block) group by replicate""")
 def bootstrap_check(spark, sf):
-    """25 replicates: each draws 20 blocks and its total equals the summed sizes of the drawn blocks."""
+    """25 replicates of 20 blocks each, by numbers that both engines make, and the summed sizes of the blocks drawn."""
     s = blocks(spark, sf).materialised()
-    sizes = bootstrap_sizes(s, 25, seed=7)
-    totals = bootstrap(s, 25, seed=7).groupBy("replicate").agg(F.sum("cnt").alias("total"), F.count_distinct("slot").alias("n_drawn"))
-    return totals.join(sizes, "replicate").selectExpr("replicate", "n_drawn", "total = expected as counts_agree")
+    draws = bootstrap_draws(s, 25, uniform=md5_uniform_text("replicate", "slot", "7"))
+    sizes = s.n_snps(by_block=True)
+    return draws.join(sizes, "block").groupBy("replicate").agg(
+        F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("block").alias("n_blocks"), F.sum("n_snps").alias("total")
+    )
 
 
 @query("r1_given_draws", f"""with {SFS_SQL}, draw as (select o_orderkey % 20 as replicate, o_custkey % 20 as block, count(*) as times from orders group by all)

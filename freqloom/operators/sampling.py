@@ -13,15 +13,17 @@ from freqloom.operators.spectrum import Spectrum
 SPLIT = 64
 
 
-def bootstrap_draws(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> DataFrame:
+def bootstrap_draws(spectrum: Spectrum, n_replicates: int, seed: int = 0, uniform: str | None = None) -> DataFrame:
     """``(replicate, slot, block)``: as many blocks as there are, drawn with replacement, for each replicate.
 
-    Blocks are given ordinals 0..n-1; slot k of a replicate takes the block whose ordinal its hash selects.
+    Blocks are given ordinals 0..n-1; slot k of a replicate takes the block whose ordinal its hash selects. ``uniform`` may
+    give the SQL text of another number in [0, 1) over the columns replicate and slot.
     """
+    uniform = uniform or uniform_text("replicate", "slot", str(int(seed)))
     labels = spectrum.renumbered_labels()
     slots = labels.selectExpr("ordinal as slot", "n_blocks", f"explode(sequence(0L, {n_replicates - 1}L)) as replicate")
     drawn = slots.selectExpr(
-        "replicate", "slot", f"bigint(floor({uniform_text('replicate', 'slot', str(int(seed)))} * n_blocks)) as ordinal"
+        "replicate", "slot", f"bigint(floor({uniform} * n_blocks)) as ordinal"
     )
     return drawn.join(labels.select("ordinal", "block"), "ordinal").select("replicate", "slot", "block")
 
@@ -38,13 +40,6 @@ def bootstrap_of_draws(spectrum: Spectrum, draws: DataFrame) -> DataFrame:
     return times.join(spectrum.df, "block").groupBy("replicate", "anc", "der").agg(F.expr("sum(times * cnt)").alias("cnt"))
 
 
-def bootstrap_sizes(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> DataFrame:
-    """``(replicate, expected)``: summed sizes of the drawn blocks, from the block totals alone."""
-    sizes = spectrum.n_snps(by_block=True)
-    draws = bootstrap_draws(spectrum, n_replicates, seed)
-    return draws.join(sizes, "block").groupBy("replicate").agg(F.sum("n_snps").alias("expected"))
-
-
 def bootstrap_totals(spectrum: Spectrum, n_replicates: int, seed: int = 0) -> DataFrame:
     """``(replicate, anc, der, cnt)``: replicates with their blocks combined.
 
