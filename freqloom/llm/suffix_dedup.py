@@ -25,7 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ LENGTH, GRAM = 200, 40
 #: Contexts sorted at once in a task, and contexts a merged part should have.
 RUN_ROWS, PART_ROWS = 60_000, 100_000
 #: A gram with so many anchors is split by distance, in ranges of so many; the last width is one distance.
-SPLITS = ((25_000, 20), (400_000, 5), (6_400_000, 1))
+SPLITS = ((100_000, 20), (1_000_000, 5), (20_000_000, 1))
 _BYTE = seeds(256, 53)
 ANCHORS = "key long, times int, id0 long, h long, pos int"
 RUNS = "part int, near int, far int, shared binary, size binary, tails binary, left_size binary, lefts binary, id0 binary, h binary, pos binary, done binary, spans binary"
@@ -255,7 +255,7 @@ def _sorted_runs(length: int, gram: int, parts: int, hot: Broadcast):
     reach = length - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        number, first = 0, int(mix(np.array([TaskContext.get().partitionId()], np.uint64))[0] % np.uint64(parts))
         keys, counts = hot.value
         whole = [(0, reach)]
         held: dict[tuple[tuple[int, int], bytes, bytes], list] = {}
@@ -270,7 +270,8 @@ def _sorted_runs(length: int, gram: int, parts: int, hot: Broadcast):
                 part = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest()) % parts
                 by_part.setdefault((part, span), []).append((right, left, *row, done))
             own = np.array(spans, np.int64).reshape(-1, 4).tobytes()
-            target = (number % parts, whole[0])
+            # What is settled here only passes through, so any part will do; tasks begin at different ones.
+            target = ((first + number) % parts, whole[0])
             if spans:
                 by_part.setdefault(target, [])
             number += 1
