@@ -51,37 +51,46 @@ def fingerprints(stream: np.ndarray, starts: np.ndarray, width: int) -> np.ndarr
     return out
 
 
-def block_values(prints: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(number of the print, bits of the block, values) for each block of each print."""
-    return [(k, n, (prints[:, k] >> o) & np.uint64((1 << n) - 1)) for k in range(PRINTS) for n, o in zip(BLOCKS, _OFFSETS, strict=True)]
+_PRINT = np.repeat(np.arange(PRINTS), len(BLOCKS))
+_SHIFT = np.tile(_OFFSETS, PRINTS)
+_MASK = np.tile((np.uint64(1) << np.array(BLOCKS, np.uint64)) - np.uint64(1), PRINTS)
+_TAG = np.arange(len(_PRINT), dtype=np.uint64) << np.uint64(16)
+
+
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """The values of all blocks of all prints (windows x blocks), each with the block's number above its bits."""
+    return (((prints[:, _PRINT] >> _SHIFT) & _MASK) | _TAG).astype(np.uint32)
 
 
 class HammingIndex:
-    """Items of one size in postings by block value: each item under all values within ERRORS bits of its own."""
+    """Items of one size in postings by block and value: each item under all values within ERRORS bits of its own."""
 
     def __init__(self, items: np.ndarray, prints: np.ndarray):
-        self.items, self.prints, self.postings = items, prints, []
-        for _, n, own in block_values(prints):
-            near = own[:, None] ^ errors_within(n, ERRORS)[None, :]
-            order = np.argsort(near.ravel(), kind="stable")
-            self.postings.append((near.ravel()[order].astype(np.uint16), (order // near.shape[1]).astype(np.int32)))
-
-    def met(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the print, windows, places in items) of the pairs that meet in a block."""
-        for (k, _, own), (values, places) in zip(block_values(prints), self.postings, strict=True):
-            own = own.astype(np.uint16)
-            first = np.searchsorted(values, own, "left")
-            count = np.searchsorted(values, own, "right") - first
-            w = np.repeat(np.arange(len(own)), count)
-            yield k, w, places[np.arange(len(w)) + np.repeat(first - np.cumsum(count) + count, count)]
+        self.items, self.prints = items, prints
+        own = block_keys(prints)
+        near = [own[:, b, None] ^ errors_within(n, ERRORS).astype(np.uint32)[None, :] for b, n in enumerate(BLOCKS * PRINTS)]
+        keys = np.concatenate([x.ravel() for x in near])
+        places = np.concatenate([np.repeat(np.arange(len(x), dtype=np.int32), x.shape[1]) for x in near])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
+
+    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, block, place in items) of the pairs that meet in a block."""
+        own = block_keys(prints).ravel()
+        first = np.searchsorted(self.keys, own, "left")
+        count = np.searchsorted(self.keys, own, "right") - first
+        at = np.repeat(np.arange(len(own)), count)
+        w, block = np.divmod(at, len(_PRINT))
+        return w, block, self.places[np.arange(len(at)) + np.repeat(first - np.cumsum(count) + count, count)]
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, place in items) of all pairs within RADIUS in either print."""
-        found = [np.zeros(0, np.int64)]
-        for k, w, place in self.met(prints):
-            near = np.bitwise_count(prints[w, k] ^ self.prints[place, k]) <= RADIUS
-            found.append(w[near] * len(self.items) + place[near])
-        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
+        w, block, place = self.met(prints)
+        k = _PRINT[block]
+        near = np.bitwise_count(prints[w, k] ^ self.prints[place, k]) <= RADIUS
+        if not near.any():
+            return w[:0], place[:0]
+        return np.divmod(np.unique(w[near] * len(self.items) + place[near]), len(self.items))
 
 
 def build_index(reference: Reference) -> dict[tuple[int, int], HammingIndex]:
