@@ -239,6 +239,39 @@ def _confirm(percent: int):
     return run
 
 
+def _compared(texts: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """Forests of links among the documents that share (grp, pair) in ``dealt(doc_id, grp, pair, side)``."""
+    sets = texts.join(dealt.select("doc_id", "grp").distinct(), "doc_id").join(dealt, ["doc_id", "grp"]).select("doc_id", "text", "grp", "pair", "side")
+    sent = sets.mapInArrow(_sets(width), "grp long, pair long, side long, doc_id long, shingles binary").repartition("grp", "pair").sortWithinPartitions("grp", "pair")
+    return sent.mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _links(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect each group of candidates as all its links do, from ``placed(doc_id, grp, m, mine, n_shingles)``.
+
+    Groups are compared in blocks of bounded size, each document in its own block first. Most groups of several blocks hold
+    copies that are connected within each block, and one document of each of these parts, compared with the others' in one
+    block, connects them: work and bytes go with the size of the group. Only groups that are still in parts then take each
+    pair of blocks once.
+    """
+    near = _compared(texts, placed.selectExpr("doc_id", "grp", "mine AS pair", "0L AS side"), width, percent)
+    if placed.where("m > 1").isEmpty():
+        return near
+    large, near = placed.where("m > 1"), cut_lineage(near)
+
+    def parts(links: DataFrame) -> DataFrame:
+        roots = connected(links.join(large.select("doc_id"), links["a"] == F.col("doc_id"), "left_semi"))
+        return large.join(roots, large["doc_id"] == roots["node"], "left").select("doc_id", "grp", F.coalesce("root", "doc_id").alias("top"))
+
+    tops = parts(near).selectExpr("grp", "top AS doc_id").distinct().join(large.select("doc_id", "n_shingles"), "doc_id")
+    few = tops.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where(f"n > 1 AND n <= {BUCKET_BLOCK} AND size <= {SET_BLOCK}")
+    across = cut_lineage(_compared(texts, tops.join(few.select("grp"), "grp").selectExpr("doc_id", "grp", "-1L AS pair", "0L AS side"), width, percent))
+    split = parts(near.unionAll(across)).groupBy("grp").agg(F.count_distinct("top").alias("n")).where("n > 1").select("grp")
+    pairs = "transform(filter(sequence(0, m - 1), x -> x <> mine), x -> least(x, mine) * m + greatest(x, mine))"
+    rest = cut_lineage(large.join(split, "grp")).selectExpr("doc_id", "grp", "mine AS side", f"explode({pairs}) AS pair")
+    return near.unionAll(across).unionAll(_compared(texts, rest, width, percent))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id).
 
@@ -258,14 +291,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = keys.repartition("key").sortWithinPartitions("key", "doc_id")
     groups = connected(bucket.mapInArrow(_candidates, "a long, b long"))
 
-    # Blocks of bounded size: a group of m blocks takes each pair of blocks once.
     members = groups.withColumnRenamed("root", "grp").join(classes.selectExpr("doc_id AS node", "n_shingles"), "node")
     blocks = members.groupBy("grp").agg(F.expr(f"cast(ceil(greatest(sum(n_shingles) / {SET_BLOCK}, count(*) / {BUCKET_BLOCK})) AS int)").alias("m"))
-    placed = members.join(blocks, "grp").select(F.col("node").alias("doc_id"), "grp", "m", F.expr("pmod(xxhash64(node), m)").alias("mine"))
-    paired = placed.select("doc_id", "grp", F.col("mine").alias("side"), F.explode(F.expr("transform(sequence(0, m - 1), x -> least(x, mine) * m + greatest(x, mine))")).alias("pair"))
-    sets = texts.join(placed.select("doc_id", "grp"), "doc_id").join(paired, ["doc_id", "grp"]).select("doc_id", "text", "grp", "pair", "side")
-    compared = sets.mapInArrow(_sets(width), "grp long, pair long, side long, doc_id long, shingles binary").repartition("grp", "pair").sortWithinPartitions("grp", "pair")
-    links = connected(compared.mapInArrow(_confirm(percent), "a long, b long"))
+    placed = cut_lineage(members.join(blocks, "grp").select(F.col("node").alias("doc_id"), "grp", "m", F.expr("pmod(xxhash64(node), m)").alias("mine"), "n_shingles"))
+    links = connected(_links(texts, placed, width, percent))
 
     # One id may stand for several sets; then they share the smallest component.
     roots = classes.join(links, classes["doc_id"] == links["node"], "left").select("h1", "h2", F.coalesce("root", "doc_id").alias("component_id"))

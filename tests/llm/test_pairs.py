@@ -79,6 +79,23 @@ def test_near_duplicates_in_many_blocks(make, monkeypatch):
     assert collections.Counter(tuple(r) for r in got) == brute_components(pairs)
 
 
+def test_large_groups_that_fall_into_parts(make, monkeypatch):
+    """Candidates by loose signatures, half of whom are no links: parts within and across blocks are told apart."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 700)
+    rnd = random.Random(8)
+    pairs = []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for variant in range(5):
+            # Variants of a family share two thirds; their copies are near.
+            own = base[:44] + [f"f{family}v{variant}w{i}" for i in range(16)]
+            pairs += [(1000 * family + 100 * variant + k, edited(rnd, own, 0.01)) for k in range(9)]
+    got = near_dedup.near_duplicates(make(pairs)).collect()
+    want = brute_components(pairs)
+    assert collections.Counter(tuple(r) for r in got) == want and 4 <= len({c for _, _, c, _ in want}) < 100
+
+
 def test_empty_tables(make):
     assert near_dedup.near_duplicates(make([])).count() == 0
     assert near_dedup.keep_one(make([])).count() == 0
