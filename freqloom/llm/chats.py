@@ -29,16 +29,17 @@ def _lines(messages: DataFrame) -> DataFrame:
     """Level and normalised body of each line that is not blank; level 0 is a message's own text."""
     line = messages.select(*KEY, F.explode(F.split("text", "\n")).alias("line")).withColumn("marks", F.regexp_extract("line", MARKS, 0))
     body = F.lower(F.trim(F.regexp_replace(F.expr("substring(line, length(marks) + 1)"), r"[ \t\r\x0B\f]+", " ")))
-    return line.select(*KEY, F.expr("length(marks) - length(replace(marks, '>', ''))").alias("level"), body.alias("body")).where("body <> ''").select(*KEY, "level", F.md5("body").alias("passage"), F.length("body").alias("size"))
+    return line.select(*KEY, F.expr("length(marks) - length(replace(marks, '>', ''))").alias("level"), body.alias("body")).where("body <> ''").select(*KEY, "level", F.xxhash64("body").alias("passage"), F.length("body").alias("size"))
 
 
 def quotation_links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, tie, to_turn, to_tie of each message that quotes an earlier one of its conversation.
 
-    A quoted passage is a line under one or more marks ``>``, hashed without marks, case and repeated white space. It stands
-    for the latest earlier message whose own text has it. A message replies to the one of least level, then of most quoted
-    characters, then the latest. The search is an as-of window over chunks of turns, with what earlier chunks hold carried
-    along, so no pairs are made and no hot passage is held whole.
+    A quoted passage is a line under one or more marks ``>``, hashed to 64 bits without marks, case and repeated white space. It
+    stands for the latest earlier message of its conversation whose own text has it. A message replies to the one of least
+    level, then of most quoted characters, then the latest. The search is an as-of window over chunks of turns; in
+    conversations of several chunks what earlier ones hold is carried along. So no pairs are made, and no hot passage is held
+    whole.
     """
     named = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoting = named.where(F.col("text").rlike(r"(?m)" + QUOTED)).select("conv_id").distinct()
@@ -51,10 +52,11 @@ def quotation_links(messages: DataFrame) -> DataFrame:
         .withColumn("chunk", F.expr(f"floor(turn / {PART_TURNS})"))
     )
     near = W.partitionBy("conv_id", "passage", "chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    carried = events.where("mine IS NOT NULL").groupBy("conv_id", "passage", "chunk").agg(F.max("mine").alias("mine"))
-    chunks = events.select("conv_id", "passage", "chunk").distinct().join(carried, ["conv_id", "passage", "chunk"], "left")
+    turns = named.groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"))
+    several = turns.where(f"floor(low / {PART_TURNS}) < floor(high / {PART_TURNS})").select("conv_id")
+    chunks = events.join(several, "conv_id", "left_semi").groupBy("conv_id", "passage", "chunk").agg(F.max("mine").alias("mine"))
     before = chunks.select("conv_id", "passage", "chunk", F.max("mine").over(W.partitionBy("conv_id", "passage").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("far"))
-    found = events.withColumn("close", F.max("mine").over(near)).where("level > 0").join(before, ["conv_id", "passage", "chunk"])
+    found = events.withColumn("close", F.max("mine").over(near)).where("level > 0").join(before, ["conv_id", "passage", "chunk"], "left")
     found = found.withColumn("to", F.coalesce("close", "far")).where("to IS NOT NULL")
     votes = found.groupBy(*KEY, "level", "to").agg(F.sum("size").alias("size"))
     best = votes.groupBy(*KEY).agg(F.max(F.struct(-F.col("level"), F.col("size"), F.col("to"))).alias("best"))
