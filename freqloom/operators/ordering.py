@@ -118,6 +118,26 @@ def _cut_filter(cuts: list, resolution: int) -> Column:
     return reduce(Column.__or__, conditions) if conditions else F.lit(False)
 
 
+def _has_plain_columns(df: DataFrame, names: Sequence[str]) -> bool:
+    """Whether these columns are the source's own, so that the source can apply a filter on them."""
+    plan = df.select(*names)._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    own = {leaves.apply(i).output().apply(j).exprId().toString() for i in range(leaves.size()) for j in range(leaves.apply(i).output().size())}
+    return all(plan.output().apply(i).exprId().toString() in own for i in range(plan.output().size()))
+
+
+def cut_rows(sites: DataFrame, cuts: list, resolution: int) -> DataFrame:
+    """The rows of the ``cuts``' bins with ``chrom`` and ``bin``.
+
+    Where chromosome and position are columns of the source, it is given the ranges as a filter, to skip files and row groups.
+    Where they are computed it can't, and a filter would compute them once for each range; then the bin alone decides.
+    """
+    names = F.broadcast(sites.sparkSession.createDataFrame([(c.chrom, c.bin) for c in cuts], "chrom string, bin bigint"))
+    near = sites.where(_cut_filter(cuts, resolution)) if _has_plain_columns(sites, ["chrom_id", "position"]) else sites
+    binned = near.selectExpr("chrom_id", "position", "anc", "der", f"{_CHROM} as chrom", f"{bin_text(resolution)} as bin")
+    return binned.join(names, ["chrom", "bin"], "left_semi")
+
+
 def with_blocks(sites: DataFrame, n_blocks: int, histogram: DataFrame | None = None) -> DataFrame:
     """``anc``, ``der`` and ``block`` = floor(rank / (rows / n_blocks)), rows ranked by chromosome, position, configuration.
 
@@ -163,9 +183,7 @@ def with_blocks(sites: DataFrame, n_blocks: int, histogram: DataFrame | None = N
         shifts.append((c.chrom, c.bin, c.span, c.start - before))
         before += c.n
     names = F.broadcast(sites.sparkSession.createDataFrame(shifts, "chrom string, bin bigint, span double, shift bigint"))
-    again = sites.where(_cut_filter(cuts, resolution)).selectExpr(*order, f"{_CHROM} as chrom", f"{bin_text(resolution)} as bin")
-    near = again.join(names.select("chrom", "bin"), ["chrom", "bin"], "left_semi")
-    ranked = with_global_index(near, order, ["chrom", "bin", "anc", "der"])
+    ranked = with_global_index(cut_rows(sites, cuts, resolution), order, ["chrom", "bin", "anc", "der"])
     first = ranked.select("row_total").first()
     if (0 if first is None else first.row_total) != before:
         raise ValueError("the sites changed between two reads; write them to a table first")

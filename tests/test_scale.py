@@ -100,7 +100,8 @@ def test_blocks_write_little_and_read_cut_bins_by_filter(spark, tmp_path):
     counted = {r.block: r.n for r in s.df.groupBy("block").agg(F.sum("cnt").alias("n")).collect()}
     assert len(counted) == 20
     cuts = spark.createDataFrame([("1chr1", 5000)], "chrom string, bin long").collect()
-    plan = stored_table.df.where(ordering._cut_filter(cuts, 256))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert not ordering._has_plain_columns(rows, ["chrom_id", "position"]) and ordering._has_plain_columns(stored_table.df, ["chrom_id", "position"])
+    plan = ordering.cut_rows(stored_table.df, cuts, 256)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(position" in plan.split("PushedFilters:")[1].split("\n")[0] and "chr1" in plan.split("PartitionFilters:")[1].split("\n")[0]
 
 
