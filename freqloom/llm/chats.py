@@ -64,15 +64,15 @@ def quotation_links(messages: DataFrame) -> DataFrame:
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """For each linked message the first message of its thread, by pointer jumping: a round halves the way that is left."""
-    now = cut_lineage(links)
-    while True:
-        up = now.selectExpr("conv_id", "turn AS to_turn", "tie AS to_tie", "to_turn AS next_turn", "to_tie AS next_tie")
-        joined = now.join(up, ["conv_id", "to_turn", "to_tie"], "left")
-        now = cut_lineage(joined.select(*KEY, F.coalesce("next_turn", "to_turn").alias("to_turn"), F.coalesce("next_tie", "to_tie").alias("to_tie"), F.col("next_turn").isNotNull().alias("moved")))
-        if not now.where("moved").limit(1).count():
-            return now.selectExpr(*KEY, "to_turn AS thread_turn", "to_tie AS thread_tie")
-        now = now.drop("moved")
+    """For each linked message the first message of its thread, by pointer jumping: a round halves the way that is left, and
+    messages whose thread's first message is found take no part in later rounds."""
+    now = cut_lineage(links.select(*KEY, "to_turn", "to_tie", F.lit(True).alias("open")))
+    while not now.where("open").isEmpty():
+        up = now.selectExpr("conv_id", "turn AS to_turn", "tie AS to_tie", "to_turn AS next_turn", "to_tie AS next_tie", "open AS more")
+        jumped = now.where("open").drop("open").join(up, ["conv_id", "to_turn", "to_tie"], "left")
+        jumped = jumped.select(*KEY, F.coalesce("next_turn", "to_turn").alias("to_turn"), F.coalesce("next_tie", "to_tie").alias("to_tie"), F.coalesce("more", F.lit(False)).alias("open"))
+        now = cut_lineage(jumped.unionAll(now.where("NOT open")))
+    return now.selectExpr(*KEY, "to_turn AS thread_turn", "to_tie AS thread_tie")
 
 
 def linked_messages(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
