@@ -17,7 +17,7 @@ from freqloom.operators.spectrum import Spectrum
 # Consecutive rows looked at together when runs are found.
 RUN_BUCKET = 1 << 20
 # Equal sites spelled out from one row.
-COPY_RUN = 1 << 14
+COPY_RUN = 1 << 8
 SITE = ("chrom_id", "position", "anc", "der")
 ACCOUNTING = "length DOUBLE, n_read BIGINT, n_excluded BIGINT"
 
@@ -157,9 +157,13 @@ class SiteTable:
         wanted = {self.pops.index(p): n for p, n in targets.items()}
         copies = self.df.withColumn("copy", F.lit(0).cast("bigint")) if distinct else _numbered_copies(self.df)
         drawn = copies.withColumn("draw", F.xxhash64(*SITE, "copy", F.lit(int(seed))))
+        # What a draw names often are columns of their own, in doubles, so that the compiled methods stay small.
+        drawn = drawn.withColumns({f"u{i}": F.expr(uniform(i)) for i in wanted}).withColumns(
+            {f"size{i}": F.expr(f"double(anc[{i}] + der[{i}])") for i in wanted} | {f"hits{i}": F.expr(f"double(anc[{i}])") for i in wanted}
+        )
         for i, n in wanted.items():
-            got = hypergeometric_draw_text(uniform(i), f"(anc[{i}] + der[{i}])", f"anc[{i}]", str(n))
-            drawn = drawn.withColumn(f"got{i}", F.expr(f"case when anc[{i}] + der[{i}] > {n} then int({got}) end"))
+            got = hypergeometric_draw_text(f"u{i}", f"size{i}", f"hits{i}", str(n))
+            drawn = drawn.withColumn(f"got{i}", F.expr(f"case when size{i} > {n} then int({got}) end"))
         new_anc, new_der = (
             [f"coalesce({f'got{i}' if side == 'anc' else f'{wanted[i]} - got{i}'}, {side}[{i}])" if i in wanted else f"{side}[{i}]" for i in range(len(self.pops))]
             for side in ("anc", "der")
@@ -228,11 +232,17 @@ class SiteTable:
 
 
 def _numbered_copies(df: DataFrame) -> DataFrame:
-    """Sites with ``copy``, their number among the sites equal to them; up to COPY_RUN of them are spelled out in place."""
+    """Sites with ``copy``, their number among the sites equal to them; up to COPY_RUN of them are spelled out in place.
+
+    More come in runs that are dealt over a fixed number of partitions: a run is a few bytes whatever it spells out, so
+    adaptive execution, which goes by bytes, would put all of them into one task.
+    """
     counted = df.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"))
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     few = counted.where(f"n <= {COPY_RUN}").selectExpr(*SITE, "explode(sequence(0L, n - 1)) as copy")
     runs = counted.where(f"n > {COPY_RUN}").selectExpr(*SITE, "n", f"explode(sequence(0L, (n - 1) div {COPY_RUN})) as run")
-    many = runs.repartition(*SITE, "run").selectExpr(
+    many = runs.repartition(tasks, *SITE, "run").selectExpr(
         *SITE, f"explode(sequence(run * {COPY_RUN}, least(n, (run + 1) * {COPY_RUN}) - 1)) as copy"
     )
     return few.unionByName(many)
