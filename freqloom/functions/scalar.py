@@ -10,6 +10,9 @@ from math import factorial
 # Up to this subset size a binomial coefficient is written out as one product; beyond it a fold keeps the plan small.
 UNROLL_LIMIT = 16
 
+# Up to this fixed number of draws the hypergeometric distribution is written out.
+UNROLL_DRAWS = 8
+
 # Lanczos approximation of the gamma function, g = 7, nine coefficients.
 LANCZOS_G = 7.0
 LANCZOS = (
@@ -98,9 +101,11 @@ def hypergeometric_draw_text(u: str, population: str, hits: str, draws: str) ->
     """How many of ``draws`` from ``population`` with ``hits`` hits are hits: the inverse distribution at ``u`` in [0, 1).
 
     Probabilities follow from one another, in logarithms, beginning nine deviations below the mean or at the smallest
-    possible number, so the steps go with the deviation, not with the size of the population. Arguments are named often
-    and should be columns or variables.
+    possible number, so the steps go with the deviation, not with the size of the population. A small fixed number of draws
+    is written out as sums of products instead. Arguments are named often and should be columns or variables.
     """
+    if draws.isdigit() and 0 < int(draws) <= UNROLL_DRAWS:
+        return _few_draws_text(u, population, hits, int(draws))
     size, k, n = f"double({population})", f"double({hits})", f"double({draws})"
     lf = log_gamma_plus_one_text
     spread = f"sqrt({n} * ({k} / {size}) * (1D - {k} / {size}) * greatest({size} - {n}, 0D) / greatest({size} - 1D, 1D))"
@@ -119,3 +124,16 @@ def hypergeometric_draw_text(u: str, population: str, hits: str, draws: str) ->
         f"if({draws} = 0 or {hits} = 0, 0L, if({draws} >= {population}, bigint({hits}),"
         f" bigint(transform(array(named_struct('low', {low}, 'high', {high})), b -> {fold})[0])))"
     )
+
+
+def _few_draws_text(u: str, population: str, hits: str, draws: int) -> str:
+    """The same for a small fixed number of draws: how many of the distribution's partial sums ``u`` has reached.
+
+    No lambda and no logarithm, so that it is compiled: this runs once for each site and population.
+    """
+    whole = comb_text(f"double({population})", draws)
+    chances = [
+        f"{comb_text(f'double({hits})', k)} * ({comb_text(f'double({population}) - {hits}', draws - k)})" for k in range(draws)
+    ]
+    reached = " + ".join(f"if({u} < ({' + '.join(chances[: k + 1])}) / ({whole}), 0L, 1L)" for k in range(draws))
+    return f"if({hits} = 0, 0L, if({draws} >= {population}, bigint({hits}), least({reached}, bigint({hits}))))"
