@@ -266,7 +266,7 @@ def equal_sites(spark, sf):
     moved = replace(t, df=t.df.withColumn("position", F.expr("if(chrom_id = 'chr4' and position % 1000 = 1, position + 0.5D, position)")))
     keys = keys_that_differ(t.df, moved.df, "chrom_id", SITE)
     rows = t.differences(moved).where("side = 'left'").distinct().groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    equal = t.equals(replace(t, df=t.df.repartition(5, "position")))
+    equal = t.equals(replace(t, df=t.df.repartition("position")))
     return keys.selectExpr("key as chrom_id", "true as differs").join(rows, "chrom_id").withColumn("equal_when_reordered", F.lit(equal))
 
 
