@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import prod
 
 from pyspark.sql import DataFrame
 
@@ -58,6 +59,22 @@ class Layout:
         nodes = sum((n.n + 1) * (n.n + 2) for n in self.nodes.values())
         return 8 * (nodes + sum((n + 1) ** 3 for n in self.pulses.values()))
 
+    def joint_cells(self) -> int:
+        """The most cells that one tensor over all present axes has, from the tips to the root."""
+        sizes = {self.root.name: self.root.n + 1}
+        most = 0
+        for step in reversed(self.steps):
+            if step[0] == "merge":
+                a, b, above = step[1:]
+                del sizes[above.name]
+                sizes |= {a.name: a.n + 1, b.name: b.n + 1}
+            elif step[0] == "split":
+                source, stay, moved, _ = step[1:]
+                del sizes[stay.name], sizes[moved.name]
+                sizes[source.name] = source.n + 1
+            most = max(most, prod(sizes.values()))
+        return most
+
     def _new(self, name: str, leaves: frozenset[str]) -> Node:
         node = Node(name, leaves, sum(self._n[p] for p in leaves))
         self.nodes[name] = node
@@ -230,3 +247,71 @@ class Assembly:
         text, axes = self._last(cluster, source)
         tensor = let("t", text, map_rows("t", self._width(axes[:-1]), source.n + 1, apply_rows(f"parents_{seq}", "v")))
         self._replace(cluster, [*axes[:-1], stay, moved], tensor, f"mass{cluster.key}")
+
+
+class Joint:
+    """A layout taken in reverse: one weight for each combination of derived counts at the tips, once per model.
+
+    The result of :class:`Assembly` is linear in each tip vector, and derived alleles found in no other cluster's lineages stay
+    so on the way up. So the weights of the state after a step give those before it: a closed node adds its own spectrum where
+    all other axes are 0. ``df`` has the flat tensor ``joint`` over the tips of ``pops``; all observations read it.
+    Node columns are as for :class:`Assembly`, with ``moves`` and ``parents`` transposed.
+    """
+
+    def __init__(self, models: DataFrame, layout: Layout, columns: dict[str, int], pops: Sequence[str]):
+        self._id = columns
+        self._axes = [layout.root]
+        self._keep = ["model_id"] + [c for c in models.columns if c.startswith(("arising_", "moves_", "parents_"))]
+        self._tips: dict[str, str] = {}
+        self.df = models.selectExpr(*self._keep, f"arising_{columns[layout.root.name]} as joint")
+        for step in reversed(layout.steps):
+            getattr(self, f"_{step[0]}")(*step[1:])
+        for pop in pops:
+            self._to_end(self._tips[pop])
+        self.df = self.df.select("model_id", "joint")
+
+    def _set(self, text: str) -> None:
+        self.df = self.df.selectExpr(*self._keep, f"{let('t', 'joint', text)} as joint")
+
+    def _to_end(self, name: str) -> None:
+        at = [a.name for a in self._axes].index(name)
+        if at < len(self._axes) - 1:
+            self._set(permuted("t", [a.n + 1 for a in self._axes], at))
+            self._axes.append(self._axes.pop(at))
+
+    def _others(self, last: int = 1) -> int:
+        return prod(a.n + 1 for a in self._axes[:-last])
+
+    def _tip(self, node: Node, pop: str) -> None:
+        self._tips[pop] = node.name
+
+    def _ghost(self, node: Node) -> None:
+        self._axes = [a for a in self._axes if a.name != node.name]
+
+    def _close(self, node: Node) -> None:
+        if node.n == 0:
+            return
+        k, m = self._id[node.name], node.n + 1
+        self._to_end(node.name)
+        moved = map_rows("t", self._others(), m, apply_rows(f"moves_{k}", "v"))
+        self._set(moved)
+        arisen = f"zip_with(slice(t, 1, {m}), arising_{k}, (x, y) -> x + y)"
+        self._set(arisen if self._others() == 1 else f"concat({arisen}, slice(t, {m + 1}, {(self._others() - 1) * m}))")
+
+    def _merge(self, a: Node, b: Node, above: Node) -> None:
+        self._to_end(above.name)
+        n, others = a.n + b.n, self._others()
+        if above.n < n:
+            self._set(map_rows("t", others, above.n + 1, apply_rows(matrix(reduction_matrix(n, above.n)), "v")))
+        cells = [(i + j, i) for i in range(a.n + 1) for j in range(b.n + 1)]
+        weights = split_weights(a.n, b.n)
+        places = f"array({', '.join(str(k) for k, _ in cells)})"
+        body = f"zip_with({places}, {doubles(weights[k, i] for k, i in cells)}, (q, x) -> v[q] * x)"
+        self._set(map_rows("t", others, n + 1, body))
+        self._axes[-1:] = [a, b]
+
+    def _split(self, source: Node, stay: Node, moved: Node, seq: int) -> None:
+        self._to_end(stay.name)
+        self._to_end(moved.name)
+        self._set(map_rows("t", self._others(2), (source.n + 1) ** 2, apply_rows(f"parents_{seq}", "v")))
+        self._axes[-2:] = [source]

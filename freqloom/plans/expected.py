@@ -15,11 +15,14 @@ from freqloom.functions.constants import (
 from freqloom.functions.configs import int_array_text, polymorphic_text, sizes_text
 from freqloom.functions.scalar import comb_fold_text, expm1_ratio_text
 from freqloom.functions.vectors import apply_rows, dot, doubles, let, matrix, observation
-from freqloom.plans.assembly import Assembly, Layout
+from freqloom.plans.assembly import Assembly, Joint, Layout
 from freqloom.plans.models import Template, epochs, resolve, signed
+from freqloom.session import cut_lineage
 
 # Size of the model arrays that one broadcast carries; a larger sweep runs as several such joins, one per bucket of models.
 BROADCAST_BYTES = 32 << 20
+# Up to this many cells the weights of all tip observations are one array for each model; beyond it each pair of model and row is evaluated by itself.
+JOINT_CELLS = 4096
 
 
 def first_coalescence_text(pair_rate: str) -> str:
@@ -77,11 +80,12 @@ def spectrum_by_size_text(ns: Sequence[int]) -> str:
     return let("e", "waits", f"case lineages {branches} end")
 
 
-def moves_by_size_text(ns: Sequence[int]) -> str:
-    """Moran transition matrix over a node (rows: derived count at the upper end)."""
+def moves_by_size_text(ns: Sequence[int], transposed: bool = False) -> str:
+    """Moran transition matrix over a node (rows: derived count at the upper end; at the lower end if ``transposed``)."""
     branches = []
     for n in sorted(set(ns)):
         right, rates, left = moran_system(n)
+        right, left = (left.T, right.T) if transposed else (right, left)
         row = let("y", "zip_with(x, d, (a, b) -> a * b)", apply_rows(matrix(left.T), "y"))
         survive = f"transform({doubles(rates)}, r -> exp(-r * scaled_time))"
         branches.append(f"when {n} then {let('d', survive, f'transform({matrix(right)}, x -> {row})')}")
@@ -132,7 +136,7 @@ class Sweep:
             for row in sorted(found)
         ]
 
-    def _model_rows(self, events: DataFrame, layout: Layout) -> tuple[DataFrame, dict[str, int]]:
+    def _model_rows(self, events: DataFrame, layout: Layout, transposed: bool = False) -> tuple[DataFrame, dict[str, int]]:
         """One row per model: spectrum and transition matrix of every node, parent weights of every pulse."""
         used = {name: node for name, node in layout.nodes.items() if node.n > 0}
         ids = {name: k for k, name in enumerate(used)}
@@ -140,7 +144,7 @@ class Sweep:
         lineages = f"coalesce(try_element_at(map({known}), node), 0)"
         ns = [node.n for node in used.values()]
         nodes = node_spectra(epochs(events), lineages).selectExpr(
-            "model_id", "node", f"{spectrum_by_size_text(ns)} as arising", f"{moves_by_size_text(ns)} as moves"
+            "model_id", "node", f"{spectrum_by_size_text(ns)} as arising", f"{moves_by_size_text(ns, transposed)} as moves"
         )
         picks = [
             F.expr(f"first(if(node = '{name}', {what}, null), true) as {what}_{k}")
@@ -153,21 +157,36 @@ class Sweep:
             )
             models = models.join(moved, "model_id")
             for seq, n in layout.pulses.items():
-                models = models.withColumn(f"parents_{seq}", F.expr(_parents_text(n, f"p_{seq}"))).drop(f"p_{seq}")
+                models = models.withColumn(f"parents_{seq}", F.expr(_parents_text(n, f"p_{seq}", transposed))).drop(f"p_{seq}")
         return models, ids
 
     def evaluate(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``(model_id, *keep, value)``: expected spectrum times the ``tip_<pop>`` vectors of each row, per model.
 
-        The result has one row per model and input row, so this is a join without a key. The side that is broadcast is
-        cut into buckets of known size; the rows are spread over all cores, since each costs the same.
+        The result has one row per model and input row, so this is a join without a key. Where the weights of all tip
+        observations fit in an array, each model computes them once, and a pair only adds up those that its row names: the
+        rows, fixed and of known size, are what is broadcast. Else models are broadcast in buckets of known size, and the
+        rows are spread over all cores, since each costs the same.
         """
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
         tagged = signed(self.events())
+        layouts = self._layouts(tagged)
+        small = [layout.joint_cells() <= JOINT_CELLS for _, _, layout in layouts]
+        pieces = self._cells(rows, keep) if any(small) else []
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
         parts = []
-        for signature, n_models, layout in self._layouts(tagged):
-            buckets = -(-n_models * layout.bytes_per_model() // BROADCAST_BYTES)
+        for (signature, n_models, layout), joint in zip(layouts, small):
             mine = tagged.where(F.col("signature") == signature)
+            if joint:
+                models, ids = self._model_rows(mine, layout, transposed=True)
+                weights = Joint(models, layout, ids, self.pops).df
+                if layout.sample_meets_below_root():
+                    # Branches above the ancestor of the whole sample, which a node below the root has counted.
+                    weights = weights.selectExpr("model_id", "concat(slice(joint, 1, size(joint) - 1), array(0D)) as joint")
+                for piece in pieces:
+                    value = "aggregate(cells, 0D, (s, c) -> s + c.w * joint[c.i]) as value"
+                    parts.append(weights.join(F.broadcast(piece)).selectExpr("model_id", *keep, value))
+                continue
+            buckets = -(-n_models * layout.bytes_per_model() // BROADCAST_BYTES)
             models, ids = self._model_rows(mine, layout)
             for k in range(buckets):
                 some = models if buckets == 1 else models.where(f"pmod(xxhash64(model_id), {buckets}) = {k}")
@@ -177,6 +196,20 @@ class Sweep:
                 parts.append(values.select("model_id", *keep, "value"))
         return reduce(DataFrame.unionByName, parts)
 
+    def _cells(self, rows: DataFrame, keep: Sequence[str]) -> list[DataFrame]:
+        """Rows with the ``cells`` of the tips' joint tensor that they weigh, fixed, in pieces that may be broadcast."""
+        flat = f"tip_{self.pops[0]}"
+        for pop in self.pops[1:]:
+            flat = f"flatten(transform({flat}, x -> transform(tip_{pop}, y -> x * y)))"
+        places = f"transform({let('t', flat, 't')}, (w, i) -> named_struct('i', i, 'w', w))"
+        listed = rows.selectExpr(*keep, f"filter({places}, c -> c.w is null or c.w <> 0D) as cells", "monotonically_increasing_id() as _nth")
+        fixed = cut_lineage(listed)
+        weight = fixed.selectExpr("coalesce(sum(200 + 40 * size(cells)), 0) as x").first().x
+        pieces = max(1, -(-weight // BROADCAST_BYTES))
+        if pieces == 1:
+            return [fixed.drop("_nth")]
+        return [fixed.where(f"pmod(xxhash64(_nth), {pieces}) = {k}").drop("_nth") for k in range(pieces)]
+
     def _without_fixed(self, values: DataFrame, models: DataFrame, layout: Layout, ids: dict[str, int]) -> DataFrame:
         """Take away branches above the ancestor of the whole sample, which a node below the root has counted."""
         ends = [f"{doubles([0.0] * n + [1.0])} as tip_{p}" for p, n in zip(self.pops, self.sizes)]
@@ -292,11 +325,11 @@ class Sweep:
         return self.evaluate(self._tips(rows), ["pop"]).withColumnRenamed("value", "e_het")
 
 
-def _parents_text(n: int, p: str) -> str:
-    """Rows over (staying, moved) derived counts, columns over the derived count before the pulse."""
-    weights: dict[tuple[int, int], list[str]] = {}
-    for d1, d2, _, by_m in two_parent_weights(n):
-        weights.setdefault((d1, d2), []).append(doubles(by_m))
+def _parents_text(n: int, p: str, transposed: bool = False) -> str:
+    """Rows over (staying, moved) derived counts, columns over the derived count before the pulse, or transposed."""
+    weights: dict = {}
+    for d1, d2, d, by_m in two_parent_weights(n):
+        weights.setdefault(d if transposed else (d1, d2), []).append(doubles(by_m))
     rows = "array(" + ", ".join(f"array({', '.join(cols)})" for cols in weights.values()) + ")"
     chance = f"transform(sequence(0, {n}), m -> ({comb_fold_text(str(n), 'm')}) * power(1D - {p}, m) * power({p}, {n} - m))"
     return let("c", chance, f"transform({rows}, row -> {'transform(row, w -> ' + dot('w', 'c') + ')'})")

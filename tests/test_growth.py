@@ -1,5 +1,6 @@
 """Steps whose cost must grow with the input and no faster: how rows are dealt over tasks, and exact short forms."""
 
+import random
 from fractions import Fraction
 from math import comb
 
@@ -9,7 +10,12 @@ from pyspark.sql import functions as F
 import catalog.config_queries  # noqa: F401
 from catalog.registry import QUERIES
 from freqloom.functions.scalar import hypergeometric_draw_text
+from freqloom.operators.regions import within_regions
 from freqloom.operators.sites import ACCOUNTING, SiteTable
+from freqloom.operators.spectrum import full_configs
+from freqloom.plans import expected
+from freqloom.plans.expected import Sweep
+from freqloom.plans.models import Template
 
 
 def line_items(spark, path, n=400):
@@ -53,3 +59,52 @@ def test_the_other_copy_is_dealt_over_as_many_tasks_as_the_session_has(spark, tm
     sf = line_items(spark, tmp_path)
     assert all(r.equal_when_reordered for r in QUERIES["a18_equal_sites"](spark, sf).collect())
     assert len(plans) == 1 and "REPARTITION_BY_COL" in plans[0] and "REPARTITION_BY_NUM" not in plans[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlaps_are_counted_without_pairs(spark, seed):
+    """The number of intervals of each record, for nested and repeated intervals of any length, as over all pairs."""
+    rnd = random.Random(seed)
+    places = [0, 1, 99, 16383, 16384, 16385, 1 << 28, (1 << 28) + 5, 1 << 40]
+    spot = lambda: rnd.choice([*places, rnd.randint(0, 300)])
+    bed = [(rnd.choice(["1", "2", None]), a := spot(), a + rnd.choice([0, 1, 5, 400, 1 << 15, 1 << 42])) for _ in range(150)] * 2
+    records = [(rnd.choice(["1", "2", "3", None]), rnd.choice([None, spot() + 1]), rnd.choice([0, 1, 1, 50, 70000]), i) for i in range(200)]
+    frame = spark.createDataFrame(records, "chrom_id string, position long, size long, id int")
+    got = within_regions(frame, spark.createDataFrame(bed, "chrom_id string, start_pos long, end_pos long"), "size", count="n")
+    want = {}
+    for chrom, position, size, i in records:
+        if chrom is not None and position is not None:
+            n = sum(c == chrom and b > a and position - 1 < b and position - 1 + size > a for c, a, b in bed)
+            want |= {i: n} if n else {}
+    assert {r.id: r.n for r in got.collect()} == want
+
+
+def test_a_whole_chromosome_of_intervals_meets_no_site_in_pairs(spark):
+    """20,000 intervals over each of 20,000 records, 400 million pairs, as sums."""
+    records = spark.range(20_000).selectExpr("'1' as chrom_id", "id + 1 as position")
+    bed = spark.range(20_000).selectExpr("'1' as chrom_id", "0L as start_pos", "1000000L + id as end_pos")
+    got = within_regions(records, bed, count="n").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.sum("n").alias("all")).first()
+    assert tuple(got) == (20_000, 20_000, 400_000_000)
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_weights_of_all_tips_equal_single_evaluations(spark, monkeypatch, late):
+    """Each model's array of weights gives what evaluating every pair of model and configuration gives, missing calls too."""
+    models = spark.sql("select id as model_id, 0.2D + id / 3D as t, 0.3D as p, double(id) as g from range(3)")
+    t = Template(1.0, 0.25).add_leaf("a", n=1.3, g="g").add_leaf("b", t=0.05 if late else 0).add_leaf("d", n=0.4)
+    t.set_size("a", "t / 2", g=0).move_lineages("a", "d", "t / 2", p="p")
+    t.move_lineages("a", "b", "t", n=2).move_lineages("b", "d", "t + 1")
+    sweep = Sweep(t, models, {"a": 2, "b": 2, "d": 1})
+    configs = full_configs(spark, sweep.pops, sweep.sizes).select("anc", "der").unionAll(
+        spark.sql("select array(1, 0, 0) as anc, array(0, 2, 0) as der")
+    )
+    values = lambda: {(r.model_id, tuple(r.anc), tuple(r.der)): r.value for r in sweep.expected_sfs(configs, normalized=True).collect()}
+    got = values()
+    monkeypatch.setattr(expected, "BROADCAST_BYTES", 2000)
+    in_pieces = values()
+    monkeypatch.setattr(expected, "BROADCAST_BYTES", 32 << 20)
+    monkeypatch.setattr(expected, "JOINT_CELLS", 0)
+    want = values()
+    assert len(want) == 3 * 17
+    assert set(got) == set(want) == set(in_pieces)
+    assert max(abs(got[k] - want[k]) + abs(in_pieces[k] - want[k]) for k in want) < 1e-12
