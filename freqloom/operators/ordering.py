@@ -5,27 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freqloom.session import cut_lineage
 
 # monotonically_increasing_id keeps the partition number above this many low bits.
 ROW_BITS = 33
+# Rows that one task sorts where their number is known, and those below which a further task isn't worth while.
+PARTITION_ROWS, FEW_ROWS = 1 << 19, 1 << 14
 
 
-def with_global_index(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions so many rows are dealt over: one for each core, more where that would be too many rows a task."""
+    return max(1, -(-rows // PARTITION_ROWS), min(spark.sparkContext.defaultParallelism, rows // FEW_ROWS))
+
+
+def with_global_index(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str], rows: int | None = None) -> DataFrame:
     """``keep`` columns plus ``row_index`` (0-based rank by ``order``) and ``row_total``.
 
     One range shuffle spreads the rows evenly: a tie-breaker splits even a key that repeats without end, and full ties
     are interchangeable. The sorted partitions are fixed in the checkpoint folder, so partition numbers and row
     numbers can be read twice: once for one size per partition (a table of as many rows as there are partitions),
-    once for the rows themselves. The per-partition offsets are joined back by broadcast.
+    once for the rows themselves. The per-partition offsets are joined back by broadcast. ``rows`` is the size of ``df`` where
+    it is known: the number of partitions then follows it, so that what a task sorts, and what later steps hold of such a
+    partition, doesn't grow with the data. Otherwise it is left to the session.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_key{i}" for i in range(len(order))]
     keyed = df.select(*keep, *[c.alias(n) for c, n in zip(order, names)], F.monotonically_increasing_id().alias("_tie"))
-    ranged = keyed.repartitionByRange(*names, "_tie").sortWithinPartitions(*names, "_tie").select(*keep)
+    parts = [] if rows is None else [partitions_for(df.sparkSession, rows)]
+    ranged = keyed.repartitionByRange(*parts, *names, "_tie").sortWithinPartitions(*names, "_tie").select(*keep)
     fixed = cut_lineage(ranged)
 
     tagged = fixed.withColumn("_place", F.monotonically_increasing_id()).withColumn(
@@ -183,7 +193,7 @@ def with_blocks(sites: DataFrame, n_blocks: int, histogram: DataFrame | None = N
         shifts.append((c.chrom, c.bin, c.span, c.start - before))
         before += c.n
     names = F.broadcast(sites.sparkSession.createDataFrame(shifts, "chrom string, bin bigint, span double, shift bigint"))
-    ranked = with_global_index(cut_rows(sites, cuts, resolution), order, ["chrom", "bin", "anc", "der"])
+    ranked = with_global_index(cut_rows(sites, cuts, resolution), order, ["chrom", "bin", "anc", "der"], before)
     first = ranked.select("row_total").first()
     if (0 if first is None else first.row_total) != before:
         raise ValueError("the sites changed between two reads; write them to a table first")

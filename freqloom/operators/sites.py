@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from freqloom.functions.configs import is_polymorphic, pick
 from freqloom.functions.scalar import hypergeometric_draw_text, uniform_text
 from freqloom.operators.checksums import keys_that_differ, rows_that_differ
-from freqloom.operators.ordering import with_blocks, with_global_index
+from freqloom.operators.ordering import partitions_for, with_blocks, with_global_index
 from freqloom.operators.spectrum import Spectrum
 
 # Consecutive rows looked at together when runs are found.
@@ -103,6 +103,19 @@ class SiteTable:
         """Distinct configurations and how many sites show each."""
         return self.df.groupBy("anc", "der").agg(F.count(F.lit(1)).alias("n_sites"))
 
+    def site_counts(self) -> DataFrame:
+        """``(chrom_id, position, anc, der, n)``: distinct sites and how many rows show each.
+
+        Hardly any two sites are equal, so a task holds nearly all that it reads: the number of partitions follows the rows of
+        the accounting, or a count where it has none. Rows are dealt by site and by the partition they come from, which splits
+        a site that repeats without end, and their counts once more by site.
+        """
+        session, read = self.df.sparkSession, self.book.first().n_read
+        parts = max(partitions_for(session, self.df.count() if read is None else read), session.sparkContext.defaultParallelism)
+        dealt = self.df.select(*SITE, F.spark_partition_id().alias("_from")).repartition(parts, *SITE, "_from")
+        counted = dealt.groupBy(*SITE, "_from").agg(F.count(F.lit(1)).alias("n"))
+        return counted.repartition(parts, *SITE).groupBy(*SITE).agg(F.sum("n").alias("n"))
+
     @classmethod
     def concatenate(cls, tables: Sequence[SiteTable]) -> SiteTable:
         """Union of datasets with the same populations, order and ascertainment."""
@@ -208,9 +221,8 @@ class SiteTable:
         inside buckets of consecutive rows a window sees it, and the first row of a bucket takes the last chromosome of the
         one before from a table of one row per bucket.
         """
-        indexed = with_global_index(
-            self.df.where(is_polymorphic(self.ascertained_indices)), [stored_order], ["chrom_id", "anc", "der"]
-        ).withColumn("_bucket", F.floor(F.col("row_index") / RUN_BUCKET))
+        kept = self.df.where(is_polymorphic(self.ascertained_indices))
+        indexed = with_global_index(kept, [stored_order], ["chrom_id", "anc", "der"], kept.count()).withColumn("_bucket", F.floor(F.col("row_index") / RUN_BUCKET))
         order = Window.partitionBy("_bucket").orderBy("row_index")
         changes = indexed.withColumn("_first", F.col("row_index") % RUN_BUCKET == 0).withColumn(
             "_start", ~F.col("_first") & ~F.col("chrom_id").eqNullSafe(F.lag("chrom_id").over(order))

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from freqloom.operators.ordering import with_global_index
 from freqloom.operators.sites import SiteTable, accounting
 from freqloom.operators.spectrum import Spectrum, length_row
+from freqloom.session import cut_lineage
 
 PLACE = ["file", "split", "row"]
+# Configurations of up to this many bytes are broadcast; more of them are joined as adaptive execution decides.
+CONFIG_BYTES = 32 << 20
 SITE_KEYS = ("populations", "non_ascertained_pops", "use_folded_sfs", "length", "n_read_snps", "n_excluded_snps")
 SPECTRUM_KEYS = ("sampled_pops", "folded", "length")
 
@@ -50,6 +53,11 @@ def checked(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind)
 
 
+def _about(lines: DataFrame) -> DataFrame:
+    """The header and configuration lines, fixed: the one pass over all lines that both need."""
+    return cut_lineage(lines.where("kind in ('header', 'config')"))
+
+
 def _header(lines: DataFrame, keys: tuple[str, ...], needed: str) -> dict:
     """The few scalar entries at the top, as Python values."""
     rows = lines.where("kind = 'header'").select("value").collect()
@@ -59,14 +67,20 @@ def _header(lines: DataFrame, keys: tuple[str, ...], needed: str) -> dict:
     return {k: v for k, v in found.items() if k in keys}
 
 
-def _configs(lines: DataFrame) -> DataFrame:
+def _small(configs: DataFrame, n: int, n_pops: int) -> DataFrame:
+    """``n`` configurations marked for broadcast where their size allows it, so that the rows joined stay where they are."""
+    return F.broadcast(configs) if n * (64 + 8 * n_pops) <= CONFIG_BYTES else configs
+
+
+def _configs(lines: DataFrame, n_pops: int) -> DataFrame:
     """``(config_id, anc, der)`` by order of the configuration lines."""
     found = lines.where("kind = 'config'")
-    ranked = with_global_index(found, PLACE, ["value"])
+    n = found.count()
+    ranked = with_global_index(found, PLACE, ["value"], n)
     parsed = ranked.selectExpr(
         "row_index as config_id", "from_json(trim(trailing ',' from trim(value)), 'array<array<int>>') as pairs"
     )
-    return parsed.selectExpr("config_id", "transform(pairs, p -> p[0]) as anc", "transform(pairs, p -> p[1]) as der")
+    return _small(parsed.selectExpr("config_id", "transform(pairs, p -> p[0]) as anc", "transform(pairs, p -> p[1]) as der"), n, n_pops)
 
 
 def load_sites(spark: SparkSession, path: str) -> SiteTable:
@@ -77,11 +91,12 @@ def load_sites(spark: SparkSession, path: str) -> SiteTable:
 def sites_from_lines(spark: SparkSession, lines: DataFrame) -> SiteTable:
     """The same from ``lines(value, file, split, row)``; a line that can't be placed is an error."""
     lines = checked(lines)
-    info = _header(lines, SITE_KEYS, "populations")
+    about = _about(lines)
+    info = _header(about, SITE_KEYS, "populations")
     rows = lines.where("kind = 'row'").selectExpr(
         "from_json(trim(trailing ',' from trim(value)), 'array<string>') as t"
     ).selectExpr("t[0] as chrom_id", "try_cast(t[1] as double) as position", "try_cast(t[2] as bigint) as config_id")
-    df = rows.join(_configs(lines), "config_id").select("chrom_id", "position", "anc", "der")
+    df = rows.join(_configs(about, len(info["populations"])), "config_id").select("chrom_id", "position", "anc", "der")
     return _site_table(spark, df, info)
 
 
@@ -122,11 +137,12 @@ def load_spectrum(spark: SparkSession, path: str) -> Spectrum:
 def spectrum_from_lines(spark: SparkSession, lines: DataFrame) -> Spectrum:
     """The same from ``lines(value, file, split, row)``; a line that can't be placed is an error."""
     lines = checked(lines)
-    info = _header(lines, SPECTRUM_KEYS, "sampled_pops")
+    about = _about(lines)
+    info = _header(about, SPECTRUM_KEYS, "sampled_pops")
     triples = lines.where("kind = 'row'").selectExpr(
         "from_json(trim(trailing ',' from trim(value)), 'array<double>') as t", "struct(file, split, row) as place"
     ).selectExpr("bigint(t[0]) as block", "bigint(t[1]) as config_id", "t[2] as cnt", "place")
-    return _spectrum(spark, triples, _configs(lines), info)
+    return _spectrum(spark, triples, _configs(about, len(info["sampled_pops"])), info)
 
 
 def load_spectrum_compact(spark: SparkSession, path: str) -> Spectrum:
@@ -180,6 +196,18 @@ def _document(head: list[str], configs: DataFrame, middle: str, rows: DataFrame,
     return reduce(DataFrame.unionAll, parts)
 
 
+def _dictionary(rows: DataFrame, n_pops: int) -> tuple[DataFrame, DataFrame, int]:
+    """The configurations of ``rows`` numbered by similarity, ``rows`` with their ``config_id``, and how many rows there are."""
+    shown = rows.groupBy("anc", "der").agg(F.count(F.lit(1)).alias("n_rows"))
+    ranked = with_global_index(
+        shown, [F.expr("zip_with(anc, der, (a, d) -> a + d)"), F.least("anc", "der"), "anc"], ["anc", "der", "n_rows"]
+    )
+    dictionary = ranked.selectExpr("row_index as config_id", "row_index", "row_total", "anc", "der")
+    size = ranked.agg(F.count(F.lit(1)).alias("configs"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    placed = rows.join(_small(dictionary.select("anc", "der", "config_id"), size.configs, n_pops), ["anc", "der"])
+    return dictionary, placed, size.rows
+
+
 def _entry(key: str, value) -> str:
     return f'\t"{key}": {json.dumps(value)},'
 
@@ -194,11 +222,8 @@ def site_lines(table: SiteTable) -> DataFrame:
         _entry("use_folded_sfs", table.folded), _entry("length", book.length),
         _entry("n_read_snps", book.n_read), _entry("n_excluded_snps", book.n_excluded),
     ]
-    distinct = table.df.select("anc", "der").distinct()
-    ranked = with_global_index(distinct, [F.expr("zip_with(anc, der, (a, d) -> a + d)"), F.least("anc", "der"), "anc"], ["anc", "der"])
-    dictionary = ranked.selectExpr("row_index as config_id", "row_index", "row_total", "anc", "der")
-    placed = table.df.join(dictionary.select("anc", "der", "config_id"), ["anc", "der"])
-    rows = with_global_index(placed, ["chrom_id", "position", "config_id"], ["chrom_id", "position", "config_id"])
+    dictionary, placed, n = _dictionary(table.df, len(table.pops))
+    rows = with_global_index(placed, ["chrom_id", "position", "config_id"], ["chrom_id", "position", "config_id"], n)
     text = "concat('[\"', chrom_id, '\", ', position, ', ', config_id, ']')"
     return _document(head, dictionary, "(chrom_id,position,config_id)", rows, text)
 
@@ -207,12 +232,8 @@ def spectrum_lines(spectrum: Spectrum) -> DataFrame:
     """The JSON document of a spectrum, one line per row, in order."""
     length = spectrum.meta.first().length
     head = [_entry("sampled_pops", list(spectrum.pops)), _entry("folded", spectrum.folded), _entry("length", length)]
-    ranked = with_global_index(
-        spectrum.configs(), [F.expr("zip_with(anc, der, (a, d) -> a + d)"), F.least("anc", "der"), "anc"], ["anc", "der"]
-    )
-    dictionary = ranked.selectExpr("row_index as config_id", "row_index", "row_total", "anc", "der")
-    placed = spectrum.df.join(dictionary.select("anc", "der", "config_id"), ["anc", "der"])
-    rows = with_global_index(placed, ["block", "config_id"], ["block", "config_id", "cnt"])
+    dictionary, placed, n = _dictionary(spectrum.df, len(spectrum.pops))
+    rows = with_global_index(placed, ["block", "config_id"], ["block", "config_id", "cnt"], n)
     return _document(head, dictionary, "(locus,config_id,count)", rows, "concat('[', block, ', ', config_id, ', ', cnt, ']')")
 
 

@@ -8,14 +8,17 @@ import pytest
 from pyspark.sql import functions as F
 
 import catalog.config_queries  # noqa: F401
+import catalog.ingest_queries  # noqa: F401
 from catalog.registry import QUERIES
 from freqloom.functions.scalar import hypergeometric_draw_text
+from freqloom.operators import ordering
 from freqloom.operators.regions import within_regions
 from freqloom.operators.sites import ACCOUNTING, SiteTable
 from freqloom.operators.spectrum import full_configs
 from freqloom.plans import expected
 from freqloom.plans.expected import Sweep
 from freqloom.plans.models import Template
+from freqloom.sources import json_text
 
 
 def line_items(spark, path, n=400):
@@ -108,3 +111,48 @@ def test_weights_of_all_tips_equal_single_evaluations(spark, monkeypatch, late):
     assert len(want) == 3 * 17
     assert set(got) == set(want) == set(in_pieces)
     assert max(abs(got[k] - want[k]) + abs(in_pieces[k] - want[k]) for k in want) < 1e-12
+
+
+def test_site_documents_are_dealt_by_their_number_of_rows(spark, tmp_path, monkeypatch):
+    """s9_site_json under a session that puts all it shuffles into one task: rows ranked and counted go to more, each of few rows."""
+    monkeypatch.setattr(ordering, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(ordering, "FEW_ROWS", 200)
+    ranked, with_global_index = [], json_text.with_global_index
+
+    def seen(df, *args):
+        ranked.append(with_global_index(df, *args))
+        return ranked[-1]
+
+    monkeypatch.setattr(json_text, "with_global_index", seen)
+    sf = line_items(spark, tmp_path, 4000)
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = QUERIES["s9_site_json"](spark, sf)
+        counted = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        parts = [df.groupBy(F.spark_partition_id().alias("p")).count().collect() for df in ranked if "chrom_id" in df.columns]
+        assert sorted((r.chrom_id, r.position, r.n) for r in got.collect()) == sorted(
+            (f"chr{i * 3 % 10 % 5 + 1}", float(i // 4 * 10 + i % 4 + 1), 1) for i in range(4000)
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    for dealt in [counted, *parts]:
+        assert sum(r["count"] for r in dealt) == 4000 and max(r["count"] for r in dealt) < 500
+    assert len(parts) == 1
+
+
+@pytest.mark.parametrize("n_read", [None, 0, 20_000])
+def test_site_counts_of_equal_sites(spark, n_read, monkeypatch):
+    """A site that repeats 10,000 times is not sent to one task row by row; zeros of both signs and NaNs are one position each."""
+    monkeypatch.setattr(ordering, "PARTITION_ROWS", 1000)
+    few = [("1", -0.0), ("1", 0.0), ("1", float("nan")), ("1", float("nan")), (None, 5.0), (None, 5.0), (None, None), ("2", 5.0)]
+    odd = spark.createDataFrame([(c, p, [2, None], [1, 1]) for c, p in few], "chrom_id string, position double, anc array<int>, der array<int>")
+    many = spark.range(0, 10_000, 1, 8).selectExpr("'1' as chrom_id", "cast(null as double) as position", "array(3, 2) as anc", "array(5, 2) as der")
+    t = SiteTable(odd.union(many), ("A", "B"), spark.createDataFrame([(None, n_read, 0)], ACCOUNTING))
+    got = sorted((str(r.chrom_id), str(r.position), tuple(r.anc), r.n) for r in t.site_counts().collect())
+    assert got == sorted([
+        ("1", "0.0", (2, None), 2), ("1", "nan", (2, None), 2), ("None", "5.0", (2, None), 2), ("None", "None", (2, None), 1),
+        ("2", "5.0", (2, None), 1), ("1", "None", (3, 2), 10_000),
+    ])
+    plan = t.site_counts()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "_from" in plan
