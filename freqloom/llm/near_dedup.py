@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import connected, mix, row_blocks, seeds, shingles, sorted_groups, runs, texts_of, utf8, words
+from freqloom.llm.common import SMALL_STEP, connected, mix, row_blocks, seeds, shingles, sorted_groups, runs, texts_of, utf8, words
 from freqloom.session import cut_lineage
 
 SYMBOLS, CHUNK = 32, 4
@@ -36,8 +36,8 @@ SETS = "doc_id long, n_shingles long, shingles binary"
 def signature(distinct: np.ndarray) -> np.ndarray:
     """32 MinHash symbols of 16 bits; the shingle set must not be empty."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for p in range(0, len(distinct), 1 << 16):
-        part = (distinct[p : p + (1 << 16), None] ^ _FLIP) * _TIMES
+    for p in range(0, len(distinct), 1 << 12):
+        part = (distinct[p : p + (1 << 12), None] ^ _FLIP) * _TIMES
         least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
     return mix(least).astype(np.uint16)
 
@@ -59,7 +59,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 def distinct_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingles of each row."""
     data, offsets = utf8(batch["text"])
-    for i, j in row_blocks(offsets):
+    for i, j in row_blocks(offsets, SMALL_STEP):
         h, _, _, by_row = words(data, offsets[i : j + 1], lower=True)
         s, at = shingles(h, by_row, width)
         for r in range(j - i):

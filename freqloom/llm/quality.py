@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freqloom.llm.common import _CODE, mix, powers, row_blocks, texts_of, utf8, window_hash
+from freqloom.llm.common import _CODE, SMALL_STEP, mix, powers, row_blocks, texts_of, utf8, window_hash
 
 #: Rows that a model is fitted on at most (a documented bound; the rows of smallest hash are taken).
 FIT_ROWS = 12_000
 #: Passes over the sample, the same at every size.
 EPOCHS = 10
 BITS = 18
+#: Rows of a batch that are filtered at once.
+SLICE_ROWS = 1000
 _KIND = np.full(256, 2, np.uint8)  # punctuation
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
 for _low, _high, _kind in ((97, 122, 1), (65, 90, 1), (48, 57, 1), (128, 255, 1)):
@@ -62,7 +64,7 @@ def sparse_rows(batch: pa.RecordBatch, bits: int = BITS) -> Iterator[tuple[np.nd
     """
     data, offsets = utf8(batch["text"])
     room = np.uint64((1 << bits) - 1)
-    for i, j in row_blocks(offsets, 1 << 19):
+    for i, j in row_blocks(offsets, SMALL_STEP):
         base = offsets[i]
         starts, h, shape = _tokens(data[base : offsets[j]], offsets[i:j] - base)
         by_row = np.searchsorted(starts, offsets[i : j + 1] - base)
@@ -77,11 +79,14 @@ def sparse_rows(batch: pa.RecordBatch, bits: int = BITS) -> Iterator[tuple[np.nd
             yield at.astype(np.int32), (value / norm if norm else value).astype(np.float32)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
-    """Follow-the-regularised-leader with per-coordinate rates, one row at a time in the given order, ``epochs`` times over."""
+def ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model:
+    """Follow-the-regularised-leader with per-coordinate rates, one row at a time in the given order, ``epochs`` times over.
+
+    ``rows`` is iterated over once for each epoch; a row is widened where it is learnt from, so that no wide copy of all is held.
+    """
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    rows = [(np.append(at, size - 1), np.append(v, 1.0)) for at, v in rows]
+    last, one = np.array([size - 1]), np.ones(1)  # the bias
 
     def weights(at):
         zs = z[at]
@@ -89,6 +94,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
 
     for _ in range(epochs):
         for (at, v), y in zip(rows, labels, strict=True):
+            at, v = np.concatenate((at, last)), np.concatenate((v, one))
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
             g = (p - y) * v
@@ -99,6 +105,28 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+class SparseRows:
+    """Feature numbers and values of many rows, read in place from the buffers of Arrow batches in a given order."""
+
+    def __init__(self, batches: list[pa.RecordBatch], order: np.ndarray):
+        firsts = np.concatenate(([0], np.cumsum([b.num_rows for b in batches], dtype=np.int64)))
+        part = np.searchsorted(firsts, order, "right") - 1
+        self.places = list(zip(part.tolist(), (order - firsts[part]).tolist(), strict=True))
+        self.parts = [(_entries(b["at"], np.int32), _entries(b["value"], np.float32)) for b in batches]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p, i in self.places:
+            (at, a), (value, v) = self.parts[p]
+            yield at[a[i] : a[i + 1]], value[v[i] : v[i + 1]]
+
+
+def _entries(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of bytes, and their offsets by row."""
+    data, offsets = utf8(column)
+    size = np.dtype(kind).itemsize
+    return data[: len(data) // size * size].view(kind), offsets // size
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
@@ -121,11 +149,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "at", "value"])
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            got += zip(batch["doc_id"].to_pylist(), batch["y"].to_pylist(), batch["at"].to_pylist(), batch["value"].to_pylist(), strict=True)
-        got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-        model = ftrl([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for _, _, a, v in got], np.array([y for _, y, _, _ in got]), bits)
+        got = [b for b in batches if b.num_rows]
+        ids, labels = ([x for b in got for x in b[c].to_pylist()] for c in ("doc_id", "y"))
+        order = sorted(range(len(ids)), key=lambda r: (zlib.crc32(str(ids[r]).encode()), ids[r]))
+        model = ftrl(SparseRows(got, np.array(order, np.int64)), np.array([labels[r] for r in order]), bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
 
     one = rows.mapInArrow(features, "doc_id long, y double, at binary, value binary").repartition(1).mapInArrow(train, "weights binary, bias double").first()
@@ -161,9 +188,11 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for batch in batches:
-            rows = sparse_rows(pa.RecordBatch.from_arrays([batch.column(place)], ["text"]), bits)
-            good = [1 / (1 + np.exp(-np.clip(float(weights[at] @ v) + bias, -35, 35))) >= threshold for at, v in rows]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for p in range(0, max(1, whole.num_rows), SLICE_ROWS):  # parts, as what stays is a copy
+                batch = whole.slice(p, SLICE_ROWS)
+                rows = sparse_rows(pa.RecordBatch.from_arrays([batch.column(place)], ["text"]), bits)
+                good = [1 / (1 + np.exp(-np.clip(float(weights[at] @ v) + bias, -35, 35))) >= threshold for at, v in rows]
+                yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from freqloom.llm.common import mix, powers, row_blocks, runs, seeds, utf8
+from freqloom.llm.common import SMALL_STEP, mix, powers, row_blocks, runs, seeds, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces remembered in a worker before its memo starts anew (about 40 bytes each).
-MEMO = 2_000_000
+#: Pieces remembered in a worker (about 40 bytes each) before those go that were not met again since they came.
+MEMO = 300_000
 _BYTE = seeds(256, 61)
 
 
@@ -102,6 +102,19 @@ class PieceEncoder:
         self.keys = np.zeros(0, np.uint64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met in more than one block since the last time, or none if these are most."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > MEMO:
+            self._clear()
+            return
+        size = self.size[kept]
+        start = np.concatenate(([0], np.cumsum(size)))
+        self.pool = self.pool[np.repeat(self.start[kept] - start[:-1], size) + np.arange(start[-1])]
+        self.keys, self.start, self.size = self.keys[kept], start[:-1], size
+        self.again = np.zeros(len(kept), bool)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -150,9 +163,11 @@ class PieceEncoder:
 
     def _learn(self, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: np.ndarray) -> None:
         if len(self.keys) > MEMO:
-            self._clear()
+            self._forget()
         near = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[near] != distinct) if len(self.keys) else np.arange(len(distinct))
+        known = self.keys[near] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        self.again[near[known]] = True
+        new = np.flatnonzero(~known)
         if not len(new):
             return
         starts, ends = starts[new], ends[new]
@@ -205,6 +220,7 @@ class PieceEncoder:
         self.keys = keys[order]
         self.start = np.concatenate([self.start, start])[order]
         self.size = np.concatenate([self.size, size])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])[order]
 
 
 def encoder(path: str, added: bool = False) -> PieceEncoder:
@@ -222,7 +238,7 @@ def encoded_rows(batch: pa.RecordBatch, path: str, end_id: int, added: bool = Fa
     """(first row, ids, offsets by row) of the batch's texts in pieces, each text with ``end_id`` at its end."""
     encode = encoder(path, added).encode
     data, offsets = utf8(batch["text"])
-    for i, j in row_blocks(offsets):
+    for i, j in row_blocks(offsets, SMALL_STEP):
         ids, at = encode(data, offsets[i : j + 1])
         ids = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
         yield i, ids, at + np.arange(len(at))

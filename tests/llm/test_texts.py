@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -273,6 +274,24 @@ def test_passes_do_not_depend_on_the_sample(n):
     assert own.bias == fixed.bias and (own.weights == fixed.weights).all()
 
 
+def test_training_holds_no_second_copy_of_the_sample():
+    rnd = np.random.default_rng(4)
+    rows = [(np.sort(rnd.choice(1 << 10, 500, False)).astype(np.int32), rnd.random(500).astype(np.float32)) for _ in range(1000)]
+    labels = np.arange(1000) % 2
+    batches = [pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in part], pa.binary()), pa.array([x.tobytes() for _, x in part], pa.binary())], ["at", "value"]) for part in (rows[:300], rows[300:])]
+    order = rnd.permutation(1000)
+    tracemalloc.start()
+    try:
+        own = quality.ftrl(rows, labels, bits=10, epochs=2)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20, "the rows themselves are 4 MB"
+        mixed = quality.ftrl(quality.SparseRows(batches, order), labels[order], bits=10, epochs=2)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    want = quality.ftrl([rows[i] for i in order], labels[order], bits=10, epochs=2)
+    assert (mixed.weights == want.weights).all() and mixed.bias == want.bias and (own.weights != want.weights).any()
+
+
 def plain_ftrl(rows, labels, size, epochs, alpha=1.0, beta=1.0, l1=1e-4, l2=1e-4):
     """The update rule in plain Python, one number at a time; the last coordinate is the bias."""
     z, n = [0.0] * (size + 1), [0.0] * (size + 1)

@@ -40,6 +40,28 @@ def test_pieces_encode_as_whole_texts(plain):
         assert list(ids[at[k] : at[k + 1]]) == list(plain(text, 0)[:-1]), text
 
 
+def test_the_memo_stays_small_whatever_the_corpus(plain):
+    """It holds no more for more distinct words, and keeps those that come again."""
+    encode = tokens.PieceEncoder(tokens.tokenizer_path())
+    for p in range(0, 700_000, 20_000):
+        texts = [" ".join(f"q{i}" for i in range(p + k, p + k + 1000)) + " the same words" for k in range(0, 20_000, 1000)]
+        ids, at = encode.encode(*utf8(pa.array(texts)))
+        assert list(ids[at[7] : at[8]]) == list(plain(texts[7], 0)[:-1])
+        assert sum(x.nbytes for x in vars(encode).values() if isinstance(x, np.ndarray)) < 20 << 20
+
+
+def test_pieces_met_again_outlive_a_full_memo(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 1000)
+    encode = tokens.PieceEncoder(tokens.tokenizer_path())
+    encode.encode(*utf8(pa.array(["these words come often"])))
+    known = set(encode.keys.tolist())
+    for p in range(0, 20_000, 500):
+        often = ["these words come often"] if p % 1000 == 0 else []
+        encode.encode(*utf8(pa.array([*often, " ".join(f"q{i}" for i in range(p, p + 500))])))
+        assert known <= set(encode.keys.tolist())
+        assert len(encode.keys) <= 1000 + 2 * 502
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_added_tokens_as_by_the_library(wide, monkeypatch):
     library = Tokenizer.from_file(tokens.tokenizer_path())
