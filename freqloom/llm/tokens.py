@@ -15,7 +15,7 @@ from freqloom.llm.common import SMALL_STEP, mix, powers, row_blocks, runs, seeds
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces remembered in a worker (about 40 bytes each) before those go that were not met again since they came.
-MEMO = 300_000
+MEMO = 400_000
 _BYTE = seeds(256, 61)
 
 
@@ -238,7 +238,7 @@ def encoded_rows(batch: pa.RecordBatch, path: str, end_id: int, added: bool = Fa
     """(first row, ids, offsets by row) of the batch's texts in pieces, each text with ``end_id`` at its end."""
     encode = encoder(path, added).encode
     data, offsets = utf8(batch["text"])
-    for i, j in row_blocks(offsets, SMALL_STEP):
+    for i, j in row_blocks(offsets, 2 * SMALL_STEP):
         ids, at = encode(data, offsets[i : j + 1])
         ids = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
         yield i, ids, at + np.arange(len(at))
